@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.tables import broadcast_if_small, discard, durable
+from tidewheel.llm.tables import broadcast_if_small, durable
 
 
 def _line_key(line):
@@ -43,8 +43,7 @@ def drop_boilerplate(pages: DataFrame, *, host: str = "source", text: str = "tex
     measured against and stay as they are. Each row is a page of its own, repeated ids included. Columns of the
     names ``n_lines`` and ``n_dropped`` are replaced; all others stay.
     """
-    spark = pages.sparkSession
-    found, path = durable(boilerplate_lines(pages, host=host, text=text, ratio=ratio, min_pages=min_pages))
+    found, _ = durable(boilerplate_lines(pages, host=host, text=text, ratio=ratio, min_pages=min_pages))
     found = broadcast_if_small(found.withColumnRenamed("_host", "_site"), 20_000)
     lines = F.split(F.col(text), "\n", -1)
     joined = pages.join(found, F.col(host) == F.col("_site"), "left")

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.tables import broadcast_if_small, discard, durable, whole_text
+from tidewheel.llm.tables import broadcast_if_small, durable, whole_text
 
 LEVELS = ("domain", "lang", "source")
 DOMAIN_WEIGHTS = {"tier0": 4.0, "tier1": 3.0, "tier2": 2.0, "tier3": 1.0}

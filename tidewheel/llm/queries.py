@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import line_dedup, mixing
+from tidewheel.llm import line_dedup, mixing, secrets, url_filters
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
+    "op5_url_filters": url_filters.op5_url_filters,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 ORACLES = {
+    "op5_url_filters": url_filters.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
 }

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import line_dedup, mixing, secrets, url_filters
+from tidewheel.llm import decontaminate, line_dedup, media, mixing, secrets, tokens, url_filters
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_media_features": media.op2_media_features,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_token_counts": tokens.op4_token_counts,
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 ORACLES = {
+    "op3_decontaminate": decontaminate.ORACLE,
     "op5_url_filters": url_filters.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import decontaminate, line_dedup, media, mixing, secrets, tokens, url_filters
+from tidewheel.llm import decontaminate, line_dedup, media, mixing, quality, secrets, tokens, url_filters
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_quality_resample": quality.op9_quality_resample,
 }
 ORACLES = {
     "op3_decontaminate": decontaminate.ORACLE,

@@ -55,9 +55,9 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa
             yield batch.slice(a, b - a)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all rows in order, and the number of words of each row."""
-    inside = ~SPACE[data]
+def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all rows in order, and the number of words of each row. ``breaks``: bytes between words."""
+    inside = ~breaks[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     first, last = inside.copy(), inside.copy()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import decontaminate, line_dedup, media, mixing, quality, secrets, tokens, url_filters
+from tidewheel.llm import decontaminate, katz, line_dedup, media, mixing, quality, secrets, tokens, url_filters
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": tokens.op4_token_counts,
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_katz_scores": katz.op7_katz_scores,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_resample": quality.op9_quality_resample,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it has been counted and holds no more rows than this.
 BROADCAST_ROWS = 200_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,10 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, *, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back, so that lost executors lose nothing. Returns its path too."""
+    """Write ``df`` to the shared folder and read it back, so that lost executors lose nothing. Returns its path too.
+
+    What the write shuffled is deleted as soon as the table stands, so intermediate files don't pile up.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewheel-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import decontaminate, katz, line_dedup, media, mixing, quality, secrets, tokens, url_filters
+from tidewheel.llm import decontaminate, jaccard, katz, line_dedup, media, mixing, quality, secrets, tokens, url_filters
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_katz_scores": katz.op7_katz_scores,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_resample": quality.op9_quality_resample,
+    "op10_jaccard_components": jaccard.op10_jaccard_components,
 }
 ORACLES = {
     "op3_decontaminate": decontaminate.ORACLE,

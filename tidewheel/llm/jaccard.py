@@ -20,7 +20,7 @@ BUCKET_SHINGLES = 1 << 20
 #: Pairs across components are listed once there are at most this many for each index entry, or in all; until then, leaders go on.
 PAIRS_PER_ENTRY, LEAST_PAIRS = 4, 1_000_000
 
-SETS = "doc_id long, n_shingles long, print binary, shingles array<long>, keys array<long>, at array<int>"
+SETS = "doc_id long, carried string, n_shingles long, print binary, shingles array<long>, keys array<long>, at array<int>"
 
 
 class _Sets:
@@ -81,7 +81,7 @@ def _finish(table: pa.Table, replies: list[tuple[int, bytes]]) -> pa.Table:
         shared = np.flatnonzero(frequency[order] > 1)
         if len(shared):  # a shingle of one set joins nothing
             shingles[row], keys[row], at[row] = values.view(np.int64), values[order[shared]].view(np.int64), shared.astype(np.int32)
-    return pa.table({"doc_id": pa.array(s.ids, pa.int64()), "n_shingles": pa.array(s.sizes, pa.int64()), "print": pa.array(s.prints, pa.binary()), "shingles": pa.array(shingles, pa.list_(pa.int64())), "keys": pa.array(keys, pa.list_(pa.int64())), "at": pa.array(at, pa.list_(pa.int32()))})
+    return pa.table({"doc_id": pa.array(s.ids, pa.int64()), "carried": table.column("carried"), "n_shingles": pa.array(s.sizes, pa.int64()), "print": pa.array(s.prints, pa.binary()), "shingles": pa.array(shingles, pa.list_(pa.int64())), "keys": pa.array(keys, pa.list_(pa.int64())), "at": pa.array(at, pa.list_(pa.int32()))})
 
 
 def _similar_enough(n1: str, n2: str, at1: str, at2: str) -> Column:
@@ -131,7 +131,7 @@ def components(links: DataFrame) -> DataFrame:
             return ends.unionByName(ends.select(F.col("component").alias("id"), "component").distinct())
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id``: which documents reach each other by links of similarity 0.8 or more.
 
     Sets are distinct 5-word shingles of the lower-cased words (all words of a shorter text as one), kept as
@@ -146,10 +146,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     the leader and what each has beside it. Where many components remain, further leaders go first.
 
     Null ids form no links and get a null component; null and wordless texts have 0 shingles and their own id as
-    component; repeated rows are equal sets. Other columns are left out.
+    component; repeated rows are equal sets. Other columns are left out, but for a string column named by ``carry``.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text).alias("text"), (F.col(carry) if carry else F.lit(None)).cast("string").alias("carried"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (int(size) // (6 * BUCKET_SHINGLES)).bit_length())
     table, sets_path = durable(ask(in_blocks(own, int(size // BLOCK_BYTES) + 1), _send(bits), _answer, _finish, SETS))
@@ -199,9 +199,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
             paths.append(p)
             break
     classes = prints.join(found, "id", "left").select("print", F.coalesce("component", "id").alias("component"))
-    members = table.select("doc_id", "n_shingles", F.col("print").alias("_print")).join(classes, F.col("_print") == F.col("print"), "left")
+    members = table.select("doc_id", "carried", "n_shingles", F.col("print").alias("_print")).join(classes, F.col("_print") == F.col("print"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    result, _ = durable(members.select("doc_id", "n_shingles", component.alias("component_id")))
+    carried = [F.col("carried").alias(carry)] if carry else []
+    result, _ = durable(members.select("doc_id", "n_shingles", component.alias("component_id"), *carried))
     discard(spark, *paths)
     return result
 

@@ -13,11 +13,13 @@ from tidewheel.llm.tables import discard, durable, whole_text
 
 #: Counts up to K are discounted; those above keep all but DELTA of an event, so that no history is left without backoff mass.
 K, DELTA = 5, 0.01
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Tokens of a bucket of histories; a history with more than a quarter of that is spread by its next words.
-BUCKET_TOKENS = 1 << 20
+BUCKET_TOKENS = 1 << 21
 _START, _END = np.uint64(0x51A27D3C9E4B0F61), np.uint64(0x0D15EA5E0FF1CE77)
 _WIDTH = 2 * K + 2
+#: Words after a history are told apart by 48 bits.
+_SHORT = np.uint64(16)
 
 TABLE = "kind string, block int, h long, stats array<double>, body binary"
 
@@ -83,8 +85,13 @@ def _pairs(buckets: int, hot: int):
         known = np.bincount(s.doc, weights=c > 0, minlength=s.rows).astype(np.int64)
         ids = table.column("doc_id")
         valid = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False) if isinstance(ids, pa.Array) else ids.is_valid().to_numpy(), np.uint8)
-        stats = [float(own.sum()), float((own > 0).sum()), *_counts_of_counts(own).astype(float).tolist(), float((~s.held).sum())]
-        rows = [(-1 - block, "doc", stats, pack(ids.fill_null(0).to_numpy().astype(np.int64), valid, s.n.astype(np.int64), known, base, s.held.astype(np.uint8)))]
+        # training documents go first, so that an index says which a document is
+        turn = np.argsort(s.held, kind="stable")
+        rank = np.empty(s.rows, np.int64)
+        rank[turn] = np.arange(s.rows)
+        training = np.array([s.rows - s.held.sum()], np.int64)
+        stats = [float(own.sum()), float((own > 0).sum()), *_counts_of_counts(own).astype(float).tolist(), float(training[0])]
+        rows = [(-1 - block, "doc", stats, pack(ids.fill_null(0).to_numpy().astype(np.int64)[turn], valid[turn], s.n.astype(np.int64)[turn], known[turn], base[turn], s.held[turn].astype(np.uint8)))]
         history = np.empty_like(s.type)
         history[1:] = s.type[:-1]
         history[s.first] = len(s.types)
@@ -93,12 +100,13 @@ def _pairs(buckets: int, hot: int):
         spread = np.append(count > hot, True)
         key = np.where(spread[history], words.mix(hash_of[history] ^ words.mix(s.token)), words.mix(hash_of[history]))
         bucket = bucket_of(key, buckets)
-        order = np.lexsort((s.doc, s.type, history, bucket))
-        history, word, doc = history[order], s.type[order], s.doc[order]
+        doc = rank[s.doc]
+        order = np.lexsort((doc, s.type, history, bucket))
+        history, word, doc = history[order], s.type[order], doc[order]
         for b, i, j in runs(bucket[order]):
             h, hi = np.unique(history[i:j], return_inverse=True)
             w, wi = np.unique(word[i:j], return_inverse=True)
-            body = pack(hash_of[h], count_of[h], spread[h].astype(np.uint8), gaps(s.types[w]), _small(count[w]), _small(hi), _small(wi), _small(doc[i:j]), s.held[doc[i:j]].astype(np.uint8))
+            body = pack(hash_of[h], count_of[h], spread[h].astype(np.uint8), gaps(s.types[w] >> _SHORT), _small(count[w]), _small(hi), _small(wi), _small(doc[i:j]), training)
             rows.append((b, "pairs", None, body))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "kind": pa.array([r[1] for r in rows]), "stats": pa.array([r[2] for r in rows], pa.list_(pa.float64())), "body": pa.array([r[3] for r in rows], pa.binary())})
 
@@ -132,7 +140,7 @@ def _count_pairs(table: pa.Table) -> pa.Table:
         h = np.concatenate([p[1][p[6]] for p in pairs])
         w = np.concatenate([np.cumsum(p[4], dtype=np.uint64)[p[7]] for p in pairs])
         wc = np.concatenate([p[5][p[7]].astype(np.int64) for p in pairs])
-        held = np.concatenate([p[9] for p in pairs]).astype(bool)
+        held = np.concatenate([p[8] >= p[9][0] for p in pairs])
         _, first, pair = np.unique(words.mix(h * np.uint64(0x9E3779B97F4A7C15) + words.mix(w)), return_index=True, return_inverse=True)
         r_type = np.bincount(pair, weights=~held).astype(np.int64)
         histories, hi = np.unique(h, return_inverse=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.hashing import hash_uniform_sql
 from tidewheel.operators import curation, evaluation
-from tidewheel.sources.adapters import eval_results, outcomes, table, with_views
+from tidewheel.sources.adapters import epoch_micros, eval_results, outcomes, table, with_views
 
 O, E = with_views("outcomes"), with_views("eval_results")
 
@@ -76,7 +76,7 @@ def outputs_vs_targets(spark, d):
 
 
 def latest_per_pair(spark, d):
-    r = table(spark, d, "orders").select(F.col("o_custkey").alias("agent"), F.col("o_orderpriority").alias("task"), F.unix_timestamp("o_orderdate").alias("stamp"), F.col("o_orderkey").alias("run"))
+    r = table(spark, d, "orders").select(F.col("o_custkey").alias("agent"), F.col("o_orderpriority").alias("task"), F.floor(epoch_micros("o_orderdate") / 1000000).cast("long").alias("stamp"), F.col("o_orderkey").alias("run"))
     return evaluation.latest(r, ["agent", "task"], "stamp")
 
 

@@ -147,7 +147,7 @@ _P = "[!-/:-@\\[-`{-~]"
 
 
 def _norm(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '{_P}', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({x}), '{_P}', '', 'g'), '\\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
 
 
 def _words(x: str) -> str:

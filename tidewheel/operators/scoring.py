@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: ASCII punctuation and the articles.
 PUNCTUATION = "[!-/:-@\\[-`{-~]"
-ARTICLES = "\\b(a|an|the)\\b"
+ARTICLES = "(?<![\\p{L}\\p{N}_])(a|an|the)(?![\\p{L}\\p{N}_])"
 
 
 def normalize_answer(text: Column) -> Column:

@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def epoch_micros(column: str):
+    """Microseconds since 1970 of a time without zone, whatever the session's zone is."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(column).cast("timestamp_ntz"))
+
+
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of rollouts: one row of ``lineitem`` each; ``seq_no`` is their order of arrival."""
     return table(spark, sf_dir, "lineitem").select(
@@ -37,7 +42,7 @@ def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traced sessions: one event each, with submit and finalise times in seconds."""
-    start = F.unix_micros("ts") / 1e6
+    start = epoch_micros("ts") / 1e6
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("session_id"), (F.col("event_id") / 4).cast("long").alias("task_id"), (F.col("user_id") % 4).cast("int").alias("rank"), start.alias("submit_ts"), F.col("value").alias("total_s"), (start + F.col("value")).alias("finalized_ts"),
         F.when(F.col("event_type") == "error", "rejected").otherwise("accepted").alias("status"), F.col("event_type"),

@@ -108,27 +108,25 @@ def _linked(verified: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` (the least id reachable) for every id in ``links`` (``a, b``), by large and small stars.
 
-    Each round joins nothing: it groups edges by a node, links its neighbours to the least of them, and stops
-    when no edge changes. A star's centre keeps only its least neighbour by a combining aggregate and the edges
-    are joined to it, so no group is gathered in one task.
+    Each round links a node's larger neighbours, and then its smaller ones, to the least of them, until every node
+    has one edge and no centre has any. A node's least neighbour is a combining aggregate to which its edges are
+    joined, so no group is gathered in one task.
     """
     edges, path = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
-        # large star: larger neighbours of u go to u's least neighbour (or itself)
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        degrees = ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+        if not degrees.where("out > 1 OR (out > 0 AND in > 0)").limit(1).count():
+            stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large, p1 = durable(large)
-        # small star: smaller neighbours of u, and u, go to u's least neighbour
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        small, p2 = durable(small)
-        same = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(links.sparkSession, path, p1)
-        edges, path = small, p2
-        if same:
-            ends = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-            return ends.unionByName(ends.select(F.col("component").alias("id"), "component").distinct())
+        small, new = durable(small)
+        discard(links.sparkSession, path)
+        edges, path = small, new
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
@@ -179,8 +177,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         main = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         main, p = durable(main.select("key", F.col("top.c").alias("main"), "m", (F.col("m") - F.col("top.k")).alias("others")))
         paths.append(p)
-        open_, p = durable(known.join(main, "key"))
-        paths.append(p)
+        open_ = known.join(main, "key")
         work = int(main.agg(F.sum(F.col("others") * F.col("m"))).first()[0] or 0)
         if not work:
             break
@@ -195,10 +192,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         paths.append(p)
         verified = verified.unionByName(more)
         if last:
-            found, p = durable(components(_linked(verified)))
-            paths.append(p)
+            if _linked(more).limit(1).count():
+                found, p = durable(components(_linked(verified)))
+                paths.append(p)
             break
-    classes = prints.join(found, "id", "left").select("print", F.coalesce("component", "id").alias("component"))
+    # a table of its own, so that the join below has plain shuffles on both sides and a hot print can be split
+    classes, p = durable(prints.join(found, "id", "left").select("print", F.coalesce("component", "id").alias("component")))
+    paths.append(p)
     members = table.select("doc_id", "carried", "n_shingles", F.col("print").alias("_print")).join(classes, F.col("_print") == F.col("print"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     carried = [F.col("carried").alias(carry)] if carry else []

@@ -17,8 +17,10 @@ QUERIES = {
     "op10_jaccard_components": jaccard.op10_jaccard_components,
 }
 ORACLES = {
+    "op1_secret_scan": secrets.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
     "op5_url_filters": url_filters.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
+    "op10_jaccard_components": jaccard.ORACLE,
 }

@@ -163,3 +163,37 @@ def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("base_spans", "entropy_spans"))).alias("spans"),
     )
+
+
+def _sql_matches(name: str, pattern: str, keep: str) -> str:
+    """SQL for the matches of a pattern: the pieces between them and the matches before give each start."""
+    p = pattern.replace("'", "''")
+    return f"""{name} AS (SELECT doc_id, list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start, found[i] AS match
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS found, regexp_split_to_array(t, '{p}') AS pieces FROM d)) WHERE {keep})"""
+
+
+def _oracle() -> str:
+    sums = f"[{', '.join(f'{_fixed(c)}::BIGINT' for c in range(WINDOW + 2))}]"
+    assign = ASSIGN.replace("'", "''")
+    allowed = " OR ".join("regexp_matches(match, '" + p.replace("'", "''") + "')" for p in ALLOWED)
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{_sql_matches("a", ASSIGN, f"length(regexp_extract(found[i], '{assign}', 2)) >= 12")},
+{_sql_matches("k", ACCESS, "length(found[i]) >= 18")},
+{_sql_matches("h", HEX, "length(found[i]) >= 16")},
+{_sql_matches("r", f"[A-Za-z0-9+/_=-]{{{WINDOW},}}", "true")},
+base AS (SELECT doc_id, start, 0 AS rank, start + length(match) AS fin FROM a UNION ALL SELECT doc_id, start, 1, start + length(match) FROM k UNION ALL SELECT doc_id, start, 2, start + length(match) FROM h),
+c AS (SELECT doc_id, start, match, CASE WHEN regexp_full_match(match, '[0-9a-fA-F]+') THEN 3 WHEN regexp_full_match(match, '[A-Za-z0-9]+') THEN 4 ELSE 5 END AS rank FROM r WHERE NOT ({allowed})),
+o AS (SELECT doc_id, start, rank, i, substr(match, i, {WINDOW}) AS win FROM (SELECT *, unnest(range(1, length(match) - {WINDOW - 2})) AS i FROM c)),
+e AS (SELECT doc_id, start, rank, start + i - 1 AS b, list_sum(list_transform(list_distinct(string_split(win, '')), lambda x: ({sums})[length(win) - length(replace(win, x, '')) + 1])) AS total FROM o),
+g AS (SELECT * FROM e WHERE total <= CASE rank WHEN 3 THEN {_most(BITS['hex'])} WHEN 4 THEN {_most(BITS['alnum'])} ELSE {_most(BITS['base64'])} END),
+f AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, start ORDER BY b) AS island FROM (SELECT *, (coalesce(lag(b) OVER (PARTITION BY doc_id, start ORDER BY b) + {WINDOW} < b, true))::INT AS fresh FROM g)),
+every AS (SELECT * FROM base UNION ALL SELECT doc_id, min(b), rank, max(b) + {WINDOW} FROM f GROUP BY doc_id, start, rank, island),
+said AS (SELECT doc_id, start, rank, ([{names}])[rank + 1] || ':' || start::BIGINT || ':' || fin::BIGINT AS line FROM every),
+s AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, coalesce(string_agg(line, ',' ORDER BY start, rank) FILTER (rank <= 2), '') AS base_line, string_agg(line, ',' ORDER BY start, rank) AS all_line FROM said GROUP BY 1)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base_line, '')) AS base_sha256, coalesce(all_line, '') AS spans FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
+ORACLE = _oracle()

@@ -67,7 +67,7 @@ def prefix_length(n):
     return n - (4 * n + 4) // 5 + 1
 
 
-def _finish(table: pa.Table, replies: list[tuple[int, bytes]]) -> pa.Table:
+def _finish(_: int, table: pa.Table, replies: list[tuple[int, bytes]]) -> pa.Table:
     s = _Sets(table)
     found = np.concatenate([unpack(body)[0] for _, body in replies]) if replies else np.zeros(0, np.uint32)
     count = found[s.type] if len(found) else found
@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text).alias("text"), (F.col(carry) if carry else F.lit(None)).cast("string").alias("carried"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (int(size) // (6 * BUCKET_SHINGLES)).bit_length())
-    table, sets_path = durable(ask(in_blocks(own, int(size // BLOCK_BYTES) + 1), _send(bits), _answer, _finish, SETS))
+    table, sets_path = durable(ask(in_blocks(own, BLOCK_BYTES), _send(bits), _answer, _finish, SETS))
     paths = [sets_path]
     prints = table.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"))
     rows = table.where("shingles IS NOT NULL").select(F.col("print").alias("_print"), "doc_id", F.col("n_shingles").alias("n"), "shingles", "keys", "at")

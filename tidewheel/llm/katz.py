@@ -21,7 +21,7 @@ _WIDTH = 2 * K + 2
 #: Words after a history are told apart by 48 bits.
 _SHORT = np.uint64(16)
 
-TABLE = "kind string, block int, h long, stats array<double>, body binary"
+TABLE = "kind string, block long, h long, stats array<double>, body binary"
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -74,9 +74,8 @@ def _counts_of_counts(counts: np.ndarray) -> np.ndarray:
 def _pairs(buckets: int, hot: int):
     """Each block's tokens with their history, dealt by history; totals and the columns of the contract beside them."""
 
-    def finish(table: pa.Table, replies: list[tuple[int, bytes]]) -> pa.Table:
+    def finish(block: int, table: pa.Table, replies: list[tuple[int, bytes]]) -> pa.Table:
         s = _Sequences(table)
-        block = table.column("block")[0].as_py()
         got = [unpack(body) for _, body in replies]
         count = np.concatenate([c for c, _ in got]).astype(np.int64)
         own = count[np.concatenate([o for _, o in got]).astype(bool)]
@@ -108,7 +107,7 @@ def _pairs(buckets: int, hot: int):
             w, wi = np.unique(word[i:j], return_inverse=True)
             body = pack(hash_of[h], count_of[h], spread[h].astype(np.uint8), gaps(s.types[w] >> _SHORT), _small(count[w]), _small(hi), _small(wi), _small(doc[i:j]), training)
             rows.append((b, "pairs", None, body))
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "kind": pa.array([r[1] for r in rows]), "stats": pa.array([r[2] for r in rows], pa.list_(pa.float64())), "body": pa.array([r[3] for r in rows], pa.binary())})
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "kind": pa.array([r[1] for r in rows]), "stats": pa.array([r[2] for r in rows], pa.list_(pa.float64())), "body": pa.array([r[3] for r in rows], pa.binary())})
 
     return finish
 
@@ -176,7 +175,7 @@ def _count_pairs(table: pa.Table) -> pa.Table:
             for k in np.unique(hi[far]):
                 sel = far[hi[far] == k]
                 out.append(("hotback", block, int(histories[k].view(np.int64)), [float(total[k])], pack(_small(docs[sel - begin]), _small(wc[sel]))))
-    return pa.table({"kind": pa.array([o[0] for o in out], pa.string()), "block": pa.array([o[1] for o in out], pa.int32()), "h": pa.array([o[2] for o in out], pa.int64()), "stats": pa.array([o[3] for o in out], pa.list_(pa.float64())), "body": pa.array([o[4] for o in out], pa.binary())})
+    return pa.table({"kind": pa.array([o[0] for o in out], pa.string()), "block": pa.array([o[1] for o in out], pa.int64()), "h": pa.array([o[2] for o in out], pa.int64()), "stats": pa.array([o[3] for o in out], pa.list_(pa.float64())), "body": pa.array([o[4] for o in out], pa.binary())})
 
 
 def discounts(n: list[float]) -> np.ndarray:
@@ -248,9 +247,8 @@ def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 7 == 2 if held_out is None else held_out
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text).alias("text"), held.alias("held_out"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // BLOCK_BYTES) + 1
     buckets = int(size // (6 * BUCKET_TOKENS)) + 1
-    sent = ask(in_blocks(own, blocks), _send_words(buckets), _answer_words, _pairs(buckets, BUCKET_TOKENS // 4), "bucket int, block int, kind string, stats array<double>, body binary")
+    sent = ask(in_blocks(own, BLOCK_BYTES), _send_words(buckets), _answer_words, _pairs(buckets, BUCKET_TOKENS // 4), "bucket long, block long, kind string, stats array<double>, body binary")
     table, path = durable(sent.groupBy("bucket").applyInArrow(_count_pairs, TABLE), partition_by=("kind",))
     table = table.select("kind", "block", "h", "stats", "body")
 

@@ -101,6 +101,12 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"))
 
 
+def _checked(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[str]]:
+    fresh, first = durable(pairs)
+    more, second = durable(_verify(fresh, sets))
+    return more, [first, second]
+
+
 def _linked(verified: DataFrame) -> DataFrame:
     return verified.where(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * 80).select("a", "b")
 
@@ -154,7 +160,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     paths = [sets_path]
     prints = table.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"))
     rows = table.where("shingles IS NOT NULL").select(F.col("print").alias("_print"), "doc_id", F.col("n_shingles").alias("n"), "shingles", "keys", "at")
-    # one row a set: the same print and id can only come from repeated rows of one block, which holds them once
+    # one row a set, but for repeated rows in several blocks: their links and components are the same
     sets = rows.join(prints, (F.col("_print") == F.col("print")) & (F.col("doc_id") == F.col("id"))).select("id", "n", "shingles", "keys", "at")
     entries, p = durable(sets.select("id", "n", F.explode(F.arrays_zip("keys", "at")).alias("e")).select("id", "n", F.col("e.keys").alias("key"), F.col("e.at").alias("at")))
     paths.append(p)
@@ -181,21 +187,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         work = int(main.agg(F.sum(F.col("others") * F.col("m"))).first()[0] or 0)
         if not work:
             break
-        last = work <= max(PAIRS_PER_ENTRY * total, LEAST_PAIRS)
-        fresh, p = durable(_across(open_, verified) if last else _next_leaders(open_, verified))
-        paths.append(p)
-        if not last and not fresh.limit(1).count():  # every leader is known to all: only listing is left
-            last = True
-            fresh, p = durable(_across(open_, verified))
-            paths.append(p)
-        more, p = durable(_verify(fresh, sets))
-        paths.append(p)
-        verified = verified.unionByName(more)
-        if last:
+        if work > max(PAIRS_PER_ENTRY * total, LEAST_PAIRS):
+            more, p = _checked(_next_leaders(open_, verified), sets)
+            paths += p
+            verified = verified.unionByName(more)
             if _linked(more).limit(1).count():
-                found, p = durable(components(_linked(verified)))
-                paths.append(p)
-            break
+                continue
+        more, p = _checked(_across(open_, verified), sets)
+        paths += p
+        if _linked(more).limit(1).count():
+            found, p = durable(components(_linked(verified.unionByName(more))))
+            paths.append(p)
+        break
     # a table of its own, so that the join below has plain shuffles on both sides and a hot print can be split
     classes, p = durable(prints.join(found, "id", "left").select("print", F.coalesce("component", "id").alias("component")))
     paths.append(p)

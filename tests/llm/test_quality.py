@@ -81,3 +81,37 @@ def test_label_bound(spark):
     docs, labels = corpus()
     a = spark.createDataFrame(docs, "doc_id long, text string")
     assert quality.resample(a, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_labels=100).count() > 0
+
+
+def test_rare_words_and_pairs_count(spark):
+    """Ten labelled rows of a bad word, and of a bad pair of common words, are enough; weights may be positive."""
+    rng = random.Random(5)
+    docs, labels = [], []
+    for i in range(600):
+        text = [f"w{rng.randrange(400)}" for _ in range(40)]
+        kind = i % 60 if i % 60 < 2 else 2
+        if kind == 0:
+            text[7] = "vile"
+        text[20:22] = ["red", "hot"] if kind == 1 else ["red", "w7"]
+        text += ["w9", "hot"] if i % 4 < 2 else []
+        docs.append((i, " ".join(text)))
+        if i % 2 == 0 or kind == 1:
+            labels.append((i, 1, int(kind < 2)))
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["log_weight"] for r in quality.classify(a, b, temperature=0.0).collect()}
+    assert not any(i in kept for i in range(0, 600, 60)) and not any(i in kept for i in range(1, 600, 60))
+    assert len(kept) > 0.97 * 580 and max(kept.values()) > 0
+
+
+def test_shrunk_ratios():
+    import numpy as np
+
+    raw = np.array([1, 5, 5, 10, 1000, 8])
+    target = np.array([0, 0, 4, 0, 0, 6])
+    got = quality.shrunk_ratios(raw, target, 0.75)
+    for r, t, x in zip(raw, target, got, strict=True):
+        beta = lambda a, b: math.exp(math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
+        odds = quality.TELLING / (1 - quality.TELLING) * beta(t + 0.75, r - t + 0.25) / beta(0.75, 0.25) / (0.75**t * 0.25 ** (r - t)) if r < 1000 else math.inf
+        assert math.isclose(x, (1 if odds == math.inf else odds / (1 + odds)) * math.log((t + 0.75) / ((r + 1) * 0.75)), rel_tol=1e-9)
+    assert all(got[[0, 1, 3]] < 0) and quality.best_threshold(np.array([3.0, 2, 1, 0]), np.array([True, True, False, False])) == 1.5

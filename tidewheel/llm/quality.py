@@ -26,7 +26,13 @@ LEAST = 2.5
 TOLERANCE = 4.0
 TEMPERATURE = 0.25
 _BINS, _RANGE = 256, 64
-_TAG = [np.uint64(x) for x in (0x1F0A, 0x2F0B, 0x3F0C)]
+_TAG = [np.uint64(x) for x in (0x1F0A, 0x2F0B, 0x3F0C, 0x4F0D)]
+#: Parts of the texts in ``classify``; each is weighed by a model of the labels of the other parts.
+FOLDS = 4
+#: Share of buckets that tell target from raw text, as believed before any count is seen.
+TELLING = 0.01
+#: Bytes of text whose features are made at once.
+_SLICE = 1 << 20
 
 #: Word characters of the second reading, in which punctuation separates; the first splits at white space only.
 _BREAKS = np.ones(256, bool)
@@ -37,18 +43,22 @@ def _buckets(h: np.ndarray, tag: int) -> np.ndarray:
     return (words.mix(h + _TAG[tag]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+def features(column: pa.Array, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct (row, bucket) pairs, in order, and the number of rows.
 
     N-grams of a row: words between white space, words between any punctuation, and pairs of the latter in which a
-    word follows itself, as one feature for each share (1/2 to 1/16) of all words that they exceed. Other pairs
-    were left out: on labelled rows held back they rejected clean texts more often and found no more bad ones.
+    word follows itself, as one feature for each share (1/2 to 1/16) of all words that they exceed. With ``pairs``
+    also all adjacent pairs of words between white space.
     """
     data, offsets = words.text_bytes(column)
     rows = len(offsets) - 1
     found = []
     h, c = words.word_hashes(data, offsets)
-    found.append((np.repeat(np.arange(rows), c), _buckets(h, 0)))
+    d = np.repeat(np.arange(rows), c)
+    found.append((d, _buckets(h, 0)))
+    if pairs and len(h) > 1:
+        near = d[1:] == d[:-1]
+        found.append((d[1:][near], _buckets(words.mix(h[:-1]) + h[1:], 3)[near]))
     h, c = words.word_hashes(data, offsets, _BREAKS)
     d = np.repeat(np.arange(rows), c)
     found.append((d, _buckets(h, 1)))
@@ -62,36 +72,37 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return keys >> BITS, keys & ((1 << BITS) - 1), rows
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """Rows that have each bucket, of all and of those of the target; summed in tasks, then by slice."""
+def _counts(docs: DataFrame, folds: int = 1, pairs: bool = False) -> DataFrame:
+    """Rows that have each bucket, of all and of those of the target, for each ``fold``; summed in tasks, then by slice."""
     width = (1 << BITS) // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+        counts = np.zeros((2 * folds, 1 << BITS), np.int32)  # raw and target of each fold
         for batch in batches:
-            for part in words.slices(batch, "text"):
-                row, bucket, _ = features(part.column("text"))
+            for part in words.slices(batch, "text", _SLICE):
+                row, bucket, rows = features(part.column("text"), pairs)
                 good = np.asarray(pc.fill_null(part.column("target"), False).to_numpy(zero_copy_only=False), bool)
-                raw += np.bincount(bucket, minlength=1 << BITS).astype(np.int32)
-                target += np.bincount(bucket[good[row]], minlength=1 << BITS).astype(np.int32)
+                fold = part.column("fold").to_numpy() if folds > 1 else np.zeros(rows, np.int64)
+                for f in range(folds):
+                    np.add.at(counts[2 * f], bucket[(fold == f)[row]], 1)
+                    np.add.at(counts[2 * f + 1], bucket[((fold == f) & good)[row]], 1)
         bodies = []
         for s in range(SLICES):
-            at = np.flatnonzero(raw[s * width : (s + 1) * width])
-            r, t = raw[s * width + at], target[s * width + at]
-            bodies.append(pack(gaps(at.astype(np.int32)), r, t) if len(at) else None)
+            own = counts[:, s * width : (s + 1) * width]
+            at = np.flatnonzero(own.any(0))
+            bodies.append(pack(gaps(at.astype(np.int32)), *own[:, at]) if len(at) else None)
         keep = [s for s in range(SLICES) if bodies[s]]
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([bodies[s] for s in keep], pa.binary())], ["slice", "body"])
 
     def total(table: pa.Table) -> pa.Table:
-        raw, target = np.zeros(width, np.int64), np.zeros(width, np.int64)
+        counts = np.zeros((2 * folds, width), np.int64)
         for body in table.column("body").to_pylist():
-            at, r, t = unpack(body)
-            at = np.cumsum(at)
-            raw[at] += r
-            target[at] += t
-        return pa.table({"slice": table.column("slice")[:1], "raw": pa.array([int(raw.sum())]), "target": pa.array([int(target.sum())]), "body": pa.array([pack(raw, target)], pa.binary())})
+            at, *own = unpack(body)
+            counts[:, np.cumsum(at)] += np.array(own)
+        sums = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (counts[::2].sum(1), counts[1::2].sum(1))]
+        return pa.table({"slice": table.column("slice")[:1], "raw": sums[0], "target": sums[1], "body": pa.array([pack(*counts)], pa.binary())})
 
-    return docs.mapInArrow(run, "slice int, body binary").groupBy("slice").applyInArrow(total, "slice int, raw long, target long, body binary")
+    return docs.mapInArrow(run, "slice int, body binary").groupBy("slice").applyInArrow(total, "slice int, raw array<long>, target array<long>, body binary")
 
 
 def log_ratios(docs: DataFrame, deviance: float = DEVIANCE) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +111,7 @@ def log_ratios(docs: DataFrame, deviance: float = DEVIANCE) -> tuple[np.ndarray,
     ``docs`` has ``text`` and boolean ``target``. The model is at most 2 ** BITS numbers, whatever the input.
     """
     table, _ = durable(_counts(docs))
-    sums = table.agg(F.sum("raw"), F.sum("target")).first()
+    sums = table.agg(F.sum(F.col("raw")[0]), F.sum(F.col("target")[0])).first()
     raw_all, target_all = int(sums[0] or 0), int(sums[1] or 0)
     width = (1 << BITS) // SLICES
     if not raw_all or not target_all:
@@ -141,6 +152,80 @@ def log_weights(docs: DataFrame, buckets: np.ndarray, ratios: np.ndarray, text:
     return rest.mapInArrow(run, schema)
 
 
+def shrunk_ratios(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
+    """log(target share / raw share) of every bucket, shrunk by how likely its counts say that the two shares differ.
+
+    Either the target has its ``share`` of a bucket's rows, or (``TELLING`` of all buckets) any other, of which
+    Beta(share, 1 - share) is the prior. The ratio under the second is multiplied by its probability given the
+    counts. No count is too small to move it, and the certainty grows with the table.
+    """
+    if not 0 < share < 1:
+        return np.zeros(len(raw))
+    rising = [np.concatenate([[0.0], np.cumsum(np.log(x + np.arange(int(raw.max(initial=0)))))]) for x in (share, 1 - share, 1.0)]
+    other = rising[0][target] + rising[1][raw - target] - rising[2][raw]
+    same = target * np.log(share) + (raw - target) * np.log(1 - share)
+    sure = 1 / (1 + (1 - TELLING) / TELLING * np.exp(np.clip(same - other, -500, 500)))
+    return sure * np.log((target + share) / ((raw + 1) * share))
+
+
+def cross_models(marked: DataFrame) -> list[tuple[int, bytes]]:
+    """Slices of ``FOLDS`` models of all hashed words and adjacent pairs, each of the rows outside one ``fold``.
+
+    ``marked`` has ``text``, boolean ``target`` and ``fold``. The models are FOLDS * 2 ** BITS numbers, whatever the input.
+    """
+    table, _ = durable(_counts(marked, FOLDS, pairs=True))
+    sums = table.agg(*[F.sum(F.col(n)[f]) for n in ("raw", "target") for f in range(FOLDS)]).first()
+    sums = np.array([int(x or 0) for x in sums]).reshape(2, FOLDS)
+    raw_all, target_all = sums.sum(1, keepdims=True) - sums
+    shares = (target_all / np.maximum(raw_all, 1)).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = []
+            for body in batch.column("body").to_pylist():
+                counts = np.array(unpack(body))
+                raw, target = counts[::2], counts[1::2]
+                bodies.append(pack(*(shrunk_ratios(r, t, p).astype(np.float32) for r, t, p in zip(raw.sum(0) - raw, target.sum(0) - target, shares, strict=True))))
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(bodies, pa.binary())], ["slice", "body"])
+
+    return [(r["slice"], bytes(r["body"])) for r in table.select("slice", "body").mapInArrow(run, "slice int, body binary").collect()]  # SLICES rows
+
+
+def mean_ratios(docs: DataFrame, models: list[tuple[int, bytes]]) -> DataFrame:
+    """``docs`` with ``mean_ratio``, of a text's distinct features in the model without its ``fold``, and their number."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "mean_ratio double, n_features long"])
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    width = (1 << BITS) // SLICES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros((FOLDS, 1 << BITS), np.float32)
+        for s, body in shared.value:
+            dense[:, s * width : (s + 1) * width] = unpack(body)
+        for batch in batches:
+            for part in words.slices(batch, "text", _SLICE):
+                row, bucket, rows = features(part.column("text"), pairs=True)
+                n = np.bincount(row, minlength=rows)
+                total = np.bincount(row, weights=dense[part.column("fold").to_numpy()[row], bucket], minlength=rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total / np.maximum(n, 1)), pa.array(n, pa.int64())], [*part.schema.names, "mean_ratio", "n_features"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def best_threshold(weight: np.ndarray, good: np.ndarray) -> float:
+    """The least weight to keep: that of the greatest difference of the shares of good and of other rows kept.
+
+    Halfway to the next lower weight; without rows of both kinds nothing is below it.
+    """
+    if good.all() or not good.any():
+        return -np.inf
+    order = np.argsort(-weight, kind="stable")
+    w, g = weight[order], good[order]
+    gain = np.cumsum(g) / g.sum() - np.cumsum(~g) / (~g).sum()
+    gain[np.flatnonzero(w[1:] == w[:-1])] = -np.inf  # equal weights stay together
+    at = int(np.argmax(gain))
+    return float(w[at] if at + 1 == len(w) else (w[at] + w[at + 1]) / 2)
+
+
 def gumbel(key: Column, seed: int) -> Column:
     """Gumbel noise that the seed and the key name."""
     draw = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
@@ -163,6 +248,14 @@ def top_k(scored: DataFrame, k: int, *, key: str = "key", tie: str = "doc_id") -
     return scored
 
 
+def _labelled(labels: DataFrame, most: int) -> DataFrame:
+    """``_labelled`` ids, at most ``most``, with whether all their labels are good (``_good`` 1)."""
+    chosen = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("_good"))
+    if labels.limit(most + 1).count() > most:
+        chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most)
+    return chosen.withColumnRenamed("doc_id", "_labelled")
+
+
 def resample(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", k: int | None = None, seed: int = 29, temperature: float = TEMPERATURE, tolerance: float = TOLERANCE, max_labels: int = MAX_LABELS) -> DataFrame:
     """The ``k`` rows of ``docs`` drawn by importance weight towards good, non-toxic text, with ``log_weight``.
 
@@ -174,16 +267,18 @@ def resample(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col:
     explains about as well. Without any target label all weights are 1. Null and empty texts weigh 1; repeated
     rows share their noise. Other columns stay, one named ``log_weight`` is replaced.
     """
-    chosen = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("_good"))
-    if labels.limit(max_labels + 1).count() > max_labels:
-        chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(max_labels)
-    sample = F.broadcast(chosen.withColumnRenamed("doc_id", "_labelled"))  # at most max_labels ids
+    sample = F.broadcast(_labelled(labels, max_labels))  # at most max_labels ids
     marked = docs.join(sample, F.col(id_col) == F.col("_labelled")).select(F.col(text).alias("text"), (F.col("_good") == 1).alias("target"))
     buckets, ratios = log_ratios(marked)
     narrow = log_weights(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")), buckets, ratios)
     scored, _ = durable(narrow.select("_id", "log_weight", F.md5(F.coalesce("text", F.lit(""))).alias("_md5")))
     scored = scored.withColumn("_key", F.col("log_weight") + F.lit(temperature) * gumbel(F.coalesce(F.col("_id").cast("string"), F.lit("")), seed))
     k = scored.where(F.col("log_weight") >= -tolerance).count() if k is None else k
+    return _drawn(docs, scored, k, text, id_col)
+
+
+def _drawn(docs: DataFrame, scored: DataFrame, k: int, text: str, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``k`` rows of greatest ``_key`` in ``scored`` stand for."""
     keep = top_k(scored, k, key="_key", tie="_md5")
     found = keep.groupBy("_id", "_md5").agg(F.max("log_weight").alias("log_weight"), F.count(F.lit(1)).alias("_copies"))
     rest = docs.drop("log_weight").withColumn("_text_md5", F.md5(F.coalesce(F.col(text), F.lit(""))))
@@ -191,6 +286,32 @@ def resample(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col:
     return joined.drop("_id", "_md5", "_text_md5", "_copies")
 
 
+def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", k: int | None = None, seed: int = 29, temperature: float = TEMPERATURE, max_labels: int = MAX_LABELS) -> DataFrame:
+    """As ``resample``, with the log-ratios of all words and adjacent pairs and a threshold that held-out labels give.
+
+    Texts fall into ``FOLDS`` parts by their bytes; each is weighed by a model of the labels of the other parts, so
+    that no text is weighed by its own label and copies weigh alike. Ratios are shrunk (``shrunk_ratios``), none is
+    zeroed. ``log_weight`` is their mean over a text's distinct features times the mean number of features of the
+    labelled texts: the weight of its content at the average length. Without ``k`` it is the number of documents
+    that weigh at least the threshold which best separates the labelled texts so weighed (``best_threshold``).
+    """
+    sample = F.broadcast(_labelled(labels, max_labels))  # at most max_labels ids
+    fold = (F.crc32(F.coalesce(F.col(text), F.lit(""))) % FOLDS).cast("int").alias("fold")
+    marked = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text"), fold).join(sample, F.col("_id") == F.col("_labelled"), "left").drop("_labelled")
+    models = cross_models(marked.where(F.col("_good").isNotNull() & F.col("text").isNotNull()).select("text", "fold", (F.col("_good") == 1).alias("target")))
+    narrow = mean_ratios(marked, models)
+    scored, _ = durable(narrow.select("_id", "_good", "mean_ratio", "n_features", F.md5(F.coalesce("text", F.lit(""))).alias("_md5")))
+    own = scored.where(F.col("_good").isNotNull() & (F.col("n_features") > 0))
+    scale = own.agg(F.avg("n_features")).first()[0] or 1.0
+    scored = scored.withColumn("log_weight", F.round(F.col("mean_ratio") * F.lit(scale), 6))
+    scored = scored.withColumn("_key", F.col("log_weight") + F.lit(temperature) * gumbel(F.coalesce(F.col("_id").cast("string"), F.lit("")), seed))
+    if k is None:
+        seen = own.groupBy("_id").agg(F.min("mean_ratio").alias("mean"), F.min("_good").alias("good")).select("mean", "good").toArrow()  # at most max_labels rows
+        edge = best_threshold(seen.column("mean").to_numpy() * scale, seen.column("good").to_numpy() == 1)
+        k = scored.where(F.col("log_weight") >= F.lit(edge)).count()
+    return _drawn(docs, scored.drop("_good", "mean_ratio", "n_features"), k, text, id_col)
+
+
 def op9_quality_resample(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "log_weight")
+    return classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "log_weight")

@@ -6,6 +6,7 @@ import pytest
 from fixtures import documents
 
 from tidewheel.llm import media
+from tidewheel.llm.tables import durable
 
 
 def test_round_trip(spark, tmp_path):
@@ -78,3 +79,23 @@ def test_tensors(spark):
     assert media.audio_features(df.limit(0)).count() == 0
     null = media.audio_features(df.selectExpr("doc_id", "cast(null AS binary) AS media")).first()
     assert null["n_frames"] is None
+
+
+def test_query_reads_stored_tensors(spark, tmp_path, monkeypatch):
+    """The query's table holds every document's tensors, and its feature is what they say."""
+    documents(spark, tmp_path)
+    tables = []
+    monkeypatch.setattr(media, "durable", lambda df: tables.append(durable(df)) or tables[-1])
+    got = media.op2_media_features(spark, str(tmp_path)).collect()
+    stored = tables[0][0].select("doc_id", "payload_sha256", "tensors").collect()
+    assert len(got) == len(stored) and all(r["tensors"] is not None for r in stored)
+    of = {(r["doc_id"], r["payload_sha256"]): media.stored_features(bytes(r["tensors"])) for r in stored}
+    plain = media.audio_features(spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", media.wav(media.payload()).alias("media")), keep_tensors=False)
+    for r in plain.collect():
+        frames, mel = of[r["doc_id"], r["payload_sha256"]]
+        assert frames == r["n_frames"] and np.allclose(mel, r["mean_log_mel"], atol=1e-5)
+    for r in got:
+        frames, mel = of[r["doc_id"], r["payload_sha256"]]
+        assert r["feature"].startswith(f"frames={frames};mel=" + ",".join(f"{m:.3f}" for m in mel)[:20])
+    nothing = spark.createDataFrame([(1, None)], "doc_id long, tensors binary")
+    assert media.read_tensors(nothing).first()["stored_frames"] is None

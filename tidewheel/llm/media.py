@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.tables import whole_text
+from tidewheel.llm.tables import durable, whole_text
 
 BLOCK = 64
 SOURCE_RATE = 12_000
@@ -152,6 +152,29 @@ def tensors_from_bytes(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(body).read_all()
 
 
+def stored_features(body: bytes | pa.Buffer) -> tuple[int, list[float]]:
+    """Frames and mean log-mel row of stored tensors; the silence after the last span's end isn't counted."""
+    table = tensors_from_bytes(body)
+    frames = round((table.column("end_s")[-1].as_py() * RATE - FRAME) / HOP) + 1
+    mel = table.column("log_mel").combine_chunks().to_numpy_ndarray().reshape(-1, MELS)
+    return frames, mel[:frames].mean(0, dtype=np.float64).astype(np.float32).tolist()
+
+
+def read_tensors(stored: DataFrame) -> DataFrame:
+    """``stored`` with ``stored_frames`` and ``stored_log_mel`` of its ``tensors`` in place of them; null where there are none."""
+    rest = stored.drop("stored_frames", "stored_log_mel")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != "tensors"), "stored_frames long, stored_log_mel array<float>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [stored_features(body.as_buffer()) if body.is_valid else (None, None) for body in batch.column("tensors")]
+            own = [n for n in batch.schema.names if n != "tensors"]
+            made = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in own), *made], [*own, "stored_frames", "stored_log_mel"])
+
+    return rest.mapInArrow(run, schema)
+
+
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, n_frames long, segments array<struct<start_s:double,end_s:double>>, mean_log_mel array<float>, tensors binary"
 
 
@@ -199,8 +222,9 @@ def audio_features(media: DataFrame, *, column: str = "media", keep_tensors: boo
 def op2_media_features(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.octet_length(whole_text()).cast("long").alias("n_bytes"), wav(payload()).alias("media"))
     stored = docs.select("*", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
-    found = audio_features(stored, keep_tensors=False)
-    mels = F.array_join(F.transform("mean_log_mel", lambda x: F.format_string("%.3f", x)), ",")
+    tensors, _ = durable(audio_features(stored).drop("media", "mean_log_mel", "n_frames"))
+    found = read_tensors(tensors)
+    mels = F.array_join(F.transform("stored_log_mel", lambda x: F.format_string("%.3f", x)), ",")
     spans = F.array_join(F.transform("segments", lambda s: F.format_string("%.3f-%.3f", s["start_s"], s["end_s"])), ",")
-    feature = F.concat(F.lit("frames="), F.col("n_frames").cast("string"), F.lit(";mel="), mels, F.lit(";segments="), spans)
+    feature = F.concat(F.lit("frames="), F.col("stored_frames").cast("string"), F.lit(";mel="), mels, F.lit(";segments="), spans)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

@@ -71,3 +71,56 @@ def test_empty_table(spark):
     assert katz.score_corpus(spark.createDataFrame([], "doc_id long, text string, score string")).count() == 0
     row = katz.score_corpus(spark.createDataFrame([(None, None)], "doc_id long, text string")).first()
     assert row["doc_id"] is None and row["n_tokens"] == 1
+
+
+def brute_order(rows, held, order):
+    """Probabilities by the recursive definition."""
+    grams = [Counter() for _ in range(order)]
+    for t in (t for i, t in rows if i not in held):
+        ws = ["<start>"] * (order - 1) + tokens(t)
+        for at in range(order - 1, len(ws)):
+            for k in range(order):
+                grams[k][tuple(ws[at - k : at]), ws[at]] += 1
+    hist, follow, kept = [Counter() for _ in grams], [defaultdict(set) for _ in grams], []
+    for k, g in enumerate(grams):
+        of = Counter(g.values())
+        kept.append(katz.discounts([float(of[r]) for r in range(1, katz.K + 2)]))
+        for (h, w), c in g.items():
+            hist[k][h] += c
+            follow[k][h].add(w)
+
+    def p(h, w):
+        k = len(h)
+        c = grams[k][h, w]
+        if c:
+            return (kept[k][c - 1] * c if c <= katz.K else c - katz.DELTA) / hist[k][h]
+        if not k:
+            return 1 - sum(p((), x) for x in follow[0][()])
+        if h not in hist[k]:
+            return p(h[1:], w)
+        return (1 - sum(p(h, x) for x in follow[k][h])) / (1 - sum(p(h[1:], x) for x in follow[k][h])) * p(h[1:], w)
+
+    for h in list(hist[-1])[:5]:
+        assert math.isclose(sum(p(h, w) for w in follow[0][()]) + p(h, "never seen"), 1, rel_tol=1e-9)
+    out = []
+    for i, t in rows:
+        ws = ["<start>"] * (order - 1) + tokens(t)
+        out.append((i, sum(math.log10(p(tuple(ws[at - order + 1 : at]), ws[at])) for at in range(order - 1, len(ws)))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_stored_model_of_any_order(spark, order):
+    from tidewheel.llm import katz_tables
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"W{int(rng.paretovariate(1.0))}" for _ in range(rng.randrange(0, 25)))) for i in range(40)] + [(50, None), (51, "the the the new"), (52, "a b a b a b a b")]
+    held = {3, 9, 51}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = katz_tables.fit(docs.where(~docs.doc_id.isin(*held)), order)
+    got = sorted((r["doc_id"], r["score"]) for r in katz_tables.score(model, docs).collect())
+    for (i, a), (j, b) in zip(got, brute_order(rows, held, order), strict=True):
+        assert i == j and a == pytest.approx(b, rel=1e-9)
+    whole = katz.score_corpus(docs, held_out=docs.doc_id.isin(*held), order=order)
+    if order != 2:
+        assert sorted((r["doc_id"], round(r["score"], 6)) for r in whole.collect()) == [(i, round(s, 6)) for i, s in got]

@@ -227,7 +227,7 @@ def _final(d1: np.ndarray, d2: np.ndarray, tokens: float, unknown: float, starts
     return finish
 
 
-def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", held_out=None) -> DataFrame:
+def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", held_out=None, order: int = 2) -> DataFrame:
     """Every text's log10 probability under a Katz bigram model of the texts that aren't held out.
 
     Columns: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Tokens are the lower-cased
@@ -241,11 +241,19 @@ def score_corpus(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     table holds sums by class; with all counts of counts known the backoff is evaluated from it. Words are kept as
     64-bit hashes. Null ids and texts are allowed (a null id counts as empty text for the default ``held_out``,
     crc32 of the id modulo 7 being 2); repeated rows count and are scored each; other columns are left out. With
-    no training text all scores are 0.
+    no training text all scores are 0. Any other ``order`` than 2 is counted and evaluated by ``katz_tables``.
     """
     spark = docs.sparkSession
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 7 == 2 if held_out is None else held_out
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text).alias("text"), held.alias("held_out"))
+    if order != 2:
+        from tidewheel.llm import katz_tables
+
+        model = katz_tables.fit(own.where(~F.col("held_out")), order)
+        found = katz_tables.score(model, own)
+        tokens, types = model.tokens, model.types
+        base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.lit(float(tokens + types + 1)))
+        return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") if tokens else F.lit(0.0)).alias("score"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(size // (6 * BUCKET_TOKENS)) + 1
     sent = ask(in_blocks(own, BLOCK_BYTES), _send_words(buckets), _answer_words, _pairs(buckets, BUCKET_TOKENS // 4), "bucket long, block long, kind string, stats array<double>, body binary")

@@ -84,3 +84,25 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100 + i, 100) for i in range(1, 40)] + [(70, 30)]
     got = {r[0]: r[1] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in [*range(1, 61), 70]} | {100 + i: 100 for i in range(40)}
+
+
+def test_pairs_of_frequent_passages_grow_in_proportion(spark, monkeypatch):
+    """Every index list is long and almost nothing links: few pairs are compared, not those of whole lists."""
+    compared, verify = [], jaccard._verify
+    monkeypatch.setattr(jaccard, "_verify", lambda pairs, sets: (compared.append(pairs.count()), verify(pairs, sets))[1])
+    totals = []
+    for n in (1000, 2000, 4000):
+        rng = random.Random(5)
+        parts = [[f"p{k}w{j}" for j in range(8)] for k in range(14)]
+        rows = [(i, " ".join(sum(rng.sample(parts, 7), []))) for i in range(n)]
+        compared.clear()
+        jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        totals.append(sum(compared))
+    assert totals[1] <= 2.2 * totals[0] and totals[2] <= 2.2 * totals[1] and totals[2] <= 4000
+
+
+def test_very_long_text(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:30_000], "x", *long[30_000:]])), (3, " ".join(long[:40_000])), (4, " ".join(long[:9])), (5, " ".join(long[:9]).upper())]
+    assert sorted(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows)

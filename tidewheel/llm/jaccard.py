@@ -17,10 +17,14 @@ WIDTH = 5
 BLOCK_BYTES = 4 << 20
 #: Shingles that a frequency bucket gets, about.
 BUCKET_SHINGLES = 1 << 20
-#: Pairs across components are listed once there are at most this many for each index entry, or in all; until then, leaders go on.
-PAIRS_PER_ENTRY, LEAST_PAIRS = 4, 1_000_000
+#: Leaders go on while they halve the comparisons left and these are more than so many for each index entry (or in all).
+PAIRS_PER_ENTRY, LEAST_PAIRS = 4, 0
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
+#: Sizes of similar sets are in the same band of this ratio or in adjacent ones: a little more than 5 : 4, so that rounding does no harm.
+BAND = 1.26
 
-SETS = "doc_id long, carried string, n_shingles long, print binary, shingles array<long>, keys array<long>, at array<int>"
+SETS = "doc_id long, carried string, n_shingles long, print binary, common long, sketch array<long>, shingles array<long>, keys array<long>, at array<int>"
 
 
 class _Sets:
@@ -62,6 +66,12 @@ def _answer(bodies: list[bytes]) -> list[bytes]:
     return [pack(x) for x in np.split(total, np.cumsum([len(k) for k, _ in parts])[:-1])]
 
 
+def _sketch(values: np.ndarray) -> np.ndarray:
+    """For each of ``64 * SKETCH`` classes of shingles whether a set has an odd number: two sketches differ in at most as many bits as the sets differ in shingles."""
+    odd = np.bincount((values & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def prefix_length(n):
     """Entries of a set of ``n`` that must share one with any set at a similarity of 0.8: all but the last ceil(0.8 n) - 1."""
     return n - (4 * n + 4) // 5 + 1
@@ -72,7 +82,7 @@ def _finish(_: int, table: pa.Table, replies: list[tuple[int, bytes]]) -> pa.Tab
     found = np.concatenate([unpack(body)[0] for _, body in replies]) if replies else np.zeros(0, np.uint32)
     count = found[s.type] if len(found) else found
     n = len(s.ids)
-    shingles, keys, at = [None] * n, [None] * n, [None] * n
+    shingles, keys, at, sketch, common = [None] * n, [None] * n, [None] * n, [None] * n, [None] * n
     end = 0
     for row, values in zip(s.rows, s.sets, strict=True):
         begin, end = end, end + len(values)
@@ -81,7 +91,8 @@ def _finish(_: int, table: pa.Table, replies: list[tuple[int, bytes]]) -> pa.Tab
         shared = np.flatnonzero(frequency[order] > 1)
         if len(shared):  # a shingle of one set joins nothing
             shingles[row], keys[row], at[row] = values.view(np.int64), values[order[shared]].view(np.int64), shared.astype(np.int32)
-    return pa.table({"doc_id": pa.array(s.ids, pa.int64()), "carried": table.column("carried"), "n_shingles": pa.array(s.sizes, pa.int64()), "print": pa.array(s.prints, pa.binary()), "shingles": pa.array(shingles, pa.list_(pa.int64())), "keys": pa.array(keys, pa.list_(pa.int64())), "at": pa.array(at, pa.list_(pa.int32()))})
+            sketch[row], common[row] = _sketch(values), int((frequency > 1).sum())
+    return pa.table({"doc_id": pa.array(s.ids, pa.int64()), "carried": table.column("carried"), "n_shingles": pa.array(s.sizes, pa.int64()), "print": pa.array(s.prints, pa.binary()), "common": pa.array(common, pa.int64()), "sketch": pa.array(sketch, pa.list_(pa.int64())), "shingles": pa.array(shingles, pa.list_(pa.int64())), "keys": pa.array(keys, pa.list_(pa.int64())), "at": pa.array(at, pa.list_(pa.int32()))})
 
 
 def _similar_enough(n1: str, n2: str, at1: str, at2: str) -> Column:
@@ -142,12 +153,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     64-bit hashes. Equal sets are one set, of the least id. Blocks ask in how many sets each shingle is, and index
     the rarest entries of a set that any partner must share (those in one set only are dropped), with positions.
 
-    Index lists are not joined with themselves. Every list has a leader, its least set; each set is compared first
-    with the leader that most of its lists name, and is then known to be linked or to share so much with it. A list
-    whose sets have become one component is skipped whole. In the others, sets outside the list's main component
-    are compared with those of other components, except where sizes and positions, or the overlaps with the
-    leader that both were compared with, prove the answer: what x shares with y is at most what both share with
-    the leader and what each has beside it. Where many components remain, further leaders go first.
+    Every list has a leader, its least set; each set is compared first with the leader that most of its lists name,
+    its pivot, and is then known to be linked or to share so much with it. A list whose sets have become one
+    component is skipped whole; further leaders go first while that halves what is left. Then sets outside a list's
+    main component meet those of other components in bands of sizes, and a pair leaves that join only if nothing
+    proves the answer: positions; the entries that any other set has; that x shares with y at most what both share
+    with a pivot and what each has beside it; and parity sketches, whose distance is never more than that of the
+    sets. So the pairs that are compared exactly are few more than those linked, however long a list is.
 
     Null ids form no links and get a null component; null and wordless texts have 0 shingles and their own id as
     component; repeated rows are equal sets. Other columns are left out, but for a string column named by ``carry``.
@@ -159,21 +171,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     table, sets_path = durable(ask(in_blocks(own, BLOCK_BYTES), _send(bits), _answer, _finish, SETS))
     paths = [sets_path]
     prints = table.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"))
-    rows = table.where("shingles IS NOT NULL").select(F.col("print").alias("_print"), "doc_id", F.col("n_shingles").alias("n"), "shingles", "keys", "at")
+    rows = table.where("shingles IS NOT NULL").select(F.col("print").alias("_print"), "doc_id", F.col("n_shingles").alias("n"), "common", "sketch", "shingles", "keys", "at")
     # one row a set, but for repeated rows in several blocks: their links and components are the same
-    sets = rows.join(prints, (F.col("_print") == F.col("print")) & (F.col("doc_id") == F.col("id"))).select("id", "n", "shingles", "keys", "at")
+    sets = rows.join(prints, (F.col("_print") == F.col("print")) & (F.col("doc_id") == F.col("id"))).select("id", "n", "common", "sketch", "shingles", "keys", "at")
     entries, p = durable(sets.select("id", "n", F.explode(F.arrays_zip("keys", "at")).alias("e")).select("id", "n", F.col("e.keys").alias("key"), F.col("e.at").alias("at")))
     paths.append(p)
+    traits = sets.select("id", "common", "sketch")
     sets = sets.select("id", "n", "shingles")
     lists = entries.groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    lists = lists.select("key", F.col("lead.id").alias("leader"), F.col("lead.n").alias("ln"), F.col("lead.at").alias("lat"))
+    lists = lists.select("key", "m", F.col("lead.id").alias("leader"), F.col("lead.n").alias("ln"), F.col("lead.at").alias("lat"))
     entries, p = durable(entries.join(lists, "key"))
     paths.append(p)
     votes = entries.where((F.col("id") != F.col("leader")) & _similar_enough("n", "ln", "at", "lat")).groupBy("id", "leader").agg(F.count(F.lit(1)).alias("votes"))
     pairs = votes.groupBy("id").agg(F.max(F.struct("votes", -F.col("leader"))).alias("best")).select(F.col("id").alias("a"), (-F.col("best.col2")).alias("b"))
     verified, p = durable(_verify(pairs, sets))
     paths.append(p)
-    total = entries.count()
+    traits, p = durable(traits.join(verified.select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.col("shared").alias("with_pivot")), "id", "left"))
+    paths.append(p)
+    total, before = entries.agg(F.count(F.lit(1)), F.sum("m")).first()
     while True:
         links = _linked(verified)
         found, p = durable(components(links))
@@ -183,17 +198,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         main = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         main, p = durable(main.select("key", F.col("top.c").alias("main"), "m", (F.col("m") - F.col("top.k")).alias("others")))
         paths.append(p)
-        open_ = known.join(main, "key")
+        open_ = known.drop("m").join(main, "key")
         work = int(main.agg(F.sum(F.col("others") * F.col("m"))).first()[0] or 0)
         if not work:
             break
-        if work > max(PAIRS_PER_ENTRY * total, LEAST_PAIRS):
+        if work > max(PAIRS_PER_ENTRY * total, LEAST_PAIRS) and 2 * work <= before:
+            before = work
             more, p = _checked(_next_leaders(open_, verified), sets)
             paths += p
             verified = verified.unionByName(more)
-            if _linked(more).limit(1).count():
-                continue
-        more, p = _checked(_across(open_, verified), sets)
+            continue
+        more, p = _checked(_across(open_, verified, traits), sets)
         paths += p
         if _linked(more).limit(1).count():
             found, p = durable(components(_linked(verified.unionByName(more))))
@@ -210,20 +225,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     return result
 
 
-def _across(entries: DataFrame, verified: DataFrame) -> DataFrame:
-    """Distinct pairs of one list and two components, one of them outside the main one, that nothing known decides."""
-    shared = verified.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.col("shared").alias("with_leader"))
-    seen = entries.join(shared, ["id", "leader"], "left")
-    # a set of n with o shared with the leader can be similar to one of m with p shared only if 5 n - 9 o >= 4 m - 9 p
-    seen = seen.withColumn("has", F.when(F.col("id") == F.col("leader"), -4 * F.col("n")).otherwise(5 * F.col("n") - 9 * F.col("with_leader")))
-    seen = seen.withColumn("asks", F.when(F.col("id") == F.col("leader"), -5 * F.col("n")).otherwise(4 * F.col("n") - 9 * F.col("with_leader")))
-    outer = seen.where(F.col("c") != F.col("main")).select("key", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("at").alias("yat"), F.col("c").alias("yc"), F.col("asks").alias("y_asks"), F.col("has").alias("y_has"))
-    least = outer.groupBy("key").agg(F.min(F.coalesce("y_asks", F.lit(-(1 << 60)))).alias("least"))
-    inner = seen.join(least, "key").where(F.col("has").isNull() | (F.col("has") >= F.col("least")) | (F.col("c") != F.col("main")))
-    joined = inner.join(outer, "key").where((F.col("c") != F.col("yc")) & ((F.col("c") == F.col("main")) | (F.col("id") < F.col("y"))))
-    proven = (F.col("has") < F.col("y_asks")) | (F.col("y_has") < F.col("asks"))
-    joined = joined.where(_similar_enough("n", "yn", "at", "yat") & ~F.coalesce(proven, F.lit(False)))
-    return _new(joined.select(F.greatest("id", "y").alias("a"), F.least("id", "y").alias("b")).distinct(), verified)
+def _across(entries: DataFrame, verified: DataFrame, traits: DataFrame) -> DataFrame:
+    """Distinct pairs of one list and two components, one of them outside the main one, that nothing known decides.
+
+    Sets of a list meet only those of their own or an adjacent band of sizes, and a pair leaves the join only where
+    sizes and positions, the shingles that other sets have at all, what both share with the same pivot, and the
+    sketches all allow a similarity of 0.8.
+    """
+    seen = entries.join(traits, "id").select("key", "id", "n", "at", "c", "main", "common", "sketch", "pivot", "with_pivot", F.floor(F.log(BAND, F.col("n"))).alias("band"))
+    outer = seen.where(F.col("c") != F.col("main")).drop("main").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+    x, y = seen.alias("x"), outer.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & ((F.col("x.c") == F.col("x.main")) | (F.col("x.id") < F.col("y.id")))
+    need = 4 * (F.col("x.n") + F.col("y.n"))
+    beside = F.least(F.col("x.common") - F.col("x.with_pivot"), F.col("y.common") - F.col("y.with_pivot"))
+    by_pivot = F.least("x.with_pivot", "y.with_pivot") + F.greatest(beside, F.lit(0))
+    differ = sum((F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(SKETCH)), F.lit(0))
+    may = _similar_enough("x.n", "y.n", "x.at", "y.at") & (9 * F.least("x.common", "y.common") >= need) & ~F.coalesce((F.col("x.pivot") == F.col("y.pivot")) & (9 * by_pivot < need), F.lit(False)) & (9 * differ <= F.col("x.n") + F.col("y.n"))
+    return _new(x.join(y, apart & may).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), verified)
 
 
 def _next_leaders(entries: DataFrame, verified: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
+import base64
 import random
+import time
 
 import pytest
 from fixtures import documents
@@ -26,6 +28,32 @@ def test_chunks_give_the_same_count(tokenizer, chunk, overlap):
         assert tokens.count_in_chunks(tokenizer, text, chunk, overlap) == whole(tokenizer, text)
 
 
+def test_every_stable_place_begins_a_piece(tokenizer):
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "Z", "é", "ж", "漢", "가", "か", "7", "٣", "'", "'s", "’", "!", "。", "_", " ", "  ", "\n", "\t", "\u00a0", "😀", "ʼ"]) for _ in range(rng.randrange(2, 12)))
+        begins = {a for _, (a, _) in tokenizer.pre_tokenizer.pre_tokenize_str(text)}
+        assert all(p in begins for p in range(1, len(text)) if tokens.stable(text, p)), repr(text)
+
+
+def test_time_is_in_proportion_without_blanks(tokenizer):
+    rng = random.Random(2)
+    texts = {
+        "base64": base64.b64encode(rng.randbytes(300_000)).decode(),
+        "han": "".join(chr(rng.randrange(0x4E00, 0x9FA5)) if rng.random() < 0.95 else "。" for _ in range(400_000)),
+        "code": "".join(rng.choice(["if(a)", "{b=", "c+1;}", "x1y2", "for(;;)"]) for _ in range(90_000)),
+        "one piece": "z" * 400_000,
+        "added": "<|endoftext|>" * 30_000,
+    }
+    for name, text in texts.items():
+        begin = time.process_time()
+        want = whole(tokenizer, text)
+        middle = time.process_time()
+        got = tokens.count_in_chunks(tokenizer, text)
+        assert got == want, name
+        assert time.process_time() - middle < 3 * (middle - begin) + 1, name
+
+
 def test_query(spark, tmp_path, tokenizer):
     rows = documents(spark, tmp_path, [(300, "<|endoftext|> inside", "en", "s", 1), (301, ("naïve text, " * 5000) + "z" * 40_000, "en", "s", 1)])
     got = sorted((tuple(r) for r in tokens.op4_token_counts(spark, str(tmp_path)).collect()), key=repr)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -35,50 +36,63 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+#: Characters that every version of Unicode counts as letters, digits or neither.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_DIGIT = "0-9"
+_OTHER = r'!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~\u3001\u3002\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f'
+_STABLE = re.compile(rf"(?<=\S)(?=[ \t\n\r])|(?<=[{_LETTER}])(?=[{_DIGIT}{_OTHER}'])|(?<=[{_DIGIT}])(?=[{_LETTER}{_OTHER}'])|(?<=[{_OTHER}])(?=[{_LETTER}{_DIGIT}])")
+
+
 def stable(text: str, p: int) -> bool:
     """Whether every reading that sees the characters around ``p`` splits there, whatever came before.
 
-    The byte-level pre-tokenizer joins a blank only to what follows it, and no class of characters that it
-    matches has both a blank and what is before one. So a single blank between two characters that aren't white
-    space always begins a piece, merges never cross pieces, and added tokens have no blanks in them.
+    No class of characters that the byte-level pre-tokenizer matches has white space behind anything else, or two of
+    letters, digits and others in it, but for an apostrophe before letters. So a piece always begins at white space
+    behind another character and where such a class changes, and merges never cross pieces. Only an added token
+    can go over such a place; both readings see all of it if they see its length on both sides.
     """
-    return 0 < p < len(text) - 1 and text[p] == " " and not text[p - 1].isspace() and not text[p + 1].isspace()
+    return _STABLE.match(text, p) is not None
 
 
 def _starts(tokenizer, text: str, a: int, b: int) -> list[int]:
     return [a + s for s, _ in tokenizer.encode(text[a:b], add_special_tokens=False).offsets]
 
 
+def _cuts(text: str, chunk: int, overlap: int, margin: int) -> list[tuple[int, int]]:
+    """Where each next chunk begins, and the first stable position that both it and the one before it see well."""
+    cuts, begin = [], 0
+    while found := _STABLE.search(text, begin + chunk + margin):
+        begin = max(begin + chunk, found.start() - max(overlap, margin))
+        cuts.append((begin, found.start()))
+    return cuts
+
+
 def count_in_chunks(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of ``text`` from encodings of overlapping chunks.
 
     Neighbours are spliced at a position in their overlap where both have a token start and the text is
-    ``stable``. Where there is none, the left chunk is encoded again with twice the overlap, past the right
-    chunk if need be and to the text's end at last.
+    ``stable``; the overlap reaches to such a position, however far it is. Where the encodings don't agree there, the
+    left chunk is encoded again up to a later one, over one more chunk at first and then twice as many each time, so
+    that all encodings together stay in proportion to the text.
     """
-    begins = list(range(0, len(text), chunk)) or [0]
-    left, reach = begins[0], min(len(text), begins[0] + chunk + overlap)
-    current = _starts(tokenizer, text, left, reach)
-    total, done = 0, 0
-    for k, begin in enumerate(begins[1:], 1):
-        after = begins[k + 1] if k + 1 < len(begins) else len(text)
-        if reach >= len(text):
-            break
-        following = _starts(tokenizer, text, begin, min(len(text), begin + chunk + overlap))
-        wide, at = overlap, None
-        while True:
-            at = _common(text, current, following, max(begin + 1, done), reach - 1)
-            if at is not None or reach >= min(len(text), after):
-                break
-            wide *= 2
-            reach = min(len(text), begin + wide)
-            current = _starts(tokenizer, text, left, reach)
-        if at is None:  # the left chunk goes on past the right one
-            reach = min(len(text), max(reach, after + overlap))
-            current = _starts(tokenizer, text, left, reach)
+    margin = max([1, *(len(t.content) for t in tokenizer.get_added_tokens_decoder().values())])
+    cuts = _cuts(text, chunk, overlap, margin)
+
+    def seen(k: int) -> int:
+        return min(len(text), cuts[k][1] + max(overlap, margin)) if k < len(cuts) else len(text)
+
+    total, left, done, k, wide = 0, 0, 0, 0, 1
+    current = _starts(tokenizer, text, left, seen(0))
+    while k < len(cuts):
+        begin, p = cuts[k]
+        following = _starts(tokenizer, text, begin, seen(k + 1))
+        at = _common(text, current, following, max(p, done), max(p, seen(k) - margin) + 1)
+        if at is None:
+            k, wide = k + wide, 2 * wide
+            current = _starts(tokenizer, text, left, seen(k))
             continue
         total += bisect_left(current, at) - bisect_left(current, done)
-        left, reach, current, done = begin, min(len(text), begin + chunk + overlap), following, at
+        left, current, done, k, wide = begin, following, at, k + 1, 1
     return total + len(current) - bisect_left(current, done)
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from fixtures import documents, rows_of, sql
 
@@ -36,3 +38,41 @@ def test_offsets_and_empty(spark):
     assert row["items"] == ["1"] and f'é "{QUESTION}" end'[span["start"] : span["end"]] == QUESTION[:-1]
     assert d.decontaminate(docs, bench.limit(0)).first()["n_hit"] == 0
     assert d.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_null_item_id_hits_without_a_name(spark, tmp_path):
+    spark.createDataFrame(EXTRA, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, QUESTION), (None, "Paris"), (6, "Paris")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = d.op3_decontaminate(spark, str(tmp_path)).where("n_hit > 0")
+    assert rows_of(got) == [r for r in sql(tmp_path, d.ORACLE, "documents", "benchmark") if r[0]]
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in got.collect()} == {400: (14, 1, d.items_digest([])), 401: (12, 1, d.items_digest([])), 402: (2, 2, d.items_digest(["6"]))}
+
+
+def test_index_of_megabytes_against_all_windows():
+    """Against a set of all windows, over items that share phrases, in one automaton."""
+    rng = random.Random(9)
+    vocabulary = [f"w{rng.randrange(4000)}".encode() for _ in range(5000)]
+    phrase = rng.choices(vocabulary, k=12)
+    items = []
+    for i in range(4000):
+        words = rng.choices(vocabulary, k=rng.choice([1, 4, 9, 10, 11, 60, 300]))
+        items.append((str(i), b" ".join(words[:5] + phrase * (i % 3 == 0) + words[5:]).decode()))
+    index = d._Index(items)
+    windows = {}
+    for i, t in items:
+        w = d.normalised(t)
+        for k in range(max(1, len(w) - 9)):
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(i)
+    sizes = {len(w) for w in windows}
+    for _ in range(60):
+        source = d.normalised(rng.choice(items)[1])
+        k = rng.randrange(len(source))
+        words = rng.choices(vocabulary, k=rng.randrange(0, 40)) + source[k : k + rng.randrange(3, 40)] + rng.choices(vocabulary, k=9)
+        hit, names = set(), set()
+        for n in sizes:
+            for i in range(len(words) - n + 1):
+                if (found := windows.get(tuple(words[i : i + n]))) and n == len(words[i : i + n]):
+                    hit.update(range(i, i + n))
+                    names |= found
+        spans, got = index.scan(words)
+        assert got == names and {p for a, b in spans for p in range(a, b)} == hit

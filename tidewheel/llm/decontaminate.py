@@ -1,10 +1,12 @@
-"""Benchmark decontamination: one automaton over normalised test items, and one scan of each text."""
+"""Benchmark decontamination: one automaton over normalised test items, one scan of each text, offsets of the original."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -22,8 +24,10 @@ _TABLE = bytes(_TABLE)
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 WIDTH = 10
-#: Bytes of test items in one automaton; a larger benchmark is scanned for in shards of this size.
-SHARD_BYTES = 256 << 10
+#: The automaton holds fragments of so many words, one at every so many words of an item: each window has one of them whole.
+FRAGMENT, EVERY = 4, 7
+#: Bytes of test items in one index, which takes about 20 times as much memory; a larger benchmark is scanned for in shards.
+SHARD_BYTES = 32 << 20
 
 
 def normalised(text: str | None) -> list[bytes]:
@@ -31,43 +35,104 @@ def normalised(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def _automaton(items: list[tuple[str, str | None]]) -> tuple[ahocorasick.Automaton | None, list[tuple[int, list[str]]]]:
-    """An automaton over all windows, and for each window its words and the items that have it."""
-    owners: dict[bytes, tuple[int, set[str]]] = {}
-    for item, text in items:
-        words = normalised(text)
-        for i in range(max(1, len(words) - WIDTH + 1) if words else 0):
-            window = words[i : i + WIDTH]
-            owners.setdefault(b" " + b" ".join(window) + b" ", (len(window), set()))[1].add(item)
-    if not owners:
-        return None, []
-    auto, values = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
-    for key, (n, ids) in owners.items():
-        auto.add_word(key.decode("latin-1"), len(values))
-        values.append((n, sorted(ids)))
-    auto.make_automaton()
-    return auto, values
-
-
-def _scan(words: list[bytes], auto, values) -> tuple[list[tuple[int, int]], set[str]]:
-    """Spans [first, last) of words inside occurring windows, joined where they overlap or touch, and the items."""
-    joined = b" " + b" ".join(words) + b" "
-    found = list(auto.iter(joined.decode("latin-1")))
-    if not found:
-        return [], set()
-    # word k ends before the blank at ends[k], so a window that ends at that blank ends with word k
-    ends = np.cumsum([len(w) + 1 for w in words])
-    last = np.searchsorted(ends, [e for e, _ in found]) + 1
-    edge = np.zeros(len(words) + 1, np.int64)
-    items: set[str] = set()
-    for (_, value), b in zip(found, last.tolist(), strict=True):
-        n, ids = values[value]
-        edge[b - n] += 1
-        edge[b] -= 1
-        items.update(ids)
-    inside = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
-    turns = np.flatnonzero(np.diff(inside.astype(np.int8)))
-    return list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)), items
+class _Index:
+    """The items' words as numbers, an automaton over fragments of them, and their windows by hash.
+
+    A word is three letters of the automaton's text, of three alphabets, so that words only match as wholes.
+    """
+
+    def __init__(self, items: list[tuple[str | None, str | None]]):
+        self.vocabulary: dict[bytes, int] = {}
+        self.names: list[str | None] = []
+        self.short: list[tuple[int, list[int]]] = []
+        number = self.vocabulary.setdefault
+        parts, starts, owners, at, patterns, short = [], [], [], 0, set(), {}
+        for name, text in items:
+            own = np.array([number(w, len(self.vocabulary) + 1) for w in normalised(text)], np.int64)
+            if not len(own):
+                continue
+            self.names.append(name)
+            owner = len(self.names) - 1
+            if len(own) < WIDTH:
+                short.setdefault(own.tobytes(), (own, []))[1].append(owner)
+                continue
+            patterns.update(own[i : i + FRAGMENT].tobytes() for i in range(0, len(own) - FRAGMENT + 1, EVERY))
+            parts.append(own)
+            starts.append(np.arange(at, at + len(own) - WIDTH + 1))
+            owners.append(np.full(len(own) - WIDTH + 1, owner))
+            at += len(own)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        start, owner = (np.concatenate(starts), np.concatenate(owners)) if parts else (np.zeros(0, np.int64),) * 2
+        hashes = self._hashes(self.words, start)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.start, self.owner = hashes[order], start[order], owner[order]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for pattern in patterns:
+            self.automaton.add_word(self._letters(np.frombuffer(pattern, np.int64)), 0)
+        for own, ids in short.values():
+            self.short.append((len(own), ids))
+            word = self._letters(own)
+            # a short item may be a fragment too: bit 0 tells that it is not one
+            self.automaton.add_word(word, 2 * len(self.short) + (own.tobytes() not in patterns))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    @staticmethod
+    def _hashes(words: np.ndarray, start: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(start), np.uint64)
+        for k in range(WIDTH):
+            out = (out + words[start + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    @staticmethod
+    def _letters(numbers: np.ndarray) -> str:
+        return np.stack([numbers & 255, (numbers >> 8 & 255) + 256, (numbers >> 16) + 512], 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
+        """Spans [first, last) of words inside occurring windows, joined where they overlap or touch, and the items."""
+        if not len(self.automaton) or not words:
+            return [], set()
+        text = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
+        found = list(self.automaton.iter(self._letters(text)))
+        if not found:
+            return [], set()
+        edge, items, fragments = np.zeros(len(words) + 1, np.int64), set(), []
+        for end, value in found:
+            last = end // 3 + 1
+            if value > 1:
+                n, ids = self.short[(value >> 1) - 1]
+                edge[last - n] += 1
+                edge[last] -= 1
+                items.update(ids)
+            if not value & 1:
+                fragments.append(last - FRAGMENT)
+        if fragments:
+            begin = np.unique((np.array(fragments)[:, None] - np.arange(WIDTH - FRAGMENT + 1)).ravel())
+            begin = begin[(begin >= 0) & (begin + WIDTH <= len(words))]
+            hashes = self._hashes(text, begin)
+            low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
+            for k in np.flatnonzero(high > low).tolist():
+                at = self.start[low[k] : high[k]]
+                same = (self.words[at[:, None] + np.arange(WIDTH)] == text[begin[k] : begin[k] + WIDTH]).all(axis=1)
+                if same.any():
+                    edge[begin[k]] += 1
+                    edge[begin[k] + WIDTH] -= 1
+                    items.update(self.owner[low[k] : high[k]][same].tolist())
+        inside = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
+        turns = np.flatnonzero(np.diff(inside.astype(np.int8)))
+        return list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)), {self.names[i] for i in items}
+
+
+_built: dict[str, _Index] = {}
+
+
+def _index(key: str, items) -> _Index:
+    """The index of a shard, built once in each worker process."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = _Index(items.value)
+    return _built[key]
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -91,15 +156,17 @@ def original_spans(text: str | None, spans: list[tuple[int, int]]) -> list[tuple
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_texts: tuple[str, ...] = ("text",), shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``items`` (sorted strings) and ``spans`` (code points, ends exclusive).
 
-    A window is ``WIDTH`` consecutive words of an item text, or all words of a shorter one. Each task builds one
-    automaton over the windows and scans each text once, so nothing is shuffled. The items are collected in shards
-    of a checked number of bytes: a small benchmark is one shard, a larger one takes a pass of the texts for each.
+    A window is ``WIDTH`` consecutive words of an item text, or all words of a shorter one. Each worker builds one
+    automaton over fragments of the items, of which every window has one, and scans each text once; the windows
+    around a fragment are then looked up whole, so nothing is shuffled. The items are collected in shards of a checked
+    number of bytes: a benchmark of up to ``shard_bytes`` is one, a larger one takes a pass of the texts for each.
     Null and empty texts have no words and no hits; repeated rows are scanned alike, repeated items count once, an
-    empty benchmark hits nothing. Columns of the added names are replaced.
+    empty benchmark hits nothing. Items with a null id hit words and count as one item without a name, listed first
+    as null. Columns of the added names are replaced.
     """
     added = ["n_words", "n_hit", "items", "spans", "_words"]
     pieces = F.explode(F.array(*[F.col(c) for c in item_texts]))
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), pieces.alias("text")).where("text IS NOT NULL AND item IS NOT NULL")
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), pieces.alias("text")).where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-int(size) // shard_bytes))
     items = items.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(shards)))
@@ -111,10 +178,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
     for shard in range(shards):
         rows = [tuple(r) for r in items.where(F.col("shard") == shard).select("item", "text").distinct().collect()]
-        final = shard == shards - 1
+        sent, key, final = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex, shard == shards - 1
 
-        def run(batches: Iterator[pa.RecordBatch], rows=rows, first=shard == 0, final=final) -> Iterator[pa.RecordBatch]:
-            auto, values = _automaton(rows)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key, first=shard == 0, final=final) -> Iterator[pa.RecordBatch]:
+            index = _index(key, sent)
             for whole in batches:
                 for at in range(0, len(whole), 512):
                     batch = whole.slice(at, 512)
@@ -123,11 +190,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                     known = [[]] * len(texts) if first else batch.column("items").to_pylist()
                     for body, spans, ids in zip(texts, before, known, strict=True):
                         words = normalised(body)
-                        new, more = _scan(words, auto, values) if auto is not None and words else ([], set())
+                        new, more = index.scan(words)
                         spans = _merge([(s["start"], s["end"]) for s in spans] + new) if spans else new
                         struct = [{"start": a, "end": b} for a, b in spans]
                         chars = [{"start": a, "end": b} for a, b in original_spans(body, spans)] if final else []
-                        for c, x in zip(cols, (len(words), sum(b - a for a, b in spans), sorted({*ids, *more}), chars, struct), strict=True):
+                        for c, x in zip(cols, (len(words), sum(b - a for a, b in spans), sorted({*ids, *more}, key=lambda i: (i is not None, i)), chars, struct), strict=True):
                             c.append(x)
                     made = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.string()), span, span), strict=True)]
                     names = [n for n in batch.schema.names if n not in added]

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.hashing import hash_uniform, hash_uniform_sql
-from tidewheel.operators import agents, datasets, scoring
+from tidewheel.operators import agents, datasets, scoring, tokens
 from tidewheel.sources.adapters import rollouts, table, token_rows, with_views
 
 R, T = with_views("rollouts"), with_views("token_rows")
@@ -73,7 +73,10 @@ def reference_solution(spark, d):
 
 def expand_goals(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("word"), F.array_distinct(F.array(F.col("p_size"), F.col("p_size") + 1)).alias("size"))
-    return datasets.expand_options(p, ["word", "size"], 8).select("p_partkey", "word", "size")
+    """Every combination, weighed by the mean share of one over how many products have the word."""
+    goals = datasets.expand_options(p, ["word", "size"]).select("p_partkey", "word", "size")
+    have = goals.select("word", "p_partkey").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("have"))
+    return goals.join(have, "word").select("p_partkey", "word", "size", F.round(1 / F.col("have"), 6).alias("weight"))
 
 
 def reject_incomplete_group(spark, d):
@@ -212,8 +215,10 @@ def normalize_color(spark, d):
 
 def price_draw(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 50).alias("high"))
-    marks = F.slice(F.filter(F.sequence(F.lit(10), F.lit(20000), F.lit(10)), lambda m: m > F.col("low")), 1, 4)
-    return p.select("p_partkey", F.round(F.col("low") + (F.col("high") - F.col("low")) * hash_uniform(2, F.col("p_partkey")), 2).alias("price"), F.element_at(marks, 2).alias("upper"))
+    first = (F.floor(F.col("low") / 10) + 1) * 10
+    draw = lambda n: F.floor(hash_uniform(n, F.col("p_partkey")) * 4)
+    other = (draw(3) + 1 + F.floor(hash_uniform(4, F.col("p_partkey")) * 3)) % 4
+    return p.select("p_partkey", F.round(F.col("low") + (F.col("high") - F.col("low")) * hash_uniform(2, F.col("p_partkey")), 2).alias("price"), (first + 10 * F.greatest(draw(3), other)).cast("int").alias("upper"))
 
 
 def relative_since(spark, d):
@@ -232,10 +237,18 @@ def pad_pack(spark, d):
 
 
 def build_sequence(spark, d):
-    """Prompt and answer of each turn pair as one sequence with its loss mask."""
-    t = token_rows(spark, d)
-    masked = F.aggregate("loss_mask", F.lit(0), lambda a, m: a + m)
-    return t.select("conv_id", F.size("input_ids").alias("n"), masked.alias("generated"), F.array_position("loss_mask", 1).cast("int").alias("first_generated"))
+    """All before a conversation's last assistant turn as the prompt, that turn as the answer."""
+    t = _turns(spark, d)
+    last = t.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    own = t.join(last, "conv_id").groupBy("conv_id", "last").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("turn") < F.col("last"), F.struct("turn", "ids")))), lambda x: x["ids"])).alias("prompt"), F.max(F.when(F.col("turn") == F.col("last"), F.col("ids"))).alias("answer"))
+    made = own.select("conv_id", *tokens.build_sequence(F.col("prompt"), F.col("answer"), F.transform("answer", lambda i: -i / 100), F.transform("answer", lambda _: F.col("last").cast("int"))))
+    return made.select("conv_id", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("input_ids", "loss_mask", "versions")], F.round(tokens.array_sum(F.col("logprobs")), 6).alias("logprob"), F.size("attention_mask").alias("n"))
+
+
+def _turns(spark, d):
+    """Turns of conversations with the lengths of their words as tokens."""
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", "role", F.transform(F.filter(F.split("text", "\\s+"), lambda w: w != ""), lambda w: (F.length(w) % 97).cast("int")).alias("ids"))
 
 
 def html_reduce(spark, d):
@@ -249,15 +262,16 @@ def extract_code_block(spark, d):
 
 
 def token_f1_cjk(spark, d):
-    """Characters and digit runs are the tokens."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("b"), F.array_distinct(F.filter(F.split(F.lower("text"), ""), lambda c: F.trim(c) != "")).alias("g"))
-    x = table(spark, d, "documents").select("doc_id", F.array_distinct(F.filter(F.split(F.lower("text"), ""), lambda c: (F.trim(c) != "") & (c != "\n"))).alias("p")).join(b, F.col("doc_id") % 40 == F.col("b"))
-    g = F.filter("g", lambda c: c != "\n")
-    return x.select("doc_id", F.round(2.0 * F.size(F.array_intersect("p", g)) / (F.size("p") + F.size(g)), 6).alias("f1"))
+    """Against one benchmark item each, of which every third gets Chinese characters before its text."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("b"), F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("答案 12,"), "text")).otherwise(F.col("text")).alias("gold"))
+    all_ = table(spark, d, "benchmark").agg((F.max("item_id") + 1).alias("items"))  # one row
+    x = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(all_)).join(b, F.col("doc_id") % F.col("items") == F.col("b"))
+    return x.select("doc_id", F.round(scoring.token_f1_cjk(F.col("text"), F.col("gold")), 6).alias("f1"))
 
 
 QUERIES = {f.__name__: f for f in (clean_boxed_answer, first_nonblank_field, truncate_dataset, validate_test_rows, normalize_tests, prepare_eval_split, goal_split, sample_negatives, shrink_action_space, reference_solution, expand_goals, reject_incomplete_group, trajectory_reward_gate, agent_metric_means, batch_length_stats, benchmark_overall, verifier_metrics, router_metrics, selector_metrics, agent_memory_stats, recursive_agent_stats, recall_at_k, direct_gen_accuracy, previous_actions, candidate_score_join, resume_unjudged, metadata_two_key_lookup, product_attribute_join, answer_set_compare, dedup_tasks, parse_llm_json, judge_verdict, checklist_score, parse_action, normalize_color, price_draw, relative_since, testgen_reward, pad_pack, build_sequence, html_reduce, extract_code_block, token_f1_cjk)}
 
+_TURNS = "t AS (SELECT conv_id, turn, role, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: (length(w) % 97)::INT) AS ids FROM conversations)"
 _CASES = "t AS (SELECT l_orderkey, list(CASE WHEN l_orderkey % 5 = 0 THEN l_linestatus ELSE 'stdin' END) AS kinds, count(*) AS n, max(l_partkey) AS greatest FROM lineitem GROUP BY 1)"
 _H = lambda seed, x: hash_uniform_sql(f"'{seed}'", f"{x}::VARCHAR")
 ORACLES = {
@@ -271,7 +285,7 @@ ORACLES = {
     "sample_negatives": "WITH r AS (SELECT p_brand, p_partkey, p_size > 45 AS pos, row_number() OVER (PARTITION BY p_brand, p_size > 45 ORDER BY " + hash_uniform_sql("'3'", "p_brand", "p_partkey::VARCHAR") + ", p_partkey) AS rn, max((p_size > 45)::INT) OVER (PARTITION BY p_brand) AS has FROM part) SELECT p_brand, p_partkey, pos AS positive FROM r WHERE (pos AND rn = 1) OR (NOT pos AND rn <= CASE WHEN has = 1 THEN 4 ELSE 5 END)",
     "shrink_action_space": "WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), a AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS i, row_number() OVER (PARTITION BY l_suppkey ORDER BY md5('7|' || l_partkey), l_partkey) AS h, count(*) OVER (PARTITION BY l_suppkey) AS n, max(l_partkey) OVER (PARTITION BY l_suppkey) AS chosen FROM s), k AS (SELECT l_suppkey, l_partkey, chosen FROM a WHERE n <= 20 OR i <= 6 OR h <= 10 OR l_partkey = chosen) SELECT l_suppkey, count(*)::INT AS n, count(*)::INT AS label, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS kept FROM k GROUP BY 1",
     "reference_solution": "SELECT doc_id, CASE WHEN quality IS NOT NULL AND source IS NOT NULL THEN source || ':' || quality END AS solution FROM documents LEFT JOIN labels USING (doc_id)",
-    "expand_goals": "SELECT p_partkey, unnest(w) AS word, size FROM (SELECT p_partkey, string_split(p_name, ' ') AS w, unnest([p_size, p_size + 1]) AS size FROM part WHERE len(string_split(p_name, ' ')) * 2 <= 8)",
+    "expand_goals": "WITH g AS (SELECT p_partkey, unnest(w) AS word, size FROM (SELECT p_partkey, string_split(p_name, ' ') AS w, unnest([p_size, p_size + 1]) AS size FROM part)), h AS (SELECT word, count(DISTINCT p_partkey) AS have FROM g GROUP BY 1) SELECT p_partkey, word, size, round(1 / have, 6) AS weight FROM g JOIN h USING (word)",
     "reject_incomplete_group": f"{R} SELECT group_id, seq_no FROM rollouts WHERE group_id NOT IN (SELECT group_id FROM rollouts WHERE seq_len >= 49)",
     "trajectory_reward_gate": f"{R} SELECT group_id, traj_idx, CASE WHEN bool_or(seq_len = 1) THEN -0.5::DOUBLE ELSE max(reward) * bool_and(seq_len < 48)::INT END AS score FROM rollouts GROUP BY 1, 2",
     "agent_metric_means": "WITH m AS (SELECT user_id % 10 AS agent, 'value' AS metric, value AS v FROM events WHERE event_type = 'purchase' UNION ALL SELECT user_id % 10, 'k', (props->>'$.k')::DOUBLE FROM events) SELECT agent, metric, round(avg(v), 6) AS mean, count(v) AS episodes FROM m GROUP BY 1, 2",
@@ -296,10 +310,11 @@ ORACLES = {
     "checklist_score": "SELECT event_id, round(CASE WHEN event_type = 'view' THEN 0.0 ELSE greatest(0.0, least(1.0, value / 10 - 1)) END, 6) AS score FROM events",
     "parse_action": "SELECT event_id, event_type AS name, props->>'$.k' AS arg FROM events",
     "normalize_color": "SELECT p_partkey, CASE " + " ".join(f"WHEN contains(p_name, '{c}') THEN '{c}'" for c in COLOURS) + " ELSE p_name END AS colour FROM part",
-    "price_draw": f"SELECT p_partkey, round(p_retailprice + 50 * {_H(2, 'p_partkey')}, 2) AS price, ((floor(p_retailprice / 10) + 2) * 10)::INT AS upper FROM part",
+    "price_draw": f"SELECT p_partkey, round(p_retailprice + 50 * {_H(2, 'p_partkey')}, 2) AS price, ((floor(p_retailprice / 10) + 1) * 10 + 10 * greatest(floor({_H(3, 'p_partkey')} * 4), (floor({_H(3, 'p_partkey')} * 4) + 1 + floor({_H(4, 'p_partkey')} * 3))::INT % 4))::INT AS upper FROM part",
     "relative_since": "SELECT event_id, event_id % 7 * 86400 + event_id % 23 * 3600 + event_id % 59 AS seconds FROM events",
     "testgen_reward": f"{R} SELECT group_id % 16 AS batch, round(avg(0.5::DOUBLE * ((seq_len > 10)::INT + (seq_len > 10 AND reward > 0)::INT)), 6) AS reward FROM rollouts GROUP BY 1",
     "pad_pack": f"{T} SELECT conv_id % 8 AS batch, conv_id, (sum(len(input_ids)) OVER w - len(input_ids))::BIGINT AS start, (sum(len(input_ids)) OVER w)::BIGINT AS end FROM token_rows WINDOW w AS (PARTITION BY conv_id % 8 ORDER BY conv_id)",
-    "build_sequence": f"{T} SELECT conv_id, len(input_ids)::INT AS n, list_sum(loss_mask)::INT AS generated, coalesce(list_position(loss_mask, 1), 0)::INT AS first_generated FROM token_rows",
+    "build_sequence": f"""WITH {_TURNS}, l AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY 1), p AS (SELECT conv_id, last, coalesce(flatten(list(ids ORDER BY turn) FILTER (turn < last)), []) AS prompt, flatten(list(ids) FILTER (turn = last)) AS answer FROM t JOIN l USING (conv_id) GROUP BY 1, 2)
+        SELECT conv_id, array_to_string(prompt || answer, ',') AS input_ids, array_to_string(list_transform(prompt, lambda x: 0) || list_transform(answer, lambda x: 1), ',') AS loss_mask, array_to_string(list_transform(prompt, lambda x: -1) || list_transform(answer, lambda x: last::INT), ',') AS versions, round(coalesce(-list_sum(answer) / 100.0::DOUBLE, 0.0), 6) AS logprob, len(prompt || answer)::INT AS n FROM p""",
     "extract_code_block": "SELECT item_id, CASE WHEN length(text) + 1 >= 20 THEN (length(text) + 1)::INT END AS code_chars FROM benchmark",
 }

@@ -22,17 +22,24 @@ def dense_topk(spark, d):
 
 
 def page_access(spark, d):
-    pages = table(spark, d, "pages").select("page_id", retrieval.page_key(F.col("url")).alias("key"))
-    return pages.groupBy("key").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("captures"))
+    """Every page under another form of its address, and every link: the page found, or null."""
+    asked = _requests(spark, d)
+    return retrieval.access(asked, table(spark, d, "pages")).select("request", "page_id")
+
+
+def _requests(spark, d):
+    """Addresses to look up: each page's with another scheme and fragment, and the targets of links, of which no page is known."""
+    other = F.concat(F.lit("HTTPS://"), F.regexp_replace("url", "^[a-z]+://", ""), F.lit("#top"))
+    return table(spark, d, "pages").select(other.alias("request")).union(links(spark, d).select("target")).distinct()
 
 
 def page_exists(spark, d):
     pages = table(spark, d, "pages").select(retrieval.page_key(F.col("url")).alias("key")).distinct()
-    return links(spark, d).select("url", "target", retrieval.page_key(F.col("target")).alias("key")).join(pages, "key", "left_semi").select("url", "target")
+    return _requests(spark, d).withColumn("key", retrieval.page_key(F.col("request"))).join(pages, "key", "left_semi").select("request")
 
 
 def neighbour_candidates(spark, d):
-    visited = table(spark, d, "pages").where("page_id % 10 = 0").select("url").distinct()
+    visited = table(spark, d, "pages").where("url LIKE 'https%'").select("url").distinct()
     return retrieval.neighbours(links(spark, d), visited).groupBy("url").agg(F.count(F.lit(1)).alias("candidates"))
 
 
@@ -169,8 +176,9 @@ def kg_union(spark, d):
 
 
 def base_items(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
+    """Parts that recipes use and that have none themselves."""
+    r = _recipes(spark, d)
+    return r.select(F.col("part").alias("item")).distinct().join(r.select("item"), "item", "left_anti")
 
 
 def _recipes(spark, d):
@@ -194,6 +202,7 @@ QUERIES = {f.__name__: f for f in (bm25_search, dense_topk, page_access, page_ex
 
 _TERMS = "list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9\\x{{80}}-\\x{{ffff}}]+'), lambda w: w <> '')"
 _KEY = "regexp_replace(replace(replace(regexp_replace(lower(regexp_replace({x}, '^[a-zA-Z]+://', '')), '[?#].*$', ''), 'index.php/', 'index.php?title='), '_', '%20'), '/+$', '')"
+_ASKED = "r AS (SELECT 'HTTPS://' || regexp_replace(url, '^[a-z]+://', '') || '#top' AS request FROM pages UNION SELECT target FROM links)"
 _U = hash_uniform_sql("'9'", "p_type", "draw::VARCHAR")
 _PARTS = "p AS (SELECT p_partkey AS item, p_type AS category, string_split(concat_ws(' ', p_name, p_brand, 'size' || p_size), ' ') AS terms FROM part)"
 _TFIDF = f"""{_PARTS}, tf AS (SELECT item, category, term, count(*) AS tf FROM (SELECT item, category, unnest(terms) AS term FROM p) GROUP BY ALL), n AS (SELECT category, count(*) AS n FROM p GROUP BY 1),
@@ -204,9 +213,9 @@ _STEPS = """e AS (SELECT rank, task_id, max(finalized_ts) AS task_end FROM sessi
 g AS (SELECT rank, step, max(task_end) AS fin FROM o GROUP BY 1, 2 HAVING count(*) = 50), b AS (SELECT step, max(fin) AS step_end FROM g GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT rank) FROM sessions))"""
 ORACLES = {
     "bm25_search": f"WITH w AS (SELECT doc_id, {_TERMS.format(x='text')} AS ws FROM documents), st AS (SELECT count(*) AS n, avg(len(ws)) AS ml FROM w), q AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS.format(x='text')}) AS term FROM benchmark), tf AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS l, unnest(ws) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2 / (tf + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * l / ml))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank FROM s) SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 5",
-    "page_access": f"SELECT {_KEY.format(x='url')} AS key, min(page_id) AS page_id, count(*) AS captures FROM pages GROUP BY 1",
-    "page_exists": f"{L} SELECT url, target FROM links WHERE {_KEY.format(x='target')} IN (SELECT {_KEY.format(x='url')} FROM pages)",
-    "neighbour_candidates": f"{L}, v AS (SELECT DISTINCT url FROM pages WHERE page_id % 10 = 0), b AS (SELECT url, target AS near FROM links UNION SELECT target, url FROM links) SELECT url, count(*) AS candidates FROM b WHERE url IN (FROM v) AND near NOT IN (FROM v) GROUP BY 1",
+    "page_access": f"{L}, {_ASKED}, k AS (SELECT {_KEY.format(x='url')} AS key, min(page_id) AS page_id FROM pages GROUP BY 1) SELECT request, page_id FROM r LEFT JOIN k ON {_KEY.format(x='request')} = key",
+    "page_exists": f"{L}, {_ASKED} SELECT request FROM r WHERE {_KEY.format(x='request')} IN (SELECT {_KEY.format(x='url')} FROM pages)",
+    "neighbour_candidates": f"{L}, v AS (SELECT DISTINCT url FROM pages WHERE url LIKE 'https%'), b AS (SELECT url, target AS near FROM links UNION SELECT target, url FROM links) SELECT url, count(*) AS candidates FROM b WHERE url IN (FROM v) AND near NOT IN (FROM v) GROUP BY 1",
     "link_in_degree": f"{L} SELECT target, count(*) AS in_links FROM links GROUP BY 1",
     "time_offsets": f"{S} SELECT session_id, round(submit_ts - (SELECT min(submit_ts) FROM sessions), 4) AS submit_ts, round(finalized_ts - (SELECT min(submit_ts) FROM sessions), 4) AS finalized_ts FROM sessions",
     "step_boundaries": f"{S}, {_STEPS} SELECT step, round(step_end, 4) AS step_end FROM b",
@@ -234,7 +243,7 @@ ORACLES = {
     "kg_argmax": f"{K}, v AS (SELECT s, o::DOUBLE AS v FROM triples WHERE p = 'balance') SELECT s, v FROM v WHERE v = (SELECT max(v) FROM v)",
     "kg_intersect": f"{K} SELECT b.o AS s FROM triples f JOIN triples b ON b.s = f.s AND b.p = 'placed_by' WHERE f.p = 'status' AND f.o = 'F' INTERSECT SELECT b.o FROM triples f JOIN triples b ON b.s = f.s AND b.p = 'placed_by' WHERE f.p = 'status' AND f.o = 'P'",
     "kg_union": f"{K} SELECT DISTINCT s FROM triples WHERE p = 'in_nation' AND o IN ('N1', 'N2')",
-    "base_items": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "base_items": "SELECT DISTINCT p_partkey // 2 AS item FROM part WHERE p_partkey > 0 AND p_partkey % 3 <> 0 AND (p_partkey // 2 = 0 OR (p_partkey // 2) % 3 = 0)",
     "crafting_depth": "WITH RECURSIVE r AS (SELECT p_partkey AS item, p_partkey // 2 AS part FROM part WHERE p_partkey > 0 AND p_partkey % 3 <> 0), c AS (SELECT item, 1 AS depth FROM r UNION SELECT r.item, c.depth + 1 FROM r JOIN c ON r.part = c.item WHERE c.depth < 6) SELECT item, max(depth) AS depth FROM c GROUP BY 1",
     "table_md5": "WITH m AS (SELECT md5(concat_ws(',', n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR)) AS m FROM nation) SELECT substr(m, 1, 1) AS prefix, md5(string_agg(substr(m, 1, 5), ',' ORDER BY substr(m, 1, 5))) AS digest FROM m GROUP BY 1",
 }

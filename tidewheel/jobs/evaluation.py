@@ -58,8 +58,8 @@ def completion_numbering(spark, d):
 
 
 def eval_result_lookup(spark, d):
-    """Attach customer and segment to orders by key; those without are counted as skipped."""
-    c = table(spark, d, "customer").where("c_custkey % 10 <> 3").select("c_custkey", "c_mktsegment")
+    """Attach customer and segment to orders by key; those whose customer is in debt have none and are counted as skipped."""
+    c = table(spark, d, "customer").where("c_acctbal >= 0").select("c_custkey", "c_mktsegment")
     o = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
     return o.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("results"), F.count_if(F.col("c_custkey").isNull()).alias("skipped"), F.round(F.avg("o_totalprice"), 4).alias("mean_reward"))
 
@@ -130,7 +130,7 @@ ORACLES = {
     "pass_at_k_clamped": f"{E}, {_N} SELECT dataset, round(avg({_p('8')}) * 100, 6) AS pass_at_k, count(*) AS samples FROM a GROUP BY 1",
     "pass_at_k_suite": f"{E}, {_N}, p AS (SELECT a.*, k::BIGINT AS k FROM a, (VALUES (1), (2), (4), (10), (100)) t(k)) SELECT dataset, k, round(avg({_p('k')}), 6) AS pass_at_k FROM p GROUP BY 1, 2 HAVING min(n) >= k",
     "completion_numbering": "SELECT l_partkey, (completion_id)::INT AS completion_id, l_orderkey FROM (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) - 1 AS completion_id FROM lineitem)",
-    "eval_result_lookup": "SELECT c_mktsegment, count(*) AS results, count(*) FILTER (c_custkey IS NULL) AS skipped, round(avg(o_totalprice), 4) AS mean_reward FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 3) ON o_custkey = c_custkey GROUP BY 1",
+    "eval_result_lookup": "SELECT c_mktsegment, count(*) AS results, count(*) FILTER (c_custkey IS NULL) AS skipped, round(avg(o_totalprice), 4) AS mean_reward FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey GROUP BY 1",
     "replicate_eval_set": "SELECT item_id, r::INT AS replica, length(text)::INT AS len FROM benchmark, range(4) t(r)",
     "outputs_vs_targets": "SELECT lang, count(*) AS targets, count(*) FILTER (quality IS NULL) AS missing, round(avg(coalesce(quality, 0)), 6) AS accuracy FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id) GROUP BY 1",
     "latest_per_pair": "SELECT o_custkey AS agent, o_orderpriority AS task, epoch(o_orderdate)::BIGINT AS stamp, o_orderkey AS run FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewheel.operators import packing, scoring, tokens
+from tidewheel.operators import datasets, packing, scoring, tokens
 from tidewheel.sources.adapters import rollouts, table, token_rows, with_views
 
 T, R = with_views("token_rows"), with_views("rollouts")
 
 
 def _answers(spark, d):
-    """Every document's text against the benchmark item that its id names."""
+    """Every document's text against one benchmark item; ids go round all items, so each is scored."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("b"), F.col("text").alias("gold"))
-    return table(spark, d, "documents").select("doc_id", "text").join(b, F.col("doc_id") % 40 == F.col("b"))
+    all_ = table(spark, d, "benchmark").agg((F.max("item_id") + 1).alias("items"))  # one row
+    docs = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(all_))
+    return docs.join(b, F.col("doc_id") % F.col("items") == F.col("b"))
 
 
 def normalize_answer(spark, d):
@@ -22,7 +24,9 @@ def normalize_answer(spark, d):
 
 
 def exact_sub_match(spark, d):
-    return _answers(spark, d).select("doc_id", scoring.exact_match(F.col("text"), F.col("gold")).alias("em"), scoring.sub_match(F.col("text"), F.col("gold")).alias("sub"))
+    """Against the item's text and its last word as the two right answers."""
+    golds = F.array(F.col("gold"), F.regexp_extract("gold", "(\\S+)\\s*$", 1))
+    return _answers(spark, d).select("doc_id", scoring.matches_any(F.col("text"), golds).alias("em"), scoring.matches_any(F.col("text"), golds, inside=True).alias("sub"))
 
 
 def token_f1(spark, d):
@@ -34,9 +38,9 @@ def cover_em(spark, d):
 
 
 def best_over_golds(spark, d):
-    b = table(spark, d, "benchmark")
-    j = table(spark, d, "documents").join(F.broadcast(b.withColumnRenamed("text", "gold").where("item_id < 40")), F.col("doc_id") % 10 == F.col("item_id") % 10)
-    return j.groupBy("doc_id").agg(F.round(F.max(scoring.token_f1(F.col("text"), F.col("gold"))), 6).alias("best"))
+    """Every document against all items."""
+    found = scoring.best_over_golds(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select(F.col("text").alias("gold")))
+    return found.select("doc_id", F.round("best", 6).alias("best"))
 
 
 def bracket_number(spark, d):
@@ -53,7 +57,10 @@ def summarize_page_tags(spark, d):
 
 
 def strip_cot_suffix(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace("text", "(?i)\\s+\\S+\\s*$", "")).alias("stripped"))
+    """Texts of which some end with the request to reason in steps, in one case or another."""
+    ask = "Let's think step by step and output the final answer within \\boxed{}."
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n" + ask))).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(" " + ask.upper().replace("BOXED", "boxed") + " \n"))).otherwise(F.concat(F.lit(ask), "text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(datasets.strip_suffix(text)).alias("stripped"))
 
 
 def filter_by_token_length(spark, d):
@@ -61,12 +68,14 @@ def filter_by_token_length(spark, d):
 
 
 def attach_query_ids(spark, d):
-    return table(spark, d, "documents").select(F.format_string("%s-%08d", "source", "doc_id").alias("query_id"), "doc_id")
+    """Ids by place in the order of ``doc_id``, whatever ids are missing or repeated before."""
+    rows = table(spark, d, "documents").select("doc_id", "source").where("source <> 'web'")
+    return datasets.numbered(rows, "doc_id", "place").select(F.format_string("%s-%08d", F.lit("docs"), "place").alias("query_id"), "doc_id")
 
 
 def prompt_from_problem(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.length("text").alias("content")))).alias("messages"), F.concat(F.lit("\\boxed{"), F.col("item_id").cast("string"), F.lit("}")).alias("answer"))
-    return b
+    m = datasets.prompt_messages(F.col("text"))
+    return table(spark, d, "benchmark").select("item_id", F.to_json(m).alias("messages"), F.concat(F.lit("\\boxed{"), F.col("item_id").cast("string"), F.lit("}")).alias("answer"))
 
 
 def version_bounds(spark, d):
@@ -113,8 +122,9 @@ def critic_loss(spark, d):
 
 
 def m2po_clip_range(spark, d):
-    g = _gaps(spark, d).withColumn("batch", F.col("group_id") % 32).withColumn("gap", F.col("logprob_gap") - 0.5)
-    c = tokens.clip_range(g, "batch", "gap", (F.col("advantage") * F.col("gap")) > 0, threshold=0.04)
+    """Batches of consecutive groups, so that their number and not their size grows; gaps go beyond 1, and some batches have few."""
+    g = _gaps(spark, d).withColumn("batch", F.floor(F.col("group_id") / 16).cast("long")).withColumn("gap", (F.col("logprob_gap") - 0.5) * (1 + F.col("batch") % 5))
+    c = tokens.clip_range(g, "batch", "gap", ((F.col("advantage") * F.col("gap")) > 0) & (F.col("batch") % 7 != 0) & (F.col("seq_len") > 30), threshold=0.04)
     return c.select("batch", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -126,19 +136,20 @@ def gae_advantages(spark, d):
 
 
 def _batches(spark, d):
-    return rollouts(spark, d).select((F.col("group_id") % 200).alias("batch"), "seq_no", "seq_len")
+    """Batches of 256 consecutive groups: their number grows with the table, their size doesn't."""
+    return rollouts(spark, d).select(F.floor(F.col("group_id") / 256).cast("long").alias("batch"), "seq_no", "seq_len")
 
 
 def pack_token_budget(spark, d):
-    return packing.packed_sums(packing.pack_token_budget(_batches(spark, d), "batch", "seq_no", "seq_len", capacity=512, min_groups=4, divisor=2), "batch", "pack", "seq_len").drop("groups")
+    return packing.pack_token_budget(_batches(spark, d), "batch", "seq_no", "seq_len", capacity=512, min_groups=4, divisor=2)
 
 
 def balance_batches(spark, d):
-    return packing.packed_sums(packing.balance_batches(_batches(spark, d), "batch", "seq_no", "seq_len", 8), "batch", "bin", "seq_len")
+    return packing.balance_batches(_batches(spark, d), "batch", "seq_no", "seq_len", 8)
 
 
 def contiguous_partition(spark, d):
-    return packing.packed_sums(packing.contiguous_partition(_batches(spark, d), "batch", "seq_no", "seq_len", 8), "batch", "part", "seq_len").drop("groups")
+    return packing.contiguous_partition(_batches(spark, d), "batch", "seq_no", "seq_len", 8)
 
 
 QUERIES = {f.__name__: f for f in (normalize_answer, exact_sub_match, token_f1, cover_em, best_over_golds, bracket_number, answer_format_ok, summarize_page_tags, strip_cot_suffix, filter_by_token_length, attach_query_ids, prompt_from_problem, version_bounds, masked_stats, staleness_stats, kl_estimate, ppo_token_loss, sapo_token_loss, critic_loss, m2po_clip_range, gae_advantages, pack_token_budget, balance_batches, contiguous_partition)}
@@ -158,22 +169,25 @@ def _f1(p: str, g: str) -> str:
     return f"CASE WHEN len(list_intersect({_words(p)}, {_words(g)})) > 0 THEN 2.0::DOUBLE * len(list_intersect({_words(p)}, {_words(g)})) / (len({_words(p)}) + len({_words(g)})) ELSE 0.0 END"
 
 
-_A = "a AS (SELECT doc_id, d.text, b.text AS gold FROM documents d JOIN benchmark b ON doc_id % 40 = item_id)"
+_A = "a AS (SELECT doc_id, d.text, b.text AS gold FROM documents d JOIN benchmark b ON doc_id % (SELECT max(item_id) + 1 FROM benchmark) = item_id)"
+_ASK = "Let''s think step by step and output the final answer within \\boxed{}."
 _G = f"{R}, g AS (SELECT group_id % 32 AS batch, reward, logprob_gap, reward - 0.25 AS advantage, exp(logprob_gap - 0.5) AS ratio FROM rollouts)"
-_PACK = "SELECT group_id % 200 AS batch, count(*) AS rows, sum(seq_len)::BIGINT AS tokens FROM rollouts GROUP BY 1"
+_M2PO = f"""{R}, g AS (SELECT *, (logprob_gap - 0.5) * (1 + batch % 5) AS gap FROM (SELECT group_id // 16 AS batch, reward - 0.25 AS advantage, logprob_gap, seq_len FROM rollouts)),
+    m AS (SELECT batch, CASE WHEN advantage * gap > 0 AND batch % 7 <> 0 AND seq_len > 30 THEN gap * gap END AS m2 FROM g),
+    c AS (SELECT batch, m2, sum(m2) OVER w / nullif(count(m2) OVER w, 0) AS upto FROM m WINDOW w AS (PARTITION BY batch ORDER BY m2 NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 ORACLES = {
     "normalize_answer": f"SELECT doc_id, length({_norm('text')})::INT AS n, md5({_norm('text')}) AS normalized FROM documents",
-    "strip_cot_suffix": "SELECT doc_id, md5(regexp_replace(text, '(?i)\\s+\\S+\\s*$', '')) AS stripped FROM documents",
-    "exact_sub_match": f"WITH {_A} SELECT doc_id, ({_norm('text')} = {_norm('gold')})::INT AS em, contains({_norm('text')}, {_norm('gold')})::INT AS sub FROM a",
+    "strip_cot_suffix": f"SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '\\s+$', '') WHEN doc_id % 3 = 1 THEN regexp_replace(text, '\\s+$', '') ELSE '{_ASK}' || text END) AS stripped FROM documents",
+    "exact_sub_match": f"WITH {_A}, n AS (SELECT doc_id, {_norm('text')} AS t, {_norm('gold')} AS g, {_norm("regexp_extract(gold, '(\\S+)\\s*$', 1)")} AS w FROM a) SELECT doc_id, (t = g OR t = w)::INT AS em, (contains(t, g) OR contains(t, w))::INT AS sub FROM n",
     "token_f1": f"WITH {_A} SELECT doc_id, round({_f1('text', 'gold')}, 6) AS f1 FROM a",
     "cover_em": f"WITH {_A} SELECT doc_id, (len(list_filter({_words('gold')}, lambda w: NOT list_contains({_words('text')}, w))) = 0)::INT AS cem FROM a",
-    "best_over_golds": f"SELECT doc_id, round(max({_f1('d.text', 'b.text')}), 6) AS best FROM documents d JOIN benchmark b ON doc_id % 10 = item_id % 10 AND item_id < 40 GROUP BY 1",
+    "best_over_golds": f"WITH p AS (SELECT doc_id, {_words('text')} AS w FROM documents), g AS (SELECT item_id, {_words('text')} AS v FROM benchmark), s AS (SELECT doc_id, item_id, count(*) AS k FROM (SELECT doc_id, unnest(w) AS x FROM p) JOIN (SELECT item_id, unnest(v) AS x FROM g) USING (x) GROUP BY 1, 2) SELECT doc_id, round(coalesce(max(2.0::DOUBLE * k / (len(w) + len(v))), 0.0), 6) AS best FROM p LEFT JOIN s USING (doc_id) LEFT JOIN g USING (item_id) GROUP BY 1",
     "bracket_number": "SELECT page_id, regexp_extract_all(html, '(\\d+)', 1)[-1] AS last_number, coalesce(regexp_extract_all(html, '\\[([^\\[\\]]*)\\]', 1)[-1], '') AS bracketed FROM pages",
     "answer_format_ok": "WITH c AS (SELECT page_id, html, " + ", ".join(f"len(html) - len(replace(html, '<{t}', '')) AS o{i}, len(html) - len(replace(html, '</{t}>', '')) AS c{i}" for i, t in enumerate(("article", "nav", "title"))) + " FROM pages) SELECT page_id, " + " AND ".join(f"o{i} / {len(t) + 1} = c{i} / {len(t) + 3} AND c{i} <= {len(t) + 3}" for i, t in enumerate(("article", "nav", "title"))) + " AS ok, ((len(html) - len(replace(html, '<p', ''))) // 2)::INT AS paragraphs FROM c",
     "summarize_page_tags": "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS heading FROM pages",
     "filter_by_token_length": "SELECT doc_id, lang FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 300",
-    "attach_query_ids": "SELECT format('{}-{:08d}', source, doc_id) AS query_id, doc_id FROM documents",
-    "prompt_from_problem": """SELECT item_id, '[{"role":"user","content":' || length(text) || '}]' AS messages, '\\boxed{' || item_id || '}' AS answer FROM benchmark""",
+    "attach_query_ids": "SELECT format('docs-{:08d}', row_number() OVER (ORDER BY doc_id) - 1) AS query_id, doc_id FROM documents WHERE source <> 'web'",
+    "prompt_from_problem": """SELECT item_id, to_json([{'role': 'user', 'content': text}])::VARCHAR AS messages, '\\boxed{' || item_id || '}' AS answer FROM benchmark""",
     "version_bounds": f"{T} SELECT conv_id, coalesce(list_min(list_filter(versions, lambda v: v > 0)), 0) AS min_version, list_max(versions) AS max_version, len(input_ids)::INT AS n FROM token_rows",
     "masked_stats": f"{T}, m AS (SELECT conv_id, list_transform(list_filter(list_zip(logprobs, loss_mask), lambda x: x[2] = 1), lambda x: x[1]) AS k FROM token_rows) SELECT conv_id, round(list_avg(k), 6) AS lp_avg, round(list_min(k), 6) AS lp_min, round(list_max(k), 6) AS lp_max, round(list_sum(k), 6) AS lp_sum FROM m",
     "staleness_stats": f"{T}, t AS (SELECT conv_id, unnest(versions) AS v, unnest(loss_mask) AS m FROM token_rows) SELECT conv_id % 16 AS batch, round(avg(20 - v), 6) AS mean, max(20 - v) AS most, min(20 - v) AS least, count(*) AS tokens FROM t WHERE m = 1 AND v >= 0 GROUP BY 1",
@@ -181,8 +195,5 @@ ORACLES = {
     "ppo_token_loss": f"{_G}, l AS (SELECT batch, ratio, advantage, greatest(-advantage * ratio, -advantage * greatest(0.8::DOUBLE, least(1.28::DOUBLE, ratio))) AS w FROM g) SELECT batch, round(avg(CASE WHEN advantage < 0 THEN least(-advantage * 3.0, w) ELSE w END), 6) AS loss, round(avg(ratio), 6) AS ratio FROM l GROUP BY 1",
     "sapo_token_loss": f"{_G}, l AS (SELECT *, CASE WHEN advantage > 0 THEN 1.0::DOUBLE ELSE 1.05::DOUBLE END AS tau FROM g) SELECT batch, round(avg(-(4 / tau) / (1 + exp(-tau * (ratio - 1))) * advantage), 6) AS loss FROM l GROUP BY 1",
     "critic_loss": f"{_G}, l AS (SELECT batch, logprob_gap AS v, advantage AS t, reward / 2 + greatest(-0.2::DOUBLE, least(0.2::DOUBLE, logprob_gap - reward / 2)) AS n FROM g) SELECT batch, round(avg(0.5 * greatest((v - t) * (v - t), (n - t) * (n - t))), 6) AS loss FROM l GROUP BY 1",
-    "m2po_clip_range": f"{_G}, m AS (SELECT batch, least((logprob_gap - 0.5) * (logprob_gap - 0.5), 1.0) AS m2 FROM g WHERE advantage * (logprob_gap - 0.5) > 0), b AS (SELECT batch, floor(m2 * 4096)::BIGINT AS bin, count(*) AS n, sum(m2) AS s FROM m GROUP BY 1, 2), k AS (SELECT batch, bin, sum(s) OVER w / sum(n) OVER w AS mean FROM b WINDOW w AS (PARTITION BY batch ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), t AS (SELECT batch, sqrt((max(bin) + 1) / 4096.0::DOUBLE) AS tau FROM k WHERE mean < 0.04 GROUP BY 1) SELECT batch, round(least(1 - exp(-tau), 0.95), 6) AS low, round(least(exp(tau) - 1, 20.0), 6) AS high FROM t",
-    "pack_token_budget": f"{R} {_PACK}",
-    "balance_batches": f"{R} SELECT batch, rows, least(rows, 8) AS groups, tokens FROM ({_PACK})",
-    "contiguous_partition": f"{R} {_PACK}",
+    "m2po_clip_range": f"{_M2PO}, t AS (SELECT batch, count(m2) AS n, avg(m2) AS mean, sqrt(coalesce(max(m2) FILTER (upto < 0.04), min(m2))) AS tau FROM c GROUP BY 1) SELECT batch, round(CASE WHEN n = 0 OR mean <= 0.04 THEN 0.95 ELSE least(1 - exp(-tau), 0.95) END, 6) AS low, round(CASE WHEN n = 0 OR mean <= 0.04 THEN 20.0 ELSE least(exp(tau) - 1, 20.0) END, 6) AS high FROM t",
 }

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tidewheel.functions.hashing import hash_uniform
 
@@ -52,3 +54,72 @@ def parse_price(text: Column) -> Column:
     """Up to two prices of a ``$``-separated text; 100 where there is none."""
     parts = F.filter(F.transform(F.split(text, "\\$"), lambda p: F.regexp_replace(p, "[^0-9.]", "").try_cast("double")), lambda p: p.isNotNull())
     return F.when(F.size(parts) > 0, F.slice(parts, 1, 2)).otherwise(F.array(F.lit(100.0)))
+
+
+def lookup(items: DataFrame, queries: DataFrame, *, draws: int, seed: int) -> DataFrame:
+    """``query_id, item``: what a query's ``mode`` and ``value`` find: ``<a>`` an attribute, ``<c>`` a category, ``<q>`` a query; ``<r>`` ``draws`` items by hash.
+
+    Attributes are exploded and joined by value like the other keys; a random query takes its items by the order of
+    a hash, a bounded top of each task first.
+    """
+    keys = F.concat(F.transform("attributes", lambda a: F.struct(F.lit("<a>").alias("mode"), a.alias("value"))), F.array(F.struct(F.lit("<c>").alias("mode"), F.col("category").alias("value")), F.struct(F.lit("<q>").alias("mode"), F.col("query").alias("value"))))
+    found = items.select("item", F.explode(keys).alias("k")).select("item", "k.mode", "k.value").distinct().join(queries, ["mode", "value"]).select("query_id", "item")
+    best = items.select("item", hash_uniform(seed, F.col("item")).alias("u")).orderBy("u", "item").limit(draws).select("item")
+    return found.unionByName(queries.where("mode = '<r>'").select("query_id").join(F.broadcast(best)))  # best: ``draws`` rows
+
+
+def category_match(own: Column, wanted: Column) -> Column:
+    """Whether two paths of categories share at least two distinct ones, in any order."""
+    parts = lambda c: F.array_distinct(F.transform(F.split(c, "›"), lambda x: F.trim(x)))
+    return F.size(F.array_intersect(parts(own), parts(wanted))) >= 2
+
+
+def type_reward(query_match: Column, categories: Column, own: Column, wanted: Column) -> Column:
+    """1, .5, .1 or 0 by query, categories and the share of the wanted name's nouns (arrays) that the own name has."""
+    nouns = F.array_distinct(F.transform(wanted, lambda w: F.lower(w)))
+    share = F.when(F.size(wanted) == 0, 0.2).otherwise(F.size(F.array_intersect(nouns, F.transform(own, lambda w: F.lower(w)))) / F.size(wanted))
+    return F.when(share == 0, 0.0).when(share < 0.1, 0.1).when(query_match | categories | (share > 0.2), 1.0).otherwise(0.5)
+
+
+def purchase_reward(rows: DataFrame, *, similar: float = 85.0) -> DataFrame:
+    """``r_type, attributes_met, options_met, reward`` of a purchase against its goal.
+
+    Columns of the purchase: ``query, categories, nouns, attributes, texts`` (array), ``options, price``; of the goal:
+    the same with ``goal_`` in front and ``goal_price`` as the most it may cost (0: no bound, and then no reward). A
+    wanted attribute is met by one like it or by a text with it, an option by one like it.
+    """
+    near = lambda wanted, own: like_any(F.col(wanted), F.col(own), F.lit(similar))
+    made = rows.withColumn("_attributes", near("goal_attributes", "attributes")).withColumn("_options", near("goal_options", "options"))
+    said = lambda g: F.exists("texts", lambda t: F.contains(F.lower(t), g))
+    made = made.withColumn("attributes_met", F.size(F.filter("goal_attributes", lambda g: F.array_contains("_attributes", g) | said(g)))).withColumn("options_met", F.size("_options"))
+    made = made.withColumn("r_type", type_reward(F.col("query") == F.col("goal_query"), category_match(F.col("categories"), F.col("goal_categories")), F.col("nouns"), F.col("goal_nouns")))
+    cheap = F.when(F.col("goal_price") > 0, (F.col("price") <= F.col("goal_price")).cast("int"))
+    parts = F.size("goal_attributes") + F.size("goal_options") + 1
+    return made.withColumn("reward", (F.col("attributes_met") + F.col("options_met") + cheap) / parts * F.col("r_type")).drop("_attributes", "_options")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def like_any(wanted: pd.Series, own: pd.Series, similar: pd.Series) -> pd.Series:
+    """The wanted strings whose token-set ratio with one of the own is over ``similar``."""
+    return pd.Series([[g for g in w if any(token_set_ratio(p, g) > s for p in o)] for w, o, s in zip(wanted, own, similar, strict=True)])
+
+
+def token_set_ratio(a: str, b: str) -> float:
+    """Greatest similarity (twice the common subsequence over both lengths, in hundredths) of what two word sets share and each as a whole."""
+    x, y = set(a.lower().split()), set(b.lower().split())
+    if not x or not y:
+        return 0.0
+    both = " ".join(sorted(x & y))
+    left, right = (" ".join(p for p in (both, " ".join(sorted(z))) if p) for z in (x - y, y - x))
+    pairs = [(left, right)] + ([(both, left), (both, right)] if both else [])
+    return max(200.0 * _common(p, q) / (len(p) + len(q)) for p, q in pairs)
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions.hashing import hash_uniform
 
+#: The trailing request of prompts, and the page furniture of shopping states.
+STEPS_SUFFIX = r"(?i)(\r?\n|\\n)*\s*Let'?s\s+think\s+step\s+by\s+step\s+and\s+output\s+the\s+final\s+answer\s+within\s*\\boxed\{\}\.\s*$"
+GOAL_NOISE = ["amazon shopping game\ninstruction:", "webshop\ninstruction:", "\n[button] search [button_]"]
+PRICE_CLAUSE = ", and price lower than"
+
 
 def clean_boxed(answer: Column) -> Column:
     """Without ``$\\boxed{`` and then without the trailing characters ``}`` and ``$``."""
@@ -49,12 +54,67 @@ def sample_negatives(candidates: DataFrame, sample: str, positive: Column, item:
     return kept.withColumn("positive", F.col("_pos")).drop("_pos", "_r", "_has")
 
 
-def expand_options(rows: DataFrame, options: list[str], most: int) -> DataFrame:
-    """One row for every combination of the option arrays; products of more than ``most`` are left out."""
-    size = F.lit(1)
-    for o in options:
-        size = size * F.greatest(F.size(o), F.lit(0))
-    out = rows.where(size <= most)
+def expand_options(rows: DataFrame, options: list[str]) -> DataFrame:
+    """One row for every combination of the option arrays, however many; none where an option has no value."""
+    out = rows
     for o in options:
         out = out.withColumn(o, F.explode(o))
     return out
+
+
+def numbered(rows: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
+    """``name``: the position of each row from 0 by the numeric column ``order``, without gaps and without one sorted partition.
+
+    Quantiles cut the order into ranges; a range's rows are numbered in it, behind the count of all before. Nulls come first; equal values are numbered in any order.
+    """
+    cuts = sorted(set(rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)))
+    bucket = F.lit(0)
+    if cuts:
+        bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))), F.lit(0))
+    marked = rows.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(bucket))
+    counts = marked.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return marked.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + place).drop("_range", "_before")
+
+
+def strip_suffix(text: Column) -> Column:
+    """Without a trailing request to reason in steps and to box the answer, whatever its case and line breaks."""
+    return F.regexp_replace(text, STEPS_SUFFIX, "")
+
+
+def prompt_messages(problem: Column) -> Column:
+    """A problem as the messages of a chat: one of the user's."""
+    return F.array(F.struct(F.lit("user").alias("role"), problem.alias("content")))
+
+
+def code_question(content: Column, starter: Column, intro: str, starter_format: Column, stdin_format: str) -> Column:
+    """A coding problem with the format that its answer must have; ``starter_format`` already holds the starter code."""
+    how = F.when(F.length(F.trim(F.coalesce(starter, F.lit("")))) > 0, starter_format).otherwise(F.lit(stdin_format))
+    return F.concat(F.lit(f"{intro}\n\n### Question:\n"), F.trim(F.coalesce(content, F.lit(""))), F.lit("\n\n### Format: "), how, F.lit("\n\n### Answer: (use the provided format with backticks)\n\n\n"))
+
+
+def code_cases(public: Column, private: Column, metadata: Column) -> Column:
+    """Public and then private JSON cases as JSON of inputs and outputs: with the function's name, or lines of a program."""
+    read = lambda c: F.coalesce(F.from_json(c, "array<struct<input:string,output:string>>"), F.array())
+    cases = F.concat(read(public), read(private))
+    name = F.get_json_object(metadata, "$.func_name")
+    line = lambda x: F.when(x.endswith("\n"), x).otherwise(F.concat(x, F.lit("\n")))
+    called = F.to_json(F.struct(F.transform(cases, lambda x: x["input"]).alias("inputs"), F.transform(cases, lambda x: x["output"]).alias("outputs"), name.alias("fn_name")))
+    piped = F.to_json(F.struct(F.transform(cases, lambda x: line(x["input"])).alias("inputs"), F.transform(cases, lambda x: line(x["output"])).alias("outputs"), F.lit(False).alias("remote")))
+    return F.when(F.coalesce(name, F.lit("")) != "", called).otherwise(piped)
+
+
+def goal_searches(goals: DataFrame, searches: str, known: DataFrame, first: int, last: int | None) -> DataFrame:
+    """A row for each search of a cleaned ``goal`` that is among ``known`` (``goal, place``) at a place of [first, last)."""
+    inside = F.col("place") >= first if last is None else F.col("place").between(first, last - 1)
+    at = known.groupBy("goal").agg(F.min("place").alias("place")).where(inside)
+    return goals.select("goal", F.explode(searches).alias("search")).join(at.select("goal"), "goal", "left_semi")
+
+
+def clean_goal(text: Column) -> Column:
+    """Lower case, without quotes, page headers and the search button, up to the clause about the price."""
+    bare = F.regexp_replace(F.lower(text), "[\"']", "")
+    for part in GOAL_NOISE:
+        bare = F.replace(bare, F.lit(part), F.lit(""))
+    return F.split_part(F.btrim(bare, F.lit(" \n\t\r")), F.lit(PRICE_CLAUSE), F.lit(1))

@@ -53,3 +53,8 @@ def scoreboard(results: DataFrame, agent: str, task: str, tasks: list[str], metr
 
 def remaining(pairs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.join(done, keys, "left_anti")
+
+
+def expand_runs(samples: DataFrame, k: int) -> DataFrame:
+    """``k`` runs of every sample, ``run_idx`` from 0."""
+    return samples.withColumn("run_idx", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.functions.lineage import cut
+
 
 def reach(entities: DataFrame, triples: DataFrame, relation: str) -> DataFrame:
     """Distinct objects of ``entities`` (``s``) by one relation."""
@@ -49,3 +51,62 @@ def chain_depth(edges: DataFrame, max_depth: int) -> DataFrame:
         level = edges.join(level.withColumnRenamed("item", "part"), "part", "left_semi").select("item").distinct()
         depth = depth.unionByName(level.withColumn("depth", F.lit(d)))
     return depth.groupBy("item").agg(F.max("depth").alias("depth"))
+
+
+def base_materials(targets: DataFrame, recipes: DataFrame, ingredients: DataFrame, stock: DataFrame) -> DataFrame:
+    """``target, item, needed``: what must be had to make each target's ``count`` of ``item`` beside the stock.
+
+    ``recipes`` (``item, makes``) and ``ingredients`` (``item, part, uses``) are the first recipe of each item; ``stock``
+    (``item, have``) covers a need whole or is taken from it. Needs go down level by level, each written before the
+    next, until none is left to make; an item met again on its own path needs nothing more, so cycles end.
+    """
+    kind = dict(targets.dtypes)["item"]
+    level = cut(targets.select("target", "item", F.col("count").cast("long").alias("count"), F.array().cast(f"array<{kind}>").alias("path")))
+    base = None
+    while True:
+        open_ = cut(level.join(stock, "item", "left").withColumn("lack", F.col("count") - F.coalesce("have", F.lit(0))).where("lack > 0").join(recipes, "item", "left"))
+        found = open_.where("makes IS NULL").select("target", "item", F.col("lack").alias("needed"))
+        base = found if base is None else base.unionByName(found)
+        crafts = F.ceil(F.col("lack") / F.col("makes"))
+        down = open_.where("makes IS NOT NULL").join(ingredients, "item").select("target", F.col("part").alias("item"), (crafts * F.col("uses")).cast("long").alias("count"), F.concat("path", F.array("item")).alias("path"))
+        level = down.where(~F.array_contains("path", F.col("item")))
+        if not level.limit(1).count():
+            return base.groupBy("target", "item").agg(F.sum("needed").alias("needed"))
+
+
+def recipe_chain(targets: DataFrame, ingredients: DataFrame) -> DataFrame:
+    """``target, item, depth``: the recipes that a target's chain uses, from itself (0) down; an item on its own path ends it."""
+    makes = ingredients.select("item").distinct()
+    level = cut(targets.select("target", "item").join(makes, "item", "left_semi").withColumn("path", F.array("item")))
+    chain, d = level.select("target", "item", F.lit(0).alias("depth")), 0
+    while level.limit(1).count():
+        d += 1
+        down = level.join(ingredients, "item").where(~F.array_contains("path", F.col("part"))).select("target", F.col("part").alias("item"), F.concat("path", F.array("part")).alias("path"))
+        level = cut(down.join(makes, "item", "left_semi"))
+        chain = chain.unionByName(level.select("target", "item", F.lit(d).alias("depth")))
+    return chain
+
+
+def tag_rules(tags: DataFrame, kinds: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """``tag, how, pattern`` of each ``tag``: from ``kinds``, or for ``<wood>_logs`` and ``<wood>_stems`` that wood's logs and stems."""
+    low = F.lower("tag")
+    wood = F.regexp_replace(low, "_(logs|stems)$", "")
+    own = F.lit(None).cast("array<struct<how:string,pattern:string>>")
+    for name, rules in reversed(kinds.items()):
+        own = F.when(low == name, F.array(*[F.struct(F.lit(h).alias("how"), F.lit(p).alias("pattern")) for h, p in rules])).otherwise(own)
+    woods = F.array(*[F.struct(F.lit("starts").alias("how"), F.concat(wood, F.lit(end)).alias("pattern")) for end in ("_log", "_stem")])
+    return tags.select("tag", F.explode(F.coalesce(own, F.when(low.rlike(".+_(logs|stems)$"), woods))).alias("r")).select("tag", "r.how", "r.pattern")
+
+
+def tag_items(rules: DataFrame, items: DataFrame) -> DataFrame:
+    """``tag, item``: items that match any rule of a tag. Each way of matching is an equi-join on the item's own starts or ends."""
+    starts = F.transform(F.sequence(F.lit(1), F.length("item")), lambda n: F.substring(F.col("item"), F.lit(1), n))
+    ends = F.transform(F.sequence(F.lit(1), F.length("item")), lambda n: F.right(F.col("item"), n))
+    keys = F.concat(F.transform(starts, lambda x: F.struct(F.lit("starts").alias("how"), x.alias("pattern"))), F.transform(ends, lambda x: F.struct(F.lit("ends").alias("how"), x.alias("pattern"))), F.array(F.struct(F.lit("is").alias("how"), F.col("item").alias("pattern"))))
+    each = items.select("item").distinct().where("length(item) > 0").select("item", F.explode(keys).alias("k")).select("item", "k.how", "k.pattern")
+    return each.join(rules, ["how", "pattern"]).select("tag", "item").distinct()
+
+
+def targets_met(targets: Column, stock: Column) -> Column:
+    """1 where the stock (a map) has at least the count of every target (a map)."""
+    return F.forall(F.map_entries(targets), lambda t: F.coalesce(F.try_element_at(stock, t["key"]), F.lit(0)) >= t["value"]).cast("int")

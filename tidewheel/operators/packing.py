@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int, min_groups: int = 1, divisor: int = 1) -> list[list[int]]:
     """Groups of indices with sums up to ``capacity``: longest first into the fitting group of fewest items, then least sum.
 
-    There are at least ``min_groups``, in a multiple of ``divisor``. A length over the capacity is an error.
+    There are at least ``min_groups``, in a multiple of ``divisor``: where they aren't, all are allocated again from
+    the next multiple on. A length over the capacity is an error; with fewer lengths than groups some stay empty.
     """
     if any(x > capacity for x in lengths):
         raise ValueError("a sequence is longer than the budget")
+    least = max(min_groups, divisor)
+    while True:
+        groups = _allocate(lengths, capacity, least)
+        if len(groups) % divisor == 0:
+            return groups
+        least += divisor - least % divisor
+
+
+def _allocate(lengths: list[int], capacity: int, min_groups: int) -> list[list[int]]:
     groups: list[list[int]] = [[] for _ in range(min_groups)]
     sums = [0] * min_groups
     for i in sorted(range(len(lengths)), key=lambda j: (-lengths[j], j)):
@@ -25,8 +35,6 @@ def first_fit_decreasing(lengths: list[int], capacity: int, min_groups: int = 1,
         g = min(fit, key=lambda g: (len(groups[g]), sums[g], g))
         groups[g].append(i)
         sums[g] += lengths[i]
-    while len(groups) % divisor:
-        groups.append([])
     return groups
 
 
@@ -97,5 +105,10 @@ def contiguous_partition(rows: DataFrame, batch: str, key: str, length: str, par
     return _assign(rows, batch, key, length, "part", choose)
 
 
-def packed_sums(packed: DataFrame, batch: str, group: str, length: str) -> DataFrame:
-    return packed.groupBy(batch).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(group).alias("groups"), F.sum(length).cast("long").alias("tokens"))
+def redistribute_ranks(rows: DataFrame, batch: str, order: str, length: str, *, granularity: int, ranks: int) -> DataFrame:
+    """``rank`` of every row: runs of ``granularity`` rows in order stay together, and ranks get about as many tokens."""
+    place = F.row_number().over(Window.partitionBy(batch).orderBy(order)) - 1
+    cut = rows.withColumn("segment", F.floor(place / granularity).cast("int"))
+    sums = cut.groupBy(batch, "segment").agg(F.sum(length).cast("long").alias("_tokens"))
+    dealt = pack_token_budget(sums, batch, "segment", "_tokens", capacity=1 << 62, min_groups=ranks)
+    return cut.join(dealt.select(batch, "segment", F.col("pack").alias("rank")), [batch, "segment"])

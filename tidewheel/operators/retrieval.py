@@ -77,6 +77,12 @@ def page_key(url: Column) -> Column:
     return F.regexp_replace(F.replace(F.replace(bare, F.lit("index.php/"), F.lit("index.php?title=")), F.lit("_"), F.lit("%20")), "/+$", "")
 
 
+def access(requests: DataFrame, pages: DataFrame) -> DataFrame:
+    """``request, page_id`` of every request: the page (``page_id, url``; the least of several) with its key, or null."""
+    known = pages.groupBy(page_key(F.col("url")).alias("_key")).agg(F.min("page_id").alias("page_id"))
+    return requests.withColumn("_key", page_key(F.col("request"))).join(known, "_key", "left").drop("_key")
+
+
 def neighbours(links: DataFrame, visited: DataFrame) -> DataFrame:
     """Pages that a visited page links to or is linked from (``url, near``), less those visited."""
     both = links.select("url", F.col("target").alias("near")).unionByName(links.select(F.col("target").alias("url"), F.col("url").alias("near")))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,39 +51,123 @@ def explode_tokens(rows: DataFrame, *arrays: str, keep: tuple[str, ...] = ()) ->
     return rows.select(*keep, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "_t")).select(*keep, "pos", *[F.col(f"_t.{a}").alias(a) for a in arrays])
 
 
-def clip_range(tokens: DataFrame, batch: str, gap: str, mask: Column, *, threshold: float, top: int = 4096) -> DataFrame:
+def clip_range(tokens: DataFrame, batch: str, gap: str, mask: Column, *, threshold: float) -> DataFrame:
     """The trust region of each batch: squared gaps of masked tokens are dropped from the largest until the rest's mean is below ``threshold``.
 
-    Gaps are counted in bins of their value first, so a batch of any size is a bounded histogram and not one
-    sorted group; the bound is exact to the bin (``top`` bins of the range up to 1).
+    ``low`` and ``high`` are .95 and 20 without masked tokens or with a mean that already is at most ``threshold``;
+    they come from the largest gap that stays, or from the least where the rest never gets below. Equal gaps are
+    counted once, and a batch is what a trainer takes in a step, so its distinct gaps fit a task's sort.
     """
-    m2 = F.least(F.col(gap) * F.col(gap), F.lit(1.0))
-    bins = tokens.where(mask).groupBy(batch, F.floor(m2 * top).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(m2).alias("s"))
-    from pyspark.sql import Window
-
-    up = Window.partitionBy(batch).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = bins.withColumn("mean", F.sum("s").over(up) / F.sum("n").over(up)).where(F.col("mean") < threshold)
-    tau = F.sqrt((F.max("bin") + 1) / top)
-    return kept.groupBy(batch).agg(F.least(1 - F.exp(-tau), F.lit(0.95)).alias("low"), F.least(F.exp(tau) - 1, F.lit(20.0)).alias("high"))
+    m2 = F.when(mask, F.col(gap) * F.col(gap))
+    values = tokens.groupBy(batch, m2.alias("m2")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(batch).orderBy("m2").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("m2") * F.col("n")
+    # a value stays if its first copy keeps the mean of all up to it below the threshold
+    upto = (F.coalesce(F.sum(total).over(before), F.lit(0.0)) + F.col("m2")) / (F.coalesce(F.sum(F.when(F.col("m2").isNotNull(), F.col("n"))).over(before), F.lit(0)) + 1)
+    own = values.withColumn("_upto", upto).groupBy(batch).agg(F.sum(total).alias("sum"), F.sum(F.when(F.col("m2").isNotNull(), F.col("n"))).alias("n"), F.max(F.when(F.col("_upto") < threshold, F.col("m2"))).alias("most"), F.min("m2").alias("least"))
+    tau = F.sqrt(F.coalesce("most", "least"))
+    free = F.col("n").isNull() | (F.col("sum") / F.col("n") <= threshold)
+    low, high = F.when(free, 0.95).otherwise(F.least(1 - F.exp(-tau), F.lit(0.95))), F.when(free, 20.0).otherwise(F.least(F.exp(tau) - 1, F.lit(20.0)))
+    return own.select(batch, low.alias("low"), high.alias("high"))
 
 
 def gae(rows: DataFrame, *, gamma: float, lam: float, out: str = "advantages") -> DataFrame:
-    """Advantages by the backward recursion over ``rewards`` and ``values``; masked tokens are skipped, the last starts from 0.
+    """Advantages by the backward recursion over ``rewards`` and ``values``; masked tokens are skipped, the last starts from 0."""
+    return rows.withColumn(out, _backward(F.col("rewards"), F.col("values"), F.col("loss_mask"), F.lit(0.0), gamma, lam))
+
+
+def _backward(rewards: Column, values: Column, mask: Column, after: Column, gamma: float, lam: float) -> Column:
+    """The recursion as one fold over the reversed arrays; ``after`` is the value behind the last token. 0 where masked."""
+    steps = F.reverse(F.arrays_zip(rewards.alias("r"), values.alias("v"), mask.alias("m")))
+    start = F.struct(F.lit(0.0).alias("adv"), after.cast("double").alias("next"), F.array().cast("array<double>").alias("out"))
+
+    def step(a: Column, t: Column) -> Column:
+        new = t["r"].cast("double") + gamma * a["next"] - t["v"].cast("double") + gamma * lam * a["adv"]
+        on = t["m"] > 0
+        return F.struct(F.when(on, new).otherwise(a["adv"]).alias("adv"), F.when(on, t["v"].cast("double")).otherwise(a["next"]).alias("next"), F.concat(a["out"], F.array(F.when(on, new).otherwise(F.lit(0.0)))).alias("out"))
+
+    return F.aggregate(steps, start, step, lambda a: F.reverse(a["out"]))
 
-    Sequential in time and local to a row, so it runs on Arrow lists with NumPy.
+
+def shifted(values: Column, last: Column) -> Column:
+    """Each position's successor; ``last`` for the end."""
+    return F.when(F.size(values) > 0, F.concat(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.array(last))).otherwise(values)
+
+
+def advantages(rows: DataFrame, *, gamma: float, lam: float, kl_weight: float, kind: str = "k1") -> DataFrame:
+    """``kl_rewards, tot_rewards, advantages, returns`` of sequences (``logprobs, ref_logprobs, loss_mask, values, reward``).
+
+    The mask and log-probabilities are those of the token that each position predicts. The divergence from the
+    reference is a negative reward of each such token, none at the end, and the sequence's reward is added at the
+    last but one; the recursion skips positions outside the mask, where the advantage is 0.
+    """
+    n = F.size("loss_mask")
+    made = rows.withColumn("_mask", shifted(F.col("loss_mask"), F.lit(0)))
+    gap = F.zip_with(shifted(F.col("logprobs"), F.lit(0.0)), shifted(F.col("ref_logprobs"), F.lit(0.0)), lambda a, b: a - b)
+    made = made.withColumn("kl_rewards", F.transform(F.zip_with(gap, F.col("_mask"), lambda g, m: g * m), lambda g: -kl_weight * kl(g, kind)))
+    at = F.greatest(n - 2, F.lit(0))
+    made = made.withColumn("tot_rewards", F.transform("kl_rewards", lambda r, i: F.when(i == n - 1, 0.0).otherwise(r) + F.when(i == at, F.col("reward")).otherwise(F.lit(0.0))))
+    made = made.withColumn("advantages", _backward(F.col("tot_rewards"), F.col("values"), F.col("_mask"), F.lit(0.0), gamma, lam))
+    return made.withColumn("returns", F.zip_with("advantages", "values", lambda a, v: a + v)).drop("_mask")
+
+
+def build_sequence(prompt: Column, answer: Column, logprobs: Column, versions: Column) -> list[Column]:
+    """A prompt and its answer as aligned arrays: the prompt has log-probability 0, mask 0 and version -1."""
+    before = lambda x: F.transform(prompt, lambda _: x)
+    return [
+        F.concat(prompt, answer).alias("input_ids"), F.concat(before(F.lit(0)), F.transform(answer, lambda _: F.lit(1))).alias("loss_mask"), F.concat(before(F.lit(0.0)), logprobs).alias("logprobs"),
+        F.concat(before(F.lit(-1)), versions).alias("versions"), F.transform(F.concat(prompt, answer), lambda _: F.lit(True)).alias("attention_mask"),
+    ]
+
+
+def merge_prefix_turns(turns: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``sequences`` of each trajectory, its turns (``input_ids, output_ids, logprobs, versions``) taken in order.
+
+    A turn whose input begins with a sequence so far extends the first such one: what the input has beside it gets
+    mask 0, log-probability 0 and version -1. Any other turn begins a sequence. One fold over the trajectory's turns.
     """
+    turn = F.struct(order, "input_ids", "output_ids", "logprobs", "versions")
+    own = turns.groupBy(*keys).agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
+    start = F.array().cast("array<struct<input_ids:array<int>,loss_mask:array<int>,logprobs:array<double>,versions:array<int>>>")
 
-    @F.pandas_udf("array<double>")
-    def run(rewards: pd.Series, values: pd.Series, mask: pd.Series) -> pd.Series:
-        result = []
-        for r, v, m in zip(rewards, values, mask, strict=True):
-            adv, after, following = np.zeros(len(r)), 0.0, 0.0
-            for t in range(len(r) - 1, -1, -1):
-                if m[t]:
-                    after = r[t] + gamma * following - v[t] + gamma * lam * after
-                    following = v[t]
-                    adv[t] = after
-            result.append(adv)
-        return pd.Series(result)
-
-    return rows.withColumn(out, run("rewards", "values", "loss_mask"))
+    def grow(t: Column, old: Column | None) -> Column:
+        have = F.size(old["input_ids"]) if old is not None else F.lit(0)
+        gap = F.slice(t["input_ids"], have + 1, F.greatest(F.size(t["input_ids"]) - have, F.lit(0)))
+        fill = lambda x: F.transform(gap, lambda _: x)
+        added = {"loss_mask": [fill(F.lit(0)), F.transform(t["output_ids"], lambda _: F.lit(1))], "logprobs": [fill(F.lit(0.0)), t["logprobs"]], "versions": [fill(F.lit(-1)), t["versions"]]}
+        return F.struct(F.concat(t["input_ids"], t["output_ids"]).alias("input_ids"), *[F.concat(*([old[k]] if old is not None else []), *v).alias(k) for k, v in added.items()])
+
+    def merge(done: Column, t: Column) -> Column:
+        fits = F.transform(done, lambda s: (F.size(t["input_ids"]) >= F.size(s["input_ids"])) & (F.slice(t["input_ids"], 1, F.size(s["input_ids"])) == s["input_ids"]))
+        first = F.array_position(fits, True)
+        return F.when(first == 0, F.concat(done, F.array(grow(t, None)))).otherwise(F.transform(done, lambda s, i: F.when(i + 1 == first, grow(t, s)).otherwise(s)))
+
+    return own.select(*keys, F.aggregate("_turns", start, merge).alias("sequences"))
+
+
+def pad_batch(rows: DataFrame, batch: str, length: str, fill: dict[str, Column]) -> DataFrame:
+    """Every array of ``fill`` filled up with its value to the longest of its batch; ``attention_mask`` tells the filling apart."""
+    longest = rows.groupBy(batch).agg(F.max(F.size(length)).alias("_most"))
+    made = rows.join(longest, batch).withColumn("_n", F.size(length))
+    out = [c for c in made.columns if c not in {*fill, "_most", "_n", "attention_mask"}]
+    padding = lambda x: F.array_repeat(x, F.col("_most") - F.col("_n"))
+    return made.select(*out, *[F.concat(F.col(c), padding(x)).alias(c) for c, x in fill.items()], F.concat(F.transform(F.col(length), lambda _: F.lit(1)), padding(F.lit(0))).alias("attention_mask"))
+
+
+def pack_batch(rows: DataFrame, batch: str, order: str, arrays: list[str]) -> DataFrame:
+    """A batch's arrays one behind the other, and ``cu_seqlens``: where each begins and the last ends. A batch is one micro-batch."""
+    own = rows.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct(order, *arrays))).alias("_r"))
+    lengths = F.transform(F.col(f"_r.{arrays[0]}"), lambda a: F.size(a))
+    sums = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    return own.select(batch, sums.alias("cu_seqlens"), *[F.flatten(F.col(f"_r.{c}")).alias(c) for c in arrays])
+
+
+def route_tokens(rows: DataFrame, models: list[int]) -> DataFrame:
+    """A copy of each sequence for every model with tokens in it, whose ``loss_mask`` keeps that model's (``model_ids``).
+
+    Sequences without ``model_ids`` or ``loss_mask`` go to every model as they are.
+    """
+    each = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    whole = F.col("model_ids").isNull() | F.col("loss_mask").isNull()
+    own = F.zip_with("loss_mask", "model_ids", lambda m, i: F.when(i == F.col("model"), m).otherwise(F.lit(0)))
+    return each.withColumn("_own", F.when(whole, F.col("loss_mask")).otherwise(own)).where(whole | F.exists("_own", lambda m: m > 0)).withColumn("loss_mask", F.col("_own")).drop("_own")

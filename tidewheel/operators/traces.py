@@ -19,18 +19,19 @@ def step_boundaries(sessions: DataFrame, tasks_per_step: int) -> DataFrame:
 def assign_steps(sessions: DataFrame, boundaries: DataFrame, slot: float) -> DataFrame:
     """Each session's first step that ends at or after it; null after the last.
 
-    An as-of join by slots of time: boundaries and sessions meet in slots of ``slot`` seconds. The steps of a slot
-    are looked up there, and a session after a slot's last boundary takes the first of the next slot that has one,
-    which is carried back over the (few) boundaries and not over the sessions.
+    An as-of join by slots of ``slot`` seconds: in a slot, sessions and step ends are sorted together once, and each
+    session takes the next end behind it. One behind its slot's last end takes the first of the next slot that has
+    any; for that, the distinct slots alone are put in order, a row each.
     """
-    b = boundaries.withColumn("slot", F.floor(F.col("step_end") / slot).cast("long"))
-    first = b.groupBy("slot").agg(F.min(F.struct("step_end", "step")).alias("first"))
-    spans = first.withColumn("until", F.col("slot")).withColumn("since", F.coalesce(F.lag("slot").over(Window.orderBy("slot")), F.col("slot") - 1_000_000))
-    s = sessions.withColumn("slot", F.floor(F.col("finalized_ts") / slot).cast("long"))
-    inside = s.join(b.select("slot", "step_end", "step"), "slot").where(F.col("step_end") >= F.col("finalized_ts")).groupBy("session_id").agg(F.min("step").alias("_in"))
-    later = F.broadcast(spans.select("since", "until", F.col("first.step").alias("_later")))  # one row a slot with boundaries
-    nxt = s.join(later, (s.slot >= later.since) & (s.slot < later.until), "left").select("session_id", "_later")
-    return s.join(inside, "session_id", "left").join(nxt, "session_id", "left").withColumn("step", F.coalesce("_in", "_later")).drop("slot", "_in", "_later")
+    b = boundaries.select(F.floor(F.col("step_end") / slot).cast("long").alias("slot"), F.col("step_end").alias("_at"), F.col("step").alias("_step"))
+    s = sessions.withColumn("slot", F.floor(F.col("finalized_ts") / slot).cast("long")).withColumn("_at", F.col("finalized_ts"))
+    both = s.withColumn("_step", F.lit(None).cast("long")).unionByName(b.withColumn("_end", F.lit(True)), allowMissingColumns=True)
+    behind = Window.partitionBy("slot").orderBy("_at", F.col("_end").asc_nulls_first(), "_step").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.withColumn("_in", F.first("_step", ignorenulls=True).over(behind)).where("_end IS NULL").drop("_end", "_at", "_step")
+    slots = s.select("slot").distinct().join(b.groupBy("slot").agg(F.min(F.struct("_at", "_step")).alias("_first")), "slot", "full")
+    later = Window.orderBy("slot").rowsBetween(1, Window.unboundedFollowing)
+    nxt = slots.select("slot", F.first("_first", ignorenulls=True).over(later)["_step"].alias("_later"))
+    return found.join(nxt, "slot", "left").withColumn("step", F.coalesce("_in", "_later")).drop("slot", "_in", "_later")
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:

@@ -172,3 +172,36 @@ def test_cjk_and_positions(spark):
     rows = spark.createDataFrame([(k * 3 % 101,) for k in range(101)] + [(None,)], "k int").repartition(5)
     assert {(r["k"], r["at"]) for r in datasets.numbered(rows, "k", "at", 7).collect()} == {(None, 0)} | {(k, k + 1) for k in range(101)}
     assert datasets.numbered(rows.limit(0), "k", "at").count() == 0
+
+
+def test_percentiles_and_places_in_buckets(spark):
+    import numpy as np
+
+    from tidewheel.functions.ranking import exact_percentiles, greatest_before, place_within
+    from tidewheel.operators import curation
+
+    rng = random.Random(8)
+    rows = [(k, rng.choice([1.0, 2.0, 2.0, rng.random() * 100, -5.0])) for k in range(4) for _ in range(rng.randrange(1, 200))] + [(9, 3.0), (1, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(4)
+    shares = {"p25": 0.25, "p50": 0.5, "p95": 0.95}
+    for r in exact_percentiles(df, ["k"], "v", shares, bins=7).collect():
+        own = [v for k, v in rows if k == r["k"] and v is not None]
+        assert [r[c] for c in shares] == [pytest.approx(np.quantile(own, s)) for s in shares.values()] and (r["n"], r["least"]) == (len(own), min(own))
+    assert exact_percentiles(df.limit(0), [], "v", shares).where("n > 0").count() == 0
+    events = spark.createDataFrame([(i % 2, float(i), (i * 37) % 100) for i in range(300)], "g int, t double, e int").repartition(4)
+    for r in greatest_before(events, ["g"], F.floor(F.col("t") / 16), [F.col("t")], "e", "top").collect():
+        before = [(i * 37) % 100 for i in range(int(r["t"])) if i % 2 == r["g"]]
+        assert r["top"] == (max(before) if before else None)
+    placed = place_within(events, ["g"], F.floor(F.col("t") / 16), [F.col("t")], "at", "all").collect()
+    assert all((r["at"], r["all"]) == (int(r["t"]) // 2, 150) for r in placed)
+    said = spark.createDataFrame([(i, i in (3, 20)) for i in range(30)], "prompt_id int, submit boolean").repartition(3)
+    assert sorted(r["prompt_id"] for r in curation.force_after(said, "prompt_id", 4).where("submit").collect()) == [3, 8, 13, 18, 20, 25]
+
+
+def test_ngrams_and_fingerprint(spark):
+    df = spark.createDataFrame([("The Red-Lamp of 100 x 1000 watts",)], "t string")
+    assert df.select(catalogue.ngrams(F.col("t"), F.array(F.lit("the"), F.lit("of"))).alias("n")).first()["n"] == ["red", "lamp", "1000", "watts", "red lamp", "lamp 1000", "1000 watts"]
+    rows = spark.range(500).select("id", (F.col("id") % 7).alias("b"))
+    prints = [catalogue.fingerprint(x, [F.col("id").cast("string"), F.col("b").cast("string")]).collect() for x in (rows, rows.orderBy(F.desc("id")).repartition(9))]
+    assert prints[0] == prints[1] and prints[0][0]["rows"] == 500
+    assert catalogue.fingerprint(rows.where("id < 499"), [F.col("id").cast("string")]).first()["fingerprint"] != prints[0][0]["fingerprint"]

@@ -45,7 +45,7 @@ def normalize_tests(spark, d):
 
 def prepare_eval_split(spark, d):
     rows = table(spark, d, "documents").select("lang", "doc_id")
-    return datasets.split_contiguous(rows, ["lang"], [hash_uniform(1, F.col("doc_id")), F.col("doc_id")], 4)
+    return datasets.split_contiguous(rows, ["lang"], hash_uniform(1, F.col("doc_id")), "doc_id", 4)
 
 
 def goal_split(spark, d):

@@ -8,6 +8,7 @@ from tidewheel.functions.hashing import hash_uniform_sql
 from tidewheel.operators import catalogue, graph, retrieval, traces
 from tidewheel.sources.adapters import links, sessions, table, triples, with_views
 
+STOP = ["of", "the"]
 S, K, L = with_views("sessions"), with_views("triples"), with_views("links")
 
 
@@ -90,7 +91,7 @@ def balance_report(spark, d):
 
 
 def _parts(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_type").alias("category"), F.split(F.concat_ws(" ", "p_name", "p_brand", F.concat(F.lit("size"), F.col("p_size").cast("string"))), " ").alias("terms"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_type").alias("category"), catalogue.ngrams(F.concat_ws(" ", F.initcap("p_name"), F.lit("of the"), F.replace("p_brand", F.lit("#"), F.lit("")), F.concat(F.lit("size"), F.col("p_size").cast("string")), F.lit("100 a 1000")), F.array(*[F.lit(w) for w in STOP])).alias("terms"))
 
 
 def dedup_products(spark, d):
@@ -193,9 +194,10 @@ def crafting_depth(spark, d):
 
 
 def table_md5(spark, d):
-    """Fingerprint of a table, independent of row order: digests of row digests, by prefix and then as one."""
-    row = F.md5(F.concat_ws(",", *[F.col(c).cast("string") for c in ("n_nationkey", "n_name", "n_regionkey")]))
-    return table(spark, d, "nation").select(row.alias("m")).groupBy(F.substring("m", 1, 1).alias("prefix")).agg(F.md5(F.array_join(F.sort_array(F.collect_list(F.substring("m", 1, 5))), ",")).alias("digest"))
+    """Fingerprint of all lines, independent of row order."""
+    t = table(spark, d, "lineitem")
+    text = lambda c, kind: F.when(F.col(c).isNull(), "").otherwise(F.format_string("%.2f", c) if kind == "double" else F.date_format(c, "yyyy-MM-dd") if kind.startswith("timestamp") else F.col(c).cast("string"))
+    return catalogue.fingerprint(t, [text(c, k) for c, k in t.dtypes])
 
 
 QUERIES = {f.__name__: f for f in (bm25_search, dense_topk, page_access, page_exists, neighbour_candidates, link_in_degree, time_offsets, step_boundaries, step_interval_assign, latency_quantiles, histogram_bins, idle_gaps, id_remap, phase_durations, balance_report, dedup_products, attribute_inverted_index, tfidf_terms, attribute_top_share, product_page, weighted_sample, catalogue_review_join, product_clean, build_search_documents, kg_neighbors, kg_relations, kg_connected, kg_compare, kg_count, kg_argmax, kg_intersect, kg_union, base_items, crafting_depth, table_md5)}
@@ -204,13 +206,17 @@ _TERMS = "list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9\\x{{80}}-\\x{{
 _KEY = "regexp_replace(replace(replace(regexp_replace(lower(regexp_replace({x}, '^[a-zA-Z]+://', '')), '[?#].*$', ''), 'index.php/', 'index.php?title='), '_', '%20'), '/+$', '')"
 _ASKED = "r AS (SELECT 'HTTPS://' || regexp_replace(url, '^[a-z]+://', '') || '#top' AS request FROM pages UNION SELECT target FROM links)"
 _U = hash_uniform_sql("'9'", "p_type", "draw::VARCHAR")
-_PARTS = "p AS (SELECT p_partkey AS item, p_type AS category, string_split(concat_ws(' ', p_name, p_brand, 'size' || p_size), ' ') AS terms FROM part)"
+_PARTS = "p AS (SELECT p_partkey AS item, p_type AS category, u || list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1]) AS terms FROM (SELECT *, list_filter([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(replace(p_brand, '#', '')), 'size' || p_size, '1000'], lambda w: len(w) > 1) AS u FROM part))"
 _TFIDF = f"""{_PARTS}, tf AS (SELECT item, category, term, count(*) AS tf FROM (SELECT item, category, unnest(terms) AS term FROM p) GROUP BY ALL), n AS (SELECT category, count(*) AS n FROM p GROUP BY 1),
 df AS (SELECT * FROM (SELECT category, term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY category ORDER BY cf DESC, term) <= 1000),
 w AS (SELECT item, category, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN df USING (category, term) JOIN n USING (category)),
 s AS (SELECT item, category, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY category, item)), 6) AS tfidf FROM w), t AS (SELECT *, (row_number() OVER (PARTITION BY category, item ORDER BY tfidf DESC, term))::INT AS rank FROM s QUALIFY rank <= 2)"""
 _STEPS = """e AS (SELECT rank, task_id, max(finalized_ts) AS task_end FROM sessions WHERE status = 'accepted' GROUP BY 1, 2), o AS (SELECT *, (row_number() OVER (PARTITION BY rank ORDER BY task_end, task_id) - 1) // 50 AS step FROM e),
 g AS (SELECT rank, step, max(task_end) AS fin FROM o GROUP BY 1, 2 HAVING count(*) = 50), b AS (SELECT step, max(fin) AS step_end FROM g GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT rank) FROM sessions))"""
+_MD5 = "WITH d7 AS (SELECT md5(concat_ws(',', l_orderkey::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR, l_linenumber::VARCHAR, printf('%.2f', l_quantity), printf('%.2f', l_extendedprice), printf('%.2f', l_discount), printf('%.2f', l_tax), l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'))) AS m, NULL::VARCHAR AS p FROM lineitem)"
+for _level in range(6, -1, -1):
+    _MD5 += f", d{_level} AS (SELECT substr({'m' if _level == 6 else 'p'}, 1, {_level}) AS p, md5(string_agg(m, ',' ORDER BY m)) AS m FROM d{_level + 1} GROUP BY 1)"
+_MD5 += " SELECT m AS fingerprint, (SELECT count(*) FROM d7) AS rows FROM d0"
 ORACLES = {
     "bm25_search": f"WITH w AS (SELECT doc_id, {_TERMS.format(x='text')} AS ws FROM documents), st AS (SELECT count(*) AS n, avg(len(ws)) AS ml FROM w), q AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS.format(x='text')}) AS term FROM benchmark), tf AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS l, unnest(ws) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2 / (tf + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * l / ml))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank FROM s) SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 5",
     "page_access": f"{L}, {_ASKED}, k AS (SELECT {_KEY.format(x='url')} AS key, min(page_id) AS page_id FROM pages GROUP BY 1) SELECT request, page_id FROM r LEFT JOIN k ON {_KEY.format(x='request')} = key",
@@ -245,5 +251,5 @@ ORACLES = {
     "kg_union": f"{K} SELECT DISTINCT s FROM triples WHERE p = 'in_nation' AND o IN ('N1', 'N2')",
     "base_items": "SELECT DISTINCT p_partkey // 2 AS item FROM part WHERE p_partkey > 0 AND p_partkey % 3 <> 0 AND (p_partkey // 2 = 0 OR (p_partkey // 2) % 3 = 0)",
     "crafting_depth": "WITH RECURSIVE r AS (SELECT p_partkey AS item, p_partkey // 2 AS part FROM part WHERE p_partkey > 0 AND p_partkey % 3 <> 0), c AS (SELECT item, 1 AS depth FROM r UNION SELECT r.item, c.depth + 1 FROM r JOIN c ON r.part = c.item WHERE c.depth < 6) SELECT item, max(depth) AS depth FROM c GROUP BY 1",
-    "table_md5": "WITH m AS (SELECT md5(concat_ws(',', n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR)) AS m FROM nation) SELECT substr(m, 1, 1) AS prefix, md5(string_agg(substr(m, 1, 5), ',' ORDER BY substr(m, 1, 5))) AS digest FROM m GROUP BY 1",
+    "table_md5": _MD5,
 }

@@ -21,8 +21,9 @@ def greso_state(spark, d):
 
 
 def filter_solved_state(spark, d):
-    s = curation.success_average(curation.rounds(outcomes(spark, d)), 0.9)
-    return s.select("prompt_id", F.round("success", 6).alias("success"), (F.col("success") < 0.5).alias("submit"))
+    solved = outcomes(spark, d).withColumn("reward", (F.col("reward") > 0).cast("double"))
+    s = curation.success_average(curation.rounds(solved), 0.5)
+    return s.select("prompt_id", F.round("success", 6).alias("success"), (F.col("success") < 0.95).alias("submit"))
 
 
 def greso_controller(spark, d):
@@ -33,7 +34,8 @@ def greso_controller(spark, d):
 def gate_prompts(spark, d):
     prompts = table(spark, d, "customer").select(F.col("c_custkey").alias("prompt_id"))
     g = curation.gate(prompts, curation.streaks(curation.rounds(outcomes(spark, d))), p_easy=0.5, p_hard=0.7, seed=5)
-    return g.select("prompt_id", F.coalesce("streak", F.lit(0)).cast("long").alias("streak"), "kind", F.round("p", 6).alias("p"), "submit")
+    own = g.select("prompt_id", F.coalesce("streak", F.lit(0)).cast("long").alias("streak"), "kind", F.round("p", 6).alias("p"), "submit")
+    return curation.force_after(own, "prompt_id", 256)
 
 
 def avg_at_k(spark, d):
@@ -124,8 +126,8 @@ def _p(k: str) -> str:
 ORACLES = {
     "outcome_rounds": f"{O}, {_ROUNDS} SELECT prompt_id, version, round(g_mean, 6) AS g_mean, zero_adv, n_trajs, kind FROM r",
     "greso_state": f"{O}, {_ROUNDS}, {_STREAK} SELECT * FROM st",
-    "filter_solved_state": f"{O}, {_ROUNDS}, g AS (SELECT prompt_id, g_mean, count(*) OVER (PARTITION BY prompt_id) - row_number() OVER (PARTITION BY prompt_id ORDER BY version) AS age FROM r), s AS (SELECT prompt_id, sum((1 - 0.9::DOUBLE) * pow(0.9::DOUBLE, age) * g_mean) AS success FROM g GROUP BY 1) SELECT prompt_id, round(success, 6) AS success, success < 0.5 AS submit FROM s",
-    "gate_prompts": f"{O}, {_ROUNDS}, {_STREAK}, g AS (SELECT c_custkey AS prompt_id, streak, kind, CASE WHEN coalesce(streak, 0) = 0 THEN 1.0::DOUBLE WHEN coalesce(kind, 'easy') = 'easy' THEN greatest(pow(0.5::DOUBLE, streak), 0.1) ELSE greatest(pow(0.7::DOUBLE, streak), 0.4) END AS p FROM customer LEFT JOIN st ON c_custkey = prompt_id) SELECT prompt_id, coalesce(streak, 0)::BIGINT AS streak, kind, round(p, 6) AS p, {hash_uniform_sql(chr(39) + '5' + chr(39), 'prompt_id::VARCHAR')} < p AS submit FROM g",
+    "filter_solved_state": f"{O}, {_ROUNDS}, g AS (SELECT prompt_id, g_mean, count(*) OVER (PARTITION BY prompt_id) - row_number() OVER (PARTITION BY prompt_id ORDER BY version) AS age FROM r), s AS (SELECT prompt_id, sum(0.5::DOUBLE * pow(0.5::DOUBLE, age) * g_mean) AS success FROM g GROUP BY 1) SELECT prompt_id, round(success, 6) AS success, success < 0.95 AS submit FROM s",
+    "gate_prompts": f"{O}, {_ROUNDS}, {_STREAK}, g AS (SELECT c_custkey AS prompt_id, streak, kind, CASE WHEN coalesce(streak, 0) = 0 THEN 1.0::DOUBLE WHEN coalesce(kind, 'easy') = 'easy' THEN greatest(pow(0.5::DOUBLE, streak), 0.1) ELSE greatest(pow(0.7::DOUBLE, streak), 0.4) END AS p FROM customer LEFT JOIN st ON c_custkey = prompt_id), f AS (SELECT prompt_id, coalesce(streak, 0)::BIGINT AS streak, kind, round(p, 6) AS p, {hash_uniform_sql(chr(39) + '5' + chr(39), 'prompt_id::VARCHAR')} < p AS submit FROM g), o AS (SELECT *, row_number() OVER (ORDER BY prompt_id) - 1 AS place FROM f), l AS (SELECT *, coalesce(max(CASE WHEN submit THEN place END) OVER (ORDER BY place), -1) AS last FROM o) SELECT prompt_id, streak, kind, p, submit OR (place > last AND (place - last) % 257 = 0) AS submit FROM l",
     "avg_at_k": f"{E}, a AS (SELECT dataset, count(*) FILTER (correct) * 100.0::DOUBLE / count(*) AS v, avg(reward) AS m, count(*) AS t FROM eval_results GROUP BY 1), u AS (SELECT * FROM a UNION ALL SELECT 'overall', avg(v), avg(m), sum(t)::BIGINT FROM a) SELECT dataset, round(v, 6) AS avg_at_k, round(m, 6) AS mean_reward, t AS total FROM u",
     "pass_at_k_clamped": f"{E}, {_N} SELECT dataset, round(avg({_p('8')}) * 100, 6) AS pass_at_k, count(*) AS samples FROM a GROUP BY 1",
     "pass_at_k_suite": f"{E}, {_N}, p AS (SELECT a.*, k::BIGINT AS k FROM a, (VALUES (1), (2), (4), (10), (100)) t(k)) SELECT dataset, k, round(avg({_p('k')}), 6) AS pass_at_k FROM p GROUP BY 1, 2 HAVING min(n) >= k",

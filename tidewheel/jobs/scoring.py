@@ -10,11 +10,12 @@ from tidewheel.sources.adapters import rollouts, table, token_rows, with_views
 T, R = with_views("token_rows"), with_views("rollouts")
 
 
-def _answers(spark, d):
+def _answers(spark, d, words: bool = False):
     """Every document's text against one benchmark item; ids go round all items, so each is scored."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("b"), F.col("text").alias("gold"))
+    own = scoring.answer_words(F.col("text")) if words else F.col("text")
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("b"), own.alias("gold"))
     all_ = table(spark, d, "benchmark").agg((F.max("item_id") + 1).alias("items"))  # one row
-    docs = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(all_))
+    docs = table(spark, d, "documents").select("doc_id", own.alias("text")).join(F.broadcast(all_))
     return docs.join(b, F.col("doc_id") % F.col("items") == F.col("b"))
 
 
@@ -30,7 +31,8 @@ def exact_sub_match(spark, d):
 
 
 def token_f1(spark, d):
-    return _answers(spark, d).select("doc_id", F.round(scoring.token_f1(F.col("text"), F.col("gold")), 6).alias("f1"))
+    """Words of a text and of an item are made once each, before they are compared."""
+    return _answers(spark, d, words=True).select("doc_id", F.round(scoring.word_f1(F.col("text"), F.col("gold")), 6).alias("f1"))
 
 
 def cover_em(spark, d):

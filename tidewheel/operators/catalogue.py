@@ -16,6 +16,16 @@ def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def ngrams(text: Column, stop: Column, most: int = 2) -> Column:
+    """Lower-cased words of two characters or more that are neither in ``stop`` nor a number of 0 to 999, and runs of up to ``most`` of those left."""
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}_]{2,})"), F.lit(1)), lambda w: ~F.array_contains(stop, w) & ~w.rlike("^(0|[1-9][0-9]{0,2})$"))
+
+    def run(n: int) -> Column:
+        return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(0))), lambda w, i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
+
+    return F.concat(words, *[run(n) for n in range(2, most + 1)])
+
+
 def tfidf_terms(items: DataFrame, k: int, *, category: str = "category", features: int = 1000) -> DataFrame:
     """The ``k`` terms of greatest TF-IDF of each item (``item, category, terms``) within its category.
 
@@ -123,3 +133,16 @@ def _common(a: str, b: str) -> int:
         for j, y in enumerate(b, 1):
             before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
     return row[-1]
+
+
+def fingerprint(rows: DataFrame, texts: list[Column], levels: int = 6) -> DataFrame:
+    """``fingerprint, rows`` of a table whatever its order: digests of rows, gathered by prefixes of ``levels`` hexadecimal digits and then of one less each time.
+
+    A gathering holds the rows of one long prefix (a 16^levels-th of all) or 16 digests, never a share of the table.
+    An empty table has no row.
+    """
+    digest = F.md5(F.array_join(F.sort_array(F.collect_list("m")), ","))
+    level = rows.select(F.md5(F.concat_ws(",", *texts)).alias("m")).groupBy(F.substring("m", 1, levels).alias("p")).agg(digest.alias("m"), F.count(F.lit(1)).alias("n"))
+    for k in range(levels - 1, -1, -1):
+        level = level.groupBy(F.substring("p", 1, k).alias("p")).agg(digest.alias("m"), F.sum("n").alias("n"))
+    return level.select(F.col("m").alias("fingerprint"), F.col("n").alias("rows"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.hashing import hash_uniform
+from tidewheel.functions.ranking import greatest_before
+from tidewheel.operators.datasets import numbered
 
 
 def rounds(outcomes: DataFrame) -> DataFrame:
@@ -57,3 +59,11 @@ def gate(prompts: DataFrame, state: DataFrame, *, p_easy: float, p_hard: float,
     easy = F.coalesce(F.col("kind"), F.lit("easy")) == "easy"
     p = F.when(z == 0, 1.0).when(easy, F.greatest(F.pow(F.lit(p_easy), z), F.lit(floor_easy))).otherwise(F.greatest(F.pow(F.lit(p_hard), z), F.lit(floor_hard)))
     return prompts.join(state, "prompt_id", "left").withColumn("p", p).withColumn("submit", hash_uniform(seed, F.col("prompt_id")) < F.col("p"))
+
+
+def force_after(decided: DataFrame, order: str, most: int) -> DataFrame:
+    """``submit`` made true for the candidate after ``most`` rejections in a row, by the numeric ``order``; the count begins anew behind it."""
+    placed = numbered(decided, order, "_place").withColumn("_taken", F.when(F.col("submit"), F.col("_place")))
+    run = greatest_before(placed, [], F.floor(F.col("_place") / 4096), [F.col("_place")], "_taken", "_last")
+    behind = F.col("_place") - F.coalesce("_last", F.lit(-1))
+    return run.withColumn("submit", F.col("submit") | (behind % (most + 1) == 0)).drop("_place", "_taken", "_last")

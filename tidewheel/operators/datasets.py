@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.hashing import hash_uniform
+from tidewheel.functions.ranking import place_within
 
 #: The trailing request of prompts, and the page furniture of shopping states.
 STEPS_SUFFIX = r"(?i)(\r?\n|\\n)*\s*Let'?s\s+think\s+step\s+by\s+step\s+and\s+output\s+the\s+final\s+answer\s+within\s*\\boxed\{\}\.\s*$"
@@ -33,11 +34,11 @@ def normalize_tests(tests: Column) -> Column:
     return F.to_json(F.struct(F.transform(tests, lambda t: t["input"]).alias("inputs"), F.transform(tests, lambda t: t["output"]).alias("outputs")))
 
 
-def split_contiguous(rows: DataFrame, keys: list[str], order: list[Column], parts: int) -> DataFrame:
-    """``part``: contiguous parts of each key's rows; the last takes the remainder."""
-    w = Window.partitionBy(*keys)
-    size = F.greatest(F.floor(F.count(F.lit(1)).over(w) / parts), F.lit(1))
-    return rows.withColumn("part", F.least(F.floor((F.row_number().over(w.orderBy(*order)) - 1) / size), F.lit(parts - 1)).cast("int"))
+def split_contiguous(rows: DataFrame, keys: list[str], draw: Column, tie: str, parts: int) -> DataFrame:
+    """``part``: contiguous parts of each key's rows in the order of a uniform draw; the last takes the remainder."""
+    placed = place_within(rows.withColumn("_draw", draw), keys, F.floor(F.col("_draw") * 256), [F.col("_draw"), F.col(tie)], "_place", "_all")
+    size = F.greatest(F.floor(F.col("_all") / parts), F.lit(1))
+    return placed.withColumn("part", F.least(F.floor(F.col("_place") / size), F.lit(parts - 1)).cast("int")).drop("_draw", "_place", "_all")
 
 
 def truncate_each(rows: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
@@ -71,11 +72,7 @@ def numbered(rows: DataFrame, order: str, name: str, parts: int = 64) -> DataFra
     bucket = F.lit(0)
     if cuts:
         bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))), F.lit(0))
-    marked = rows.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(bucket))
-    counts = marked.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row a range
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
-    return marked.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + place).drop("_range", "_before")
+    return place_within(rows, [], F.when(F.col(order).isNull(), -1).otherwise(bucket), [F.col(order)], name)
 
 
 def strip_suffix(text: Column) -> Column:

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.functions.lineage import cut
+from tidewheel.functions.sizes import broadcast_if_small
+
 
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9\\u0080-\\uffff]+"), lambda w: w != "")
@@ -17,18 +20,20 @@ def terms(text: Column) -> Column:
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The ``k`` best documents (``doc_id, text``) of each query (``query_id, query``), ties by id.
 
-    Postings are kept for query terms only, before any shuffle of the corpus; frequencies combine in tasks, and
-    the top k is taken by rank within a query.
+    Postings are kept for query terms only, before any shuffle of the corpus where their size allows to send them to
+    all tasks; frequencies are written once, since document frequencies and scores both read them, and the top k is
+    taken by rank within a query.
     """
     words = corpus.select("doc_id", terms(F.col("text")).alias("ws"))
-    stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("ws")).alias("mean_len"))
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    posting = words.select("doc_id", F.size("ws").alias("len"), F.explode("ws").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("ws")).alias("mean_len"))
+    posting = words.select("doc_id", F.size("ws").alias("len"), F.explode("ws").alias("term")).join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
     tf = posting.groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut(tf)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    weighed = tf.join(df, "term").join(F.broadcast(stats)).select("term", "doc_id", weight.alias("w"))  # stats: one row
-    scored = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    weighed = tf.join(broadcast_if_small(df), "term").join(F.broadcast(stats)).select("term", "doc_id", weight.alias("w"))  # stats: one row
+    scored = weighed.join(broadcast_if_small(asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -36,7 +36,11 @@ def sub_match(prediction: Column, gold: Column) -> Column:
 
 def token_f1(prediction: Column, gold: Column) -> Column:
     """F1 of the word sets; 0 where either is empty or they share nothing."""
-    p, g = answer_words(prediction), answer_words(gold)
+    return word_f1(answer_words(prediction), answer_words(gold))
+
+
+def word_f1(p: Column, g: Column) -> Column:
+    """F1 of two sets of words (arrays)."""
     both = F.size(F.array_intersect(p, g))
     return F.when(both > 0, 2.0 * both / (F.size(p) + F.size(g))).otherwise(0.0)
 

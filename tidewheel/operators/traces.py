@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.functions.ranking import exact_percentiles, greatest_before, place_within
+
+
+#: Seconds of the buckets in which a rank's times are put in order.
+BUCKET_S = 3600
+
 
 def step_boundaries(sessions: DataFrame, tasks_per_step: int) -> DataFrame:
     """``step, step_end``: when every rank has finished its share of a step; steps that some rank never ends are dropped."""
     ends = sessions.where("status = 'accepted'").groupBy("rank", "task_id").agg(F.max("finalized_ts").alias("task_end"))
-    order = Window.partitionBy("rank").orderBy("task_end", "task_id")
-    steps = ends.withColumn("step", F.floor((F.row_number().over(order) - 1) / tasks_per_step).cast("long")).groupBy("rank", "step").agg(F.max("task_end").alias("end"), F.count(F.lit(1)).alias("n"))
+    placed = place_within(ends, ["rank"], F.floor(F.col("task_end") / BUCKET_S), [F.col("task_end"), F.col("task_id")], "_place")
+    steps = placed.withColumn("step", F.floor(F.col("_place") / tasks_per_step).cast("long")).groupBy("rank", "step").agg(F.max("task_end").alias("end"), F.count(F.lit(1)).alias("n"))
     ranks = sessions.select("rank").distinct().agg(F.count(F.lit(1)).alias("ranks"))
     whole = steps.where(F.col("n") == tasks_per_step).groupBy("step").agg(F.max("end").alias("step_end"), F.count(F.lit(1)).alias("have"))
     return whole.join(F.broadcast(ranks), F.col("have") == F.col("ranks")).select("step", "step_end")  # ranks: one row
@@ -35,12 +41,19 @@ def assign_steps(sessions: DataFrame, boundaries: DataFrame, slot: float) -> Dat
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    return rows.groupBy(*keys).agg(*[F.percentile(value, s).alias(f"p{round(s * 100)}") for s in shares], F.min(value).alias("least"), F.max(value).alias("most"))
+    """Exact percentiles, least and greatest value of each group."""
+    return exact_percentiles(rows, keys, value, {f"p{round(s * 100)}": s for s in shares}).drop("n")
+
+
+def anomalies(rows: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:
+    """``rows`` with ``anomaly``: whether the value is over its group's percentile; null values aren't."""
+    limit = exact_percentiles(rows, keys, value, {"_limit": share}).select(*keys, "_limit")
+    return rows.join(F.broadcast(limit), keys, "left").withColumn("anomaly", F.coalesce(F.col(value) > F.col("_limit"), F.lit(False))).drop("_limit")  # limit: a row for each of few groups
 
 
 def histogram(rows: DataFrame, value: str) -> DataFrame:
     """Counts in bins of the Freedman-Diaconis width."""
-    facts = rows.agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"), F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    facts = exact_percentiles(rows, [], value, {"q1": 0.25, "q3": 0.75}).select("q1", "q3", "n", F.col("least").alias("lo"), F.col("most").alias("hi"))
     width = F.when(F.col("q3") > F.col("q1"), 2 * (F.col("q3") - F.col("q1")) / F.pow(F.col("n"), F.lit(1 / 3))).otherwise(F.greatest((F.col("hi") - F.col("lo")) / 10, F.lit(1e-9)))
     facts = facts.select("lo", width.alias("width"))
     return rows.where(F.col(value).isNotNull()).join(F.broadcast(facts)).groupBy(F.floor((F.col(value) - F.col("lo")) / F.col("width")).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # facts: one row
@@ -54,12 +67,12 @@ def offsets(rows: DataFrame, *columns: str) -> DataFrame:
 
 def idle_gaps(rows: DataFrame, keys: list[str], begin: str, end: str, least: float) -> DataFrame:
     """Gaps over ``least`` between what has ended so far and the next begin."""
-    w = Window.partitionBy(*keys).orderBy(begin, "session_id")
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("gap", F.col(begin) - before).where(F.col("gap") > least)
+    ended = greatest_before(rows, keys, F.floor(F.col(begin) / BUCKET_S), [F.col(begin), F.col("session_id")], end, "_ended")
+    return ended.withColumn("gap", F.col(begin) - F.col("_ended")).where(F.col("gap") > least).drop("_ended")
 
 
-def dense_ids(rows: DataFrame, key: str, within: list[str]) -> DataFrame:
-    """Dense ids of distinct keys, joined back."""
-    ids = rows.select(*within, key).distinct().withColumn("dense_id", F.dense_rank().over(Window.partitionBy(*within).orderBy(key)))
-    return rows.join(ids, [*within, key])
+def dense_ids(rows: DataFrame, key: str, within: list[str], width: int = 1 << 16) -> DataFrame:
+    """Dense ids from 1 of distinct numeric keys, joined back; ids are given in ranges of ``width`` of the key."""
+    distinct = rows.select(*within, key).distinct()
+    ids = place_within(distinct, within, F.floor(F.col(key) / width), [F.col(key)], "_place").withColumn("dense_id", (F.col("_place") + 1).cast("int"))
+    return rows.join(ids.drop("_place"), [*within, key])

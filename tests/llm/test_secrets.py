@@ -66,3 +66,20 @@ def test_empty_table_and_extra_columns(spark, tmp_path):
     row = secrets.scan_secrets(docs).collect()[0]
     assert row["spans"] == "x" and row["base_spans"][0]["end"] == 22
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_long_candidates_are_scanned_in_passes(spark, tmp_path):
+    rng = random.Random(7)
+    token = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    texts_ = [token(secrets.PASS + k) for k in (-1, 0, 1, 22, 23, 24, 25)] + [token(30_000), "".join(token(rng.randrange(10, 60)) + "z" * rng.randrange(0, 60) for _ in range(400))]
+    texts_ += ["y" * (secrets.PASS - 60) + token(100) + "y" * 5000, token(secrets.PASS + 23) + "z" * 40 + token(300)]
+    rows = list(enumerate(texts_))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in secrets.op1_secret_scan(spark, str(tmp_path)).collect())
+    assert got == sorted((i, *brute(t)) for i, t in rows)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop", 3, 4)], "doc_id long, text string, _secret_t long, _run long")
+    row = secrets.scan_secrets(docs).first()
+    assert (row["_secret_t"], row["_run"]) == (3, 4)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.tables import whole_text
+from tidewheel.llm.tables import aside, whole_text
 
 #: The pattern kinds, in the order that breaks ties between spans that start together.
 ASSIGN = "(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -28,6 +28,8 @@ ALLOWED = (
 )
 _ONE = 1 << 20
 _CHUNK = 512
+#: Windows of a candidate that one pass slides over; a longer candidate takes several, which share its characters at their ends.
+PASS = 4096
 
 
 def _fixed(count: int) -> int:
@@ -60,10 +62,10 @@ def _matches(df: DataFrame, pattern: str, column: str, text: str) -> DataFrame:
     The pieces between matches and the matches take turns, so the running sum of their lengths gives each start.
     """
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    df = df.withColumn("_m", F.when(F.col(text).rlike(pattern), found)).withColumn("_p", F.when(F.col("_m").isNotNull(), pieces))
-    steps = F.transform(F.col("_m"), lambda m, i: F.length(F.element_at("_p", i + 1)) + F.when(i > 0, F.length(F.element_at("_m", F.greatest(i, F.lit(1))))).otherwise(0))
-    df = df.withColumn("_s", F.when(F.col("_m").isNotNull(), _running(steps)))
-    return df.withColumn(column, F.transform("_m", lambda m, i: F.struct(F.element_at("_s", i + 1).alias("start"), m.alias("match")))).drop("_m", "_p", "_s")
+    df = df.withColumn("_secret_m", F.when(F.col(text).rlike(pattern), found)).withColumn("_secret_p", F.when(F.col("_secret_m").isNotNull(), pieces))
+    steps = F.transform(F.col("_secret_m"), lambda m, i: F.length(F.element_at("_secret_p", i + 1)) + F.when(i > 0, F.length(F.element_at("_secret_m", F.greatest(i, F.lit(1))))).otherwise(0))
+    df = df.withColumn("_secret_s", F.when(F.col("_secret_m").isNotNull(), _running(steps)))
+    return df.withColumn(column, F.transform("_secret_m", lambda m, i: F.struct(F.element_at("_secret_s", i + 1).alias("start"), m.alias("match")))).drop("_secret_m", "_secret_p", "_secret_s")
 
 
 def _spans(column: str, kind: str, keep) -> Column:
@@ -113,8 +115,13 @@ def _entropy_spans(column: str) -> Column:
     """Spans of candidates by character class: hexadecimal, letters and digits, or the base64 alphabets."""
     kind = "CASE WHEN k.match RLIKE '^[0-9a-fA-F]+$' THEN 3 WHEN k.match RLIKE '^[A-Za-z0-9]+$' THEN 4 ELSE 5 END"
     most = f"CASE r WHEN 3 THEN {_most(BITS['hex'])}L WHEN 4 THEN {_most(BITS['alnum'])}L ELSE {_most(BITS['base64'])}L END"
-    body = _slide("k.match", "k.start", "r", "most")
-    inner = f"flatten(transform(array({kind}), r -> flatten(transform(array({most}), most -> {body}))))"
+    body = _slide("q.match", "q.start", "r", "most")
+    parts = f"transform(sequence(0, greatest(0, (length(k.match) - {WINDOW}) div {PASS})), p -> named_struct('match', substr(k.match, p * {PASS} + 1, {PASS + WINDOW - 1}), 'start', CAST(k.start + p * {PASS} AS INT)))"
+    spans = f"flatten(transform({parts}, q -> {body}))"
+    # spans of neighbouring passes that overlap or touch are one: starts behind a gap and ends before one, in pairs
+    first, last = "filter(s, (x, i) -> i = 0 OR element_at(s, i).end < x.start)", "filter(s, (x, i) -> i = size(s) - 1 OR x.end < element_at(s, i + 2).start)"
+    whole = f"transform(array({spans}), s -> IF(size(s) < 2, s, zip_with({first}, {last}, (f, l) -> named_struct('start', f.start, 'rank', f.rank, 'end', l.end))))"
+    inner = f"flatten(transform(array({kind}), r -> flatten(transform(array({most}), most -> flatten({whole})))))"
     return F.expr(f"coalesce(flatten(transform({column}, k -> {inner})), cast(array() AS array<struct<start:int,rank:int,end:int>>))")
 
 
@@ -124,21 +131,23 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", allowed: tuple[str, ...
     Base spans are pattern matches: an assigned value of 12 or more characters, access keys of 18, lower-case
     hexadecimal runs of 16. Entropy spans join the windows of ``WINDOW`` characters that reach their class's bits
     in candidate runs of token characters; a candidate that an allow-list pattern matches is suppressed, base
-    spans never are. Offsets are code points, ends exclusive. Null and empty texts have no spans, repeated rows
-    are scanned alike, other columns stay.
+    spans never are. Offsets are code points, ends exclusive. A candidate of any length is slid over in passes, so that the
+    characters of one pass alone are an array. Null and empty texts have no spans, repeated rows are scanned alike.
+    Columns named as the two added are replaced, others stay.
     """
-    df = docs.withColumn("_t", whole_text(text))
-    df = _matches(df, ASSIGN, "_assign", "_t")
-    df = _matches(df, "AKIA[A-Z0-9]{14,}", "_access", "_t")  # a run of fewer fails from any start in it
-    df = _matches(df, "[0-9a-f]{16,}", "_hex", "_t")
-    df = _matches(df, f"[A-Za-z0-9+/_=-]{{{WINDOW},}}", "_run", "_t")
+    docs, back = aside(docs, {f"_secret_{c}" for c in ("t", "m", "p", "s", "assign", "access", "hex", "run")})
+    df = docs.withColumn("_secret_t", whole_text(text))
+    df = _matches(df, ASSIGN, "_secret_assign", "_secret_t")
+    df = _matches(df, "AKIA[A-Z0-9]{14,}", "_secret_access", "_secret_t")  # a run of fewer fails from any start in it
+    df = _matches(df, "[0-9a-f]{16,}", "_secret_hex", "_secret_t")
+    df = _matches(df, f"[A-Za-z0-9+/_=-]{{{WINDOW},}}", "_secret_run", "_secret_t")
     base = F.concat(
-        _spans("_assign", "assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12), _spans("_access", "access", lambda m: F.length(m) >= 18), _spans("_hex", "hex", lambda m: F.length(m) >= 16)
+        _spans("_secret_assign", "assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12), _spans("_secret_access", "access", lambda m: F.length(m) >= 18), _spans("_secret_hex", "hex", lambda m: F.length(m) >= 16)
     )
-    df = df.withColumn("_run", F.filter("_run", lambda k: ~_any(k["match"], allowed)) if allowed else F.col("_run"))
-    df = df.withColumn("base_spans", F.array_sort(base)).withColumn("entropy_spans", F.when(F.size("_run") > 0, _entropy_spans("_run")))
+    df = df.withColumn("_secret_run", F.filter("_secret_run", lambda k: ~_any(k["match"], allowed)) if allowed else F.col("_secret_run"))
+    df = df.withColumn("base_spans", F.array_sort(base)).withColumn("entropy_spans", F.when(F.size("_secret_run") > 0, _entropy_spans("_secret_run")))
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    return df.withColumn("entropy_spans", F.coalesce("entropy_spans", none)).drop("_t", "_assign", "_access", "_hex", "_run")
+    return back(df.withColumn("entropy_spans", F.coalesce("entropy_spans", none)).drop("_secret_t", "_secret_assign", "_secret_access", "_secret_hex", "_secret_run"))
 
 
 def _any(match: Column, patterns: tuple[str, ...]) -> Column:

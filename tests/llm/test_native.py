@@ -55,3 +55,20 @@ def test_as_of_join(spark):
     got = [r["blocked"] for r in url_filters.filter_captures(captures, entries).orderBy("page_id").collect()]
     assert got == [False, True, True, False, False, True, False, False]
     assert url_filters.filter_captures(captures, entries.limit(0)).where(F.col("blocked")).count() == 0
+
+
+def test_clashing_columns_stay(spark):
+    row = (1, "a b", "en", "src1", 7, 8, 9)
+    df = spark.createDataFrame([row], "doc_id long, text string, lang string, source string, _lines long, _domain long, _range long")
+    cut = line_dedup.drop_boilerplate(df).first()
+    assert (cut["_lines"], cut["n_lines"], cut["_domain"]) == (7, 1, 8)
+    mixed = mixing.mix_sources(df.withColumn("copies", F.lit(5)).withColumn("domain", F.lit("x")), share=2.0).first()
+    assert (mixed["_domain"], mixed["_range"], mixed["copies"], mixed["domain"], mixed["n_tokens"]) == (8, 9, 2, "tier1", 2)
+
+
+def test_url_filters_edges(spark):
+    captures = spark.createDataFrame([(1, "http://bad.com/" + "p/" * 5000 + "end", 15, "x"), (1, "http://bad.com/" + "p/" * 5000 + "end", 15, "y")], "page_id long, url string, fetched_at long, list_name string")
+    entries = spark.createDataFrame([("spam", "bad.com/p/p", "add", 10)], "list_name string, key string, action string, at long")
+    row = url_filters.filter_captures(captures, entries).first()
+    assert (row["n_rows"], row["blocked"], row["matched_key"]) == (2, True, "bad.com/p/p")
+    assert url_filters.filter_captures(captures.limit(0), entries).count() == 0

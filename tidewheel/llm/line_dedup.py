@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.tables import broadcast_if_small, durable
+from tidewheel.llm.tables import aside, broadcast_if_small, durable
 
 
 def _line_key(line):
@@ -40,9 +40,11 @@ def drop_boilerplate(pages: DataFrame, *, host: str = "source", text: str = "tex
     """``pages`` with boilerplate lines cut from ``text``, and ``n_lines`` and ``n_dropped`` added.
 
     Null texts stay null with 0 lines, an empty text is one blank line. Pages without a host have no site to be
-    measured against and stay as they are. Each row is a page of its own, repeated ids included. Columns of the
-    names ``n_lines`` and ``n_dropped`` are replaced; all others stay.
+    measured against and stay as they are. Each row is a page of its own, repeated ids included. The site is the
+    column ``host`` (the source of a document); lines are told apart by 64-bit hashes. Columns of the names
+    ``n_lines`` and ``n_dropped`` are replaced; all others stay.
     """
+    pages, back = aside(pages, {"_site", "_lines", "_hit", "_kept"})
     found, _ = durable(boilerplate_lines(pages, host=host, text=text, ratio=ratio, min_pages=min_pages))
     found = broadcast_if_small(found.withColumnRenamed("_host", "_site"), 20_000)
     lines = F.split(F.col(text), "\n", -1)
@@ -53,7 +55,7 @@ def drop_boilerplate(pages: DataFrame, *, host: str = "source", text: str = "tex
     touched = F.coalesce(F.size("_hit") > 0, F.lit(False))
     total = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     total = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(total)
-    return (
+    return back(
         marked.withColumn("_kept", F.when(touched, kept))
         .withColumn("n_lines", total)
         .withColumn("n_dropped", F.when(touched, total - F.size("_kept")).otherwise(F.lit(0)).cast("long"))

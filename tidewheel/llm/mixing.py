@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.tables import broadcast_if_small, durable, whole_text
+from tidewheel.llm.tables import aside, broadcast_if_small, durable, whole_text
 
 LEVELS = ("domain", "lang", "source")
 DOMAIN_WEIGHTS = {"tier0": 4.0, "tier1": 3.0, "tier2": 2.0, "tier3": 1.0}
@@ -81,6 +81,7 @@ def mix_sources(docs: DataFrame, *, domain: Column | None = None, share: float =
     Null labels form nodes of their own (as ``none``); null texts count as empty, and a leaf without tokens
     gives nothing. Columns of the added names are replaced.
     """
+    docs, back = aside(docs, {"_domain", "_lang", "_source", "_tokens", "_whole", "_rest", "_code", "_range", "_last", "_base", "_in"})
     weights = weights or {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS}
     domain = tier_of_source() if domain is None else domain
     own = [F.coalesce(domain, F.lit("none")).alias("_domain"), F.coalesce(F.col("lang"), F.lit("none")).alias("_lang"), F.coalesce(F.col("source"), F.lit("none")).alias("_source")]
@@ -103,7 +104,7 @@ def mix_sources(docs: DataFrame, *, domain: Column | None = None, share: float =
     edge = placed.where(F.col("_range") == F.col("_last")).withColumn("_in", F.col("_base") + F.sum("_tokens").over(within) <= F.col("_rest"))
     copies = F.col("_whole") + F.when(F.col("_in") & (F.col("_rest") > 0), 1).otherwise(0)
     out = clear.unionByName(edge).withColumn("domain", F.col("_domain")).withColumn("n_tokens", F.col("_tokens")).withColumn("copies", copies.cast("long"))
-    return out.where("copies > 0").drop(*[c for c in out.columns if c in {*leaf, "_tokens", "_whole", "_rest", "_code", "_range", "_last", "_base", "_in"}])
+    return back(out.where("copies > 0").drop(*[c for c in out.columns if c in {*leaf, "_tokens", "_whole", "_rest", "_code", "_range", "_last", "_base", "_in"}]))
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -47,7 +47,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, *, allow: str = "al
     captures, and the list side is broadcast only when a count finds it small; otherwise the join shuffles and
     adaptive execution splits a domain that a third of the captures share. The most specific (longest) key decides,
     ``allow`` before other lists on a tie, then the list's name. Repeated captures are one row with ``n_rows``.
-    A URL without host, or a null time, matches nothing and is not blocked.
+    A URL without host, or a null time, matches nothing and is not blocked. Other columns of the captures are left
+    out: rows that differ in them alone are the same capture.
     """
     at = F.col("fetched_at")
     once = captures.groupBy("page_id", "url", "fetched_at").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -124,3 +124,14 @@ def test_stored_model_of_any_order(spark, order):
     whole = katz.score_corpus(docs, held_out=docs.doc_id.isin(*held), order=order)
     if order != 2:
         assert sorted((r["doc_id"], round(r["score"], 6)) for r in whole.collect()) == [(i, round(s, 6)) for i, s in got]
+
+
+def test_discounts_by_the_formula():
+    """d = (r* / r - x) / (1 - x) with r* = (r + 1) n(r + 1) / n(r) and x = (K + 1) n(K + 1) / n(1), where that is between 0 and 1."""
+    n = [5000.0, 1800.0, 900.0, 500.0, 320.0, 220.0]
+    x = 6 * n[5] / n[0]
+    want = [((r + 1) * n[r] / n[r - 1] / r - x) / (1 - x) for r in range(1, 6)]
+    assert all(0 < d < 1 for d in want) and katz.discounts(n).tolist() == pytest.approx(want)
+    # counts of counts that rise give no discount below 1: half an event goes
+    assert katz.discounts([1.0, 9.0, 9.0, 9.0, 9.0, 9.0]).tolist() == pytest.approx([0.5, 0.75, 2.5 / 3, 0.875, 0.9])
+    assert katz.discounts([0.0] * 6).tolist() == pytest.approx([0.5, 0.75, 2.5 / 3, 0.875, 0.9])

@@ -99,3 +99,26 @@ def test_query_reads_stored_tensors(spark, tmp_path, monkeypatch):
         assert r["feature"].startswith(f"frames={frames};mel=" + ",".join(f"{m:.3f}" for m in mel)[:20])
     nothing = spark.createDataFrame([(1, None)], "doc_id long, tensors binary")
     assert media.read_tensors(nothing).first()["stored_frames"] is None
+
+
+def test_log_mel_by_the_definition():
+    """Frames of 256 samples of 8 kHz, Hann window, discrete Fourier sum, triangles on the mel scale."""
+    rng = np.random.default_rng(4)
+    samples = rng.integers(0, 256, 1500).astype(np.uint8)
+    mel, energy = (np.concatenate(x) for x in zip(*media.log_mel(samples, 12_000), strict=True))
+    x = direct(samples, 2, 3)[:1000]
+    frames = 1 + -(-(1000 - 256) // 128)
+    x = np.concatenate([media.resample(samples, 0, (frames - 1) * 128 + 256, 2, 3)]).astype(float)
+    to_mel, to_hz = lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = to_hz(np.linspace(0, to_mel(4000), 18))
+    hz = np.arange(129) * 8000 / 256
+    assert mel.shape == (frames, 16)
+    for f in range(frames):
+        part = x[f * 128 : f * 128 + 256]
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 255)
+        spectrum = np.array([abs(np.sum(part * window * np.exp(-2j * np.pi * k * np.arange(256) / 256))) ** 2 for k in range(129)])
+        for m in range(16):
+            low, middle, high = edges[m : m + 3]
+            weight = np.clip(np.minimum((hz - low) / (middle - low), (high - hz) / (high - middle)), 0, None)
+            assert mel[f, m] == pytest.approx(np.log(spectrum @ weight + 1e-6), abs=1e-3)
+        assert energy[f] == pytest.approx(10 * np.log10(np.mean(part**2) + 1e-9), abs=1e-3)

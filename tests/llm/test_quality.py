@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tidewheel.llm import quality
 
 
@@ -115,3 +117,15 @@ def test_shrunk_ratios():
         odds = quality.TELLING / (1 - quality.TELLING) * beta(t + 0.75, r - t + 0.25) / beta(0.75, 0.25) / (0.75**t * 0.25 ** (r - t)) if r < 1000 else math.inf
         assert math.isclose(x, (1 if odds == math.inf else odds / (1 + odds)) * math.log((t + 0.75) / ((r + 1) * 0.75)), rel_tol=1e-9)
     assert all(got[[0, 1, 3]] < 0) and quality.best_threshold(np.array([3.0, 2, 1, 0]), np.array([True, True, False, False])) == 1.5
+
+
+def test_k_is_exact_with_repeated_rows(spark):
+    rows = [(i, f"good words {i % 3}") for i in range(6)] + [(7, "again and again")] * 5 + [(None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for k in range(len(rows) + 2):
+        assert quality.resample(docs, labels, k=k).count() == min(k, len(rows))
+    assert quality.classify(docs, labels, k=9).count() == 9
+    scored = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 97 / 40000.0).alias("key"))
+    got = sorted((r["key"], r["doc_id"]) for r in quality.top_k(scored, 777).collect())
+    assert got == sorted(sorted(((i % 97 / 40000.0, i) for i in range(5000)), key=lambda x: (-x[0], x[1]))[:777])

@@ -147,7 +147,7 @@ def log_weights(docs: DataFrame, buckets: np.ndarray, ratios: np.ndarray, text:
             for part in words.slices(batch, text):
                 row, bucket, rows = features(part.column(text))
                 weight = np.bincount(row, weights=dense[bucket], minlength=rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(weight, 6))], [*part.schema.names, "log_weight"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(weight, 6), pa.float64())], [*part.schema.names, "log_weight"])
 
     return rest.mapInArrow(run, schema)
 
@@ -206,7 +206,7 @@ def mean_ratios(docs: DataFrame, models: list[tuple[int, bytes]]) -> DataFrame:
                 row, bucket, rows = features(part.column("text"), pairs=True)
                 n = np.bincount(row, minlength=rows)
                 total = np.bincount(row, weights=dense[part.column("fold").to_numpy()[row], bucket], minlength=rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total / np.maximum(n, 1)), pa.array(n, pa.int64())], [*part.schema.names, "mean_ratio", "n_features"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total / np.maximum(n, 1), pa.float64()), pa.array(n, pa.int64())], [*part.schema.names, "mean_ratio", "n_features"])
 
     return docs.mapInArrow(run, schema)
 
@@ -235,17 +235,25 @@ def gumbel(key: Column, seed: int) -> Column:
 def top_k(scored: DataFrame, k: int, *, key: str = "key", tie: str = "doc_id") -> DataFrame:
     """The ``k`` rows of greatest key, ties by ``tie``, without a sort of all rows.
 
-    Counts of fine bins of the key find the one bin in which the k-th row lies; only that bin is ordered.
+    Counts of bins of the key find the one bin in which the k-th row lies, counts of finer bins the part of that bin;
+    only this part is ordered.
     """
-    bin_of = F.floor(F.least(F.greatest(F.col(key), F.lit(-float(_RANGE))), F.lit(float(_RANGE))) * _BINS)
-    counts = scored.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("bin")).collect()  # at most 2 * _RANGE * _BINS + 1 rows
-    above = 0
-    for row in counts:
-        if above + row["n"] >= k:
-            edge = scored.where(bin_of == row["bin"]).withColumn("_rank", F.row_number().over(Window.partitionBy(bin_of).orderBy(F.desc(key), F.col(tie))))
-            return scored.where(bin_of > row["bin"]).unionByName(edge.where(F.col("_rank") <= k - above).drop("_rank"))
-        above += row["n"]
-    return scored
+    place = F.least(F.greatest(F.col(key), F.lit(-float(_RANGE))), F.lit(float(_RANGE))) * _BINS
+    sure, rest = None, scored
+    for bin_of in (F.floor(place), F.floor((place - F.floor(place)) * (1 << 16))):
+        counts = rest.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("bin")).collect()  # at most 2 * _RANGE * _BINS + 1 or 2 ** 16 rows
+        edge = None
+        for row in counts:
+            if row["n"] >= k:
+                edge = row["bin"]
+                break
+            k -= row["n"]
+        if edge is None:
+            return rest if sure is None else sure.unionByName(rest)
+        over = rest.where(bin_of > edge)
+        sure, rest = over if sure is None else sure.unionByName(over), rest.where(bin_of == edge)
+    ranked = rest.withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(key), F.col(tie))))
+    return sure.unionByName(ranked.where(F.col("_rank") <= k).drop("_rank"))
 
 
 def _labelled(labels: DataFrame, most: int) -> DataFrame:
@@ -265,7 +273,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col:
     hashed n-grams; Gumbel noise of ``temperature`` makes the top k a draw without replacement. Without ``k`` it
     is the number of documents whose log-weight is at least minus ``tolerance``: those that the target model
     explains about as well. Without any target label all weights are 1. Null and empty texts weigh 1; repeated
-    rows share their noise. Other columns stay, one named ``log_weight`` is replaced.
+    rows share their noise, and of those with the last key as many are kept as make ``k``. Other columns stay, one named ``log_weight`` is replaced.
     """
     sample = F.broadcast(_labelled(labels, max_labels))  # at most max_labels ids
     marked = docs.join(sample, F.col(id_col) == F.col("_labelled")).select(F.col(text).alias("text"), (F.col("_good") == 1).alias("target"))
@@ -280,10 +288,18 @@ def resample(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col:
 def _drawn(docs: DataFrame, scored: DataFrame, k: int, text: str, id_col: str) -> DataFrame:
     """The rows of ``docs`` that ``k`` rows of greatest ``_key`` in ``scored`` stand for."""
     keep = top_k(scored, k, key="_key", tie="_md5")
-    found = keep.groupBy("_id", "_md5").agg(F.max("log_weight").alias("log_weight"), F.count(F.lit(1)).alias("_copies"))
+    found = keep.groupBy("_id", "_md5").agg(F.max("log_weight").alias("log_weight"))
     rest = docs.drop("log_weight").withColumn("_text_md5", F.md5(F.coalesce(F.col(text), F.lit(""))))
     joined = rest.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_md5") == F.col("_md5")))
-    return joined.drop("_id", "_md5", "_text_md5", "_copies")
+    # repeated rows have one key, so only those of the last key kept may be kept in part
+    last = keep.orderBy("_key", F.desc("_md5")).select("_id", "_md5").first()
+    if last is not None:
+        here = F.col("_id").eqNullSafe(F.lit(last["_id"])) & (F.col("_md5") == last["_md5"])
+        have, all_ = keep.where(here).count(), scored.where(here).count()
+        if have < all_:
+            some = joined.where(here).withColumn("_rank", F.row_number().over(Window.partitionBy("_md5").orderBy("_md5"))).where(F.col("_rank") <= have).drop("_rank")
+            joined = joined.where(~here).unionByName(some)
+    return joined.drop("_id", "_md5", "_text_md5")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", k: int | None = None, seed: int = 29, temperature: float = TEMPERATURE, max_labels: int = MAX_LABELS) -> DataFrame:

@@ -10,7 +10,7 @@ from tidewheel.llm.jaccard import near_duplicates
 from tidewheel.llm.line_dedup import drop_boilerplate
 from tidewheel.llm.mixing import mix_sources
 from tidewheel.llm.quality import resample
-from tidewheel.llm.tables import broadcast_if_small, durable
+from tidewheel.llm.tables import broadcast_if_small, discard, durable
 
 
 def _md5():
@@ -31,14 +31,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each near-duplicate group; documents without words form no group and stay.
 
-    A repeated row is the same document again, and stays once.
+    A repeated row is the same document again, and stays once; rows with a null id are documents of their own and stay.
     """
     found = near_duplicates(docs.select("doc_id", _md5().alias("text_md5"), "text"), carry="text_md5")
     gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct()
     kept = docs.withColumn("_text_md5", _md5()).join(broadcast_if_small(gone), (F.col("doc_id") == F.col("_id")) & (F.col("_text_md5") == F.col("_md5")), "left_anti")
     again = found.groupBy("doc_id", "text_md5").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if again.limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "_text_md5"])
+        named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "_text_md5"])
+        kept = named.unionByName(kept.where(F.col("doc_id").isNull()))
     return kept.select(docs.columns)
 
 
@@ -65,10 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each one's result is written before the next reads it, and deleted once the next stands."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs, _ = durable(docs)
+            docs, new = durable(docs)
+            if path:
+                discard(spark, path)
+            path = new
     return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewheel.operators import datasets, evaluation, packing, tokens
+from tidewheel.operators import curation, datasets, evaluation, packing, tokens
 from tidewheel.sources.adapters import outcomes, rollouts, table, token_rows, with_views
 
 T, O = with_views("token_rows"), with_views("outcomes")
@@ -63,12 +63,19 @@ def batch_positions(spark, d):
     return datasets.numbered(outcomes(spark, d), "seq_no", "position").select("prompt_id", "seq_no", F.col("position").cast("long").alias("position"))
 
 
+def smoothed_waits(spark, d):
+    """Exponential averages of the waits and steps of every user's sessions, and the share of waiting."""
+    e = table(spark, d, "events").select("user_id", "event_id", F.col("value").alias("wait"), (F.col("value") + F.col("event_id") % 7).alias("step"))
+    s = curation.smoothed(e, ["user_id"], ["event_id"], ["wait", "step"], 0.2)
+    return s.select("user_id", "n", F.round("wait", 6).alias("wait"), F.round("step", 6).alias("step"), F.round(curation.wait_fraction(F.col("wait"), F.col("step")), 6).alias("fraction"))
+
+
 def expand_eval_runs(spark, d):
     s = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("source").alias("dataset"), "doc_id")
     return evaluation.expand_runs(s, 4)
 
 
-QUERIES = {f.__name__: f for f in (merge_prefix_turns, pad_sequences, pack_sequences, route_tokens_by_model, compute_advantages, redistribute_ranks, batch_positions, expand_eval_runs)}
+QUERIES = {f.__name__: f for f in (merge_prefix_turns, pad_sequences, pack_sequences, route_tokens_by_model, compute_advantages, redistribute_ranks, batch_positions, smoothed_waits, expand_eval_runs)}
 
 _TURNS = "t AS (SELECT conv_id, turn, role = 'assistant' AS own, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: (length(w) % 97)::INT) AS ids FROM conversations)"
 
@@ -85,5 +92,6 @@ ORACLES = {
     "pack_sequences": f"{T}, e AS (SELECT conv_id // 8 AS batch, conv_id, input_ids, loss_mask, sum(len(input_ids)) OVER (PARTITION BY conv_id // 8 ORDER BY conv_id)::BIGINT AS upto FROM token_rows) SELECT batch, '0,' || string_agg(upto::VARCHAR, ',' ORDER BY conv_id) AS cu_seqlens, array_to_string(flatten(list(input_ids ORDER BY conv_id)), ',') AS input_ids, array_to_string(flatten(list(loss_mask ORDER BY conv_id)), ',') AS loss_mask FROM e GROUP BY 1",
     "route_tokens_by_model": f"{T}, m AS (SELECT conv_id, input_ids, loss_mask, unnest([0, 1])::INT AS model FROM token_rows), k AS (SELECT conv_id, model, CASE WHEN conv_id % 5 = 0 THEN loss_mask ELSE list_transform(list_zip(loss_mask, input_ids), lambda x: CASE WHEN (x[2] + conv_id) % 3 = model THEN x[1] ELSE 0 END) END AS own FROM m) SELECT conv_id, model, array_to_string(own, ',') AS loss_mask FROM k WHERE conv_id % 5 = 0 OR list_contains(own, 1)",
     "batch_positions": f"{O} SELECT prompt_id, seq_no, row_number() OVER (ORDER BY seq_no) - 1 AS position FROM outcomes",
+    "smoothed_waits": "WITH a AS (SELECT user_id, value AS wait, value + event_id % 7 AS step, count(*) OVER w - row_number() OVER (w ORDER BY event_id) AS age, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id)), k AS (SELECT *, pow(0.8::DOUBLE, age) * CASE WHEN age = n - 1 THEN 1 ELSE 0.2 END AS weight FROM a), s AS (SELECT user_id, count(*) AS n, sum(weight * wait) AS wait, sum(weight * step) AS step FROM k GROUP BY 1) SELECT user_id, n, round(wait, 6) AS wait, round(step, 6) AS step, round(CASE WHEN step > 0 THEN least(wait / step, 0.95) ELSE 0 END, 6) AS fraction FROM s",
     "expand_eval_runs": "SELECT source AS dataset, doc_id, run_idx::INT AS run_idx FROM documents JOIN labels USING (doc_id), range(4) r(run_idx)",
 }

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tidewheel.operators import curation
+
 ROLLOUT = "prompt_id string, version int, rewards array<double>, ts timestamp"
 
 
@@ -82,3 +84,73 @@ def write_counters(rollouts: DataFrame, path: str, checkpoint: str):
         batch.agg(F.count(F.lit(1)).alias("rollouts"), F.sum(F.size("rewards")).alias("sequences")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return rollouts.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """The table that the batch before ``number`` left under ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number - 1}")
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.parquet(f"{path}/batch={number - 1}") if number and there else None
+
+
+def _drop(spark: SparkSession, path: str, number: int) -> None:
+    """Deletes what batch ``number`` left, once two later ones stand: a replayed batch reads only the one before it."""
+    if number >= 0:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def control(rollouts: DataFrame, path: str, checkpoint: str, **settings):
+    """Submission probabilities after each version so far, under ``path``/batch=N/control, steered as ``operators.curation.steer`` does.
+
+    Kept from batch to batch are tallies, a row a version (``/tallies``). Each batch reads those of the one before and
+    overwrites its own folder, so a replayed batch counts once.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        lows, highs = F.array_min("rewards"), F.array_max("rewards")
+        mean = F.aggregate("rewards", F.lit(0.0), lambda a, x: a + x) / F.size("rewards")
+        kind = F.when(highs - lows <= 1e-8, F.when(mean > 0.5, "easy").otherwise("hard"))
+        fresh = curation.shares(batch.where(F.size("rewards") > 0).select("version", kind.alias("kind")))
+        old = _before(spark, f"{path}/tallies", number)
+        both = fresh if old is None else fresh.unionByName(old)
+        tallies = both.groupBy("version").agg(*[F.sum(c).alias(c) for c in ("easy", "hard", "n")])
+        tallies.coalesce(1).write.mode("overwrite").parquet(f"{path}/tallies/batch={number}")  # a row a version
+        curation.steer(spark.read.parquet(f"{path}/tallies/batch={number}"), **settings).write.mode("overwrite").parquet(f"{path}/control/batch={number}")
+        _drop(spark, f"{path}/tallies", number - 2)
+        _drop(spark, f"{path}/control", number - 2)
+
+    return rollouts.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def smooth_waits(steps: DataFrame, path: str, checkpoint: str, alpha: float = 0.1):
+    """Exponential averages of ``wait`` and ``step`` of each ``agent`` in order of ``ts``, a row an agent, under ``path``/batch=N.
+
+    A batch's own average in closed form is added to the one before, aged by the batch's rows.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = _before(spark, path, number)
+        rows = batch.select("agent", "ts", "wait", "step").withColumn("first", F.lit(False))
+        if old is not None:  # what was known stands as the first value, before all of this batch
+            rows = rows.unionByName(old.select("agent", F.lit("1970-01-01").cast("timestamp").alias("ts"), "wait", "step", F.lit(True).alias("first")))
+        own = curation.smoothed(rows, ["agent"], [F.desc("first"), "ts"], ["wait", "step"], alpha)
+        own.select("agent", "wait", "step", curation.wait_fraction(F.col("wait"), F.col("step")).alias("fraction")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _drop(spark, path, number - 2)
+
+    return steps.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def retain_latest(rows: DataFrame, path: str, checkpoint: str, most: int, order: str = "seq_no"):
+    """The ``most`` latest rows so far by ``order``, under ``path``/batch=N: a bounded top of the batch and of what the batch before held."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = _before(spark, path, number)
+        both = batch if old is None else batch.unionByName(old)
+        both.orderBy(F.desc(order)).limit(most).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _drop(spark, path, number - 2)
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Size patterns in the order in which they are tried.
+SIZES = [
+    "xx-large", "3x-large", "4x-large", "5x-large", "x-large", "x-small", "medium", "large", "small", "queen", "twin", "full", "king", "one size", "pack",
+    "(.*)neck(.*)sleeve", r"(.*) women \| (.*) men", "(.*)w x(.*)l", "(.*)w by (.*)l", "(.*)w x(.*)h", "(.*)wide", "(.*)x-wide", "(.*)narrow", "(.*)petite", "(.*)inch", "(.*)plus", "(.*)mm",
+    "women(.*)", "(.*)x(.*)", "(.*)ft", "(.*)feet", "(.*)meter", "(.*)yards", r"(.*)\*(.*)", r"(.*)\-(.*)", r'(\d+)"$', r"(\d+)f$", r"(\d+)m$", r"(\d+)cm$", r"(\d+)g$",
+]
+
 
 def turn_discount(reward: Column, turns: Column, d: float) -> Column:
     return reward * F.pow(F.lit(d), turns)
@@ -72,12 +79,21 @@ def since_seconds(text: Column) -> Column:
     return unit("d", 86400) + unit("h", 3600) + unit("m", 60) + unit("s", 1)
 
 
-def first_colour(text: Column, colours: list[str]) -> Column:
-    """The first of the ordered colours that the text contains; the text itself where it has none."""
+def first_colour(text: Column, colours: list[str], missing: str | None = None) -> Column:
+    """The first of the ordered colours that the text contains; ``missing``, or else the text itself, where it has none."""
     found = F.lit(None).cast("string")
     for c in reversed(colours):
         found = F.when(F.contains(text, F.lit(c)), c).otherwise(found)
-    return F.coalesce(found, text)
+    return F.coalesce(found, text if missing is None else F.lit(missing))
+
+
+def size_kind(text: Column) -> Column:
+    """The first of the ordered size patterns found in the lower-cased text; ``numeric_size`` for a number, else ``not_matched``."""
+    low = F.lower(text)
+    found = F.when(low.rlike("^([0-9]+\\.?[0-9]*|\\.[0-9]+)$"), "numeric_size").otherwise("not_matched")
+    for p in reversed(SIZES):
+        found = F.when(low.rlike(p), p).otherwise(found)
+    return found
 
 
 def pack_offsets(rows: DataFrame, batch: str, order: str, tokens: str) -> DataFrame:

@@ -34,6 +34,23 @@ def normalize_tests(tests: Column) -> Column:
     return F.to_json(F.struct(F.transform(tests, lambda t: t["input"]).alias("inputs"), F.transform(tests, lambda t: t["output"]).alias("outputs")))
 
 
+def normalize_test_text(text: Column) -> Column:
+    """Tests in JSON text as JSON of inputs and outputs, with the function's name where they call one.
+
+    Null where there are none, where kinds are mixed or unknown, and where calls don't agree on one name. A test without
+    a kind that has an input and an output is one of a program.
+    """
+    tests = F.from_json(text, "array<struct<type:string,input:string,output:string,fn_name:string>>")
+    kinds = F.array_distinct(F.transform(tests, lambda t: F.coalesce(t["type"], F.when(t["input"].isNotNull() & t["output"].isNotNull(), "stdin_stdout"))))
+    names = F.array_distinct(F.transform(tests, lambda t: F.coalesce(t["fn_name"], F.lit(""))))
+    whole = F.forall(tests, lambda t: t["input"].isNotNull() & t["output"].isNotNull())
+    kind, name = F.try_element_at(kinds, F.lit(1)), F.try_element_at(names, F.lit(1))
+    inputs, outputs = F.transform(tests, lambda t: t["input"]).alias("inputs"), F.transform(tests, lambda t: t["output"]).alias("outputs")
+    one = (F.size(tests) > 0) & (F.size(kinds) == 1) & whole
+    called = F.when((F.size(names) == 1) & (name != ""), F.to_json(F.struct(name.alias("fn_name"), inputs, outputs)))
+    return F.when(one & (kind == "stdin_stdout"), F.to_json(F.struct(inputs, outputs))).when(one & (kind == "function_call"), called)
+
+
 def split_contiguous(rows: DataFrame, keys: list[str], draw: Column, tie: str, parts: int) -> DataFrame:
     """``part``: contiguous parts of each key's rows in the order of a uniform draw; the last takes the remainder."""
     placed = place_within(rows.withColumn("_draw", draw), keys, F.floor(F.col("_draw") * 256), [F.col("_draw"), F.col(tie)], "_place", "_all")

@@ -56,6 +56,30 @@ def normalize(seqs: DataFrame, *, mean_over: list[str] | None, std_over: list[st
     return df.withColumn("normalized", F.col("_off") / scale).drop("_mean", "_off")
 
 
+def normalize_masked(seqs: DataFrame, mask: str, *, batch: list[str], mean_over: list[str] | None, std_over: list[str] | None, leave_one_out: bool = False, unbiased: bool = True, eps: float = 1e-5, value: str = "reward") -> DataFrame:
+    """As ``normalize`` over the rows with ``mask`` 1; others become 0, and a ``batch`` without any such row stays as it is.
+
+    A masked row's mean is that of all others in use, also where means leave the row itself out. A single row has
+    mean 0 when it is left out, and deviation 1 where that is unbiased.
+    """
+    x, m = F.col(value), F.col(mask)
+    mean = F.lit(0.0)
+    if mean_over is not None:
+        w = Window.partitionBy(*mean_over)
+        n, total = F.sum(m).over(w), F.sum(x * m).over(w)
+        plain = F.coalesce(total / F.nullif(n, F.lit(0)), F.lit(0.0))
+        mean = F.when((F.count(F.lit(1)).over(w) == 1) | (n <= 1), 0.0).when(m > 0, (total - x) / F.nullif(n - 1, F.lit(0))).otherwise(plain) if leave_one_out else plain
+    df = seqs.withColumn("_off", (x - mean) * m)
+    scale = F.lit(1.0)
+    if std_over is not None:
+        w = Window.partitionBy(*std_over)
+        n = F.sum(m).over(w) - (1 if unbiased else 0)
+        alone = (F.count(F.lit(1)).over(w) == 1) & F.lit(unbiased)
+        scale = F.when(alone | (n <= 0), 1.0).otherwise(F.sqrt(F.sum(F.col("_off") * F.col("_off")).over(w) / F.nullif(n, F.lit(0)))) + eps
+    none = F.sum(m).over(Window.partitionBy(*batch)) == 0
+    return df.withColumn("normalized", F.when(none, x).otherwise(F.col("_off") / scale)).drop("_off")
+
+
 def stamped_norm(reward: Column, mean: Column, std: Column, *, bias: float, scale: float, clip: float, eps: float = 1e-5) -> Column:
     """A biased, scaled and clipped reward against stamped group statistics: row-local, no shuffle."""
     scaled = F.greatest(F.lit(-clip), F.least(F.lit(clip), (reward + bias) * scale))

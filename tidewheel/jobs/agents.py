@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.hashing import hash_uniform, hash_uniform_sql
+from tidewheel.jobs.scoring import _P, _words
 from tidewheel.operators import agents, datasets, scoring, tokens
 from tidewheel.sources.adapters import rollouts, table, token_rows, with_views
 
@@ -271,6 +272,13 @@ def token_f1_cjk(spark, d):
 
 QUERIES = {f.__name__: f for f in (clean_boxed_answer, first_nonblank_field, truncate_dataset, validate_test_rows, normalize_tests, prepare_eval_split, goal_split, sample_negatives, shrink_action_space, reference_solution, expand_goals, reject_incomplete_group, trajectory_reward_gate, agent_metric_means, batch_length_stats, benchmark_overall, verifier_metrics, router_metrics, selector_metrics, agent_memory_stats, recursive_agent_stats, recall_at_k, direct_gen_accuracy, previous_actions, candidate_score_join, resume_unjudged, metadata_two_key_lookup, product_attribute_join, answer_set_compare, dedup_tasks, parse_llm_json, judge_verdict, checklist_score, parse_action, normalize_color, price_draw, relative_since, testgen_reward, pad_pack, build_sequence, html_reduce, extract_code_block, token_f1_cjk)}
 
+
+
+def _chars(x: str) -> str:
+    bare = f"trim(regexp_replace(lower(regexp_replace({x}, '{_P}', ' ', 'g')), '\\s+', ' ', 'g'))"
+    return f"list_distinct(list_filter(string_split(regexp_replace({bare}, '[0-9，。 ,.\\-]', '', 'g'), ''), lambda c: c <> '') || regexp_extract_all({bare}, '[0-9]+'))"
+
+
 _TURNS = "t AS (SELECT conv_id, turn, role, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: (length(w) % 97)::INT) AS ids FROM conversations)"
 _CASES = "t AS (SELECT l_orderkey, list(CASE WHEN l_orderkey % 5 = 0 THEN l_linestatus ELSE 'stdin' END) AS kinds, count(*) AS n, max(l_partkey) AS greatest FROM lineitem GROUP BY 1)"
 _H = lambda seed, x: hash_uniform_sql(f"'{seed}'", f"{x}::VARCHAR")
@@ -316,5 +324,8 @@ ORACLES = {
     "pad_pack": f"{T} SELECT conv_id % 8 AS batch, conv_id, (sum(len(input_ids)) OVER w - len(input_ids))::BIGINT AS start, (sum(len(input_ids)) OVER w)::BIGINT AS end FROM token_rows WINDOW w AS (PARTITION BY conv_id % 8 ORDER BY conv_id)",
     "build_sequence": f"""WITH {_TURNS}, l AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY 1), p AS (SELECT conv_id, last, coalesce(flatten(list(ids ORDER BY turn) FILTER (turn < last)), []) AS prompt, flatten(list(ids) FILTER (turn = last)) AS answer FROM t JOIN l USING (conv_id) GROUP BY 1, 2)
         SELECT conv_id, array_to_string(prompt || answer, ',') AS input_ids, array_to_string(list_transform(prompt, lambda x: 0) || list_transform(answer, lambda x: 1), ',') AS loss_mask, array_to_string(list_transform(prompt, lambda x: -1) || list_transform(answer, lambda x: last::INT), ',') AS versions, round(coalesce(-list_sum(answer) / 100.0::DOUBLE, 0.0), 6) AS logprob, len(prompt || answer)::INT AS n FROM p""",
+    "token_f1_cjk": f"""WITH a AS (SELECT doc_id, d.text AS t, CASE WHEN item_id % 3 = 0 THEN '答案 12,' || b.text ELSE b.text END AS g, item_id % 3 = 0 AS cjk FROM documents d JOIN benchmark b ON doc_id % (SELECT max(item_id) + 1 FROM benchmark) = item_id),
+        w AS (SELECT doc_id, CASE WHEN cjk THEN {_chars('t')} ELSE {_words('t')} END AS p, CASE WHEN cjk THEN {_chars('g')} ELSE {_words('g')} END AS q FROM a)
+        SELECT doc_id, round(CASE WHEN len(list_intersect(p, q)) > 0 THEN 2.0::DOUBLE * len(list_intersect(p, q)) / (len(p) + len(q)) ELSE 0.0 END, 6) AS f1 FROM w""",
     "extract_code_block": "SELECT item_id, CASE WHEN length(text) + 1 >= 20 THEN (length(text) + 1)::INT END AS code_chars FROM benchmark",
 }

@@ -219,6 +219,7 @@ for _level in range(6, -1, -1):
 _MD5 += " SELECT m AS fingerprint, (SELECT count(*) FROM d7) AS rows FROM d0"
 ORACLES = {
     "bm25_search": f"WITH w AS (SELECT doc_id, {_TERMS.format(x='text')} AS ws FROM documents), st AS (SELECT count(*) AS n, avg(len(ws)) AS ml FROM w), q AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS.format(x='text')}) AS term FROM benchmark), tf AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS l, unnest(ws) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2 / (tf + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * l / ml))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank FROM s) SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 5",
+    "dense_topk": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS s FROM v q, v WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(s, 4) AS score, rank::INT AS rank FROM r WHERE rank <= 5",
     "page_access": f"{L}, {_ASKED}, k AS (SELECT {_KEY.format(x='url')} AS key, min(page_id) AS page_id FROM pages GROUP BY 1) SELECT request, page_id FROM r LEFT JOIN k ON {_KEY.format(x='request')} = key",
     "page_exists": f"{L}, {_ASKED} SELECT request FROM r WHERE {_KEY.format(x='request')} IN (SELECT {_KEY.format(x='url')} FROM pages)",
     "neighbour_candidates": f"{L}, v AS (SELECT DISTINCT url FROM pages WHERE url LIKE 'https%'), b AS (SELECT url, target AS near FROM links UNION SELECT target, url FROM links) SELECT url, count(*) AS candidates FROM b WHERE url IN (FROM v) AND near NOT IN (FROM v) GROUP BY 1",

@@ -126,6 +126,7 @@ def _p(k: str) -> str:
 ORACLES = {
     "outcome_rounds": f"{O}, {_ROUNDS} SELECT prompt_id, version, round(g_mean, 6) AS g_mean, zero_adv, n_trajs, kind FROM r",
     "greso_state": f"{O}, {_ROUNDS}, {_STREAK} SELECT * FROM st",
+    "greso_controller": f"{O.replace('WITH', 'WITH RECURSIVE', 1)}, {_ROUNDS}, n AS (SELECT version, coalesce(count(*) FILTER (kind = 'easy') / nullif(count(kind), 0)::DOUBLE, 0) AS e, coalesce(count(*) FILTER (kind = 'hard') / nullif(count(kind), 0)::DOUBLE, 0) AS h, row_number() OVER (ORDER BY version) AS i FROM r GROUP BY 1), c AS (SELECT 0::BIGINT AS i, NULL::INT AS version, 0.5::DOUBLE AS pe, 0.5::DOUBLE AS ph UNION ALL SELECT n.i, n.version, greatest(0.01::DOUBLE, least(0.99::DOUBLE, CASE WHEN e >= 0.083 THEN pe - 0.01::DOUBLE ELSE pe + 0.01::DOUBLE END)), greatest(0.01::DOUBLE, least(0.99::DOUBLE, CASE WHEN h >= 0.167 THEN ph - 0.01::DOUBLE ELSE ph + 0.01::DOUBLE END)) FROM c JOIN n ON n.i = c.i + 1) SELECT version, round(pe, 6) AS p_easy, round(ph, 6) AS p_hard FROM c WHERE i > 0",
     "filter_solved_state": f"{O}, {_ROUNDS}, g AS (SELECT prompt_id, g_mean, count(*) OVER (PARTITION BY prompt_id) - row_number() OVER (PARTITION BY prompt_id ORDER BY version) AS age FROM r), s AS (SELECT prompt_id, sum(0.5::DOUBLE * pow(0.5::DOUBLE, age) * g_mean) AS success FROM g GROUP BY 1) SELECT prompt_id, round(success, 6) AS success, success < 0.95 AS submit FROM s",
     "gate_prompts": f"{O}, {_ROUNDS}, {_STREAK}, g AS (SELECT c_custkey AS prompt_id, streak, kind, CASE WHEN coalesce(streak, 0) = 0 THEN 1.0::DOUBLE WHEN coalesce(kind, 'easy') = 'easy' THEN greatest(pow(0.5::DOUBLE, streak), 0.1) ELSE greatest(pow(0.7::DOUBLE, streak), 0.4) END AS p FROM customer LEFT JOIN st ON c_custkey = prompt_id), f AS (SELECT prompt_id, coalesce(streak, 0)::BIGINT AS streak, kind, round(p, 6) AS p, {hash_uniform_sql(chr(39) + '5' + chr(39), 'prompt_id::VARCHAR')} < p AS submit FROM g), o AS (SELECT *, row_number() OVER (ORDER BY prompt_id) - 1 AS place FROM f), l AS (SELECT *, coalesce(max(CASE WHEN submit THEN place END) OVER (ORDER BY place), -1) AS last FROM o) SELECT prompt_id, streak, kind, p, submit OR (place > last AND (place - last) % 257 = 0) AS submit FROM l",
     "avg_at_k": f"{E}, a AS (SELECT dataset, count(*) FILTER (correct) * 100.0::DOUBLE / count(*) AS v, avg(reward) AS m, count(*) AS t FROM eval_results GROUP BY 1), u AS (SELECT * FROM a UNION ALL SELECT 'overall', avg(v), avg(m), sum(t)::BIGINT FROM a) SELECT dataset, round(v, 6) AS avg_at_k, round(m, 6) AS mean_reward, t AS total FROM u",

@@ -205,3 +205,28 @@ def test_ngrams_and_fingerprint(spark):
     prints = [catalogue.fingerprint(x, [F.col("id").cast("string"), F.col("b").cast("string")]).collect() for x in (rows, rows.orderBy(F.desc("id")).repartition(9))]
     assert prints[0] == prints[1] and prints[0][0]["rows"] == 500
     assert catalogue.fingerprint(rows.where("id < 499"), [F.col("id").cast("string")]).first()["fingerprint"] != prints[0][0]["fingerprint"]
+
+
+@pytest.mark.parametrize(
+    "policy,rows,want",
+    [
+        ("fifo", [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4)], [0, 1, 2, 3, 4]),
+        ("edf", [(0, 7), (1, 3), (2, 5)], [1, 2, 0]),
+        ("edf", [(0, 2), (1, 2), (2, 2), (3, 2)], [0, 1, 2, 3]),
+        ("edf", [(0, 0), (1, None)], [1, 0]),
+    ],
+)
+def test_batches_keep_their_order(spark, policy, rows, want):
+    from tidewheel.operators import selection
+
+    df = spark.createDataFrame([(t, v, 8) for t, v in rows], "seq_no long, min_version int, seq_len int").repartition(3)
+    got = selection.select_batch(df, len(rows), current=7, max_staleness=9, policy=policy).collect()
+    assert [r["seq_no"] for r in sorted(got, key=lambda r: r["ordinal"])] == want and sorted(r["ordinal"] for r in got) == list(range(len(rows)))
+
+
+def test_controller_waits_for_its_warm_up(spark):
+    from tidewheel.operators import curation
+
+    df = spark.createDataFrame([("a", v, 1.0, 1, 1, "easy") for v in range(4)], "prompt_id string, version int, g_mean double, zero_adv int, n_trajs int, kind string")
+    got = [(r["version"], round(r["p_easy"], 6)) for r in curation.controller(df, warm_up=3).collect()]
+    assert got == [(0, 0.5), (1, 0.5), (2, 0.49), (3, 0.48)]

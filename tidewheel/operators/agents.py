@@ -110,3 +110,44 @@ def reduce_html(html: Column, tags: tuple[str, ...] = ("title", "h1", "p", "li",
     parts = F.regexp_extract_all(body, F.lit(f"(?s)<(?:{'|'.join(tags)})(?: [^>]*)?>(.*?)(?=</?(?:{'|'.join(tags)})[ >])"), F.lit(1))
     plain = F.transform(parts, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, "<[^>]*>", " "), "\\s+", " ")))
     return F.array_join(F.filter(plain, lambda p: p != ""), "\n")
+
+
+def shell_action(text: Column) -> list[Column]:
+    """``action, content`` of a turn of ``Think:`` and ``Act:`` lines: the last act that says bash, finish or answer(...).
+
+    Bash takes the fenced scripts of the turn; an answer without parentheses isn't one.
+    """
+    acts = F.reverse(F.regexp_extract_all(text, F.lit("Act:\\s*(.+)"), F.lit(1)))
+    said = F.transform(acts, lambda a: F.when(F.lower(a).startswith("bash"), F.struct(F.lit("bash").alias("k"), F.lit(None).cast("string").alias("c"))).when(F.lower(a).startswith("finish"), F.struct(F.lit("commit").alias("k"), F.lit(None).cast("string").alias("c"))).when(F.lower(a).startswith("answer") & a.rlike("\\([^\\n]*\\)"), F.struct(F.lit("commit").alias("k"), F.regexp_extract(a, "\\((.*)\\)", 1).alias("c"))))
+    first = F.try_element_at(F.filter(said, lambda x: x.isNotNull()), F.lit(1))
+    scripts = F.array_join(F.regexp_extract_all(text, F.lit("(?s)```bash\\n(.*?)\\n```"), F.lit(1)), "\n\n")
+    return [first["k"].alias("action"), F.when(first["k"] == "bash", scripts).otherwise(first["c"]).alias("content")]
+
+
+def choice_action(text: Column) -> list[Column]:
+    """``option, action`` of ``Answer:``, ``Action:`` and ``Value:`` lines: option A where none is named."""
+    option = F.regexp_extract(text, "Answer: (A|B|C|D|E|F)", 1)
+    act, value = F.regexp_extract(text, "Action: (CLICK|SELECT|TYPE)", 1), F.regexp_extract(F.trim(text), "(?m)Value: (.*)$", 1)
+    return [F.when(option == "", "A").otherwise(option).alias("option"), F.concat(act, F.lit(" "), F.trim(value)).alias("action")]
+
+
+def search_format(text: Column) -> Column:
+    """Whether every kind of call is closed as often as opened, at most one is made, no speaker is named and thinking ends at most once."""
+    n = lambda part: (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
+    kinds = ("search", "access", "answer")
+    ok = n("</think>") <= 1
+    for k in kinds:
+        ok = ok & (n(f"<{k}>") == n(f"</{k}>"))
+    return ok & (sum((n(f"<{k}>") for k in kinds), F.lit(0)) <= 1) & ~F.contains(text, F.lit("Assistant")) & ~F.contains(text, F.lit("assistant"))
+
+
+def retry_discount(turns: Column, d: float) -> Column:
+    """The first reward of the turns' (an array) that isn't 0, discounted once for each failed turn before it; 0 where all fail."""
+    at = F.array_position(F.transform(turns, lambda r: r != 0), True)
+    return F.when(at > 0, F.get(turns, (at - 1).cast("int")) * F.pow(F.lit(d), at - 1)).otherwise(0.0)
+
+
+def unique_tasks(rows: DataFrame, key: str, targets: str, stock: str) -> DataFrame:
+    """The least ``key`` of each pair of targets and stock (maps of counts), whatever the order of their entries, with ``copies``."""
+    form = lambda c: F.to_json(F.array_sort(F.map_entries(c)))
+    return rows.groupBy(form(targets).alias("targets"), form(stock).alias("stock")).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))

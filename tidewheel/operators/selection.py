@@ -17,9 +17,10 @@ def arrival_order(policy: str) -> list[Column]:
 
 
 def select_batch(buffer: DataFrame, n: int, *, current: int, max_staleness: int, policy: str = "edf") -> DataFrame:
-    """The next ``n`` fresh rows, or none when there are fewer: a top-n, never a sort of the whole buffer."""
+    """The next ``n`` fresh rows with their place as ``ordinal``, or none when there are fewer: a top-n, never a sort of the whole buffer."""
     best = buffer.where(fresh(current, max_staleness)).orderBy(*arrival_order(policy)).limit(n)
-    return best.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).where(F.col("_n") == n).drop("_n")
+    batch = Window.partitionBy(F.lit(0))  # n rows
+    return best.withColumn("_n", F.count(F.lit(1)).over(batch)).where(F.col("_n") == n).drop("_n").withColumn("ordinal", F.row_number().over(batch.orderBy(*arrival_order(policy))) - 1)
 
 
 def consume_stats(buffer: DataFrame, n: int, *, current: int, max_staleness: int, policy: str = "edf") -> DataFrame:
@@ -49,7 +50,7 @@ def mix_batch(buffer: DataFrame, store: DataFrame, n: int, ratio: float, *, curr
     """Replay (at most ``int(n * ratio)``) is read before fresh rows are taken; ``part`` tells them apart."""
     replay = replay_latest(store, int(n * ratio)).withColumn("part", F.lit("replay"))
     count = replay.count()  # at most n * ratio rows
-    taken = select_batch(buffer, n - count, current=current, max_staleness=max_staleness).withColumn("part", F.lit("fresh"))
+    taken = select_batch(buffer, n - count, current=current, max_staleness=max_staleness).drop("ordinal").withColumn("part", F.lit("fresh"))
     return taken.unionByName(replay)
 
 

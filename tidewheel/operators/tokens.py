@@ -171,3 +171,34 @@ def route_tokens(rows: DataFrame, models: list[int]) -> DataFrame:
     whole = F.col("model_ids").isNull() | F.col("loss_mask").isNull()
     own = F.zip_with("loss_mask", "model_ids", lambda m, i: F.when(i == F.col("model"), m).otherwise(F.lit(0)))
     return each.withColumn("_own", F.when(whole, F.col("loss_mask")).otherwise(own)).where(whole | F.exists("_own", lambda m: m > 0)).withColumn("loss_mask", F.col("_own")).drop("_own")
+
+
+def policy_loss(rows: DataFrame, sequence: str, *, low: float, high: float, dual: float | None, level: str = "token") -> DataFrame:
+    """Token rows (``logprob, old_logprob, advantage, mask`` of a ``sequence``) with ``ratio, loss, clipped, dual_clipped``.
+
+    At the level of sequences the ratio is the geometric mean of a sequence's masked tokens and the advantage their
+    mean. Masked tokens have ratio and loss 0 and no flag.
+    """
+    used, gap, advantage = F.col("mask") > 0, F.col("logprob") - F.col("old_logprob"), F.col("advantage")
+    if level == "sequence":
+        w = Window.partitionBy(sequence)
+        n = F.greatest(F.sum(used.cast("int")).over(w), F.lit(1))
+        gap, advantage = F.sum(F.when(used, gap).otherwise(0.0)).over(w) / n, F.sum(F.when(used, advantage).otherwise(0.0)).over(w) / n
+    made = rows.withColumn("ratio", F.when(used, F.exp(gap)).otherwise(0.0)).withColumn("_a", advantage)
+    plain, cut_ = -F.col("_a") * F.col("ratio"), -F.col("_a") * F.greatest(F.lit(1 - low), F.least(F.lit(1 + high), F.col("ratio")))
+    made = made.withColumn("_worst", F.greatest(plain, cut_)).withColumn("clipped", used & (plain < cut_))
+    bound = F.abs("_a") * dual if dual else F.col("_worst")
+    made = made.withColumn("dual_clipped", used & (bound < F.col("_worst")))
+    return made.withColumn("loss", F.when(used, F.least(F.col("_worst"), bound)).otherwise(0.0)).drop("_a", "_worst")
+
+
+def huber(x: Column, y: Column, delta: float = 10.0) -> Column:
+    off = F.abs(x - y)
+    return F.when(off < delta, 0.5 * off * off).otherwise(delta * (off - 0.5 * delta))
+
+
+def value_loss(value: Column, old: Column, target: Column, clip: float, kind: str = "mse") -> tuple[Column, Column]:
+    """The greater of the losses of a value and of its clipped form, and whether that is the clipped one's."""
+    one = huber if kind == "huber" else (lambda x, y: 0.5 * (x - y) * (x - y))
+    plain, near = one(value, target), one(old + F.greatest(F.lit(-clip), F.least(F.lit(clip), value - old)), target)
+    return F.greatest(plain, near), near > plain

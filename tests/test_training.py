@@ -230,3 +230,12 @@ def test_controller_waits_for_its_warm_up(spark):
     df = spark.createDataFrame([("a", v, 1.0, 1, 1, "easy") for v in range(4)], "prompt_id string, version int, g_mean double, zero_adv int, n_trajs int, kind string")
     got = [(r["version"], round(r["p_easy"], 6)) for r in curation.controller(df, warm_up=3).collect()]
     assert got == [(0, 0.5), (1, 0.5), (2, 0.49), (3, 0.48)]
+
+
+def test_histogram_widths(spark):
+    from tidewheel.operators import traces
+
+    bins = lambda values: {r["bin"]: r["n"] for r in traces.histogram(spark.createDataFrame([(float(v),) for v in values], "v double"), "v").collect()}
+    assert bins([5, 5, 5, 5]) == {0: 4} and bins([7]) == {0: 1}
+    assert bins([0] * 9 + [40]) == {0: 9, 40: 1}  # equal quartiles: 40 parts
+    assert max(bins([i / 1000 for i in range(1000)] + [10_000])) == 120  # a 120th of the span at least

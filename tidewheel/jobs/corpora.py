@@ -228,7 +228,7 @@ ORACLES = {
     "step_boundaries": f"{S}, {_STEPS} SELECT step, round(step_end, 4) AS step_end FROM b",
     "step_interval_assign": f"{S}, {_STEPS}, a AS (SELECT session_id, min(step) AS step FROM sessions LEFT JOIN b ON step_end >= finalized_ts GROUP BY 1) SELECT coalesce(step, -1) AS step, count(*) AS sessions FROM a GROUP BY 1",
     "latency_quantiles": f"{S} SELECT rank, status, round(quantile_cont(total_s, 0.5), 6) AS p50, round(quantile_cont(total_s, 0.95), 6) AS p95, round(min(total_s), 6) AS least, round(max(total_s), 6) AS most FROM sessions GROUP BY 1, 2",
-    "histogram_bins": f"{S}, f AS (SELECT min(total_s) AS lo, 2 * (quantile_cont(total_s, 0.75) - quantile_cont(total_s, 0.25)) / pow(count(total_s), 1 / 3::DOUBLE) AS width FROM sessions) SELECT floor((total_s - lo) / width)::BIGINT AS bin, count(*) AS n FROM sessions, f GROUP BY 1",
+    "histogram_bins": f"{S}, f AS (SELECT min(total_s) AS lo, greatest(2 * (quantile_cont(total_s, 0.75) - quantile_cont(total_s, 0.25)) / pow(count(total_s), 1 / 3::DOUBLE), (max(total_s) - min(total_s)) / 120, 1e-3) AS width FROM sessions) SELECT floor((total_s - lo) / width)::BIGINT AS bin, count(*) AS n FROM sessions, f GROUP BY 1",
     "idle_gaps": f"{S}, g AS (SELECT rank, submit_ts - max(finalized_ts) OVER (PARTITION BY rank ORDER BY submit_ts, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM sessions) SELECT rank, count(*) AS gaps, round(sum(gap), 2) AS idle_s FROM g WHERE gap > 60 GROUP BY 1",
     "id_remap": f"{S} SELECT session_id, rank, (dense_rank() OVER (PARTITION BY rank ORDER BY task_id))::INT AS dense_id FROM sessions",
     "phase_durations": f"{S} SELECT event_type, round(sum(total_s), 3) AS total, round(avg(total_s) FILTER (status = 'accepted'), 6) AS mean_accepted, count(*) AS n FROM sessions GROUP BY 1",

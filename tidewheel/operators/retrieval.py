@@ -53,15 +53,19 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 5
         matrix = _unit(rows.column("embedding"))
 
         def best(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            held: tuple[np.ndarray, np.ndarray] | None = None  # ids and scores of the best so far, a row a query
             for batch in batches:
                 if not len(batch):
                     continue
-                mine, own = batch.column("vec_id").to_numpy(), _unit(batch.column("embedding"))
-                order = np.argsort(mine, kind="stable")
-                scores = np.round(matrix @ own[order].T, 6)
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                q = np.repeat(names, top.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(mine[order][top.reshape(-1)]), pa.array(np.take_along_axis(scores, top, 1).reshape(-1))], ["query_id", "vec_id", "score"])
+                mine, scores = batch.column("vec_id").to_numpy(), np.round(matrix @ _unit(batch.column("embedding")).T, 6)
+                ids = np.broadcast_to(mine, scores.shape)
+                if held is not None:
+                    ids, scores = np.hstack([held[0], ids]), np.hstack([held[1], scores])
+                top = np.lexsort((ids, -scores), axis=1)[:, :k]
+                held = np.take_along_axis(ids, top, 1), np.take_along_axis(scores, top, 1)
+            if held is not None:
+                q = np.repeat(names, held[0].shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(held[0].reshape(-1)), pa.array(held[1].reshape(-1))], ["query_id", "vec_id", "score"])
 
         local = vectors.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, score double")
         found = local if found is None else found.unionByName(local)

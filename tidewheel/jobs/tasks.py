@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewheel.operators import catalogue, datasets, graph, scoring
 from tidewheel.sources.adapters import table
 
+HEADERS = ["shopping game\ninstruction:", "corner shop\ninstruction:"]
 METRIC_GROUPS = {"actor_loss": "training", "clip_ratio": "clip", "approx_kl": "kl", "version_stats/": "staleness"}
 TAG_KINDS = {"planks": [("ends", "_planks")], "logs": [("ends", "_log"), ("ends", "_stem"), ("is", "log"), ("is", "stem")], "wool": [("ends", "_wool")], "coals": [("is", "coal"), ("is", "charcoal")]}
 
@@ -36,12 +37,12 @@ def metric_namespace(spark, d):
 
 
 def trajectory_text_clean(spark, d):
-    state = F.concat(F.lit('Amazon Shopping Game\nInstruction: "I\'m after a '), F.initcap("p_name"), F.lit('", and price lower than 40.00 dollars\n[button] Search [button_]'))
-    return table(spark, d, "part").select("p_partkey", datasets.clean_goal(F.when(F.col("p_partkey") % 4 > 0, state).otherwise(F.concat(F.lit(" WebShop\nInstruction: "), F.col("p_name"), F.lit(" \n[button] Search [button_]")))).alias("goal"))
+    state = F.concat(F.lit('Shopping Game\nInstruction: "I\'m after a '), F.initcap("p_name"), F.lit('", and price lower than 40.00 dollars\n[button] Search [button_]'))
+    return table(spark, d, "part").select("p_partkey", datasets.clean_goal(F.when(F.col("p_partkey") % 4 > 0, state).otherwise(F.concat(F.lit(" Corner Shop\nInstruction: "), F.col("p_name"), F.lit(" \n[button] Search [button_]"))), HEADERS).alias("goal"))
 
 
 def goal_search_pairs(spark, d):
-    goal = datasets.clean_goal(F.concat(F.lit("WebShop\nInstruction: Find a "), F.col("p_name"), F.lit(" of "), F.col("p_brand"), F.lit(", and price lower than 9")))
+    goal = datasets.clean_goal(F.concat(F.lit("Corner Shop\nInstruction: Find a "), F.col("p_name"), F.lit(" of "), F.col("p_brand"), F.lit(", and price lower than 9")), HEADERS)
     p = table(spark, d, "part").select("p_partkey", goal.alias("goal"), F.array("p_name", F.lower("p_brand")).alias("searches"))
     return datasets.goal_searches(p, "searches", p.select("goal", F.col("p_partkey").alias("place")), 20, 1500)
 

@@ -10,7 +10,7 @@ from tidewheel.functions.ranking import place_within
 
 #: The trailing request of prompts, and the page furniture of shopping states.
 STEPS_SUFFIX = r"(?i)(\r?\n|\\n)*\s*Let'?s\s+think\s+step\s+by\s+step\s+and\s+output\s+the\s+final\s+answer\s+within\s*\\boxed\{\}\.\s*$"
-GOAL_NOISE = ["amazon shopping game\ninstruction:", "webshop\ninstruction:", "\n[button] search [button_]"]
+GOAL_BUTTON = "\n[button] search [button_]"
 PRICE_CLAUSE = ", and price lower than"
 
 
@@ -126,9 +126,9 @@ def goal_searches(goals: DataFrame, searches: str, known: DataFrame, first: int,
     return goals.select("goal", F.explode(searches).alias("search")).join(at.select("goal"), "goal", "left_semi")
 
 
-def clean_goal(text: Column) -> Column:
-    """Lower case, without quotes, page headers and the search button, up to the clause about the price."""
+def clean_goal(text: Column, headers: list[str]) -> Column:
+    """Lower case, without quotes, page ``headers`` (lower case) and the search button, up to the clause about the price."""
     bare = F.regexp_replace(F.lower(text), "[\"']", "")
-    for part in GOAL_NOISE:
+    for part in [*headers, GOAL_BUTTON]:
         bare = F.replace(bare, F.lit(part), F.lit(""))
     return F.split_part(F.btrim(bare, F.lit(" \n\t\r")), F.lit(PRICE_CLAUSE), F.lit(1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import decontaminate, jaccard, katz, line_dedup, media, mixing, quality, secrets, tokens, url_filters
+from tidewheel.llm import alignment, decontaminate, jaccard, katz, line_dedup, media, mixing, quality, secrets, tokens, url_filters
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_resample": quality.op9_quality_resample,
     "op10_jaccard_components": jaccard.op10_jaccard_components,
+    "op11_token_alignment": alignment.op11_token_alignment,
 }
 ORACLES = {
     "op1_secret_scan": secrets.ORACLE,

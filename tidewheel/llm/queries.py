@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.llm import alignment, decontaminate, jaccard, katz, line_dedup, media, mixing, quality, secrets, tokens, url_filters
+from tidewheel.llm import alignment, decontaminate, jaccard, katz, line_dedup, media, mixing, quality, secrets, tokens, url_filters, vector_codes, vector_pairs
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality_resample": quality.op9_quality_resample,
     "op10_jaccard_components": jaccard.op10_jaccard_components,
     "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_near_vectors": vector_pairs.op13_near_vectors,
 }
 ORACLES = {
     "op1_secret_scan": secrets.ORACLE,
@@ -24,4 +26,6 @@ ORACLES = {
     "op6_line_dedup": line_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op10_jaccard_components": jaccard.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_near_vectors": vector_pairs.ORACLE,
 }

@@ -81,9 +81,8 @@ def test_matches_brute_force(spark, tmp_path, monkeypatch, small):
         assert {(r["a"], r["b"]): (r["n"], r["best"]) for r in pairs} == {(x, y): (n, n == best[y]) for (x, y), n in count.items()}
 
 
-def test_very_long_texts_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(alignment, "HUGE", 400)
-    monkeypatch.setattr(alignment, "PIECE", 150)
+def test_very_long_texts_and_few_known_pieces(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "KNOWN", 50)
     rng = random.Random(3)
     text = " ".join(rng.choice([*(t for _, t in corpus() if t), "word", "and", "more", " two"]) for _ in range(4000))
     rows = [(1, text), (2, "x" * 50_000), (3, "日本" * 20_000), (4, " " * 5000), (5, "a b " * 9000)]

@@ -21,8 +21,8 @@ from tidewheel.llm.tokens import load_tokenizer, tokenizer_path
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Documents are encoded and their records sorted in blocks of about so many bytes of text.
 BLOCK_BYTES = 4 << 20
-#: Texts of more characters are encoded in pieces of at least ``PIECE``, so that no library holds a huge text's tokens at once.
-HUGE, PIECE = 1 << 16, 1 << 15
+#: Pieces of texts, and characters of them, after which a task starts to remember anew.
+KNOWN, KNOWN_CHARS = 1 << 18, 8 << 20
 #: Radix of the partition by side-B id; a power of two.
 BUCKETS = 64
 #: Records of a run's frame, bytes of runs that one task merges, and runs that a later merge takes.
@@ -32,8 +32,8 @@ ID_BITS = 16
 
 _WRITTEN = "kind string, block long, bucket int, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, body binary"
 _COLUMNS = _WRITTEN.replace(" long", "").replace(" int", "").replace(" string", "").replace(" binary", "").split(", ")
-#: A blank behind something else: no token of either side goes over it (side B: checked when its pieces are read).
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A single blank: no token of either side goes from before it to behind it (side B: checked when its pieces are read), and a blank comes before each text.
+_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
 class _Sides:
@@ -58,28 +58,73 @@ class _Sides:
         self.names = [f"{i}{end}" for i in range(n_a) for end in ",|"] + [f"{i}{end}" for i in range(n_b) for end in ",;"]
         self.b_names = 2 * n_a
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both sides of each text, or of each text's pieces put together."""
-        pieces, owner = [], []
-        for i, t in enumerate(texts):
-            for p in self._pieces(t):
-                pieces.append(p)
-                owner.append(i)
-        a = [np.array(e.ids, np.int32) for e in self.a.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)]
-        b = [np.array(e, np.int32) for e in self.b.encode(pieces, num_threads=1)]
-        out = [([], []) for _ in texts]
-        for i, x, y in zip(owner, a, b, strict=True):
-            out[i][0].append(x)
-            out[i][1].append(y)
-        return [(x[0] if len(x) == 1 else np.concatenate(x), y[0] if len(y) == 1 else np.concatenate(y)) for x, y in out]
-
-    def _pieces(self, text: str) -> Iterator[str]:
-        """Runs of ``text`` without the blank before each but the first, which both sides see again."""
-        at = 0
-        while self.cuttable and len(text) - at > HUGE and (found := _CUT.search(text, at + PIECE)):
-            yield text[at : found.start()]
-            at = found.start() + 1
-        yield text[at:] if at else text
+    def pieces(self, text: str) -> list[str]:
+        """Parts of ``text`` between single blanks. Both sides encode a blank and a part alike, alone or in the text, and both end a token with it."""
+        return _BLANK.split(text) if self.cuttable else [text]
+
+    def align(self, pieces: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Of each piece ``whole, n_a, n_b, n_groups``; its groups as text; and the pairs of all groups, piece after piece."""
+        facts, texts = np.zeros((len(pieces), 4), np.int64), [""] * len(pieces)
+        a_ids = [np.array(e.ids, np.int32) for e in self.a.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)]
+        b_ids = [np.array(e, np.int32) for e in self.b.encode(pieces, num_threads=1)]
+        whole = [i for i, p in enumerate(pieces) if self._whole(p, a_ids[i], b_ids[i])]
+        if not whole:
+            return facts, texts, np.zeros(0, np.int64)
+        a, b = np.concatenate([a_ids[i] for i in whole]), np.concatenate([b_ids[i] for i in whole])
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        # all pieces one after the other: a piece's end is a common one
+        at = np.searchsorted(ends_b, ends_a)
+        last_a = ends_b[at] == ends_a
+        last_b = np.zeros(len(b), bool)
+        last_b[at[last_a]] = True
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        n = int(last_a.sum())
+        before_b = np.searchsorted(group_b, np.arange(n + 1))
+        upto_a = np.searchsorted(group_a, np.arange(1, n + 1))
+        names = np.empty(len(a) + len(b), np.int64)
+        names[np.arange(len(a)) + before_b[group_a]] = 2 * a.astype(np.int64) + last_a
+        names[np.arange(len(b)) + upto_a[group_b]] = self.b_names + 2 * b.astype(np.int64) + last_b
+        cut_a, cut_b = (np.cumsum([0, *(len(x[i]) for i in whole)]) for x in (a_ids, b_ids))
+        facts[whole] = np.stack([np.ones(len(whole), np.int64), np.diff(cut_a), np.diff(cut_b), np.diff(group_a[cut_a[1:] - 1], prepend=-1)], axis=1)
+        cuts, said = (cut_a + cut_b).tolist(), names.tolist()
+        for k, i in enumerate(whole):
+            texts[i] = "".join(map(self.names.__getitem__, said[cuts[k] : cuts[k + 1]]))
+        return facts, texts, b[at[last_a]].astype(np.int64) << ID_BITS | a[last_a]
+
+    def _whole(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether both sides' bytes are a blank and the text: none lost, none changed."""
+        wanted = b" " + text.encode("utf-8", "surrogatepass")
+        return b"".join(map(self.bytes_a.__getitem__, a.tolist())) == wanted == b"".join(map(self.bytes_b.__getitem__, b.tolist()))
+
+
+class _Known:
+    """Alignments of pieces seen so far: facts, texts, and pairs one piece after the other."""
+
+    def __init__(self, sides: _Sides):
+        self.sides, self.index, self.chars = sides, {}, 0
+        self.facts, self.texts = np.zeros((0, 4), np.int64), []
+        self.starts, self.pairs = np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def look_up(self, pieces: list[str]) -> np.ndarray:
+        """The place of each piece; what isn't known is aligned first."""
+        if len(self.index) > KNOWN or self.chars > KNOWN_CHARS:
+            self.__init__(self.sides)
+        fresh = [p for p in dict.fromkeys(pieces) if p not in self.index]
+        if fresh:
+            facts, texts, pairs = self.sides.align(fresh)
+            for p in fresh:
+                self.index[p] = len(self.index)
+                self.chars += len(p)
+            self.facts, self.pairs = np.concatenate([self.facts, facts]), np.concatenate([self.pairs, pairs])
+            self.texts += texts
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(facts[:, 3])])
+        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs given by their starts and sizes, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -92,50 +137,30 @@ def _byte_letters() -> dict[str, int]:
 class _Block:
     """Documents of a block: a row each, and the sorted (pair, place) records of their links."""
 
-    def __init__(self, sides: _Sides, number: int):
-        self.sides, self.number, self.size = sides, number, 0
+    def __init__(self, known: _Known, number: int):
+        self.known, self.number, self.size = known, number, 0
         self.rows: list[tuple] = []
         self.records: list[np.ndarray] = []
 
     def add(self, ids: list, texts: list[str]) -> None:
-        s = self.sides
-        place = len(self.rows)
-        found = [(i, *e) for i, e in zip([i for i, t in enumerate(texts) if t], s.encode([t for t in texts if t]), strict=True)]
-        whole = [x for x in found if self._whole(texts[x[0]], x[1], x[2])]
-        rows = {}
-        if whole:
-            a, b = (np.concatenate([x[k] for x in whole]) for k in (1, 2))
-            ends_a, ends_b = np.cumsum(s.size_a[a]), np.cumsum(s.size_b[b])
-            # all texts of this part one after the other: a text's end is a common one
-            at = np.searchsorted(ends_b, ends_a)
-            last_a = ends_b[at] == ends_a
-            last_b = np.zeros(len(b), bool)
-            last_b[at[last_a]] = True
-            group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
-            n = int(last_a.sum())
-            before_b = np.searchsorted(group_b, np.arange(n + 1))
-            upto_a = np.searchsorted(group_a, np.arange(1, n + 1))
-            names = np.empty(len(a) + len(b), np.int64)
-            names[np.arange(len(a)) + before_b[group_a]] = 2 * a.astype(np.int64) + last_a
-            names[np.arange(len(b)) + upto_a[group_b]] = s.b_names + 2 * b.astype(np.int64) + last_b
-            pairs = b[at[last_a]].astype(np.int64) << ID_BITS | a[last_a]
-            cut_a, cut_b = (np.cumsum([0, *(len(x[k]) for x in whole)]) for k in (1, 2))
-            cut_g = np.concatenate([[0], group_a[cut_a[1:] - 1] + 1])
-            places = np.repeat([place + x[0] for x in whole], np.diff(cut_g))
-            self.records.append(pairs << 32 | places)
-            for k, (i, own_a, own_b) in enumerate(whole):
-                text = "".join(map(s.names.__getitem__, names[cut_a[k] + cut_b[k] : cut_a[k + 1] + cut_b[k + 1]].tolist()))
-                groups = int(cut_g[k + 1] - cut_g[k])
-                rows[i] = (len(own_a), len(own_b), groups, groups, hashlib.sha256(text[:-1].encode()).hexdigest())
-        self.rows += [(place + i, ids[i], *rows.get(i, (0, 0, 0, 0, ""))) for i in range(len(ids))]
+        known, place = self.known, len(self.rows)
+        cut = [known.sides.pieces(t) if t else [] for t in texts]
+        at = known.look_up([p for pieces in cut for p in pieces])
+        ends = np.cumsum([0, *map(len, cut)])
+        facts = known.facts[at]
+        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(facts, axis=0)])
+        of_text = sums[ends[1:]] - sums[ends[:-1]]
+        whole = (of_text[:, 0] == np.diff(ends)) & (np.diff(ends) > 0)
+        owner = np.repeat(np.arange(len(texts)), np.diff(ends))
+        used = at[whole[owner]]
+        pairs = known.pairs[_runs(known.starts[used], known.facts[used, 3])]
+        self.records.append(pairs << 32 | np.repeat(place + owner[whole[owner]], known.facts[used, 3]))
+        said = at.tolist()
+        for i, (ok, (_, n_a, n_b, groups)) in enumerate(zip(whole.tolist(), of_text.tolist(), strict=True)):
+            text = "".join(map(known.texts.__getitem__, said[ends[i] : ends[i + 1]])) if ok else ""
+            self.rows.append((place + i, ids[i], n_a, n_b, groups, groups, hashlib.sha256(text[:-1].encode()).hexdigest()) if ok else (place + i, ids[i], 0, 0, 0, 0, ""))
         self.size += sum(map(len, texts))
 
-    def _whole(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
-        """Whether both sides' bytes are a blank and the text: none lost, none changed."""
-        wanted = b" " + text.encode("utf-8", "surrogatepass")
-        s = self.sides
-        return b"".join(map(s.bytes_a.__getitem__, a.tolist())) == wanted == b"".join(map(s.bytes_b.__getitem__, b.tolist()))
-
     def written(self, buckets: int) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*self.rows, strict=True))
         n = len(self.rows)
@@ -293,8 +318,8 @@ def _encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str, text: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        sides, number = _Sides(a_path, b_path), TaskContext.get().partitionId() << 24
-        block = _Block(sides, number)
+        known, number = _Known(_Sides(a_path, b_path)), TaskContext.get().partitionId() << 24
+        block = _Block(known, number)
         for batch in batches:
             ids, texts, size, begin = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), 0, 0
             for i, t in enumerate(texts):
@@ -305,7 +330,7 @@ def _encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str, text: str)
                     if block.size >= most:
                         yield from block.written(buckets)
                         number += 1
-                        block = _Block(sides, number)
+                        block = _Block(known, number)
         if block.rows:
             yield from block.written(buckets)
 
@@ -348,7 +373,8 @@ def align(docs: DataFrame, *, a_path: str, b_path: str, id_col: str = "doc_id",
     ``n_best`` counts links whose pair is the most frequent one of its side-B id in the corpus, ties included;
     ``count_sum`` sums the pairs' counts over the links.
 
-    Every block of documents writes its (pair, document) records once, sorted and radix-partitioned by the low bits of
+    Texts are cut at single blanks, which no token of either side goes over, and each piece is aligned once a task as
+    long as it is remembered. A text is whole if all its pieces are. Every block of documents writes its (pair, document) records once, sorted and radix-partitioned by the low bits of
     the side-B id, as zstd runs. A bucket's runs are dealt to tasks of bounded size by block, counted there by heap
     merges, and those counts merged again, at most ``FAN`` at once, until each bucket has one list in B-major order,
     which gives the maxima. The lists, bounded by the two vocabularies, go back to the tasks that have the runs, and

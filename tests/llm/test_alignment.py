@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidewheel.llm import alignment
@@ -81,8 +82,42 @@ def test_matches_brute_force(spark, tmp_path, monkeypatch, small):
         assert {(r["a"], r["b"]): (r["n"], r["best"]) for r in pairs} == {(x, y): (n, n == best[y]) for (x, y), n in count.items()}
 
 
-def test_very_long_texts_and_few_known_pieces(spark, monkeypatch):
-    monkeypatch.setattr(alignment, "KNOWN", 50)
+def test_merge_of_runs(monkeypatch):
+    """Runs of a few records a frame, with pairs that go on from frame to frame and from run to run."""
+    monkeypatch.setattr(alignment, "FRAME", 3)
+    rng = random.Random(4)
+    for _ in range(60):
+        runs, total = [], Counter()
+        for _ in range(rng.randrange(1, 7)):
+            keys = np.sort(np.array([rng.randrange(6) << 16 | rng.randrange(4) for _ in range(rng.randrange(0, 25))], np.int64))
+            counts = np.array([rng.randrange(1, 9) for _ in keys], np.uint32)
+            for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
+                total[k] += n
+            runs.append(alignment._run(keys, np.arange(len(keys), dtype=np.uint32), counts))
+        merged = [(k, n) for keys, counts in alignment._merge(runs) for k, n in zip(keys.tolist(), counts.tolist(), strict=True)]
+        assert merged == sorted(total.items())
+        best = {}
+        for k, n in total.items():
+            best[k >> 16] = max(best.get(k >> 16, 0), n)
+        found = [x for keys, counts, top in alignment._bests(alignment._merge(runs)) for x in zip(keys.tolist(), counts.tolist(), top.tolist(), strict=True)]
+        assert found == [(k, n, n == best[k >> 16]) for k, n in sorted(total.items())]
+
+
+def test_pieces_are_remembered_within_bounds(monkeypatch):
+    """A block is the same whether pieces are known, forgotten again and again, or never cut."""
+    texts, made = [t for _, t in corpus() if t], []
+    for known, cut in ((1 << 19, True), (3, True), (1 << 19, False)):
+        monkeypatch.setattr(alignment, "KNOWN", known)
+        sides = alignment._Sides(A, B)
+        sides.cuttable = cut
+        block = alignment._Block(alignment._Known(sides), 0)
+        for i in range(0, len(texts), 5):
+            block.add(list(range(i, i + 5)), texts[i : i + 5])
+        made.append((block.rows, sorted(np.concatenate(block.records).tolist())))
+    assert made[0] == made[1] == made[2]
+
+
+def test_very_long_texts(spark):
     rng = random.Random(3)
     text = " ".join(rng.choice([*(t for _, t in corpus() if t), "word", "and", "more", " two"]) for _ in range(4000))
     rows = [(1, text), (2, "x" * 50_000), (3, "日本" * 20_000), (4, " " * 5000), (5, "a b " * 9000)]

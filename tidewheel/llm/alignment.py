@@ -7,6 +7,8 @@ import heapq
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from tidewheel.llm.tokens import load_tokenizer, tokenizer_path
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Documents are encoded and their records sorted in blocks of about so many bytes of text.
 BLOCK_BYTES = 4 << 20
-#: Pieces of texts, and characters of them, after which a task starts to remember anew.
-KNOWN, KNOWN_CHARS = 1 << 18, 8 << 20
+#: Pieces of texts, and characters of them, after which a worker starts to remember anew.
+KNOWN, KNOWN_CHARS = 1 << 19, 16 << 20
 #: Radix of the partition by side-B id; a power of two.
 BUCKETS = 64
 #: Records of a run's frame, bytes of runs that one task merges, and runs that a later merge takes.
@@ -65,12 +67,12 @@ class _Sides:
     def align(self, pieces: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
         """Of each piece ``whole, n_a, n_b, n_groups``; its groups as text; and the pairs of all groups, piece after piece."""
         facts, texts = np.zeros((len(pieces), 4), np.int64), [""] * len(pieces)
-        a_ids = [np.array(e.ids, np.int32) for e in self.a.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)]
-        b_ids = [np.array(e, np.int32) for e in self.b.encode(pieces, num_threads=1)]
-        whole = [i for i, p in enumerate(pieces) if self._whole(p, a_ids[i], b_ids[i])]
+        a_ids = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)]
+        b_ids = self.b.encode(pieces, num_threads=1)
+        whole = range(len(pieces)) if self._whole(pieces, a_ids, b_ids) else [i for i, p in enumerate(pieces) if self._whole([p], [a_ids[i]], [b_ids[i]])]
         if not whole:
             return facts, texts, np.zeros(0, np.int64)
-        a, b = np.concatenate([a_ids[i] for i in whole]), np.concatenate([b_ids[i] for i in whole])
+        a, b = (np.fromiter(chain.from_iterable(x[i] for i in whole), np.int32) for x in (a_ids, b_ids))
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         # all pieces one after the other: a piece's end is a common one
         at = np.searchsorted(ends_b, ends_a)
@@ -91,10 +93,19 @@ class _Sides:
             texts[i] = "".join(map(self.names.__getitem__, said[cuts[k] : cuts[k + 1]]))
         return facts, texts, b[at[last_a]].astype(np.int64) << ID_BITS | a[last_a]
 
-    def _whole(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
-        """Whether both sides' bytes are a blank and the text: none lost, none changed."""
-        wanted = b" " + text.encode("utf-8", "surrogatepass")
-        return b"".join(map(self.bytes_a.__getitem__, a.tolist())) == wanted == b"".join(map(self.bytes_b.__getitem__, b.tolist()))
+    def _whole(self, pieces: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> bool:
+        """Whether both sides' bytes are a blank and the text for every piece: none lost, none changed."""
+        wanted = [b" " + p.encode("utf-8", "surrogatepass") for p in pieces]
+        sizes, text = list(map(len, wanted)), b"".join(wanted)
+        for of, size, ids in ((self.bytes_a, self.size_a, a_ids), (self.bytes_b, self.size_b, b_ids)):
+            flat = list(chain.from_iterable(ids))
+            if b"".join(map(of.__getitem__, flat)) != text:
+                return False
+            upto = np.concatenate([[0], np.cumsum(size[flat])])
+            cuts = np.cumsum([0, *map(len, ids)])
+            if (np.diff(upto[cuts]) != sizes).any():
+                return False
+        return True
 
 
 class _Known:
@@ -121,6 +132,13 @@ class _Known:
         return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
 
 
+@lru_cache(maxsize=1)
+def _known(a_path: str, b_path: str) -> _Known:
+    """The worker's own, kept from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return _Known(_Sides(a_path, b_path))
+
+
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of runs given by their starts and sizes, one run after the other."""
     ends = np.cumsum(sizes)
@@ -317,8 +335,7 @@ def _encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str, text: str)
     most, buckets = BLOCK_BYTES, BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known, number = _Known(_Sides(a_path, b_path)), TaskContext.get().partitionId() << 24
+        known, number = _known(a_path, b_path), TaskContext.get().partitionId() << 24
         block = _Block(known, number)
         for batch in batches:
             ids, texts, size, begin = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), 0, 0
@@ -373,7 +390,7 @@ def align(docs: DataFrame, *, a_path: str, b_path: str, id_col: str = "doc_id",
     ``n_best`` counts links whose pair is the most frequent one of its side-B id in the corpus, ties included;
     ``count_sum`` sums the pairs' counts over the links.
 
-    Texts are cut at single blanks, which no token of either side goes over, and each piece is aligned once a task as
+    Texts are cut at single blanks, which no token of either side goes over, and each piece is aligned once a worker as
     long as it is remembered. A text is whole if all its pieces are. Every block of documents writes its (pair, document) records once, sorted and radix-partitioned by the low bits of
     the side-B id, as zstd runs. A bucket's runs are dealt to tasks of bounded size by block, counted there by heap
     merges, and those counts merged again, at most ``FAN`` at once, until each bucket has one list in B-major order,

@@ -101,6 +101,28 @@ def test_pairs_of_frequent_passages_grow_in_proportion(spark, monkeypatch):
     assert totals[1] <= 2.2 * totals[0] and totals[2] <= 2.2 * totals[1] and totals[2] <= 4000
 
 
+@pytest.mark.parametrize("shared_twice", [False, True])
+def test_texts_of_one_passage_do_not_meet(spark, monkeypatch, shared_twice):
+    """Texts of a common passage and own words, of which nothing links: rows of the join itself, before its filters, grow with the texts."""
+    met, meet = [], jaccard._meet
+    monkeypatch.setattr(jaccard, "_meet", lambda seen: [m for m in meet(seen) if met.append(m.count()) is None])
+    totals = []
+    for n in (500, 2000):
+        rng = random.Random(2)
+        passage = [f"p{k}" for k in range(172)]
+        rows = []
+        for i in range(n):
+            own = [f"o{i}x{k}" for k in range(28)]
+            rows.append((i, " ".join(passage + own)))
+            if shared_twice and i % 2 == 0:  # its own words are another text's, too
+                rows.append((10_000 + i, " ".join(own + [f"q{rng.randrange(10**9)}" for _ in range(172)])))
+        met.clear()
+        got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == len(rows)
+        totals.append(sum(met))
+    assert totals[1] <= 4 * totals[0] + 100
+
+
 def test_very_long_text(spark):
     rng = random.Random(3)
     long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]

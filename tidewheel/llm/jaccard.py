@@ -89,7 +89,8 @@ def _finish(_: int, table: pa.Table, replies: list[tuple[int, bytes]]) -> pa.Tab
         frequency = count[begin:end]
         order = np.lexsort((values, frequency))[: prefix_length(len(values))]
         shared = np.flatnonzero(frequency[order] > 1)
-        if len(shared):  # a shingle of one set joins nothing
+        # a shingle of one set joins nothing, and nor does a set of which less than 0.8 is in any other
+        if len(shared) and 5 * int((frequency > 1).sum()) >= 4 * len(values):
             shingles[row], keys[row], at[row] = values.view(np.int64), values[order[shared]].view(np.int64), shared.astype(np.int32)
             sketch[row], common[row] = _sketch(values), int((frequency > 1).sum())
     return pa.table({"doc_id": pa.array(s.ids, pa.int64()), "carried": table.column("carried"), "n_shingles": pa.array(s.sizes, pa.int64()), "print": pa.array(s.prints, pa.binary()), "common": pa.array(common, pa.int64()), "sketch": pa.array(sketch, pa.list_(pa.int64())), "shingles": pa.array(shingles, pa.list_(pa.int64())), "keys": pa.array(keys, pa.list_(pa.int64())), "at": pa.array(at, pa.list_(pa.int32()))})
@@ -102,6 +103,17 @@ def _similar_enough(n1: str, n2: str, at1: str, at2: str) -> Column:
     return (F.col(n1) * 5 >= F.col(n2) * 4) & (F.col(n2) * 5 >= F.col(n1) * 4) & (left >= need)
 
 
+def _reach() -> Column:
+    """The size of the largest set that can be similar to an entry's by this entry.
+
+    It and all entries that both have lie behind it or are among those that any other set has; with these ``u``,
+    ``9 u >= 4 (n + other)`` must hold, and sizes differ by 5 : 4 at most. Of two sets each must be within the other's
+    reach, so one of them reaches its own size.
+    """
+    u = F.least(F.col("n") - F.col("at"), F.col("common"))
+    return F.least(F.floor(9 * u / 4) - F.col("n"), F.floor(5 * F.col("n") / 4))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b, shared``: the exact overlap of each distinct pair of set ids."""
     a = broadcast_if_small(pairs.select("a", "b"), 100_000)
@@ -174,11 +186,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     rows = table.where("shingles IS NOT NULL").select(F.col("print").alias("_print"), "doc_id", F.col("n_shingles").alias("n"), "common", "sketch", "shingles", "keys", "at")
     # one row a set, but for repeated rows in several blocks: their links and components are the same
     sets = rows.join(prints, (F.col("_print") == F.col("print")) & (F.col("doc_id") == F.col("id"))).select("id", "n", "common", "sketch", "shingles", "keys", "at")
-    entries, p = durable(sets.select("id", "n", F.explode(F.arrays_zip("keys", "at")).alias("e")).select("id", "n", F.col("e.keys").alias("key"), F.col("e.at").alias("at")))
+    exploded = sets.select("id", "n", "common", F.explode(F.arrays_zip("keys", "at")).alias("e")).select("id", "n", "common", F.col("e.keys").alias("key"), F.col("e.at").alias("at"))
+    entries, p = durable(exploded.select("id", "n", "key", "at", _reach().alias("reach")).where("5 * reach >= 4 * n"))
     paths.append(p)
     traits = sets.select("id", "common", "sketch")
     sets = sets.select("id", "n", "shingles")
-    lists = entries.groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    lists = entries.groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("lead"), F.count(F.lit(1)).alias("m"), F.max(F.col("reach") >= F.col("n")).alias("any")).where("m > 1 AND any")
     lists = lists.select("key", "m", F.col("lead.id").alias("leader"), F.col("lead.n").alias("ln"), F.col("lead.at").alias("lat"))
     entries, p = durable(entries.join(lists, "key"))
     paths.append(p)
@@ -228,20 +241,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 def _across(entries: DataFrame, verified: DataFrame, traits: DataFrame) -> DataFrame:
     """Distinct pairs of one list and two components, one of them outside the main one, that nothing known decides.
 
-    Sets of a list meet only those of their own or an adjacent band of sizes, and a pair leaves the join only where
-    sizes and positions, the shingles that other sets have at all, what both share with the same pivot, and the
-    sketches all allow a similarity of 0.8.
+    A pair that meets leaves the join only where each is within the other's reach, and the shingles that other sets
+    have at all, what both share with the same pivot, and the sketches all allow a similarity of 0.8.
     """
-    seen = entries.join(traits, "id").select("key", "id", "n", "at", "c", "main", "common", "sketch", "pivot", "with_pivot", F.floor(F.log(BAND, F.col("n"))).alias("band"))
-    outer = seen.where(F.col("c") != F.col("main")).drop("main").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
-    x, y = seen.alias("x"), outer.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & ((F.col("x.c") == F.col("x.main")) | (F.col("x.id") < F.col("y.id")))
+    own = ["key", "id", "n", "at", "reach", "c", "main", "common", "sketch", "pivot", "with_pivot"]
+    met = _meet(entries.join(traits, "id").select(*own))
     need = 4 * (F.col("x.n") + F.col("y.n"))
     beside = F.least(F.col("x.common") - F.col("x.with_pivot"), F.col("y.common") - F.col("y.with_pivot"))
     by_pivot = F.least("x.with_pivot", "y.with_pivot") + F.greatest(beside, F.lit(0))
+    same_pivot = F.coalesce((F.col("x.pivot") == F.col("y.pivot")) & (9 * by_pivot < need), F.lit(False))
     differ = sum((F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(SKETCH)), F.lit(0))
-    may = _similar_enough("x.n", "y.n", "x.at", "y.at") & (9 * F.least("x.common", "y.common") >= need) & ~F.coalesce((F.col("x.pivot") == F.col("y.pivot")) & (9 * by_pivot < need), F.lit(False)) & (9 * differ <= F.col("x.n") + F.col("y.n"))
-    return _new(x.join(y, apart & may).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), verified)
+    within = (F.col("x.c") != F.col("y.c")) & (F.col("y.n") <= F.col("x.reach")) & (F.col("x.n") <= F.col("y.reach"))
+    may = within & _similar_enough("x.n", "y.n", "x.at", "y.at") & (9 * F.least("x.common", "y.common") >= need) & ~same_pivot & (9 * differ <= F.col("x.n") + F.col("y.n"))
+    first, rest = (m.where(may).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")) for m in met)
+    return _new(first.unionByName(rest).distinct(), verified)
+
+
+def _meet(seen: DataFrame) -> list[DataFrame]:
+    """Sets of a list in the same or an adjacent band of sizes, ``x`` and ``y``: one outside the main component, one that reaches its own size.
+
+    Sets that reach less far never meet each other, so a list of those makes no pair, however long it is.
+    """
+    banded = seen.withColumn("band", F.floor(F.log(BAND, F.col("n"))))
+    near = banded.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+    far, outer = F.col("reach") >= F.col("n"), F.col("c") != F.col("main")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band"))
+    # far ones outside the main component meet all others; of two such the lesser id comes first
+    once = same & ((F.col("y.c") == F.col("y.main")) | (F.col("y.reach") < F.col("y.n")) | (F.col("x.id") < F.col("y.id")))
+    first = near.where(far & outer).alias("x").join(banded.alias("y"), once)
+    rest = near.where(~far & outer).alias("x").join(banded.where(far & ~outer).alias("y"), same)
+    return [first, rest]
 
 
 def _next_leaders(entries: DataFrame, verified: DataFrame) -> DataFrame:

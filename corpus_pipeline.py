@@ -9,7 +9,7 @@ from tidewheel.llm.decontaminate import decontaminate
 from tidewheel.llm.jaccard import near_duplicates
 from tidewheel.llm.line_dedup import drop_boilerplate
 from tidewheel.llm.mixing import mix_sources
-from tidewheel.llm.quality import resample
+from tidewheel.llm.quality import classify
 from tidewheel.llm.tables import broadcast_if_small, discard, durable
 
 
@@ -19,7 +19,7 @@ def _md5():
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards good, non-toxic text keeps."""
-    return resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(docs.columns)
+    return classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,18 +12,13 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm import words
 from tidewheel.llm.blocks import gaps, pack, unpack
-from tidewheel.llm.tables import durable
+from tidewheel.llm.tables import aside, durable
 
 #: Features are hashed into 2 ** BITS buckets, kept in SLICES equal parts.
 BITS, SLICES = 22, 64
 #: Labelled rows that the target model is fitted on, at most: those of the least id hashes.
 MAX_LABELS = 200_000
-#: Deviance that a bucket's two counts must reach before they count as different.
-DEVIANCE = 24.0
-#: Log-ratios nearer to 0 than this count as 0, so that a long text's many small ones don't add up.
-LEAST = 2.5
-#: A document is target-like when its log-weight is above minus this many nats.
-TOLERANCE = 4.0
+#: Scale of the Gumbel noise: 1 draws in proportion to the weights, less keeps nearer to the threshold.
 TEMPERATURE = 0.25
 _BINS, _RANGE = 256, 64
 _TAG = [np.uint64(x) for x in (0x1F0A, 0x2F0B, 0x3F0C, 0x4F0D)]
@@ -43,12 +38,12 @@ def _buckets(h: np.ndarray, tag: int) -> np.ndarray:
     return (words.mix(h + _TAG[tag]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def features(column: pa.Array, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct (row, bucket) pairs, in order, and the number of rows.
 
-    N-grams of a row: words between white space, words between any punctuation, and pairs of the latter in which a
-    word follows itself, as one feature for each share (1/2 to 1/16) of all words that they exceed. With ``pairs``
-    also all adjacent pairs of words between white space.
+    N-grams of a row: words between white space and all adjacent pairs of them, words between any punctuation, and
+    pairs of the latter in which a word follows itself, as one feature for each share (1/2 to 1/16) of all words that
+    they exceed.
     """
     data, offsets = words.text_bytes(column)
     rows = len(offsets) - 1
@@ -56,7 +51,7 @@ def features(column: pa.Array, pairs: bool = False) -> tuple[np.ndarray, np.ndar
     h, c = words.word_hashes(data, offsets)
     d = np.repeat(np.arange(rows), c)
     found.append((d, _buckets(h, 0)))
-    if pairs and len(h) > 1:
+    if len(h) > 1:
         near = d[1:] == d[:-1]
         found.append((d[1:][near], _buckets(words.mix(h[:-1]) + h[1:], 3)[near]))
     h, c = words.word_hashes(data, offsets, _BREAKS)
@@ -72,17 +67,17 @@ def features(column: pa.Array, pairs: bool = False) -> tuple[np.ndarray, np.ndar
     return keys >> BITS, keys & ((1 << BITS) - 1), rows
 
 
-def _counts(docs: DataFrame, folds: int = 1, pairs: bool = False) -> DataFrame:
+def _counts(docs: DataFrame) -> DataFrame:
     """Rows that have each bucket, of all and of those of the target, for each ``fold``; summed in tasks, then by slice."""
-    width = (1 << BITS) // SLICES
+    width, folds = (1 << BITS) // SLICES, FOLDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2 * folds, 1 << BITS), np.int32)  # raw and target of each fold
         for batch in batches:
             for part in words.slices(batch, "text", _SLICE):
-                row, bucket, rows = features(part.column("text"), pairs)
+                row, bucket, _ = features(part.column("text"))
                 good = np.asarray(pc.fill_null(part.column("target"), False).to_numpy(zero_copy_only=False), bool)
-                fold = part.column("fold").to_numpy() if folds > 1 else np.zeros(rows, np.int64)
+                fold = part.column("fold").to_numpy()
                 for f in range(folds):
                     np.add.at(counts[2 * f], bucket[(fold == f)[row]], 1)
                     np.add.at(counts[2 * f + 1], bucket[((fold == f) & good)[row]], 1)
@@ -105,53 +100,6 @@ def _counts(docs: DataFrame, folds: int = 1, pairs: bool = False) -> DataFrame:
     return docs.mapInArrow(run, "slice int, body binary").groupBy("slice").applyInArrow(total, "slice int, raw array<long>, target array<long>, body binary")
 
 
-def log_ratios(docs: DataFrame, deviance: float = DEVIANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and log(target share / raw share) where the two shares differ; elsewhere the ratio counts as 1.
-
-    ``docs`` has ``text`` and boolean ``target``. The model is at most 2 ** BITS numbers, whatever the input.
-    """
-    table, _ = durable(_counts(docs))
-    sums = table.agg(F.sum(F.col("raw")[0]), F.sum(F.col("target")[0])).first()
-    raw_all, target_all = int(sums[0] or 0), int(sums[1] or 0)
-    width = (1 << BITS) // SLICES
-    if not raw_all or not target_all:
-        return np.zeros(0, np.int64), np.zeros(0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s, body in zip(batch.column("slice").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                raw, target = unpack(body)
-                expected = raw * (target_all / raw_all)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    apart = 2 * (np.where(target > 0, target * np.log(target / expected), 0) - (target - expected))
-                ratio = np.log((target + 1) / (expected + 1))
-                at = np.flatnonzero((raw > 0) & (apart >= deviance) & (np.abs(ratio) >= LEAST))
-                ratio = ratio[at]
-                yield pa.RecordBatch.from_arrays([pa.array(at + s * width), pa.array(ratio)], ["bucket", "ratio"])
-
-    # at most 2 ** BITS rows, the fixed size of the model
-    found = table.select("slice", "body").mapInArrow(run, "bucket long, ratio double").orderBy("bucket").toArrow()
-    return found.column("bucket").to_numpy(), found.column("ratio").to_numpy()
-
-
-def log_weights(docs: DataFrame, buckets: np.ndarray, ratios: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with ``log_weight``: the sum of the log-ratios of a text's distinct features; 0 for null and empty."""
-    rest = docs.drop("log_weight")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "log_weight double"])
-    model = docs.sparkSession.sparkContext.broadcast((buckets, ratios))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros(1 << BITS, np.float32)
-        dense[model.value[0]] = model.value[1]
-        for batch in batches:
-            for part in words.slices(batch, text):
-                row, bucket, rows = features(part.column(text))
-                weight = np.bincount(row, weights=dense[bucket], minlength=rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(weight, 6), pa.float64())], [*part.schema.names, "log_weight"])
-
-    return rest.mapInArrow(run, schema)
-
-
 def shrunk_ratios(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
     """log(target share / raw share) of every bucket, shrunk by how likely its counts say that the two shares differ.
 
@@ -173,7 +121,7 @@ def cross_models(marked: DataFrame) -> list[tuple[int, bytes]]:
 
     ``marked`` has ``text``, boolean ``target`` and ``fold``. The models are FOLDS * 2 ** BITS numbers, whatever the input.
     """
-    table, _ = durable(_counts(marked, FOLDS, pairs=True))
+    table, _ = durable(_counts(marked))
     sums = table.agg(*[F.sum(F.col(n)[f]) for n in ("raw", "target") for f in range(FOLDS)]).first()
     sums = np.array([int(x or 0) for x in sums]).reshape(2, FOLDS)
     raw_all, target_all = sums.sum(1, keepdims=True) - sums
@@ -203,7 +151,7 @@ def mean_ratios(docs: DataFrame, models: list[tuple[int, bytes]]) -> DataFrame:
             dense[:, s * width : (s + 1) * width] = unpack(body)
         for batch in batches:
             for part in words.slices(batch, "text", _SLICE):
-                row, bucket, rows = features(part.column("text"), pairs=True)
+                row, bucket, rows = features(part.column("text"))
                 n = np.bincount(row, minlength=rows)
                 total = np.bincount(row, weights=dense[part.column("fold").to_numpy()[row], bucket], minlength=rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total / np.maximum(n, 1), pa.float64()), pa.array(n, pa.int64())], [*part.schema.names, "mean_ratio", "n_features"])
@@ -264,27 +212,6 @@ def _labelled(labels: DataFrame, most: int) -> DataFrame:
     return chosen.withColumnRenamed("doc_id", "_labelled")
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", k: int | None = None, seed: int = 29, temperature: float = TEMPERATURE, tolerance: float = TOLERANCE, max_labels: int = MAX_LABELS) -> DataFrame:
-    """The ``k`` rows of ``docs`` drawn by importance weight towards good, non-toxic text, with ``log_weight``.
-
-    Target: labelled rows (``quality`` 1, ``toxic`` 0); a label table over ``max_labels`` rows is bounded to the
-    rows of least id hash. Raw: all labelled rows, as the sample of the raw text on which both models are fitted,
-    so that groups of unlabelled copies can't tilt the ratio. Every row of ``docs`` is weighed. The weight of a text is the ratio of the two models over its distinct
-    hashed n-grams; Gumbel noise of ``temperature`` makes the top k a draw without replacement. Without ``k`` it
-    is the number of documents whose log-weight is at least minus ``tolerance``: those that the target model
-    explains about as well. Without any target label all weights are 1. Null and empty texts weigh 1; repeated
-    rows share their noise, and of those with the last key as many are kept as make ``k``. Other columns stay, one named ``log_weight`` is replaced.
-    """
-    sample = F.broadcast(_labelled(labels, max_labels))  # at most max_labels ids
-    marked = docs.join(sample, F.col(id_col) == F.col("_labelled")).select(F.col(text).alias("text"), (F.col("_good") == 1).alias("target"))
-    buckets, ratios = log_ratios(marked)
-    narrow = log_weights(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")), buckets, ratios)
-    scored, _ = durable(narrow.select("_id", "log_weight", F.md5(F.coalesce("text", F.lit(""))).alias("_md5")))
-    scored = scored.withColumn("_key", F.col("log_weight") + F.lit(temperature) * gumbel(F.coalesce(F.col("_id").cast("string"), F.lit("")), seed))
-    k = scored.where(F.col("log_weight") >= -tolerance).count() if k is None else k
-    return _drawn(docs, scored, k, text, id_col)
-
-
 def _drawn(docs: DataFrame, scored: DataFrame, k: int, text: str, id_col: str) -> DataFrame:
     """The rows of ``docs`` that ``k`` rows of greatest ``_key`` in ``scored`` stand for."""
     keep = top_k(scored, k, key="_key", tie="_md5")
@@ -303,14 +230,22 @@ def _drawn(docs: DataFrame, scored: DataFrame, k: int, text: str, id_col: str) -
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str = "doc_id", k: int | None = None, seed: int = 29, temperature: float = TEMPERATURE, max_labels: int = MAX_LABELS) -> DataFrame:
-    """As ``resample``, with the log-ratios of all words and adjacent pairs and a threshold that held-out labels give.
+    """The ``k`` rows of ``docs`` drawn by importance weight towards good, non-toxic text, with ``log_weight``.
 
-    Texts fall into ``FOLDS`` parts by their bytes; each is weighed by a model of the labels of the other parts, so
+    Target: labelled rows (``quality`` 1, ``toxic`` 0); raw: all labelled rows, as the sample of the raw text on which
+    both models are fitted, so that groups of unlabelled copies can't tilt the ratio. A label table over
+    ``max_labels`` rows is bounded to the rows of least id hash; every row of ``docs`` is weighed. Texts fall into ``FOLDS`` parts by their bytes; each is weighed by a model of the labels of the other parts, so
     that no text is weighed by its own label and copies weigh alike. Ratios are shrunk (``shrunk_ratios``), none is
     zeroed. ``log_weight`` is their mean over a text's distinct features times the mean number of features of the
     labelled texts: the weight of its content at the average length. Without ``k`` it is the number of documents
-    that weigh at least the threshold which best separates the labelled texts so weighed (``best_threshold``).
+    that weigh at least the threshold which best separates the labelled texts so weighed (``best_threshold``). Gumbel
+    noise of ``temperature`` makes the top k a draw without replacement.
+
+    Without any target label, or without others, all weights are 0 and without ``k`` all rows stay. Null and empty
+    texts weigh 0. Repeated rows share their noise, and of those with the last key as many are kept as make ``k``.
+    Labels of a null id, or null in both columns, count as none. Other columns stay, one named ``log_weight`` is replaced.
     """
+    docs, back = aside(docs, {"_id", "_md5", "_text_md5", "_rank"})
     sample = F.broadcast(_labelled(labels, max_labels))  # at most max_labels ids
     fold = (F.crc32(F.coalesce(F.col(text), F.lit(""))) % FOLDS).cast("int").alias("fold")
     marked = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text"), fold).join(sample, F.col("_id") == F.col("_labelled"), "left").drop("_labelled")
@@ -325,7 +260,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col:
         seen = own.groupBy("_id").agg(F.min("mean_ratio").alias("mean"), F.min("_good").alias("good")).select("mean", "good").toArrow()  # at most max_labels rows
         edge = best_threshold(seen.column("mean").to_numpy() * scale, seen.column("good").to_numpy() == 1)
         k = scored.where(F.col("log_weight") >= F.lit(edge)).count()
-    return _drawn(docs, scored.drop("_good", "mean_ratio", "n_features"), k, text, id_col)
+    return back(_drawn(docs, scored.drop("_good", "mean_ratio", "n_features"), k, text, id_col))
 
 
 def op9_quality_resample(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def drop_lines(rows):
     for _, text, _, source, _ in rows:
         if source is not None and text is not None:
             counts.update({(source, line.strip(" ")) for line in text.split("\n")} - {(source, "")})
-    bad = {k for k, n in counts.items() if n >= 5 and n > 0.05 * pages[k[0]]}
+    bad = {k for k, n in counts.items() if n >= 2 and n > 0.05 * pages[k[0]]}
     out = []
     for i, text, lang, source, _ in rows:
         if text is not None:

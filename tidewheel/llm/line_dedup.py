@@ -12,10 +12,11 @@ def _line_key(line):
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate_lines(pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 2) -> DataFrame:
     """``host`` and ``lines``: keys of the lines on at least ``min_pages`` pages and over ``ratio`` of a host's pages.
 
-    A line counts once for each page that holds it, trimmed of spaces; blank lines never count. A host's array is
+    The ratio alone decides; two pages, as a line that only one page has isn't repeated, and all of a host's single page
+    would be. A line counts once for each page that holds it, trimmed of spaces; blank lines never count. A host's array is
     bounded by its mean distinct lines a page over ``ratio``. Counting combines within tasks before the shuffle, so
     a host with a third of all pages is spread over its lines.
     """
@@ -36,7 +37,7 @@ def boilerplate_lines(pages: DataFrame, *, host: str = "source", text: str = "te
     )
 
 
-def drop_boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 2) -> DataFrame:
     """``pages`` with boilerplate lines cut from ``text``, and ``n_lines`` and ``n_dropped`` added.
 
     Null texts stay null with 0 lines, an empty text is one blank line. Pages without a host have no site to be
@@ -78,7 +79,7 @@ WITH l AS (
     FROM documents WHERE source IS NOT NULL) GROUP BY 1, 2),
 t AS (SELECT source, count(*) AS total FROM documents WHERE source IS NOT NULL GROUP BY 1),
 b AS (SELECT source, list(line) AS bad FROM l JOIN t USING (source)
-      WHERE line <> '' AND pages >= 5 AND pages > 0.05 * total GROUP BY 1),
+      WHERE line <> '' AND pages >= 2 AND pages > 0.05 * total GROUP BY 1),
 k AS (SELECT doc_id, d.source, string_split(text, chr(10)) AS lines,
              list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR NOT list_contains(coalesce(bad, []), trim(x))) AS kept
       FROM documents d LEFT JOIN b ON d.source = b.source)

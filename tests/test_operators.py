@@ -1,6 +1,7 @@
 """Hand-made cases of the operators: buffer order, evaluation numbers, packing, advantages and edge rows."""
 
 import heapq
+import itertools
 import random
 
 import pytest
@@ -82,6 +83,27 @@ def test_controller_clamps(spark):
     assert got == [(0, 0.01, 0.025), (1, 0.01, 0.035), (2, 0.01, 0.045)]
 
 
+def test_contiguous_parts_by_all_cuts():
+    rng = random.Random(8)
+    for _ in range(1500):
+        n = rng.randrange(1, 11)
+        parts = rng.randrange(1, n + 1)
+        least = rng.randrange(1, n // parts + 1)
+        lengths = [rng.randrange(0, rng.choice([2, 10, 50])) for _ in range(n)]
+
+        def sums(starts):
+            return [sum(lengths[a:b]) for a, b in zip(starts, [*starts[1:], n])]
+
+        every = [[0, *c] for c in itertools.combinations(range(1, n), parts - 1)]
+        allowed = [c for c in every if all(b - a >= least for a, b in zip(c, [*c[1:], n]))]
+        got = packing.contiguous_parts(lengths, parts, least)
+        assert got in allowed
+        assert max(sums(got)) - min(sums(got)) == min(max(sums(c)) - min(sums(c)) for c in allowed)
+    for wrong in (([1, 2], 3, 1), ([1, 2, 3], 2, 2), ([1], 0, 1), ([1, -1], 1, 1), ([], 1, 1)):
+        with pytest.raises(ValueError):
+            packing.contiguous_parts(*wrong)
+
+
 def test_packing_uses_each_row_once():
     rng = random.Random(6)
     for _ in range(100):
@@ -91,9 +113,6 @@ def test_packing_uses_each_row_once():
         assert all(sum(lengths[i] for i in p) <= 64 for p in packs)
         bins = packing.balanced_bins(lengths, 4)
         assert max(bins.count(b) for b in range(4)) <= -(-len(lengths) // 4)
-        parts = min(5, len(lengths))
-        starts = packing.contiguous_parts(lengths, parts)
-        assert len(starts) <= parts and starts == sorted(set(starts))
     with pytest.raises(ValueError):
         packing.first_fit_decreasing([65], 64)
 
@@ -135,7 +154,7 @@ def test_steps_and_prices(spark):
     assert [(r["step"], r["step_end"]) for r in b.orderBy("step").collect()] == [(0, 3.0), (1, 7.0)]
     got = {r["session_id"]: r["step"] for r in traces.assign_steps(s, b, 2.0).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 1, 7: 1, 8: None}
-    p = spark.createDataFrame([("$1,234.50 - $2",), ("",), ("free",)], "t string").select(catalogue.parse_price(F.col("t")).alias("p")).collect()
+    p = spark.createDataFrame([("$1,234.50 - $2",), ("",), ("free",)], "t string").select(catalogue.parse_price(F.col("t"))[0].alias("p")).collect()
     assert [r["p"] for r in p] == [[1234.5, 2.0], [100.0], [100.0]]
 
 

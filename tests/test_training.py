@@ -117,9 +117,14 @@ def test_packing_assigns_exactly(spark):
             at = min((x for x in range(4) if count[x] < -(-len(lengths) // 4)), key=lambda x: (load[x], x))
             want[i], load[at], count[at] = at, load[at] + lengths[i], count[at] + 1
         assert {r["k"]: r["bin"] for r in bins if r["batch"] == b} == want
-    for r in packing.contiguous_partition(df, "batch", "k", "n", 3).groupBy("batch", "part").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.sum("n").alias("s")).groupBy("batch").agg(F.max("s").alias("most")).collect():
-        x = own[r["batch"]]
-        assert r["most"] == min(max(sum(x[:i]), sum(x[i:j]), sum(x[j:])) for i in range(len(x)) for j in range(i, len(x)))
+    cut = {}
+    for r in packing.contiguous_partition(df, "batch", "k", "n", 3).orderBy("k").collect():
+        cut.setdefault(r["batch"], []).append((r["part"], r["n"]))
+    for b, found in cut.items():
+        x = own[b]
+        spread = lambda *parts: max(map(sum, parts)) - min(map(sum, parts))
+        assert [n for _, n in found] == x and [p for p, _ in found] == sorted(p for p, _ in found)
+        assert spread(*[[n for p, n in found if p == k] for k in range(3)]) == min(spread(x[:i], x[i:j], x[j:]) for i in range(1, len(x)) for j in range(i + 1, len(x)))
     dealt = packing.redistribute_ranks(df.where("batch < 3"), "batch", "k", "n", granularity=2, ranks=3).collect()
     for b in range(3):
         x = own[b]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["rollouts", "evaluation", "scoring", "corpora", "agents", "training", "tasks", "reducers", "losses"]
+MODULES = ["rollouts", "evaluation", "scoring", "corpora", "agents", "training", "tasks", "reducers", "losses", "timelines", "games", "operations", "answers", "products"]
 
 
 def queries() -> dict:

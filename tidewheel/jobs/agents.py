@@ -67,11 +67,6 @@ def shrink_action_space(spark, d):
     return a.select("l_suppkey", F.size(kept).alias("n"), F.array_position(kept, F.col("chosen")).cast("int").alias("label"), F.array_join(kept, ",").alias("kept"))
 
 
-def reference_solution(spark, d):
-    b = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id", "right")
-    return b.select("doc_id", F.when(F.col("quality").isNotNull() & F.col("source").isNotNull(), F.concat("source", F.lit(":"), F.col("quality").cast("string"))).alias("solution"))
-
-
 def expand_goals(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("word"), F.array_distinct(F.array(F.col("p_size"), F.col("p_size") + 1)).alias("size"))
     """Every combination, weighed by the mean share of one over how many products have the word."""
@@ -106,27 +101,11 @@ def benchmark_overall(spark, d):
     return j.groupBy(F.col("source").alias("agent"), F.col("lang").alias("task")).agg(F.round(F.avg(F.coalesce(F.col("quality"), F.lit(0))), 6).alias("score"), F.round(F.avg("quality"), 6).alias("score_of_finished"), F.count("quality").alias("finished"), F.count(F.lit(1)).alias("total"))
 
 
-def verifier_metrics(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy((F.col("user_id") % 8).alias("workflow")).agg(F.round(F.avg(F.when(F.col("event_type").isin("purchase", "error"), (F.col("event_type") == "purchase").cast("double"))), 6).alias("approve_rate"), F.round(F.avg((F.col("event_type") == "error").cast("double")), 6).alias("retry_rate"), F.round(F.avg("value"), 6).alias("mean_turns"))
-
-
-def router_metrics(spark, d):
-    r = rollouts(spark, d)
-    reward = agents.router_reward(F.col("seq_len") > 2, F.col("model_key") == 1, F.col("traj_idx") % 2 == 0, F.col("reward") > 0)
-    return r.groupBy((F.col("group_id") % 16).alias("workflow")).agg(F.round(F.avg(F.col("model_key").cast("double")), 6).alias("route_rate"), F.round(F.avg(reward), 6).alias("router_reward"))
-
-
 def selector_metrics(spark, d):
     g = rollouts(spark, d).groupBy("group_id").agg((F.max("reward") != F.min("reward")).alias("mixed"), F.max_by("reward", "seq_no").alias("picked"))
     return g.groupBy((F.col("group_id") % 16).alias("workflow")).agg(F.round(F.avg(F.col("mixed").cast("double")), 6).alias("mixed_share"), F.round(agents.conditional_rate(F.col("picked") > 0, F.col("mixed")), 6).alias("accuracy"), F.round(F.avg(agents.selector_reward(F.col("group_id") % 7 != 0, F.col("picked") > 0)), 6).alias("reward"))
 
 
-def agent_memory_stats(spark, d):
-    c = table(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.when(F.col("role") == "user", F.length("text")).otherwise(0)).cast("long").alias("input_chars"), F.sum(F.when(F.col("role") == "assistant", F.length("text")).otherwise(0)).cast("long").alias("output_chars"), F.count_if(F.contains("text", F.lit("en "))).alias("hits"))
-
-
 def recursive_agent_stats(spark, d):
     r = rollouts(spark, d)
     root = F.col("traj_idx") == 1
@@ -159,10 +138,6 @@ def candidate_score_join(spark, d):
     return lines.groupBy("l_suppkey").agg(F.array_join(best, ",").alias("top"), F.count(F.lit(1)).alias("candidates"))
 
 
-def resume_unjudged(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
 def metadata_two_key_lookup(spark, d):
     """Customers found by key or by the number in their name; each key once."""
     c = table(spark, d, "customer")
@@ -222,16 +197,6 @@ def price_draw(spark, d):
     return p.select("p_partkey", F.round(F.col("low") + (F.col("high") - F.col("low")) * hash_uniform(2, F.col("p_partkey")), 2).alias("price"), (first + 10 * F.greatest(draw(3), other)).cast("int").alias("upper"))
 
 
-def relative_since(spark, d):
-    t = F.concat((F.col("event_id") % 7).cast("string"), F.lit("d"), (F.col("event_id") % 23).cast("string"), F.lit("h"), (F.col("event_id") % 59).cast("string"), F.lit("s"))
-    return table(spark, d, "events").select("event_id", agents.since_seconds(t).alias("seconds"))
-
-
-def testgen_reward(spark, d):
-    r = rollouts(spark, d)
-    return r.groupBy((F.col("group_id") % 16).alias("batch")).agg(F.round(F.avg(agents.testgen_reward(F.col("seq_len") > 10, F.col("reward") > 0)), 6).alias("reward"))
-
-
 def pad_pack(spark, d):
     t = token_rows(spark, d).withColumn("batch", F.col("conv_id") % 8)
     return agents.pack_offsets(t, "batch", "conv_id", "input_ids").select("batch", "conv_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
@@ -252,16 +217,6 @@ def _turns(spark, d):
     return c.select("conv_id", "turn", "role", F.transform(F.filter(F.split("text", "\\s+"), lambda w: w != ""), lambda w: (F.length(w) % 97).cast("int")).alias("ids"))
 
 
-def html_reduce(spark, d):
-    return table(spark, d, "pages").select("page_id", agents.reduce_html(F.col("html")).alias("text"))
-
-
-def extract_code_block(spark, d):
-    text = F.concat(F.lit("see ```python\n"), F.col("text"), F.lit("\n``` end"))
-    code = scoring.last_match(text, "(?s)```python\\n(.*?)```")
-    return table(spark, d, "benchmark").select("item_id", F.when(F.length(code) >= 20, F.length(code)).alias("code_chars"))
-
-
 def token_f1_cjk(spark, d):
     """Against one benchmark item each, of which every third gets Chinese characters before its text."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("b"), F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("答案 12,"), "text")).otherwise(F.col("text")).alias("gold"))
@@ -270,8 +225,7 @@ def token_f1_cjk(spark, d):
     return x.select("doc_id", F.round(scoring.token_f1_cjk(F.col("text"), F.col("gold")), 6).alias("f1"))
 
 
-QUERIES = {f.__name__: f for f in (clean_boxed_answer, first_nonblank_field, truncate_dataset, validate_test_rows, normalize_tests, prepare_eval_split, goal_split, sample_negatives, shrink_action_space, reference_solution, expand_goals, reject_incomplete_group, trajectory_reward_gate, agent_metric_means, batch_length_stats, benchmark_overall, verifier_metrics, router_metrics, selector_metrics, agent_memory_stats, recursive_agent_stats, recall_at_k, direct_gen_accuracy, previous_actions, candidate_score_join, resume_unjudged, metadata_two_key_lookup, product_attribute_join, answer_set_compare, dedup_tasks, parse_llm_json, judge_verdict, checklist_score, parse_action, normalize_color, price_draw, relative_since, testgen_reward, pad_pack, build_sequence, html_reduce, extract_code_block, token_f1_cjk)}
-
+QUERIES = {f.__name__: f for f in (clean_boxed_answer, first_nonblank_field, truncate_dataset, validate_test_rows, normalize_tests, prepare_eval_split, goal_split, sample_negatives, shrink_action_space, expand_goals, reject_incomplete_group, trajectory_reward_gate, agent_metric_means, batch_length_stats, benchmark_overall, selector_metrics, recursive_agent_stats, recall_at_k, direct_gen_accuracy, previous_actions, candidate_score_join, metadata_two_key_lookup, product_attribute_join, answer_set_compare, dedup_tasks, parse_llm_json, judge_verdict, checklist_score, parse_action, normalize_color, price_draw, pad_pack, build_sequence, token_f1_cjk)}
 
 
 def _chars(x: str) -> str:
@@ -292,23 +246,18 @@ ORACLES = {
     "goal_split": "SELECT CASE WHEN p_partkey < 500 THEN 'test' WHEN p_partkey < 1500 THEN 'eval' ELSE 'train' END AS split, count(*) AS goals, min(p_partkey) AS first FROM part GROUP BY 1",
     "sample_negatives": "WITH r AS (SELECT p_brand, p_partkey, p_size > 45 AS pos, row_number() OVER (PARTITION BY p_brand, p_size > 45 ORDER BY " + hash_uniform_sql("'3'", "p_brand", "p_partkey::VARCHAR") + ", p_partkey) AS rn, max((p_size > 45)::INT) OVER (PARTITION BY p_brand) AS has FROM part) SELECT p_brand, p_partkey, pos AS positive FROM r WHERE (pos AND rn = 1) OR (NOT pos AND rn <= CASE WHEN has = 1 THEN 4 ELSE 5 END)",
     "shrink_action_space": "WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), a AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS i, row_number() OVER (PARTITION BY l_suppkey ORDER BY md5('7|' || l_partkey), l_partkey) AS h, count(*) OVER (PARTITION BY l_suppkey) AS n, max(l_partkey) OVER (PARTITION BY l_suppkey) AS chosen FROM s), k AS (SELECT l_suppkey, l_partkey, chosen FROM a WHERE n <= 20 OR i <= 6 OR h <= 10 OR l_partkey = chosen) SELECT l_suppkey, count(*)::INT AS n, count(*)::INT AS label, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS kept FROM k GROUP BY 1",
-    "reference_solution": "SELECT doc_id, CASE WHEN quality IS NOT NULL AND source IS NOT NULL THEN source || ':' || quality END AS solution FROM documents LEFT JOIN labels USING (doc_id)",
     "expand_goals": "WITH g AS (SELECT p_partkey, unnest(w) AS word, size FROM (SELECT p_partkey, string_split(p_name, ' ') AS w, unnest([p_size, p_size + 1]) AS size FROM part)), h AS (SELECT word, count(DISTINCT p_partkey) AS have FROM g GROUP BY 1) SELECT p_partkey, word, size, round(1 / have, 6) AS weight FROM g JOIN h USING (word)",
     "reject_incomplete_group": f"{R} SELECT group_id, seq_no FROM rollouts WHERE group_id NOT IN (SELECT group_id FROM rollouts WHERE seq_len >= 49)",
     "trajectory_reward_gate": f"{R} SELECT group_id, traj_idx, CASE WHEN bool_or(seq_len = 1) THEN -0.5::DOUBLE ELSE max(reward) * bool_and(seq_len < 48)::INT END AS score FROM rollouts GROUP BY 1, 2",
     "agent_metric_means": "WITH m AS (SELECT user_id % 10 AS agent, 'value' AS metric, value AS v FROM events WHERE event_type = 'purchase' UNION ALL SELECT user_id % 10, 'k', (props->>'$.k')::DOUBLE FROM events) SELECT agent, metric, round(avg(v), 6) AS mean, count(v) AS episodes FROM m GROUP BY 1, 2",
     "batch_length_stats": f"{R} SELECT group_id % 32 AS batch, round(avg(seq_len) FILTER (reward > 0), 6) AS right_len, round(avg(seq_len) FILTER (NOT reward > 0), 6) AS wrong_len, round(avg((seq_len >= 50)::INT), 6) AS no_eos, round(avg(reward), 6) AS mean_reward FROM rollouts GROUP BY 1",
     "benchmark_overall": "SELECT source AS agent, lang AS task, round(avg(coalesce(quality, 0)), 6) AS score, round(avg(quality), 6) AS score_of_finished, count(quality) AS finished, count(*) AS total FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2",
-    "verifier_metrics": "SELECT user_id % 8 AS workflow, round(avg((event_type = 'purchase')::INT) FILTER (event_type IN ('purchase', 'error')), 6) AS approve_rate, round(avg((event_type = 'error')::INT), 6) AS retry_rate, round(avg(value), 6) AS mean_turns FROM events GROUP BY 1",
-    "router_metrics": f"{R} SELECT group_id % 16 AS workflow, round(avg(model_key), 6) AS route_rate, round(avg(CASE WHEN NOT seq_len > 2 THEN -0.5::DOUBLE WHEN model_key <> 1 AND traj_idx % 2 = 0 THEN 1.0 WHEN model_key = 1 AND reward > 0 AND traj_idx % 2 <> 0 THEN 1.0 WHEN model_key = 1 AND reward > 0 THEN 0.5 ELSE 0.0 END), 6) AS router_reward FROM rollouts GROUP BY 1",
     "selector_metrics": f"{R}, g AS (SELECT group_id, max(reward) <> min(reward) AS mixed, arg_max(reward, seq_no) AS picked FROM rollouts GROUP BY 1) SELECT group_id % 16 AS workflow, round(avg(mixed::INT), 6) AS mixed_share, round(avg((picked > 0)::INT) FILTER (mixed), 6) AS accuracy, round(avg(CASE WHEN group_id % 7 = 0 THEN 0.0::DOUBLE WHEN picked > 0 THEN 1.0 ELSE 0.5 END), 6) AS reward FROM g GROUP BY 1",
-    "agent_memory_stats": "SELECT conv_id, count(*) AS turns, sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END)::BIGINT AS input_chars, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS output_chars, count(*) FILTER (contains(text, 'en ')) AS hits FROM conversations GROUP BY 1",
     "recursive_agent_stats": f"{R} SELECT group_id, round(avg(reward) FILTER (traj_idx = 1), 6) AS root_reward, count(*) AS agents, round(sum(reward) FILTER (traj_idx <> 1) / nullif(count(*) FILTER (traj_idx <> 1), 0), 6) AS sub_rate, round(sum(reward / (traj_idx + 1)), 6) AS weighted, round(sum(reward * pow(0.9::DOUBLE, traj_idx)), 6) AS discounted FROM rollouts GROUP BY 1",
     "recall_at_k": "WITH r AS (SELECT l_suppkey, l_returnflag = 'R' AND l_quantity > 45 AS pos, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) - 1 AS rank FROM lineitem), b AS (SELECT l_suppkey, coalesce(min(rank) FILTER (pos), 1 << 30) AS best FROM r GROUP BY 1) SELECT l_suppkey % 4 AS shard, " + ", ".join(f"round(avg((best < {k})::INT), 6) AS recall_{k}" for k in (1, 5, 10, 20, 50)) + " FROM b GROUP BY 1",
     "direct_gen_accuracy": "SELECT l_partkey, round(count(*) FILTER (l_returnflag = 'A') / count(*), 6) AS accuracy, count(*) FILTER (l_returnflag = 'A') = 0 AS hard FROM lineitem GROUP BY 1",
     "previous_actions": "WITH a AS (SELECT conv_id, role || turn AS action, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations) SELECT x.conv_id, x.pos::INT AS pos, x.action, coalesce(string_agg(y.action, ',' ORDER BY y.pos), '') AS previous FROM a x LEFT JOIN a y ON x.conv_id = y.conv_id AND y.pos < x.pos AND y.pos >= x.pos - 5 GROUP BY 1, 2, 3",
     "candidate_score_join": "WITH c AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), r AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY p_retailprice DESC, l_partkey) AS rn FROM c LEFT JOIN part ON l_partkey = p_partkey) SELECT l_suppkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY rn) FILTER (rn <= 5) AS top, count(*) AS candidates FROM r GROUP BY 1",
-    "resume_unjudged": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "metadata_two_key_lookup": "SELECT c_mktsegment AS segment, count(*) AS orders FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "product_attribute_join": "SELECT p_partkey, coalesce(a, 'DUMMY_ATTR') AS attributes FROM part LEFT JOIN (SELECT l_partkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS a FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON p_partkey = l_partkey",
     "answer_set_compare": "WITH s AS (SELECT l_orderkey, coalesce(list(DISTINCT l_partkey) FILTER (l_linestatus = 'F'), []) AS a, coalesce(list(DISTINCT l_partkey) FILTER (l_returnflag = 'R'), []) AS b FROM lineitem GROUP BY 1), c AS (SELECT *, len(list_intersect(a, b)) AS k FROM s) SELECT l_orderkey, k::INT AS shared, round(CASE WHEN k > 0 THEN 2.0::DOUBLE * k / (len(a) + len(b)) ELSE 0.0 END, 6) AS f1, k = len(a) AND k = len(b) AS equal FROM c",
@@ -319,13 +268,10 @@ ORACLES = {
     "parse_action": "SELECT event_id, event_type AS name, props->>'$.k' AS arg FROM events",
     "normalize_color": "SELECT p_partkey, CASE " + " ".join(f"WHEN contains(p_name, '{c}') THEN '{c}'" for c in COLOURS) + " ELSE p_name END AS colour FROM part",
     "price_draw": f"SELECT p_partkey, round(p_retailprice + 50 * {_H(2, 'p_partkey')}, 2) AS price, ((floor(p_retailprice / 10) + 1) * 10 + 10 * greatest(floor({_H(3, 'p_partkey')} * 4), (floor({_H(3, 'p_partkey')} * 4) + 1 + floor({_H(4, 'p_partkey')} * 3))::INT % 4))::INT AS upper FROM part",
-    "relative_since": "SELECT event_id, event_id % 7 * 86400 + event_id % 23 * 3600 + event_id % 59 AS seconds FROM events",
-    "testgen_reward": f"{R} SELECT group_id % 16 AS batch, round(avg(0.5::DOUBLE * ((seq_len > 10)::INT + (seq_len > 10 AND reward > 0)::INT)), 6) AS reward FROM rollouts GROUP BY 1",
     "pad_pack": f"{T} SELECT conv_id % 8 AS batch, conv_id, (sum(len(input_ids)) OVER w - len(input_ids))::BIGINT AS start, (sum(len(input_ids)) OVER w)::BIGINT AS end FROM token_rows WINDOW w AS (PARTITION BY conv_id % 8 ORDER BY conv_id)",
     "build_sequence": f"""WITH {_TURNS}, l AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY 1), p AS (SELECT conv_id, last, coalesce(flatten(list(ids ORDER BY turn) FILTER (turn < last)), []) AS prompt, flatten(list(ids) FILTER (turn = last)) AS answer FROM t JOIN l USING (conv_id) GROUP BY 1, 2)
         SELECT conv_id, array_to_string(prompt || answer, ',') AS input_ids, array_to_string(list_transform(prompt, lambda x: 0) || list_transform(answer, lambda x: 1), ',') AS loss_mask, array_to_string(list_transform(prompt, lambda x: -1) || list_transform(answer, lambda x: last::INT), ',') AS versions, round(coalesce(-list_sum(answer) / 100.0::DOUBLE, 0.0), 6) AS logprob, len(prompt || answer)::INT AS n FROM p""",
     "token_f1_cjk": f"""WITH a AS (SELECT doc_id, d.text AS t, CASE WHEN item_id % 3 = 0 THEN '答案 12,' || b.text ELSE b.text END AS g, item_id % 3 = 0 AS cjk FROM documents d JOIN benchmark b ON doc_id % (SELECT max(item_id) + 1 FROM benchmark) = item_id),
         w AS (SELECT doc_id, CASE WHEN cjk THEN {_chars('t')} ELSE {_words('t')} END AS p, CASE WHEN cjk THEN {_chars('g')} ELSE {_words('g')} END AS q FROM a)
         SELECT doc_id, round(CASE WHEN len(list_intersect(p, q)) > 0 THEN 2.0::DOUBLE * len(list_intersect(p, q)) / (len(p) + len(q)) ELSE 0.0 END, 6) AS f1 FROM w""",
-    "extract_code_block": "SELECT item_id, CASE WHEN length(text) + 1 >= 20 THEN (length(text) + 1)::INT END AS code_chars FROM benchmark",
 }

@@ -75,21 +75,6 @@ def idle_gaps(spark, d):
     return g.groupBy("rank").agg(F.count(F.lit(1)).alias("gaps"), F.round(F.sum("gap"), 2).alias("idle_s"))
 
 
-def id_remap(spark, d):
-    return traces.dense_ids(sessions(spark, d), "task_id", ["rank"]).select("session_id", "rank", "dense_id")
-
-
-def phase_durations(spark, d):
-    return sessions(spark, d).groupBy("event_type").agg(F.round(F.sum("total_s"), 3).alias("total"), F.round(F.avg(F.when(F.col("status") == "accepted", F.col("total_s"))), 6).alias("mean_accepted"), F.count(F.lit(1)).alias("n"))
-
-
-def balance_report(spark, d):
-    """Accepted share and load of every rank and day, and what to do about it."""
-    s = sessions(spark, d).groupBy("rank", F.floor(F.col("submit_ts") / 86400).cast("long").alias("window")).agg(F.count(F.lit(1)).alias("produced"), F.count_if(F.col("status") == "accepted").alias("entered"), F.round(F.sum("total_s"), 3).alias("busy_s"))
-    rate = F.col("entered") / F.col("produced")
-    return s.select("*", F.round(rate, 6).alias("accept_rate"), F.when(rate < 0.75, "scale_up").when(rate > 0.85, "scale_down").otherwise("hold").alias("advice"))
-
-
 def _parts(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_type").alias("category"), catalogue.ngrams(F.concat_ws(" ", F.initcap("p_name"), F.lit("of the"), F.replace("p_brand", F.lit("#"), F.lit("")), F.concat(F.lit("size"), F.col("p_size").cast("string")), F.lit("100 a 1000")), F.array(*[F.lit(w) for w in STOP])).alias("terms"))
 
@@ -99,10 +84,6 @@ def dedup_products(spark, d):
     return catalogue.first_rows(p, ["p_name", "p_brand"], ["p_partkey"])
 
 
-def attribute_inverted_index(spark, d):
-    return _parts(spark, d).select("item", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("first"), F.max("item").alias("last"))
-
-
 def tfidf_terms(spark, d):
     return catalogue.tfidf_terms(_parts(spark, d), 2)
 
@@ -127,15 +108,6 @@ def catalogue_review_join(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_name").join(r, "p_partkey", "left").select("p_partkey", "p_name", F.coalesce("reviews", F.lit(0)).cast("long").alias("reviews"), F.coalesce("rating", F.lit(0.0)).alias("rating"))
 
 
-def product_clean(spark, d):
-    p = table(spark, d, "part").where(F.length(F.col("p_partkey").cast("string")) <= 10)
-    return p.select("p_partkey", F.trim(F.lower("p_name")).alias("query"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit(" | ")).alias("option"))
-
-
-def build_search_documents(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("contents"))
-
-
 def kg_neighbors(spark, d):
     t = triples(spark, d)
     start = t.where("p = 'status' AND o = 'F'").select("s")
@@ -200,7 +172,7 @@ def table_md5(spark, d):
     return catalogue.fingerprint(t, [text(c, k) for c, k in t.dtypes])
 
 
-QUERIES = {f.__name__: f for f in (bm25_search, dense_topk, page_access, page_exists, neighbour_candidates, link_in_degree, time_offsets, step_boundaries, step_interval_assign, latency_quantiles, histogram_bins, idle_gaps, id_remap, phase_durations, balance_report, dedup_products, attribute_inverted_index, tfidf_terms, attribute_top_share, product_page, weighted_sample, catalogue_review_join, product_clean, build_search_documents, kg_neighbors, kg_relations, kg_connected, kg_compare, kg_count, kg_argmax, kg_intersect, kg_union, base_items, crafting_depth, table_md5)}
+QUERIES = {f.__name__: f for f in (bm25_search, dense_topk, page_access, page_exists, neighbour_candidates, link_in_degree, time_offsets, step_boundaries, step_interval_assign, latency_quantiles, histogram_bins, idle_gaps, dedup_products, tfidf_terms, attribute_top_share, product_page, weighted_sample, catalogue_review_join, kg_neighbors, kg_relations, kg_connected, kg_compare, kg_count, kg_argmax, kg_intersect, kg_union, base_items, crafting_depth, table_md5)}
 
 _TERMS = "list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9\\x{{80}}-\\x{{ffff}}]+'), lambda w: w <> '')"
 _KEY = "regexp_replace(replace(replace(regexp_replace(lower(regexp_replace({x}, '^[a-zA-Z]+://', '')), '[?#].*$', ''), 'index.php/', 'index.php?title='), '_', '%20'), '/+$', '')"
@@ -230,18 +202,12 @@ ORACLES = {
     "latency_quantiles": f"{S} SELECT rank, status, round(quantile_cont(total_s, 0.5), 6) AS p50, round(quantile_cont(total_s, 0.95), 6) AS p95, round(min(total_s), 6) AS least, round(max(total_s), 6) AS most FROM sessions GROUP BY 1, 2",
     "histogram_bins": f"{S}, f AS (SELECT min(total_s) AS lo, greatest(2 * (quantile_cont(total_s, 0.75) - quantile_cont(total_s, 0.25)) / pow(count(total_s), 1 / 3::DOUBLE), (max(total_s) - min(total_s)) / 120, 1e-3) AS width FROM sessions) SELECT floor((total_s - lo) / width)::BIGINT AS bin, count(*) AS n FROM sessions, f GROUP BY 1",
     "idle_gaps": f"{S}, g AS (SELECT rank, submit_ts - max(finalized_ts) OVER (PARTITION BY rank ORDER BY submit_ts, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM sessions) SELECT rank, count(*) AS gaps, round(sum(gap), 2) AS idle_s FROM g WHERE gap > 60 GROUP BY 1",
-    "id_remap": f"{S} SELECT session_id, rank, (dense_rank() OVER (PARTITION BY rank ORDER BY task_id))::INT AS dense_id FROM sessions",
-    "phase_durations": f"{S} SELECT event_type, round(sum(total_s), 3) AS total, round(avg(total_s) FILTER (status = 'accepted'), 6) AS mean_accepted, count(*) AS n FROM sessions GROUP BY 1",
-    "balance_report": f"{S}, w AS (SELECT rank, floor(submit_ts / 86400)::BIGINT AS \"window\", count(*) AS produced, count(*) FILTER (status = 'accepted') AS entered, round(sum(total_s), 3) AS busy_s FROM sessions GROUP BY 1, 2) SELECT *, round(entered / produced, 6) AS accept_rate, CASE WHEN entered / produced < 0.75 THEN 'scale_up' WHEN entered / produced > 0.85 THEN 'scale_down' ELSE 'hold' END AS advice FROM w",
     "dedup_products": "SELECT p_name, p_brand, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) = 1",
-    "attribute_inverted_index": f"WITH {_PARTS}, t AS (SELECT DISTINCT item, unnest(terms) AS term FROM p) SELECT term, count(*) AS n, min(item) AS first, max(item) AS last FROM t GROUP BY 1",
     "tfidf_terms": f"WITH {_TFIDF} SELECT item, category, term, tfidf, rank FROM t",
     "attribute_top_share": f"WITH {_TFIDF} SELECT category, term, round(count(*) / any_value(n), 6) AS share FROM t JOIN n USING (category) GROUP BY 1, 2",
     "product_page": "SELECT p_partkey, p_type, p_retailprice, rank::INT AS rank FROM (SELECT p_partkey, p_type, p_retailprice, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank BETWEEN 11 AND 20",
     "weighted_sample": f"WITH w AS (SELECT p_type, p_partkey, sum(p_size + 1) OVER (PARTITION BY p_type ORDER BY p_partkey) AS hi, sum(p_size + 1) OVER (PARTITION BY p_type) AS total, p_size + 1 AS w FROM part), dr AS (SELECT p_type, draw::INT AS draw, {_U} AS u FROM (SELECT DISTINCT p_type FROM part), range(1, 21) t(draw)) SELECT p_type, draw, p_partkey FROM dr JOIN w USING (p_type) WHERE u * total >= hi - w AND u * total < hi",
     "catalogue_review_join": "SELECT p_partkey, p_name, coalesce(reviews, 0) AS reviews, coalesce(rating, 0.0) AS rating FROM part LEFT JOIN (SELECT l_partkey, count(*) AS reviews, round(avg(l_quantity), 6) AS rating FROM lineitem GROUP BY 1) ON p_partkey = l_partkey",
-    "product_clean": "SELECT p_partkey, trim(lower(p_name)) AS query, replace(lower(p_brand), '#', ' | ') AS option FROM part WHERE length(p_partkey::VARCHAR) <= 10",
-    "build_search_documents": "SELECT p_partkey AS id, lower(concat_ws(' ', p_name, p_type, p_brand)) AS contents FROM part",
     "kg_neighbors": f"{K} SELECT DISTINCT n.o AS s FROM triples f JOIN triples b ON b.s = f.s AND b.p = 'placed_by' JOIN triples n ON n.s = b.o AND n.p = 'in_nation' WHERE f.p = 'status' AND f.o = 'F'",
     "kg_relations": f"{K} SELECT p, count(*) AS n FROM triples WHERE s LIKE 'C%' GROUP BY 1",
     "kg_connected": f"{K} SELECT DISTINCT b.s FROM triples b JOIN triples n ON n.s = b.o AND n.p = 'in_nation' WHERE b.p = 'placed_by' AND n.o IN ('N3', 'N7')",

@@ -88,13 +88,6 @@ def write_scoreboard(spark, d):
     return board
 
 
-def validation_breakdown(spark, d):
-    r = table(spark, d, "events").select(F.concat(F.lit("agent"), (F.col("user_id") % 5).cast("string")).alias("agent"), F.concat(F.lit("task"), (F.col("event_id") % 3).cast("string")).alias("task"), F.col("event_type").alias("status"))
-    n = r.groupBy("agent", "task", "status").count().withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("agent", "task")))
-    by = lambda c: n.groupBy(F.lit(c).alias("level"), F.col(c).alias("name"), "status").agg(F.round(F.avg("share"), 6).alias("mean_share"))
-    return by("agent").unionByName(by("task"))
-
-
 def remaining_samples(spark, d):
     o = table(spark, d, "orders")
     pairs = o.select(F.col("o_custkey").alias("agent"), F.col("o_orderkey").alias("sample"))
@@ -110,7 +103,7 @@ def testcase_pass_rate(spark, d):
     return j.select("k", "passed", F.round(F.col("passed") / F.col("total"), 6).alias("rate"), (F.col("passed") == F.col("total")).alias("all_passed"))
 
 
-QUERIES = {f.__name__: f for f in (outcome_rounds, greso_state, filter_solved_state, greso_controller, gate_prompts, avg_at_k, pass_at_k_clamped, pass_at_k_suite, completion_numbering, eval_result_lookup, replicate_eval_set, outputs_vs_targets, latest_per_pair, write_scoreboard, validation_breakdown, remaining_samples, testcase_pass_rate)}
+QUERIES = {f.__name__: f for f in (outcome_rounds, greso_state, filter_solved_state, greso_controller, gate_prompts, avg_at_k, pass_at_k_clamped, pass_at_k_suite, completion_numbering, eval_result_lookup, replicate_eval_set, outputs_vs_targets, latest_per_pair, write_scoreboard, remaining_samples, testcase_pass_rate)}
 
 _ROUNDS = "r AS (SELECT prompt_id, version, avg(reward) AS g_mean, (max(reward) - min(reward) <= 1e-8)::INT AS zero_adv, count(*) AS n_trajs, CASE WHEN max(reward) - min(reward) <= 1e-8 THEN CASE WHEN avg(reward) > 0.5 THEN 'easy' ELSE 'hard' END END AS kind FROM outcomes GROUP BY 1, 2)"
 _STREAK = """b AS (SELECT *, (zero_adv = 0 OR coalesce(lag(kind) OVER w <> kind, lag(version) OVER w IS NOT NULL))::INT AS brk FROM r WINDOW w AS (PARTITION BY prompt_id ORDER BY version)),
@@ -138,7 +131,6 @@ ORACLES = {
     "outputs_vs_targets": "SELECT lang, count(*) AS targets, count(*) FILTER (quality IS NULL) AS missing, round(avg(coalesce(quality, 0)), 6) AS accuracy FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id) GROUP BY 1",
     "latest_per_pair": "SELECT o_custkey AS agent, o_orderpriority AS task, epoch(o_orderdate)::BIGINT AS stamp, o_orderkey AS run FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "write_scoreboard": "SELECT source AS agent, " + ", ".join(f"round(avg(quality) FILTER (lang = '{x}'), 6) AS {x}" for x in ("en", "de", "fr", "es")) + " FROM labels JOIN documents USING (doc_id) GROUP BY 1",
-    "validation_breakdown": "WITH n AS (SELECT 'agent' || (user_id % 5) AS agent, 'task' || (event_id % 3) AS task, event_type AS status, count(*) AS c FROM events GROUP BY 1, 2, 3), s AS (SELECT *, c / sum(c) OVER (PARTITION BY agent, task) AS share FROM n) SELECT 'agent' AS level, agent AS name, status, round(avg(share), 6) AS mean_share FROM s GROUP BY 2, 3 UNION ALL SELECT 'task', task, status, round(avg(share), 6) FROM s GROUP BY 2, 3",
     "remaining_samples": "SELECT o_custkey AS agent, o_orderkey AS sample FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)",
     "testcase_pass_rate": "WITH p AS (SELECT l_orderkey AS k, l_linenumber AS c, max((l_linestatus = 'F')::INT) AS ok FROM lineitem GROUP BY 1, 2), j AS (SELECT o_orderkey AS k, sum(coalesce(ok, 0))::BIGINT AS passed FROM orders CROSS JOIN range(1, 8) t(c) LEFT JOIN p ON p.k = o_orderkey AND p.c = t.c GROUP BY 1) SELECT k, passed, round(passed / 7.0::DOUBLE, 6) AS rate, passed = 7 AS all_passed FROM j",
 }

@@ -35,29 +35,11 @@ def token_f1(spark, d):
     return _answers(spark, d, words=True).select("doc_id", F.round(scoring.word_f1(F.col("text"), F.col("gold")), 6).alias("f1"))
 
 
-def cover_em(spark, d):
-    return _answers(spark, d).select("doc_id", scoring.cover_match(F.col("text"), F.col("gold")).alias("cem"))
-
-
-def best_over_golds(spark, d):
-    """Every document against all items."""
-    found = scoring.best_over_golds(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select(F.col("text").alias("gold")))
-    return found.select("doc_id", F.round("best", 6).alias("best"))
-
-
-def bracket_number(spark, d):
-    return table(spark, d, "pages").select("page_id", scoring.last_match(F.col("html"), "(\\d+)").alias("last_number"), F.coalesce(scoring.last_match(F.col("html"), "\\[([^\\[\\]]*)\\]"), F.lit("")).alias("bracketed"))
-
-
 def answer_format_ok(spark, d):
     tags = ["article", "nav", "title"]
     return table(spark, d, "pages").select("page_id", scoring.balanced_tags(F.col("html"), tags).alias("ok"), scoring.count_of(F.col("html"), "<p").alias("paragraphs"))
 
 
-def summarize_page_tags(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).alias("heading"))
-
-
 def strip_cot_suffix(spark, d):
     """Texts of which some end with the request to reason in steps, in one case or another."""
     ask = "Let's think step by step and output the final answer within \\boxed{}."
@@ -154,7 +136,7 @@ def contiguous_partition(spark, d):
     return packing.contiguous_partition(_batches(spark, d), "batch", "seq_no", "seq_len", 8)
 
 
-QUERIES = {f.__name__: f for f in (normalize_answer, exact_sub_match, token_f1, cover_em, best_over_golds, bracket_number, answer_format_ok, summarize_page_tags, strip_cot_suffix, filter_by_token_length, attach_query_ids, prompt_from_problem, version_bounds, masked_stats, staleness_stats, kl_estimate, ppo_token_loss, sapo_token_loss, critic_loss, m2po_clip_range, gae_advantages, pack_token_budget, balance_batches, contiguous_partition)}
+QUERIES = {f.__name__: f for f in (normalize_answer, exact_sub_match, token_f1, answer_format_ok, strip_cot_suffix, filter_by_token_length, attach_query_ids, prompt_from_problem, version_bounds, masked_stats, staleness_stats, kl_estimate, ppo_token_loss, sapo_token_loss, critic_loss, m2po_clip_range, gae_advantages, pack_token_budget, balance_batches, contiguous_partition)}
 
 _P = "[!-/:-@\\[-`{-~]"
 
@@ -182,11 +164,7 @@ ORACLES = {
     "strip_cot_suffix": f"SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '\\s+$', '') WHEN doc_id % 3 = 1 THEN regexp_replace(text, '\\s+$', '') ELSE '{_ASK}' || text END) AS stripped FROM documents",
     "exact_sub_match": f"WITH {_A}, n AS (SELECT doc_id, {_norm('text')} AS t, {_norm('gold')} AS g, {_norm("regexp_extract(gold, '(\\S+)\\s*$', 1)")} AS w FROM a) SELECT doc_id, (t = g OR t = w)::INT AS em, (contains(t, g) OR contains(t, w))::INT AS sub FROM n",
     "token_f1": f"WITH {_A} SELECT doc_id, round({_f1('text', 'gold')}, 6) AS f1 FROM a",
-    "cover_em": f"WITH {_A} SELECT doc_id, (len(list_filter({_words('gold')}, lambda w: NOT list_contains({_words('text')}, w))) = 0)::INT AS cem FROM a",
-    "best_over_golds": f"WITH p AS (SELECT doc_id, {_words('text')} AS w FROM documents), g AS (SELECT item_id, {_words('text')} AS v FROM benchmark), s AS (SELECT doc_id, item_id, count(*) AS k FROM (SELECT doc_id, unnest(w) AS x FROM p) JOIN (SELECT item_id, unnest(v) AS x FROM g) USING (x) GROUP BY 1, 2) SELECT doc_id, round(coalesce(max(2.0::DOUBLE * k / (len(w) + len(v))), 0.0), 6) AS best FROM p LEFT JOIN s USING (doc_id) LEFT JOIN g USING (item_id) GROUP BY 1",
-    "bracket_number": "SELECT page_id, regexp_extract_all(html, '(\\d+)', 1)[-1] AS last_number, coalesce(regexp_extract_all(html, '\\[([^\\[\\]]*)\\]', 1)[-1], '') AS bracketed FROM pages",
     "answer_format_ok": "WITH c AS (SELECT page_id, html, " + ", ".join(f"len(html) - len(replace(html, '<{t}', '')) AS o{i}, len(html) - len(replace(html, '</{t}>', '')) AS c{i}" for i, t in enumerate(("article", "nav", "title"))) + " FROM pages) SELECT page_id, " + " AND ".join(f"o{i} / {len(t) + 1} = c{i} / {len(t) + 3} AND c{i} <= {len(t) + 3}" for i, t in enumerate(("article", "nav", "title"))) + " AS ok, ((len(html) - len(replace(html, '<p', ''))) // 2)::INT AS paragraphs FROM c",
-    "summarize_page_tags": "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS heading FROM pages",
     "filter_by_token_length": "SELECT doc_id, lang FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 300",
     "attach_query_ids": "SELECT format('docs-{:08d}', row_number() OVER (ORDER BY doc_id) - 1) AS query_id, doc_id FROM documents WHERE source <> 'web'",
     "prompt_from_problem": """SELECT item_id, to_json([{'role': 'user', 'content': text}])::VARCHAR AS messages, '\\boxed{' || item_id || '}' AS answer FROM benchmark""",

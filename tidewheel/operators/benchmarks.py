@@ -80,3 +80,116 @@ def pass_counts(results: DataFrame, keys: list[str]) -> DataFrame:
     """Samples, those passed and not, and the share passed (``passed``; null: not)."""
     ok = F.coalesce("passed", F.lit(False))
     return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("pass"), F.count_if(~ok).alias("wrong"), F.avg(ok.cast("double")).alias("success_rate"))
+
+
+#: Bounds of a belief in a cross-entropy, and the one that stands for an unknown.
+SURE, UNKNOWN = (0.0001, 0.9999), 0.5
+
+
+def role_beliefs(beliefs: DataFrame, game: list[str]) -> DataFrame:
+    """What a player of hidden roles believed of each other one (``side`` 1 good, 0 evil; ``belief`` 0 to 1, -1 unknown), a row a game.
+
+    ``deduction``: the share of players on whose side the belief is, from a half on good; ``cross_entropy``: the sum
+    over players of ``-log`` of the belief in their true side, unknowns as a half.
+    """
+    right = (F.when(F.col("belief") >= UNKNOWN, 1).otherwise(0) == F.col("side")).cast("double")
+    known = F.when(F.col("belief") == -1, UNKNOWN).otherwise(F.col("belief"))
+    b = F.least(F.greatest(known, F.lit(SURE[0])), F.lit(SURE[1]))
+    lost = -F.when(F.col("side") == 1, F.ln(b)).otherwise(F.ln(1 - b))
+    return beliefs.groupBy(*game).agg(F.avg(right).alias("deduction"), F.sum(lost).alias("cross_entropy"))
+
+
+def role_deception(beliefs: DataFrame, game: list[str]) -> DataFrame:
+    """How good the other good players (``side`` 1) hold this one to be (``of_me``), a row a game; null in a game without good ones."""
+    good = F.sum("side")
+    return beliefs.groupBy(*game).agg(F.when(good > 0, F.sum(F.col("side") * F.col("of_me")) / good).alias("deception"))
+
+
+def role_votes(rounds: DataFrame, game: list[str]) -> DataFrame:
+    """``influence``: share of rounds whose outcome is the player's vote; ``leadership``: share approved of those that the player led, null without any."""
+    return rounds.groupBy(*game).agg(F.avg((F.col("vote") == F.col("outcome")).cast("double")).alias("influence"), F.avg(F.when(F.col("leads"), F.col("outcome").cast("double"))).alias("leadership"))
+
+
+def hidden_roles(games: DataFrame, scores: list[DataFrame], keys: list[str], game: str) -> DataFrame:
+    """Win rate and mean deduction over all games of ``keys``, those not completed as 0; the other scores over the games that have them.
+
+    ``games`` has a row a game with ``completed`` and ``won``; ``scores`` are the rows a game of the reducers above.
+    """
+    joined = games
+    for one in scores:
+        joined = joined.join(one, [*keys, game], "left")
+    done = F.coalesce("completed", F.lit(False))
+    of_all = lambda x: F.sum(F.when(done, F.coalesce(x, F.lit(0.0))).otherwise(0.0)) / F.count(F.lit(1))
+    others = [c for c in joined.columns if c in ("cross_entropy", "deception", "influence", "leadership")]
+    return joined.groupBy(*keys).agg(of_all(F.col("won").cast("double")).alias("win_rate"), of_all(F.col("deduction")).alias("deduction"), *[F.avg(F.when(done, F.col(c))).alias(c) for c in others])
+
+
+#: Hit points that a card has at first.
+CARD_HP_EACH = 400
+
+
+def card_logs(frames: DataFrame, errors: DataFrame, tries: DataFrame, games: DataFrame, keys: list[str], game: str) -> DataFrame:
+    """Totals of card games from their logs, a row for each of ``keys`` and each of two players.
+
+    ``frames``: ``frame`` (from 0), ``player``, ``hp`` of each card; ``errors``: ``frame, place, player``; ``tries``:
+    ``player, try_times``; ``games``: ``winner``. The last frame but one is the last round: what the other player's
+    cards have lost there is a player's damage, those at 0 or below its takedowns, and the first error of the round
+    its player's end before the full play. A game of one frame can't be read and is left out, as is one without cards
+    in its last round.
+    """
+    group = [*keys, game]
+    last = frames.groupBy(*group).agg((F.max("frame") - 1).alias("_last")).where("_last >= 0")
+    lost = frames.join(last, group).where("frame = _last").groupBy(*group, (1 - F.col("player")).alias("player")).agg(F.sum(F.lit(CARD_HP_EACH) - F.greatest("hp", F.lit(0))).alias("damage"), F.count_if(F.col("hp") <= 0).alias("takedown"))
+    read = lost.select(*group).distinct().join(last, group).join(games.select(*group, "winner"), group)
+    first = errors.join(last, group).where("frame = _last").groupBy(*group).agg(F.min_by("player", "place").alias("_erred"))
+    tried = tries.groupBy(*group, "player").agg(F.sum("try_times").alias("try_times"))
+    both = read.withColumn("player", F.explode(F.array(F.lit(0), F.lit(1)))).join(lost, [*group, "player"], "left").join(first, group, "left").join(tried, [*group, "player"], "left")
+    whole = F.coalesce(F.col("_erred") != F.col("player"), F.lit(True))
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).cast("long")
+    return both.groupBy(*keys, "player").agg(F.count_if(whole).alias("full_play"), total("try_times").alias("try_times"), total("takedown").alias("takedown"), total("damage").alias("damage"), F.count_if(F.col("winner") == F.col("player")).alias("win_round"), F.sum(F.col("_last") + 1).cast("long").alias("round_num"), F.count(F.lit(1)).alias("test_times"))
+
+
+#: How a task's name tells its family (first match), where the family's result has its main metric, and what that is divided by.
+MAIN_METRICS = [
+    ("card|^cg|^dcg", "$.custom.score", 1.0),
+    ("^alf", "$.custom.overall.success_rate", 1.0),
+    ("^os|^operating", "$.custom.overall.acc", 1.0),
+    ("^db|^database", "$.custom.overall_cat_accuracy", 1.0),
+    ("^kg|^knowledge", "$.custom.main", 1.0),
+    ("^ltp|^literal", "$.custom.main", 1.0),
+    ("^m2w|^mind2web", "$.custom.step_sr", 100.0),
+    ("^ws|^webshop", "$.custom.reward", 1.0),
+]
+#: Classes of a sample's end, and the statuses of each.
+STATUS_CLASSES = {
+    "Completed": ["COMPLETED"],
+    "Context Limit Exceeded": ["AGENT_CONTEXT_LIMIT"],
+    "Invalid Format": ["AGENT_VALIDATION_FAILED"],
+    "Invalid Action": ["AGENT_INVALID_ACTION"],
+    "Task Limit Exceeded": ["UNKNOWN", "TASK_ERROR", "TASK_LIMIT_REACHED"],
+}
+
+
+def main_metric(task: Column, result: Column) -> list[Column]:
+    """``metric`` and ``legacy`` of an overall result (JSON): the number that stands for the task's family.
+
+    A card game without a score gives its win rate, which is ``legacy``. Null for an unknown task.
+    """
+    name = F.lower(task)
+    found = [(name.rlike(p), F.get_json_object(result, at).try_cast("double") / by) for p, at, by in MAIN_METRICS]
+    metric = F.lit(None).cast("double")
+    for matches, value in reversed(found):
+        metric = F.when(matches, value).otherwise(metric)
+    old = F.coalesce(name.rlike(MAIN_METRICS[0][0]) & metric.isNull(), F.lit(False))
+    return [F.when(old, F.get_json_object(result, "$.custom.win_rate").try_cast("double")).otherwise(metric).alias("metric"), old.alias("legacy")]
+
+
+def status_shares(samples: DataFrame, keys: list[str], status: str = "status") -> DataFrame:
+    """Share of each class of ends among the samples of ``keys``: a row for each of ``keys`` and each class, those without samples with 0."""
+    shares = samples.groupBy(*keys).agg(*[F.avg(F.coalesce(F.col(status).isin(*of), F.lit(False)).cast("double")).alias(name) for name, of in STATUS_CLASSES.items()])
+    return shares.select(*keys, F.explode(F.create_map(*[x for name in STATUS_CLASSES for x in (F.lit(name), F.col(f"`{name}`"))])).alias("ending", "share"))
+
+
+def validation_means(shares: DataFrame, by: str) -> DataFrame:
+    """Unweighted mean of the shares over the pairs of each ``by``."""
+    return shares.groupBy(by, "ending").agg(F.avg("share").alias("mean_share"))

@@ -60,10 +60,56 @@ def weighted_draws(rows: DataFrame, keys: list[str], item: str, weight: str, dra
     return keyed.join(upto, keys).where((F.col("_u") * F.col("_all") >= F.col("_from")) & (F.col("_u") * F.col("_all") < F.col("_to"))).select(*keys, "draw", item)
 
 
-def parse_price(text: Column) -> Column:
-    """Up to two prices of a ``$``-separated text; 100 where there is none."""
-    parts = F.filter(F.transform(F.split(text, "\\$"), lambda p: F.regexp_replace(p, "[^0-9.]", "").try_cast("double")), lambda p: p.isNotNull())
-    return F.when(F.size(parts) > 0, F.slice(parts, 1, 2)).otherwise(F.array(F.lit(100.0)))
+def parse_price(text: Column) -> list[Column]:
+    """``pricing``: up to two prices behind the dollar signs of a text, 100 where there is none; ``price_tag``: how they are shown."""
+    behind = F.slice(F.split(text, "\\$"), 2, 1 << 20)
+    parts = F.filter(F.transform(behind, lambda p: F.regexp_replace(p, "[^0-9.]", "").try_cast("double")), lambda p: p.isNotNull())
+    prices = F.when(F.coalesce(F.size(parts), F.lit(0)) > 0, F.slice(parts, 1, 2)).otherwise(F.array(F.lit(100.0)))
+    shown = F.transform(prices, lambda p: F.concat(F.lit("$"), p.cast("string")))
+    return [prices.alias("pricing"), F.array_join(shown, " to ").alias("price_tag")]
+
+
+def clean_options(options: Column) -> Column:
+    """Options of a product (``map<string, array<struct<value, image>>>``) by their lower-cased names: trimmed, lower-cased values, slashes as bars.
+
+    Options without contents are left out; of names that differ by case only the last one stays.
+    """
+    told = F.filter(F.map_entries(options), lambda e: e["value"].isNotNull())
+    value = lambda c: F.lower(F.replace(F.trim(c["value"]), F.lit("/"), F.lit(" | ")))
+    cleaned = F.transform(told, lambda e: F.struct(F.lower(e["key"]).alias("key"), F.transform(e["value"], value).alias("value")))
+    last = F.filter(cleaned, lambda e, i: ~F.exists(F.slice(cleaned, i + 2, F.greatest(F.size(cleaned), F.lit(1))), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def option_images(options: Column) -> Column:
+    """The image of each option's value (as ``clean_options`` writes them); of equal values the last one's."""
+    value = lambda c: F.lower(F.replace(F.trim(c["value"]), F.lit("/"), F.lit(" | ")))
+    pairs = F.flatten(F.transform(F.filter(F.map_values(options), lambda v: v.isNotNull()), lambda v: F.transform(v, lambda c: F.struct(value(c).alias("key"), c["image"].alias("value")))))
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def option_text(options: Column) -> Column:
+    """``name: value, value, and name: value`` of cleaned options."""
+    said = F.transform(F.map_entries(options), lambda e: F.concat(e["key"], F.lit(": "), F.array_join(e["value"], ", ")))
+    return F.array_join(said, ", and ")
+
+
+def known_products(products: DataFrame, key: str, dropped: list[str]) -> DataFrame:
+    """Products without the columns ``dropped`` and without those whose key is ``nan`` or over ten characters."""
+    return products.where((F.col(key) != "nan") & (F.length(key) <= 10)).drop(*dropped)
+
+
+def search_contents(title: Column, description: Column, bullets: Column, options: Column) -> Column:
+    """The lower-cased text that a product is found by: title, description, first bullet and options."""
+    first = F.coalesce(F.try_element_at(bullets, F.lit(1)), F.lit(""))
+    return F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")), first, option_text(options)))
+
+
+def postings(rows: DataFrame, term: str, item: str, width: int) -> DataFrame:
+    """``term, block, items``: the sorted items of each term, in blocks of ``width`` keys, of which none has more items than that."""
+    blocked = rows.withColumn("block", F.floor(F.col(item) / width))
+    return blocked.groupBy(term, "block").agg(F.sort_array(F.collect_set(item)).alias("items"))
 
 
 def lookup(items: DataFrame, queries: DataFrame, *, draws: int, seed: int) -> DataFrame:

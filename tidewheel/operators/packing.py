@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,23 +49,66 @@ def balanced_bins(lengths: list[int], bins: int) -> list[int]:
     return out
 
 
-def contiguous_parts(lengths: list[int], parts: int) -> list[int]:
-    """First index of each of ``parts`` contiguous parts of least largest sum, by bisection over that sum."""
-    low, high = max(lengths, default=0), sum(lengths)
+def contiguous_parts(lengths: list[int], parts: int, min_size: int = 1) -> list[int]:
+    """First index of each of ``parts`` contiguous parts of at least ``min_size`` items, whose greatest and least sum differ least.
 
-    def cut(most: int) -> list[int]:
-        starts, total = [0], 0
-        for i, x in enumerate(lengths):
-            if total + x > most:
-                starts.append(i)
-                total = 0
-            total += x
-        return starts
-
-    while low < high:
-        middle = (low + high) // 2
-        low, high = (low, middle) if len(cut(middle)) <= parts else (middle + 1, high)
-    return cut(low)
+    Lengths are whole numbers from 0 on. A partition is near the mean: even cuts bound how far its sums can be from
+    it, and the sums of all runs within that bound are the only candidates for the least one. For each, rising, the
+    lowest greatest sum is looked for from the one before on; whether two bounds allow a partition is a dynamic
+    program over prefixes and parts. Of equal spreads the one of lower sums is taken, with its cuts as late as they can be.
+    """
+    n = len(lengths)
+    if parts < 1 or min_size < 1:
+        raise ValueError("there must be a part, and an item in each")
+    if n < parts * min_size:
+        raise ValueError(f"{n} items are too few for {parts} parts of {min_size}")
+    if min(lengths, default=0) < 0:
+        raise ValueError("a length is below 0")
+    ends = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))])
+    width = _even_spread(ends, parts, min_size)
+    mean = ends[-1] / parts
+    sums = ends[None, :] - ends[:, None]
+    apart = np.arange(n + 1)[None, :] - np.arange(n + 1)[:, None] >= min_size
+    near = np.unique(sums[apart & (np.abs(sums - mean) <= width)])
+    best, at = None, 0
+    for low in near[near <= mean]:
+        at = max(at, int(np.searchsorted(near, low)))
+        while at < len(near) and _reached(ends, parts, min_size, low, near[at]) is None:
+            at += 1
+        if at == len(near):
+            break
+        if best is None or near[at] - low < best[1] - best[0]:
+            best = int(low), int(near[at])
+    reach = _reached(ends, parts, min_size, *best)
+    cuts, i = [], n
+    for k in range(parts - 1, -1, -1):
+        left = np.arange(i - min_size + 1)
+        fits = reach[k][: len(left)] & (ends[i] - ends[left] >= best[0]) & (ends[i] - ends[left] <= best[1])
+        i = int(left[fits][-1])
+        cuts.append(i)
+    return cuts[::-1]
+
+
+def _even_spread(ends: np.ndarray, parts: int, min_size: int) -> int:
+    """The spread of the partition that cuts as near to even sums as ``min_size`` lets it."""
+    n, cut = len(ends) - 1, [0]
+    for k in range(1, parts):
+        wanted = int(np.searchsorted(ends, ends[-1] * k / parts))
+        cut.append(min(max(wanted, cut[-1] + min_size), n - (parts - k) * min_size))
+    sums = np.diff(ends[[*cut, n]])
+    return int(sums.max() - sums.min())
+
+
+def _reached(ends: np.ndarray, parts: int, min_size: int, low: int, high: int) -> list[np.ndarray] | None:
+    """For each number of parts the prefixes that split into so many with sums of ``low`` to ``high``; None if the whole doesn't."""
+    n = len(ends) - 1
+    first, last = np.searchsorted(ends, ends - high), np.searchsorted(ends, ends - low, "right")
+    last = np.minimum(last, np.arange(n + 1) - min_size + 1)
+    out = [np.arange(n + 1) == 0]
+    for _ in range(parts):
+        upto = np.concatenate([[0], np.cumsum(out[-1])])
+        out.append((last > first) & (upto[np.maximum(last, first)] > upto[first]))
+    return out if out[-1][n] else None
 
 
 def _assign(rows: DataFrame, batch: str, key: str, length: str, name: str, choose) -> DataFrame:
@@ -93,9 +137,11 @@ def balance_batches(rows: DataFrame, batch: str, key: str, length: str, bins: in
     return _assign(rows, batch, key, length, "bin", lambda x: balanced_bins(x, bins))
 
 
-def contiguous_partition(rows: DataFrame, batch: str, key: str, length: str, parts: int) -> DataFrame:
+def contiguous_partition(rows: DataFrame, batch: str, key: str, length: str, parts: int, min_size: int = 1) -> DataFrame:
+    """``part`` of every row: ``contiguous_parts`` of each batch in order of ``key``; a batch with too few rows is an error."""
+
     def choose(lengths: list[int]) -> list[int]:
-        starts = set(contiguous_parts(lengths, parts)[1:])
+        starts = set(contiguous_parts(lengths, parts, min_size)[1:])
         out, p = [], 0
         for i in range(len(lengths)):
             p += i in starts

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.ranking import exact_percentiles, greatest_before, place_within
@@ -74,8 +74,58 @@ def idle_gaps(rows: DataFrame, keys: list[str], begin: str, end: str, least: flo
     return ended.withColumn("gap", F.col(begin) - F.col("_ended")).where(F.col("gap") > least).drop("_ended")
 
 
-def dense_ids(rows: DataFrame, key: str, within: list[str], width: int = 1 << 16) -> DataFrame:
-    """Dense ids from 1 of distinct numeric keys, joined back; ids are given in ranges of ``width`` of the key."""
-    distinct = rows.select(*within, key).distinct()
-    ids = place_within(distinct, within, F.floor(F.col(key) / width), [F.col(key)], "_place").withColumn("dense_id", (F.col("_place") + 1).cast("int"))
-    return rows.join(ids.drop("_place"), [*within, key])
+def type_key(text: Column, *, negatives_last: bool = False) -> Column:
+    """An order of JSON scalars of several types: booleans, whole numbers, other numbers, strings, each in its own order.
+
+    ``negatives_last`` puts whole numbers below 0 behind those from 0 on, the nearest to 0 first.
+    """
+    t = F.trim(text)
+    whole = F.when(t.rlike("^-?[0-9]+$"), t.try_cast("decimal(38,0)"))
+    number, quoted = t.try_cast("double"), t.startswith('"')
+    behind = (whole < 0) if negatives_last else F.lit(False)
+    kind = F.when(t.isin("true", "false"), 0).when(whole.isNotNull() & ~behind, 1).when(whole.isNotNull(), 2).when(~quoted & number.isNotNull(), 3).when(quoted, 4).otherwise(5)
+    own = F.when(kind == 0, F.when(t == "true", 1).otherwise(0).cast("decimal(38,0)")).when(behind, -whole).otherwise(whole)
+    text_of = F.when(kind == 4, F.from_json(F.concat(F.lit('{"v":'), t, F.lit("}")), "v string")["v"]).when(kind == 5, t)
+    return F.struct(kind.cast("int").alias("kind"), own.alias("whole"), F.when(kind == 3, number).alias("number"), text_of.alias("text"))
+
+
+def rank_key(rank: Column) -> Column:
+    """An order of ranks given as text: whole numbers first, then others as text; null for a blank one."""
+    t = F.trim(rank)
+    whole = F.when(t.rlike("^[+-]?[0-9]+$"), t.try_cast("decimal(38,0)"))
+    return F.when(t != "", F.struct(F.when(whole.isNotNull(), 0).otherwise(1).alias("kind"), whole.alias("whole"), F.when(whole.isNull(), t).alias("text")))
+
+
+def _coarse(key: Column) -> Column:
+    """A part of a ``type_key`` that rises with it: keys of one range or of one first letter share it."""
+    return F.struct(key["kind"], F.floor(key["whole"] / 65536), F.floor(key["number"] / 65536), F.substring(key["text"], 1, 1))
+
+
+def process_ids(rows: DataFrame, rank: str = "rank", pid: str = "pid", tid: str = "tid") -> DataFrame:
+    """``rows`` with ``new_pid`` and ``new_tid``: dense ids from 1 of (rank, pid), and those of (rank, pid, tid) from ``new_pid`` on.
+
+    Both follow the order of ``rank_key`` and ``type_key``; keys are JSON scalars as text. Rows without a rank or a
+    pid get null ids, rows without a tid a null ``new_tid``. Distinct keys are put in order by ranges, so that no task
+    has all of them.
+    """
+    marked = rows.withColumns({"_r": rank_key(F.col(rank)), "_p": type_key(F.col(pid)), "_t": type_key(F.col(tid), negatives_last=True)})
+    known = marked.where(F.col("_r").isNotNull() & F.col(pid).isNotNull())
+    pids = known.select("_r", "_p").distinct()
+    pids = place_within(pids, [], F.struct("_r", _coarse(F.col("_p"))), [F.col("_r"), F.col("_p")], "_n").withColumn("new_pid", (F.col("_n") + 1).cast("int")).drop("_n")
+    same = lambda x, y, names: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in names]
+    tids = known.where(F.col(tid).isNotNull()).select("_r", "_p", "_t").distinct().alias("a").join(pids.alias("b"), same("a", "b", ["_r", "_p"])).select("b.new_pid", "a._t")
+    tids = place_within(tids, ["new_pid"], _coarse(F.col("_t")), [F.col("_t")], "_n").withColumn("new_tid", (F.col("_n") + F.col("new_pid")).cast("int")).drop("_n")
+    numbered = marked.alias("a").join(pids.alias("b"), same("a", "b", ["_r", "_p"]), "left").select("a.*", "b.new_pid")
+    out = numbered.alias("a").join(tids.alias("b"), same("a", "b", ["new_pid", "_t"]), "left").select("a.*", F.when(F.col(f"a.{tid}").isNotNull(), F.col("b.new_tid")).alias("new_tid"))
+    return out.drop("_r", "_p", "_t")
+
+
+def flow_ids(rows: DataFrame, *ids: str, rank: str = "rank") -> DataFrame:
+    """``rows`` with ``new_ID`` for each of the columns ``ids``: dense ids from 1 of all (rank, id) that any of them holds."""
+    marked = rows.withColumn("_r", rank_key(F.col(rank)))
+    keys = marked.where(F.col("_r").isNotNull()).select("_r", F.explode(F.array(*ids)).alias("_v")).where("_v IS NOT NULL").select("_r", type_key(F.col("_v")).alias("_k")).distinct()
+    order = place_within(keys, [], F.struct("_r", _coarse(F.col("_k"))), [F.col("_r"), F.col("_k")], "_n").withColumn("_id", (F.col("_n") + 1).cast("int")).drop("_n")
+    for c in ids:
+        both = marked.withColumn("_k", type_key(F.col(c))).alias("a").join(order.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("_r", "_k")], "left")
+        marked = both.select("a.*", "b._id").withColumnRenamed("_id", f"new_{c}").drop("_k")
+    return marked.drop("_r")

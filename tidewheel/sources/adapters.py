@@ -74,7 +74,39 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("url", F.when(F.col("href").startswith("/"), F.concat("site", "href")).otherwise(F.col("href")).alias("target")).distinct()
 
 
+def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of traced sessions: an order is a session, its lines are phase spans.
+
+    Some spans never start or never end, some orders are never finalised, or twice, or without a status before.
+    """
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    orders = o.select(F.col("o_orderkey").alias("session_id"), (epoch_micros("o_orderdate") / 1e6).alias("t0"), "o_orderstatus", "o_orderpriority")
+    none = F.lit(None).cast("string")
+    event = lambda df, ts, seq, name, status=none, reason=none: df.select("session_id", ts.alias("ts"), F.lit(seq).cast("int").alias("seq") if isinstance(seq, int) else seq.cast("int").alias("seq"), name.alias("event"), status.alias("status"), reason.alias("reason"))
+    key, t0 = F.col("session_id"), F.col("t0")
+    ended = F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("rejected")
+    final = F.lit("finalized")
+    of_orders = event(orders, t0, -1, F.lit("submit"))
+    of_orders = of_orders.union(event(orders.where(key % 17 == 0), t0 + 100, 900, final))
+    of_orders = of_orders.union(event(orders.where((F.col("o_orderstatus") != "P")), t0 + F.when(key % 13 == 0, 120).otherwise(300), 901, final, ended, F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority"))))
+    of_orders = of_orders.union(event(orders.where(key % 19 == 0), t0 + 350, 902, final, F.lit("failed"), F.lit("late")))
+    phase = F.when(F.col("l_returnflag") == "R", "generate").when(F.col("l_returnflag") == "A", "reward").otherwise("toolcall")
+    lines = l.join(orders, F.col("l_orderkey") == key).select("session_id", "t0", phase.alias("phase"), ((F.col("l_partkey") % 97) * 2.5).alias("off"), "l_quantity", "l_suppkey", ((F.col("l_linenumber") * 1000 + F.col("l_partkey") % 1000) * 2).alias("n"))
+    begun = event(lines.where("l_suppkey % 11 > 0"), t0 + F.col("off"), F.col("n"), F.concat("phase", F.lit("_start")))
+    done = event(lines.where("l_suppkey % 7 > 0"), t0 + F.col("off") + F.col("l_quantity"), F.col("n") + 1, F.concat("phase", F.lit("_end")))
+    return of_orders.union(begun).union(done)
+
+
 SQL = {
+    "trace_events": """SELECT session_id, ts, seq::INT AS seq, event, status, reason FROM (
+        WITH o AS (SELECT o_orderkey AS k, epoch_us(o_orderdate) / 1e6 AS t0, o_orderstatus AS st, o_orderpriority AS pr FROM orders),
+        l AS (SELECT k, t0, CASE l_returnflag WHEN 'R' THEN 'generate' WHEN 'A' THEN 'reward' ELSE 'toolcall' END AS phase, t0 + (l_partkey % 97) * 2.5::DOUBLE AS s, l_quantity AS q, l_suppkey AS p, (l_linenumber * 1000 + l_partkey % 1000) * 2 AS n FROM lineitem JOIN o ON k = l_orderkey)
+        SELECT k AS session_id, t0 AS ts, -1 AS seq, 'submit' AS event, NULL::VARCHAR AS status, NULL::VARCHAR AS reason FROM o
+        UNION ALL SELECT k, t0 + 100, 900, 'finalized', NULL, NULL FROM o WHERE k % 17 = 0
+        UNION ALL SELECT k, t0 + CASE WHEN k % 13 = 0 THEN 120 ELSE 300 END, 901, 'finalized', CASE WHEN st = 'F' THEN 'accepted' ELSE 'rejected' END, CASE WHEN st = 'O' THEN pr END FROM o WHERE st <> 'P'
+        UNION ALL SELECT k, t0 + 350, 902, 'finalized', 'failed', 'late' FROM o WHERE k % 19 = 0
+        UNION ALL SELECT k, s, n, phase || '_start', NULL, NULL FROM l WHERE p % 11 > 0
+        UNION ALL SELECT k, s + q, n + 1, phase || '_end', NULL, NULL FROM l WHERE p % 7 > 0)""",
     "rollouts": """SELECT l_orderkey AS group_id, l_linenumber AS traj_idx, (l_suppkey % 2)::INT AS model_key, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward,
         ((year(l_shipdate) - 1992) * 12 + month(l_shipdate))::INT AS min_version, l_quantity::INT AS seq_len,
         ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS seq_no, l_discount * 10 AS logprob_gap FROM lineitem""",

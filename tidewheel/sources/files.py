@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tidewheel.functions.ranking import place_within
 
 PROMPT = "question string, answer string, messages array<struct<role string, content string>>, source string"
 
@@ -52,11 +58,69 @@ def write_results(samples: DataFrame, results: DataFrame, path: str) -> None:
     samples.join(results, ["task_id", "completion_id"], "left").write.mode("overwrite").json(path)
 
 
-def write_snapshot(fresh: DataFrame, replay: DataFrame, path: str) -> None:
-    """Fresh and replay entries with their order of arrival; the order is a column and not the files'."""
-    fresh.withColumn("part", F.lit("fresh")).unionByName(replay.withColumn("part", F.lit("replay")), allowMissingColumns=True).write.mode("overwrite").partitionBy("part").parquet(path)
-
-
-def restore_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    rows = spark.read.parquet(path)
-    return tuple(rows.where(F.col("part") == p).drop("part") for p in ("fresh", "replay"))
+def write_snapshot(fresh: DataFrame, replay: DataFrame, path: str, *, facts: dict | None = None) -> int:
+    """Fresh and replay entries under ``path`` as the next generation, with ``facts`` (counters, settings); its number.
+
+    Entries are written first, and a manifest of one small file is moved into place once they all stand: whatever
+    breaks off before that leaves the generation before as the last one. Order is a column (``seq_no``), not the files'.
+    """
+    spark = fresh.sparkSession
+    both = fresh.withColumn("part", F.lit("fresh")).unionByName(replay.withColumn("part", F.lit("replay")), allowMissingColumns=True)
+    number = max([-1, *_names(spark, f"{path}/entries"), *_names(spark, f"{path}/manifests")]) + 1
+    both.write.partitionBy("part").parquet(f"{path}/entries/{number}")
+    counts = {r["part"]: r["n"] for r in spark.read.parquet(f"{path}/entries/{number}").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    said = json.dumps({"generation": number, "fresh": counts.get("fresh", 0), "replay": counts.get("replay", 0), "schema": both.schema.json(), "facts": facts or {}})
+    files, where = _files(spark, path)
+    draft = where(f"{path}/manifests/.{number}-{uuid.uuid4().hex}")
+    out = files.create(draft, False)
+    out.write(bytearray(said.encode()))
+    out.close()
+    if not files.rename(draft, where(f"{path}/manifests/{number}")):
+        raise OSError(f"generation {number} of {path} was published by another job")
+    return number
+
+
+def restore_snapshot(spark: SparkSession, path: str, order: str = "fifo") -> tuple[DataFrame, DataFrame, dict]:
+    """Fresh and replay entries of the last whole generation, and its facts; fresh ones with the ``priority`` that ``order`` gives them now.
+
+    A generation without a readable manifest isn't whole and is passed over. Priorities aren't kept, as the order may
+    have changed: the order of arrival (``fifo``), or the version (``edf``), where what has none goes first.
+    """
+    for number in sorted(_names(spark, f"{path}/manifests"), reverse=True):
+        try:
+            said = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifests/{number}").collect()))
+            schema = StructType.fromJson(json.loads(said["schema"]))
+        except (ValueError, KeyError):
+            continue
+        rows = spark.read.schema(schema).parquet(f"{path}/entries/{number}")
+        fresh, replay = (rows.where(F.col("part") == p).drop("part") for p in ("fresh", "replay"))
+        return fresh.withColumn("priority", priority(order)), replay, said["facts"]
+    raise FileNotFoundError(f"no whole snapshot under {path}")
+
+
+def priority(order: str):
+    """What the entries of a buffer are served by, before their order of arrival."""
+    return F.col("seq_no") if order == "fifo" else F.coalesce(F.col("min_version").cast("long"), F.lit(-1))
+
+
+def read_legacy_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Entries of JSON lines without ``seq_no``: their place over all files in order of name, by their offsets within a file.
+
+    Blocks of a file are numbered in parallel and then set one behind the other by their counts.
+    """
+    rows = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_in"))
+    placed = place_within(rows, [], F.struct("_file", "_start"), [F.col("_in")], "seq_no")
+    return placed.drop("_file", "_start", "_in")
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    return where(path).getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _names(spark: SparkSession, path: str) -> list[int]:
+    """The numbers that name entries of a folder."""
+    files, where = _files(spark, path)
+    if not files.exists(where(path)):
+        return []
+    return [int(n) for n in (s.getPath().getName() for s in files.listStatus(where(path))) if n.isdigit()]

@@ -28,7 +28,7 @@ def shrunk(raw, target, share):
     other = log_beta(target + share, raw - target + 1 - share) - log_beta(share, 1 - share)
     same = target * math.log(share) + (raw - target) * math.log(1 - share)
     sure = 1 / (1 + (1 - quality.TELLING) / quality.TELLING * math.exp(min(500, max(-500, same - other))))
-    return sure * math.log((target + share) / ((raw + 1) * share))
+    return round(sure * math.log((target + share) / ((raw + 1) * share)) * quality.STEPS) / quality.STEPS
 
 
 def brute(docs, labels, k=None, seed=29, temperature=quality.TEMPERATURE):
@@ -100,7 +100,7 @@ def corpus():
 
 
 def same(got, want):
-    """Kept ids, and their weights but for the models' single precision and the few features that share a bucket."""
+    """Kept ids, and their weights but for rounding and the few features that share a bucket."""
     key = lambda i: -1 if i is None else i
     got, want = sorted((key(i), w) for i, w in got), sorted((key(i), w) for i, w in want)
     assert [i for i, _ in got] == [i for i, _ in want]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm import words
 from tidewheel.llm.blocks import gaps, pack, unpack
-from tidewheel.llm.tables import aside, durable
+from tidewheel.llm.tables import aside, discard, durable
 
 #: Features are hashed into 2 ** BITS buckets, kept in SLICES equal parts.
 BITS, SLICES = 22, 64
@@ -26,6 +26,8 @@ _TAG = [np.uint64(x) for x in (0x1F0A, 0x2F0B, 0x3F0C, 0x4F0D)]
 FOLDS = 4
 #: Share of buckets that tell target from raw text, as believed before any count is seen.
 TELLING = 0.01
+#: Steps of 1 in which a model's ratios are kept, as 16-bit numbers.
+STEPS = 2048
 #: Bytes of text whose features are made at once.
 _SLICE = 1 << 20
 
@@ -116,12 +118,18 @@ def shrunk_ratios(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarr
     return sure * np.log((target + share) / ((raw + 1) * share))
 
 
-def cross_models(marked: DataFrame) -> list[tuple[int, bytes]]:
+def kept_ratios(ratios: np.ndarray) -> np.ndarray:
+    """Ratios in whole ``STEPS``, up to the bounds of 16 bits: what a driver and each worker hold of a model is half as large so."""
+    return np.clip(np.rint(ratios * STEPS), -32767, 32767).astype(np.int16)
+
+
+def cross_models(marked: DataFrame) -> list[tuple[int, bytearray]]:
     """Slices of ``FOLDS`` models of all hashed words and adjacent pairs, each of the rows outside one ``fold``.
 
-    ``marked`` has ``text``, boolean ``target`` and ``fold``. The models are FOLDS * 2 ** BITS numbers, whatever the input.
+    ``marked`` has ``text``, boolean ``target`` and ``fold``. The models are FOLDS * 2 ** BITS numbers of two bytes,
+    whatever the input, and come to the driver a slice at a time.
     """
-    table, _ = durable(_counts(marked))
+    table, counts_path = durable(_counts(marked))
     sums = table.agg(*[F.sum(F.col(n)[f]) for n in ("raw", "target") for f in range(FOLDS)]).first()
     sums = np.array([int(x or 0) for x in sums]).reshape(2, FOLDS)
     raw_all, target_all = sums.sum(1, keepdims=True) - sums
@@ -133,28 +141,31 @@ def cross_models(marked: DataFrame) -> list[tuple[int, bytes]]:
             for body in batch.column("body").to_pylist():
                 counts = np.array(unpack(body))
                 raw, target = counts[::2], counts[1::2]
-                bodies.append(pack(*(shrunk_ratios(r, t, p).astype(np.float32) for r, t, p in zip(raw.sum(0) - raw, target.sum(0) - target, shares, strict=True))))
+                bodies.append(pack(*(kept_ratios(shrunk_ratios(r, t, p)) for r, t, p in zip(raw.sum(0) - raw, target.sum(0) - target, shares, strict=True))))
             yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(bodies, pa.binary())], ["slice", "body"])
 
-    return [(r["slice"], bytes(r["body"])) for r in table.select("slice", "body").mapInArrow(run, "slice int, body binary").collect()]  # SLICES rows
+    made, path = durable(table.select("slice", "body").mapInArrow(run, "slice int, body binary"))
+    models = [(r["slice"], r["body"]) for r in made.toLocalIterator()]  # SLICES rows
+    discard(marked.sparkSession, path, counts_path)
+    return models
 
 
-def mean_ratios(docs: DataFrame, models: list[tuple[int, bytes]]) -> DataFrame:
+def mean_ratios(docs: DataFrame, models: list[tuple[int, bytearray]]) -> DataFrame:
     """``docs`` with ``mean_ratio``, of a text's distinct features in the model without its ``fold``, and their number."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "mean_ratio double, n_features long"])
     shared = docs.sparkSession.sparkContext.broadcast(models)
     width = (1 << BITS) // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros((FOLDS, 1 << BITS), np.float32)
+        dense = np.zeros((FOLDS, 1 << BITS), np.int16)
         for s, body in shared.value:
-            dense[:, s * width : (s + 1) * width] = unpack(body)
+            dense[:, s * width : (s + 1) * width] = unpack(bytes(body))
         for batch in batches:
             for part in words.slices(batch, "text", _SLICE):
                 row, bucket, rows = features(part.column("text"))
                 n = np.bincount(row, minlength=rows)
                 total = np.bincount(row, weights=dense[part.column("fold").to_numpy()[row], bucket], minlength=rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total / np.maximum(n, 1), pa.float64()), pa.array(n, pa.int64())], [*part.schema.names, "mean_ratio", "n_features"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total / STEPS / np.maximum(n, 1), pa.float64()), pa.array(n, pa.int64())], [*part.schema.names, "mean_ratio", "n_features"])
 
     return docs.mapInArrow(run, schema)
 

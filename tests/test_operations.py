@@ -162,3 +162,42 @@ def test_prices(spark):
     texts = ["$1,234.50", "$5 to $7.25 and $9", "", None, "no price", "10 $3"]
     got = [tuple(r) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(*catalogue.parse_price(F.col("t"))).collect()]
     assert got == [([1234.5], "$1234.5"), ([5.0, 7.25], "$5.0 to $7.25"), ([100.0], "$100.0"), ([100.0], "$100.0"), ([100.0], "$100.0"), ([3.0], "$3.0")]
+
+
+def test_percentiles_of_uneven_values(spark, monkeypatch):
+    """Nearly all values in one of the first bins, then in one of its bins, and many equal ones."""
+    import numpy as np
+
+    from tidewheel.functions import ranking
+
+    monkeypatch.setattr(ranking, "CLOSE", 20)
+    rng = np.random.default_rng(3)
+    groups = {"tail": np.concatenate([rng.random(900) * 1e-6, [1e9, -1e9]]), "same": np.full(300, 2.5), "two": np.array([1.0] * 200 + [2.0] * 200), "one": np.array([7.0]), "even": rng.random(500)}
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [("even", None)]
+    shares = {"p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["k"]: r for r in ranking.exact_percentiles(spark.createDataFrame(rows, "k string, v double").repartition(4), ["k"], "v", shares, bins=8).collect()}
+    for k, values in groups.items():
+        assert (got[k]["n"], got[k]["least"], got[k]["most"]) == (len(values), values.min(), values.max())
+        for name, s in shares.items():
+            assert got[k][name] == pytest.approx(np.quantile(values, s), abs=1e-12), (k, name)
+
+
+def test_weighted_draws(spark):
+    """Draws against the running sums of each key, with heavy, weightless and far apart items."""
+    import hashlib
+
+    rng = random.Random(5)
+    rows = [("a", i * 7001, rng.choice([0, 1, 1, 2, 5000])) for i in range(500)] + [("b", 1, 3), ("c", 1, 0), ("d", 5, 1), ("d", 6, 1)]
+    got = {(r["k"], r["draw"]): r["item"] for r in catalogue.weighted_draws(spark.createDataFrame(rows, "k string, item long, w int"), ["k"], "item", "w", 60, 4).collect()}
+    want = {}
+    for k in "abd":
+        own = [(i, w) for q, i, w in rows if q == k]
+        for draw in range(1, 61):
+            at = int(hashlib.md5(f"4|{k}|{draw}".encode()).hexdigest()[:8], 16) / 2**32 * sum(w for _, w in own)
+            upto = 0
+            for i, w in own:
+                upto += w
+                if at < upto:
+                    want[k, draw] = i
+                    break
+    assert got == want

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.functions.lineage import cut
+from tidewheel.functions.sizes import broadcast_if_small
+
 
 def _with_bucket(rows: DataFrame, bucket: Column) -> DataFrame:
     return rows.withColumn("_bucket", bucket)
@@ -41,27 +44,39 @@ def greatest_before(rows: DataFrame, keys: list[str], bucket: Column, order: lis
     return ranked.alias("x").join(before.alias("y"), same).select("x.*", "y._before").withColumn(name, F.greatest("_before", "_own")).drop("_bucket", "_own", "_before")
 
 
+#: Values of a bin that may be looked at one by one, and how often bins are cut finer before that.
+CLOSE, LEVELS = 1 << 16, 6
+
+
 def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 1024) -> DataFrame:
     """``keys``, ``n``, ``least``, ``most`` and each share's percentile with linear interpolation; nulls don't count.
 
-    Values are counted in bins between the group's least and greatest first, and only the bins that hold a wanted
-    rank are looked at closer, as counts of their distinct values. So no task holds a group's values.
+    Each wanted rank is looked for in a range, at first its group's. Counts of equal parts of the range tell in which
+    part it lies, and that part is the next range, until it holds few values or a single one, however uneven the
+    values are; only then are the counts of its distinct values put in order. A group without values isn't told of.
     """
     known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     facts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"))
-    joined = known.join(F.broadcast(facts), keys) if keys else known.join(F.broadcast(facts))  # facts: a row for each of few groups
-    bin_ = F.when(F.col("most") > F.col("least"), F.least(F.floor((F.col("_v") - F.col("least")) / (F.col("most") - F.col("least")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
-    binned = joined.select(*keys, "_v", bin_.alias("_bin"))
-    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    ends = counts.withColumn("_to", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin"))).withColumn("_from", F.col("_to") - F.col("_n"))
-    wanted = facts.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("share"), ((F.col("n") - 1) * F.lit(float(s))).alias("at")) for k, s in shares.items()])).alias("w")).select(*keys, "w.*")
-    ranks = wanted.select(*keys, "share", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("_rank")).distinct()
-    hit = ends.join(F.broadcast(ranks), keys) if keys else ends.join(F.broadcast(ranks))  # two rows a share and group
-    hit = hit.where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    closer = binned.join(F.broadcast(hit.select(*keys, "_bin", "_from").distinct()), [*keys, "_bin"]).groupBy(*keys, "_bin", "_from", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    upto = closer.withColumn("_to", F.col("_from") + F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))).withColumn("_since", F.col("_to") - F.col("_n"))
-    found = upto.drop("_from").join(F.broadcast(hit.select(*keys, "_bin", "share", "at", "_rank")), [*keys, "_bin"]).where((F.col("_rank") >= F.col("_since")) & (F.col("_rank") < F.col("_to")))
+    facts = cut(facts)
+    wanted = facts.select(*keys, "n", "least", "most", F.explode(F.array(*[F.struct(F.lit(k).alias("_share"), ((F.col("n") - 1) * F.lit(float(s))).alias("_at")) for k, s in shares.items()])).alias("w"))
+    ranks = wanted.select(*keys, "w._share", "w._at", F.explode(F.array(F.floor("w._at"), F.ceil("w._at"))).alias("_rank"), F.col("least").alias("_lo"), F.col("most").alias("_hi"), F.lit(0).cast("long").alias("_before"), F.col("n").alias("_inside")).distinct()
+    one = [*keys, "_rank"]
+    ranges = ranks.select(*keys, "_rank", "_lo", "_hi", "_before", "_inside").distinct()
+    meets = lambda df: known.join(broadcast_if_small(df), keys) if keys else known.join(broadcast_if_small(df))
+    for _ in range(LEVELS):
+        wide = (F.col("_inside") > CLOSE) & (F.col("_hi") > F.col("_lo"))
+        if not ranges.where(wide).limit(1).count():
+            break
+        part = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("int")
+        inside = meets(ranges.where(wide)).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        counts = inside.groupBy(*one, "_before", part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*one).orderBy("_part"))
+        finer = counts.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n")).where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+        ranges = cut(ranges.where(~wide).unionByName(finer.select(*keys, "_rank", "_lo", "_hi", F.col("_from").alias("_before"), F.col("_n").alias("_inside"))))
+    closer = meets(ranges).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).groupBy(*one, "_before", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    upto = closer.withColumn("_to", F.col("_before") + F.sum("_n").over(Window.partitionBy(*one).orderBy("_v")))
+    found = upto.where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_n"))).select(*one, "_v")
     low, high = F.min("_v"), F.max("_v")
-    value_of = found.groupBy(*keys, "share", "at").agg((low + (high - low) * (F.col("at") - F.floor("at"))).alias("_p"))
-    wide = value_of.groupBy(*keys).agg(*[F.max(F.when(F.col("share") == k, F.col("_p"))).alias(k) for k in shares])
-    return facts.join(wide, keys) if keys else facts.join(F.broadcast(wide))  # wide: one row
+    value_of = ranks.select(*keys, "_share", "_at", "_rank").join(found, one).groupBy(*keys, "_share", "_at").agg((low + (high - low) * (F.col("_at") - F.floor("_at"))).alias("_p"))
+    wide_ = value_of.groupBy(*keys).agg(*[F.max(F.when(F.col("_share") == k, F.col("_p"))).alias(k) for k in shares])
+    return facts.join(wide_, keys) if keys else facts.join(F.broadcast(wide_))  # without keys: one row

@@ -52,12 +52,30 @@ def page_of(rows: DataFrame, keys: list[str], order: list[Column], page: int, si
     return rows.withColumn("rank", rank).where(F.col("rank").between((page - 1) * size + 1, page * size))
 
 
+#: Items that a slot of a key's weights has on average, and the width of the key ranges in which they are summed.
+SLOT_ITEMS, ITEM_RANGE = 64, 1 << 16
+
+
 def weighted_draws(rows: DataFrame, keys: list[str], item: str, weight: str, draws: int, seed: int) -> DataFrame:
-    """``draws`` items of each key with probability in proportion to weight: draws meet running sums in an as-of window."""
-    w = Window.partitionBy(*keys)
-    upto = rows.withColumn("_to", F.sum(weight).over(w.orderBy(item))).withColumn("_all", F.sum(weight).over(w)).withColumn("_from", F.col("_to") - F.col(weight))
-    keyed = rows.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("_u", hash_uniform(seed, *[F.col(k) for k in keys], F.col("draw")))
-    return keyed.join(upto, keys).where((F.col("_u") * F.col("_all") >= F.col("_from")) & (F.col("_u") * F.col("_all") < F.col("_to"))).select(*keys, "draw", item)
+    """``draws`` items (whole numbers) of each key with probability in proportion to weight, which is 0 or more.
+
+    An item has a stretch of its key's summed weights, by the sums of the ranges before its own and the running sum
+    within it; a key's whole length is cut into slots of ``SLOT_ITEMS`` items on average. A draw is a point, which
+    meets the stretches of its slot only. A key without weight gives nothing.
+    """
+    ranged = rows.select(*keys, item, F.col(weight).cast("double").alias("_w"), F.floor(F.col(item) / ITEM_RANGE).alias("_r"))
+    sums = ranged.groupBy(*keys, "_r").agg(F.sum("_w").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)
+    before = F.sum("_sum").over(group.orderBy("_r")) - F.col("_sum")
+    ahead = sums.select(*keys, "_r", before.alias("_before"), F.sum("_sum").over(group).alias("_all"), F.ceil(F.sum("_n").over(group) / SLOT_ITEMS).alias("_slots")).where("_all > 0")
+    own = F.sum("_w").over(Window.partitionBy(*keys, "_r").orderBy(item))
+    placed = ranged.withColumn("_own", own).join(ahead, [*keys, "_r"]).withColumn("_to", F.col("_before") + F.col("_own")).withColumn("_from", F.col("_to") - F.col("_w"))
+    slot = lambda at: F.least(F.floor(at / F.col("_all") * F.col("_slots")), F.col("_slots") - 1)
+    stretches = placed.where("_w > 0").select(*keys, item, "_from", "_to", F.explode(F.sequence(slot(F.col("_from")), slot(F.col("_to")))).alias("_slot"))
+    drawn = ahead.select(*keys, "_all", "_slots").distinct().select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    points = drawn.withColumn("_at", hash_uniform(seed, *[F.col(k) for k in keys], F.col("draw")) * F.col("_all"))
+    points = points.select(*keys, "draw", "_at", slot(F.col("_at")).alias("_slot"))
+    return points.join(stretches, [*keys, "_slot"]).where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).select(*keys, "draw", item)
 
 
 def parse_price(text: Column) -> list[Column]:

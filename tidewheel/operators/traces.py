@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.ranking import exact_percentiles, greatest_before, place_within
+from tidewheel.functions.sizes import broadcast_if_small
 
 
 #: Seconds of the buckets in which a rank's times are put in order.
@@ -48,7 +49,7 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float])
 def anomalies(rows: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:
     """``rows`` with ``anomaly``: whether the value is over its group's percentile; null values aren't."""
     limit = exact_percentiles(rows, keys, value, {"_limit": share}).select(*keys, "_limit")
-    return rows.join(F.broadcast(limit), keys, "left").withColumn("anomaly", F.coalesce(F.col(value) > F.col("_limit"), F.lit(False))).drop("_limit")  # limit: a row for each of few groups
+    return rows.join(broadcast_if_small(limit), keys, "left").withColumn("anomaly", F.coalesce(F.col(value) > F.col("_limit"), F.lit(False))).drop("_limit")
 
 
 def histogram(rows: DataFrame, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.operators import balance, benchmarks, catalogue, intervals, traces
+from tidewheel.operators import balance, benchmarks, catalogue, graph, intervals, traces
 from tidewheel.sources import files
 
 
@@ -201,3 +201,11 @@ def test_weighted_draws(spark):
                     want[k, draw] = i
                     break
     assert got == want
+
+
+def test_sets_of_one_type(spark):
+    a, b, c = (spark.createDataFrame([(x,) for x in xs], "s string") for xs in (["C1", "C2"], ["C2", "C3"], ["N1"]))
+    kind = lambda s: F.substring(s, 1, 1)
+    assert [r["s"] for r in graph.one_type(a.intersect(b), a, b, kind=kind).collect()] == ["C2"]
+    with pytest.raises(Exception, match="more than one type"):
+        graph.one_type(a.union(c), a, c, kind=kind).collect()

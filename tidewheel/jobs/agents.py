@@ -54,11 +54,6 @@ def goal_split(spark, d):
     return table(spark, d, "part").groupBy(F.when(k < 500, "test").when(k < 1500, "eval").otherwise("train").alias("split")).agg(F.count(F.lit(1)).alias("goals"), F.min("p_partkey").alias("first"))
 
 
-def sample_negatives(spark, d):
-    c = table(spark, d, "part").select("p_brand", "p_partkey", "p_size")
-    return datasets.sample_negatives(c, "p_brand", F.col("p_size") > 45, "p_partkey", 5, 3).select("p_brand", "p_partkey", "positive")
-
-
 def shrink_action_space(spark, d):
     """More than 20 candidates: the first 6, 10 drawn and the chosen one, in order, and the chosen one's new index."""
     a = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("all"), F.max("l_partkey").alias("chosen"))
@@ -225,7 +220,7 @@ def token_f1_cjk(spark, d):
     return x.select("doc_id", F.round(scoring.token_f1_cjk(F.col("text"), F.col("gold")), 6).alias("f1"))
 
 
-QUERIES = {f.__name__: f for f in (clean_boxed_answer, first_nonblank_field, truncate_dataset, validate_test_rows, normalize_tests, prepare_eval_split, goal_split, sample_negatives, shrink_action_space, expand_goals, reject_incomplete_group, trajectory_reward_gate, agent_metric_means, batch_length_stats, benchmark_overall, selector_metrics, recursive_agent_stats, recall_at_k, direct_gen_accuracy, previous_actions, candidate_score_join, metadata_two_key_lookup, product_attribute_join, answer_set_compare, dedup_tasks, parse_llm_json, judge_verdict, checklist_score, parse_action, normalize_color, price_draw, pad_pack, build_sequence, token_f1_cjk)}
+QUERIES = {f.__name__: f for f in (clean_boxed_answer, first_nonblank_field, truncate_dataset, validate_test_rows, normalize_tests, prepare_eval_split, goal_split, shrink_action_space, expand_goals, reject_incomplete_group, trajectory_reward_gate, agent_metric_means, batch_length_stats, benchmark_overall, selector_metrics, recursive_agent_stats, recall_at_k, direct_gen_accuracy, previous_actions, candidate_score_join, metadata_two_key_lookup, product_attribute_join, answer_set_compare, dedup_tasks, parse_llm_json, judge_verdict, checklist_score, parse_action, normalize_color, price_draw, pad_pack, build_sequence, token_f1_cjk)}
 
 
 def _chars(x: str) -> str:
@@ -244,7 +239,6 @@ ORACLES = {
     "normalize_tests": f"WITH {_CASES} SELECT l_orderkey, n::INT AS inputs, greatest FROM t WHERE len(list_distinct(kinds)) = 1 AND kinds[1] = 'stdin'",
     "prepare_eval_split": f"SELECT lang, doc_id, least((row_number() OVER (PARTITION BY lang ORDER BY {_H(1, 'doc_id')}, doc_id) - 1) // greatest(count(*) OVER (PARTITION BY lang) // 4, 1), 3)::INT AS part FROM documents",
     "goal_split": "SELECT CASE WHEN p_partkey < 500 THEN 'test' WHEN p_partkey < 1500 THEN 'eval' ELSE 'train' END AS split, count(*) AS goals, min(p_partkey) AS first FROM part GROUP BY 1",
-    "sample_negatives": "WITH r AS (SELECT p_brand, p_partkey, p_size > 45 AS pos, row_number() OVER (PARTITION BY p_brand, p_size > 45 ORDER BY " + hash_uniform_sql("'3'", "p_brand", "p_partkey::VARCHAR") + ", p_partkey) AS rn, max((p_size > 45)::INT) OVER (PARTITION BY p_brand) AS has FROM part) SELECT p_brand, p_partkey, pos AS positive FROM r WHERE (pos AND rn = 1) OR (NOT pos AND rn <= CASE WHEN has = 1 THEN 4 ELSE 5 END)",
     "shrink_action_space": "WITH s AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), a AS (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS i, row_number() OVER (PARTITION BY l_suppkey ORDER BY md5('7|' || l_partkey), l_partkey) AS h, count(*) OVER (PARTITION BY l_suppkey) AS n, max(l_partkey) OVER (PARTITION BY l_suppkey) AS chosen FROM s), k AS (SELECT l_suppkey, l_partkey, chosen FROM a WHERE n <= 20 OR i <= 6 OR h <= 10 OR l_partkey = chosen) SELECT l_suppkey, count(*)::INT AS n, count(*)::INT AS label, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS kept FROM k GROUP BY 1",
     "expand_goals": "WITH g AS (SELECT p_partkey, unnest(w) AS word, size FROM (SELECT p_partkey, string_split(p_name, ' ') AS w, unnest([p_size, p_size + 1]) AS size FROM part)), h AS (SELECT word, count(DISTINCT p_partkey) AS have FROM g GROUP BY 1) SELECT p_partkey, word, size, round(1 / have, 6) AS weight FROM g JOIN h USING (word)",
     "reject_incomplete_group": f"{R} SELECT group_id, seq_no FROM rollouts WHERE group_id NOT IN (SELECT group_id FROM rollouts WHERE seq_len >= 49)",

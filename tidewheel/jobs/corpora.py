@@ -140,12 +140,13 @@ def kg_argmax(spark, d):
 def kg_intersect(spark, d):
     t = triples(spark, d)
     done, pending = (graph.reach(t.where(f"p = 'status' AND o = '{x}'").select("s"), t, "placed_by") for x in ("F", "P"))
-    return done.intersect(pending)
+    return graph.one_type(done.intersect(pending), done, pending, kind=lambda s: F.substring(s, 1, 1))
 
 
 def kg_union(spark, d):
     t = triples(spark, d)
-    return graph.sources_of(spark.createDataFrame([("N1",)], "s string"), t, "in_nation").union(graph.sources_of(spark.createDataFrame([("N2",)], "s string"), t, "in_nation")).distinct()
+    first, second = (graph.sources_of(spark.createDataFrame([(n,)], "s string"), t, "in_nation") for n in ("N1", "N2"))
+    return graph.one_type(first.union(second).distinct(), first, second, kind=lambda s: F.substring(s, 1, 1))
 
 
 def base_items(spark, d):

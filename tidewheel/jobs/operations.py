@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewheel.operators import balance, intervals, traces
-from tidewheel.sources.adapters import table
+from tidewheel.functions.hashing import hash_uniform_sql
+from tidewheel.operators import balance, datasets, intervals, selection, traces
+from tidewheel.sources.adapters import rollouts, table, with_views
 
 PAIR = ["agent", "task"]
 WINDOW = ["agent", "window"]
@@ -93,7 +94,20 @@ def flow_id_remap(spark, d):
     return traces.flow_ids(_trace_ids(spark, d), "flow", "correlation").select("event_id", "new_flow", "new_correlation")
 
 
-QUERIES = {f.__name__: f for f in (remaining_ranges, unexpected_runs, balance_report, balance_layout, balance_apportion, id_remap, flow_id_remap)}
+def replay_by_index(spark, d):
+    """Entries at stated places of the store, some of them out of range."""
+    asked = table(spark, d, "part").select((F.col("p_partkey") * 31 - 100).alias("index"))
+    return selection.replay_at(rollouts(spark, d), asked, width=1 << 44).select("index", "seq_no")
+
+
+def sample_negatives(spark, d):
+    """Parts in samples of 50 with some right ones, and their ranks."""
+    k = F.col("p_partkey")
+    c = table(spark, d, "part").select(F.floor(k / 50).cast("long").alias("sample"), "p_partkey", (k * 7 % 50).alias("rank"), ((F.col("p_size") > 47) & (F.floor(k / 50) % 5 > 0)).alias("right"))
+    return datasets.sample_candidates(c, "sample", F.col("right"), "p_partkey", "rank", k=5, top=10, seed=3).select("sample", "p_partkey", "positive")
+
+
+QUERIES = {f.__name__: f for f in (remaining_ranges, unexpected_runs, balance_report, balance_layout, balance_apportion, id_remap, flow_id_remap, replay_by_index, sample_negatives)}
 
 # the SQL lists every index of every range, and puts neighbours together again
 _RUNS = """a AS (SELECT DISTINCT c_custkey % 40 AS agent, 't' || c_custkey % 5 AS task, unnest(range((c_custkey * 7919) % 100000, (c_custkey * 7919) % 100000 + c_custkey % 3000)) AS i FROM customer),
@@ -128,4 +142,9 @@ z AS (SELECT *, row_number() OVER (PARTITION BY agent, "window" ORDER BY rest DE
 SELECT event_id, new_pid::INT AS new_pid, new_tid::INT AS new_tid FROM events LEFT JOIN p USING (event_id) LEFT JOIN t USING (event_id)""",
     "flow_id_remap": f"""WITH {_E}, k AS (SELECT rk, rn, flow AS v FROM e WHERE NOT norank AND flow IS NOT NULL UNION SELECT rk, rn, cor FROM e WHERE NOT norank AND cor.n IS NOT NULL), n AS (SELECT *, row_number() OVER (ORDER BY rk, rn, v.k, v.n, v.t)::INT AS id FROM k)
 SELECT e.event_id, a.id AS new_flow, b.id AS new_correlation FROM e LEFT JOIN n a ON NOT norank AND a.rk = e.rk AND a.rn IS NOT DISTINCT FROM e.rn AND a.v = e.flow LEFT JOIN n b ON NOT norank AND b.rk = e.rk AND b.rn IS NOT DISTINCT FROM e.rn AND b.v = e.cor""",
+    "replay_by_index": f"{with_views('rollouts')}, p AS (SELECT seq_no, row_number() OVER (ORDER BY seq_no) - 1 AS place FROM rollouts) SELECT p_partkey * 31 - 100 AS \"index\", seq_no FROM part JOIN p ON place = p_partkey * 31 - 100",
+    "sample_negatives": f"""WITH c AS (SELECT p_partkey // 50 AS sample, p_partkey, (p_partkey * 7) % 50 < 10 AS top, p_size > 47 AND (p_partkey // 50) % 5 > 0 AS pos FROM part),
+f AS (SELECT sample, bool_or(pos) AS has, bool_or(NOT pos AND top) AS near_any, bool_or(NOT pos AND NOT top) AS rest, {hash_uniform_sql("'3'", "'pool'", "sample::VARCHAR")} < 0.8 AS a, {hash_uniform_sql("'3'", "'right'", "sample::VARCHAR")} > 0.2 AS b FROM c GROUP BY 1),
+g AS (SELECT *, a AND near_any AS near, has AND (b OR NOT CASE WHEN a AND near_any THEN near_any ELSE rest END) AS ok FROM f), u AS (SELECT c.*, ok FROM c JOIN g USING (sample) WHERE (pos AND ok) OR (NOT pos AND top = near)),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample, pos ORDER BY {hash_uniform_sql("'3'", "sample::VARCHAR", "p_partkey::VARCHAR")}, p_partkey) AS n FROM u) SELECT sample, p_partkey, pos AS positive FROM r WHERE n <= CASE WHEN pos THEN 1 WHEN ok THEN 4 ELSE 5 END""",
 }

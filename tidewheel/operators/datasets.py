@@ -63,13 +63,22 @@ def truncate_each(rows: DataFrame, keys: list[str], order: list[str], most: int)
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
 
 
-def sample_negatives(candidates: DataFrame, sample: str, positive: Column, item: str, k: int, seed: int) -> DataFrame:
-    """One positive and k - 1 negatives of each sample (k negatives where there is no positive), by hash order."""
-    draw = hash_uniform(seed, F.col(sample), F.col(item))
-    ranked = candidates.withColumn("_pos", positive).withColumn("_r", F.row_number().over(Window.partitionBy(sample, "_pos").orderBy(draw, item)))
-    has = F.max("_pos").over(Window.partitionBy(sample))
-    kept = ranked.withColumn("_has", has).where((F.col("_pos") & (F.col("_r") == 1)) | (~F.col("_pos") & (F.col("_r") <= F.when(F.col("_has"), k - 1).otherwise(k))))
-    return kept.withColumn("positive", F.col("_pos")).drop("_pos", "_r", "_has")
+def sample_candidates(candidates: DataFrame, sample: str, positive: Column, item: str, rank: str, *, k: int, top: int, top_share: float = 0.8, negative_share: float = 0.2, seed: int = 0) -> DataFrame:
+    """``k`` candidates of each sample with ``positive``: one right one and k - 1 others, or k others and no right one.
+
+    In ``top_share`` of the samples that have any, the others are drawn from the negatives ranked below ``top``, else
+    from the rest. A sample goes without a right one in ``negative_share`` of the cases, and where it has none; one
+    whose others are missing keeps it. All draws are by hash.
+    """
+    u = lambda what: hash_uniform(seed, what, F.col(sample))
+    marked = candidates.withColumns({"_pos": F.coalesce(positive, F.lit(False)), "_top": F.col(rank) < top})
+    facts = marked.groupBy(sample).agg(F.max("_pos").alias("_has"), F.coalesce(F.max(~F.col("_pos") & F.col("_top")), F.lit(False)).alias("_some"), F.coalesce(F.max(~F.col("_pos") & ~F.col("_top")), F.lit(False)).alias("_rest"))
+    facts = facts.withColumn("_near", (u("pool") < top_share) & F.col("_some"))
+    facts = facts.withColumn("_right", F.col("_has") & ((u("right") > negative_share) | ~F.when(F.col("_near"), F.col("_some")).otherwise(F.col("_rest"))))
+    usable = marked.join(facts, sample).where((F.col("_pos") & F.col("_right")) | (~F.col("_pos") & (F.col("_top") == F.col("_near"))))
+    place = F.row_number().over(Window.partitionBy(sample, "_pos").orderBy(hash_uniform(seed, F.col(sample), F.col(item)), item))
+    most = F.when(F.col("_pos"), 1).otherwise(F.when(F.col("_right"), k - 1).otherwise(k))
+    return usable.withColumn("_r", place).where(F.col("_r") <= most).withColumn("positive", F.col("_pos")).drop("_pos", "_top", "_has", "_some", "_rest", "_near", "_right", "_r")
 
 
 def expand_options(rows: DataFrame, options: list[str]) -> DataFrame:

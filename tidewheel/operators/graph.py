@@ -13,6 +13,16 @@ def reach(entities: DataFrame, triples: DataFrame, relation: str) -> DataFrame:
     return triples.where(F.col("p") == relation).join(entities.select("s").distinct(), "s", "left_semi").select(F.col("o").alias("s")).distinct()
 
 
+def one_type(result: DataFrame, *sets: DataFrame, kind) -> DataFrame:
+    """``result`` of sets of entities (``s``), or an error where those are of more than one type, as ``kind`` of an entity tells."""
+    every = sets[0].select("s")
+    for other in sets[1:]:
+        every = every.unionByName(other.select("s"))
+    kinds = every.agg(F.count_distinct(kind(F.col("s"))).alias("_kinds"))  # one row
+    wrong = F.raise_error(F.lit("the sets have entities of more than one type")).cast("boolean")
+    return result.join(F.broadcast(kinds)).where(F.when(F.col("_kinds") > 1, wrong).otherwise(F.lit(True))).drop("_kinds")
+
+
 def sources_of(objects: DataFrame, triples: DataFrame, relation: str) -> DataFrame:
     return triples.where(F.col("p") == relation).join(objects.select(F.col("s").alias("o")).distinct(), "o", "left_semi").select("s").distinct()
 

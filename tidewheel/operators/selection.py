@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.functions.ranking import place_within
+
 
 def fresh(current: int, max_staleness: int, version: str = "min_version") -> Column:
     """Rows without a version always pass."""
@@ -46,6 +48,12 @@ def replay_latest(store: DataFrame, n: int, order: str = "seq_no") -> DataFrame:
     return store.orderBy(F.col(order).desc()).limit(n)
 
 
+def replay_at(store: DataFrame, asked: DataFrame, index: str = "index", order: str = "seq_no", width: int = 1 << 32) -> DataFrame:
+    """Entries of the replay store at the asked places (from 0, by whole-numbered ``order``), each as often as asked for; places out of range give none."""
+    placed = place_within(store, [], F.floor(F.col(order) / width), [F.col(order)], "_place")
+    return asked.join(placed, F.col(index) == F.col("_place")).drop("_place")
+
+
 def mix_batch(buffer: DataFrame, store: DataFrame, n: int, ratio: float, *, current: int, max_staleness: int) -> DataFrame:
     """Replay (at most ``int(n * ratio)``) is read before fresh rows are taken; ``part`` tells them apart."""
     replay = replay_latest(store, int(n * ratio)).withColumn("part", F.lit("replay"))

@@ -160,6 +160,10 @@ _M2PO = f"""{R}, g AS (SELECT *, (logprob_gap - 0.5) * (1 + batch % 5) AS gap FR
     m AS (SELECT batch, CASE WHEN advantage * gap > 0 AND batch % 7 <> 0 AND seq_len > 30 THEN gap * gap END AS m2 FROM g),
     c AS (SELECT batch, m2, sum(m2) OVER w / nullif(count(m2) OVER w, 0) AS upto FROM m WINDOW w AS (PARTITION BY batch ORDER BY m2 NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 ORACLES = {
+    # the recursion in closed form: a token's delta counts in all advantages up to its own, by falling powers of gamma times lambda
+    "gae_advantages": f"""{T}, t AS (SELECT conv_id, len(loss_mask) AS n, unnest(loss_mask) AS m, unnest(logprobs) / 2 AS v, unnest(range(1, len(loss_mask) + 1)) AS i FROM token_rows), o AS (SELECT *, CASE WHEN i = n THEN 1.0::DOUBLE ELSE -0.01::DOUBLE END AS r FROM t WHERE m = 1),
+    k AS (SELECT conv_id, r + 0.99::DOUBLE * coalesce(lead(v) OVER w, 0) - v AS d, row_number() OVER w AS j FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY i)), s AS (SELECT conv_id, sum(d * (1 - pow(0.99::DOUBLE * 0.95, j)) / (1 - 0.99::DOUBLE * 0.95)) AS total FROM k GROUP BY 1)
+    SELECT conv_id, round(coalesce(total, 0), 5) AS total, len(loss_mask)::INT AS n FROM token_rows LEFT JOIN s USING (conv_id)""",
     "normalize_answer": f"SELECT doc_id, length({_norm('text')})::INT AS n, md5({_norm('text')}) AS normalized FROM documents",
     "strip_cot_suffix": f"SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '\\s+$', '') WHEN doc_id % 3 = 1 THEN regexp_replace(text, '\\s+$', '') ELSE '{_ASK}' || text END) AS stripped FROM documents",
     "exact_sub_match": f"WITH {_A}, n AS (SELECT doc_id, {_norm('text')} AS t, {_norm('gold')} AS g, {_norm("regexp_extract(gold, '(\\S+)\\s*$', 1)")} AS w FROM a) SELECT doc_id, (t = g OR t = w)::INT AS em, (contains(t, g) OR contains(t, w))::INT AS sub FROM n",

@@ -87,6 +87,11 @@ def _kind(own: str, since: int) -> str:
 
 
 ORACLES = {
+    "compute_advantages": f"""{T}, t AS (SELECT conv_id, len(loss_mask) AS n, unnest(loss_mask) AS m0, unnest(logprobs) AS lp, unnest(range(0, len(loss_mask))) AS i FROM token_rows),
+    h AS (SELECT *, lp / 2 AS v, coalesce(lead(m0) OVER w, 0) AS m, coalesce(lead(lp) OVER w, 0) AS nx FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY i)), g AS (SELECT *, -0.1::DOUBLE * greatest(-10, least(10, (nx - nx * 1.25::DOUBLE) * m)) AS kl FROM h),
+    r AS (SELECT *, CASE WHEN i = n - 1 THEN 0 ELSE kl END + CASE WHEN i = greatest(n - 2, 0) THEN conv_id % 3 ELSE 0 END AS tot FROM g), o AS (SELECT conv_id, tot + 0.99::DOUBLE * coalesce(lead(v) OVER w, 0) - v AS d, row_number() OVER w AS j FROM r WHERE m = 1 WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+    a AS (SELECT conv_id, sum(d * (1 - pow(0.99::DOUBLE * 0.95, j)) / (1 - 0.99::DOUBLE * 0.95)) AS adv FROM o GROUP BY 1), s AS (SELECT conv_id, sum(kl) AS kl, sum(tot) AS tot, sum(v) AS v FROM r GROUP BY 1)
+    SELECT conv_id, round(coalesce(kl, 0), 5) AS kl_rewards, round(coalesce(tot, 0), 5) AS tot_rewards, round(coalesce(adv, 0), 5) AS advantages, round(coalesce(adv, 0) + coalesce(v, 0), 5) AS returns FROM token_rows LEFT JOIN s USING (conv_id) LEFT JOIN a USING (conv_id)""",
     "merge_prefix_turns": f"WITH {_TURNS}, s AS ({_kind('own AND turn % 5 <> 4', 0)} UNION ALL {_kind('own AND turn % 5 = 4', 1)}) SELECT conv_id, array_to_string(ids, ',') AS input_ids, array_to_string(mask, ',') AS loss_mask, array_to_string(versions, ',') AS versions, round(coalesce(-list_sum(list_transform(list_zip(ids, mask), lambda x: x[1] * x[2])) / 100.0::DOUBLE, 0.0), 6) AS logprob FROM s",
     "pad_sequences": f"{T}, p AS (SELECT conv_id // 8 AS batch, conv_id, input_ids, versions, range(max(len(input_ids)) OVER (PARTITION BY conv_id // 8) - len(input_ids)) AS more FROM token_rows) SELECT batch, conv_id, array_to_string(input_ids || list_transform(more, lambda x: 0), ',') AS input_ids, array_to_string(versions || list_transform(more, lambda x: -1), ',') AS versions, array_to_string(list_transform(input_ids, lambda x: 1) || list_transform(more, lambda x: 0), ',') AS attention_mask FROM p",
     "pack_sequences": f"{T}, e AS (SELECT conv_id // 8 AS batch, conv_id, input_ids, loss_mask, sum(len(input_ids)) OVER (PARTITION BY conv_id // 8 ORDER BY conv_id)::BIGINT AS upto FROM token_rows) SELECT batch, '0,' || string_agg(upto::VARCHAR, ',' ORDER BY conv_id) AS cu_seqlens, array_to_string(flatten(list(input_ids ORDER BY conv_id)), ',') AS input_ids, array_to_string(flatten(list(loss_mask ORDER BY conv_id)), ',') AS loss_mask FROM e GROUP BY 1",

@@ -9,9 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it has been read and holds no more rows, and no more bytes as JSON, than this.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 << 20
+from tidewheel.functions.sizes import broadcast_if_small
+
+__all__ = ["aside", "broadcast_if_small", "discard", "durable", "shared_folder", "whole_text"]
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -49,16 +50,6 @@ def discard(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint when it has at most ``rows`` rows of at most ``size`` bytes as JSON in all; else as it is, for a shuffled join.
-
-    No more than ``rows + 1`` rows are read for that.
-    """
-    length = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("bytes")).first()
-    return F.broadcast(df) if found["n"] <= rows and found["bytes"] <= size else df
-
-
 def aside(df: DataFrame, names: set[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``df`` with its columns of ``names`` out of the way of an operator's own, and what names them back afterwards."""
     moved = {c: f"{c}_{uuid.uuid4().hex}" for c in df.columns if c in names}

@@ -152,8 +152,9 @@ def test_steps_and_prices(spark):
     s = spark.createDataFrame([(i, i, i % 2, float(i), "accepted") for i in range(9)], "session_id long, task_id long, rank int, finalized_ts double, status string")
     b = traces.step_boundaries(s, 2)
     assert [(r["step"], r["step_end"]) for r in b.orderBy("step").collect()] == [(0, 3.0), (1, 7.0)]
-    got = {r["session_id"]: r["step"] for r in traces.assign_steps(s, b, 2.0).collect()}
-    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 1, 7: 1, 8: None}
+    for slot in (2.0, None):
+        got = {r["session_id"]: r["step"] for r in traces.assign_steps(s, b, slot).collect()}
+        assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 1, 7: 1, 8: None}
     p = spark.createDataFrame([("$1,234.50 - $2",), ("",), ("free",)], "t string").select(catalogue.parse_price(F.col("t"))[0].alias("p")).collect()
     assert [r["p"] for r in p] == [[1234.5, 2.0], [100.0], [100.0]]
 

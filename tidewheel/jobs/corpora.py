@@ -58,7 +58,7 @@ def step_boundaries(spark, d):
 
 def step_interval_assign(spark, d):
     s = sessions(spark, d)
-    return traces.assign_steps(s, traces.step_boundaries(s, 50), 86_400.0).groupBy(F.coalesce("step", F.lit(-1)).alias("step")).agg(F.count(F.lit(1)).alias("sessions"))
+    return traces.assign_steps(s, traces.step_boundaries(s, 50)).groupBy(F.coalesce("step", F.lit(-1)).alias("step")).agg(F.count(F.lit(1)).alias("sessions"))
 
 
 def latency_quantiles(spark, d):

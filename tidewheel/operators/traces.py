@@ -23,13 +23,20 @@ def step_boundaries(sessions: DataFrame, tasks_per_step: int) -> DataFrame:
     return whole.join(F.broadcast(ranks), F.col("have") == F.col("ranks")).select("step", "step_end")  # ranks: one row
 
 
-def assign_steps(sessions: DataFrame, boundaries: DataFrame, slot: float) -> DataFrame:
+#: Sessions of a slot, on average.
+SLOT_ROWS = 1 << 16
+
+
+def assign_steps(sessions: DataFrame, boundaries: DataFrame, slot: float | None = None) -> DataFrame:
     """Each session's first step that ends at or after it; null after the last.
 
-    An as-of join by slots of ``slot`` seconds: in a slot, sessions and step ends are sorted together once, and each
+    An as-of join by slots of ``slot`` seconds, or of ``SLOT_ROWS`` sessions on average, however dense they are: in a slot, sessions and step ends are sorted together once, and each
     session takes the next end behind it. One behind its slot's last end takes the first of the next slot that has
     any; for that, the distinct slots alone are put in order, a row each.
     """
+    if slot is None:
+        n, first, last = sessions.agg(F.count(F.lit(1)), F.min("finalized_ts"), F.max("finalized_ts")).first()
+        slot = max(((last or 0.0) - (first or 0.0)) / max(1, n // SLOT_ROWS), 1e-3)
     b = boundaries.select(F.floor(F.col("step_end") / slot).cast("long").alias("slot"), F.col("step_end").alias("_at"), F.col("step").alias("_step"))
     s = sessions.withColumn("slot", F.floor(F.col("finalized_ts") / slot).cast("long")).withColumn("_at", F.col("finalized_ts"))
     both = s.withColumn("_step", F.lit(None).cast("long")).unionByName(b.withColumn("_end", F.lit(True)), allowMissingColumns=True)

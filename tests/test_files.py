@@ -38,6 +38,15 @@ def test_snapshot_round_trip(spark, tmp_path):
 
     fresh = spark.createDataFrame([(0, 9, 8), (1, 1, 8), (2, 5, 8)], "seq_no long, min_version int, seq_len int")
     files.write_snapshot(fresh, fresh.where("seq_no = 1"), f"{tmp_path}/s")
-    back, replay = files.restore_snapshot(spark, f"{tmp_path}/s")
+    back, replay, _ = files.restore_snapshot(spark, f"{tmp_path}/s")
     order = lambda policy: [r["seq_no"] for r in back.orderBy(*selection.arrival_order(policy)).collect()]
     assert order("fifo") == [0, 1, 2] and order("edf") == [1, 2, 0] and replay.count() == 1
+
+
+def test_lines_and_scoreboard(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x", 0.5), ("a", "y", None), ("b", "x", 0.25)], "agent string, task string, metric double")
+    assert files.write_lines(rows, f"{tmp_path}/lines") == 3
+    assert sorted(map(tuple, spark.read.schema("agent string, task string, metric double").json(f"{tmp_path}/lines").collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+    files.write_scoreboard(rows, f"{tmp_path}/board", "agent", "task", "metric", ["x", "y"])
+    assert [tuple(r) for r in spark.read.option("header", True).csv(f"{tmp_path}/board/matrix").collect()] == [("a", "0.5", None), ("b", "0.25", None)]
+    assert spark.read.json(f"{tmp_path}/board/long").count() == 3

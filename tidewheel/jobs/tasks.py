@@ -79,7 +79,13 @@ def convert_code_benchmark(spark, d):
     meta = F.when(called, F.concat(F.lit('{"func_name":"f'), F.col("l_orderkey").cast("string"), F.lit('"}'))).otherwise("{}")
     content = F.concat(F.lit(" problem "), F.col("l_orderkey").cast("string"), F.lit(" "))
     question = datasets.code_question(content, starter, "Solve it.", F.concat(F.lit("Start from "), starter), "Read standard input.")
-    return o.select(F.col("l_orderkey").cast("string").alias("query_id"), question.alias("question"), datasets.code_cases(part(1), part(0), meta).alias("input_output"))
+    made = o.select("l_orderkey", question.alias("question"), datasets.code_cases(part(1), part(0), meta).alias("input_output"))
+    known = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("difficulty"), F.col("o_orderstatus").alias("platform"))
+    numbered = datasets.numbered(made, "l_orderkey", "idx").join(known, "l_orderkey", "left")
+    key = F.col("l_orderkey").cast("string")
+    question_id = F.when(F.col("l_orderkey") % 7 > 0, key)
+    kept = [question_id.alias("question_id"), F.concat(F.lit("problem "), key).alias("question_title"), (F.col("l_orderkey") % 100).cast("string").alias("contest_id"), "platform", "difficulty"]
+    return numbered.select(F.coalesce(question_id, F.col("idx").cast("string")).alias("query_id"), "question", "input_output", F.col("idx").cast("long").alias("idx"), *kept)
 
 
 def _recipe_tables(spark, d):
@@ -129,8 +135,9 @@ ORACLES = {
     "goal_search_pairs": f"WITH g AS (SELECT {_BRAND} AS goal, p_partkey AS place, unnest([p_name, lower(p_brand)]) AS search FROM part) SELECT goal, search FROM g WHERE goal IN (SELECT goal FROM g GROUP BY 1 HAVING min(place) BETWEEN 20 AND 1499)",
     "product_lookup_modes": "WITH k AS (SELECT p_partkey AS item, unnest(['<c> ' || p_type, '<q> ' || p_name, '<a> ' || p_brand, '<a> size ' || p_size]) AS query_id FROM part UNION ALL SELECT p_partkey, '<r> ' FROM (SELECT p_partkey FROM part ORDER BY ('0x' || substr(md5('4|' || p_partkey), 1, 8))::BIGINT, p_partkey LIMIT 50)) SELECT query_id, count(*) AS n, min(item) AS first, max(item) AS last FROM k GROUP BY 1",
     "convert_code_benchmark": """WITH c AS (SELECT l_orderkey, list({'i': l_partkey::VARCHAR, 'o': l_suppkey::VARCHAR} ORDER BY l_linenumber % 2 DESC, l_linenumber, l_partkey::VARCHAR, l_suppkey::VARCHAR) AS c FROM lineitem GROUP BY 1)
-        SELECT l_orderkey::VARCHAR AS query_id, 'Solve it.' || chr(10) || chr(10) || '### Question:' || chr(10) || 'problem ' || l_orderkey || chr(10) || chr(10) || '### Format: ' || CASE WHEN l_orderkey % 4 = 0 THEN 'Start from def f(x):' ELSE 'Read standard input.' END || chr(10) || chr(10) || '### Answer: (use the provided format with backticks)' || repeat(chr(10), 3) AS question,
-        CASE WHEN l_orderkey % 4 = 0 THEN to_json({'inputs': list_transform(c, lambda x: x.i), 'outputs': list_transform(c, lambda x: x.o), 'fn_name': 'f' || l_orderkey})::VARCHAR ELSE to_json({'inputs': list_transform(c, lambda x: x.i || chr(10)), 'outputs': list_transform(c, lambda x: x.o || chr(10)), 'remote': false})::VARCHAR END AS input_output FROM c""",
+        SELECT CASE WHEN l_orderkey % 7 > 0 THEN l_orderkey ELSE row_number() OVER (ORDER BY l_orderkey) - 1 END::VARCHAR AS query_id, (row_number() OVER (ORDER BY l_orderkey) - 1)::BIGINT AS idx, CASE WHEN l_orderkey % 7 > 0 THEN l_orderkey END::VARCHAR AS question_id, 'problem ' || l_orderkey AS question_title, (l_orderkey % 100)::VARCHAR AS contest_id, o_orderstatus AS platform, o_orderpriority AS difficulty,
+        'Solve it.' || chr(10) || chr(10) || '### Question:' || chr(10) || 'problem ' || l_orderkey || chr(10) || chr(10) || '### Format: ' || CASE WHEN l_orderkey % 4 = 0 THEN 'Start from def f(x):' ELSE 'Read standard input.' END || chr(10) || chr(10) || '### Answer: (use the provided format with backticks)' || repeat(chr(10), 3) AS question,
+        CASE WHEN l_orderkey % 4 = 0 THEN to_json({'inputs': list_transform(c, lambda x: x.i), 'outputs': list_transform(c, lambda x: x.o), 'fn_name': 'f' || l_orderkey})::VARCHAR ELSE to_json({'inputs': list_transform(c, lambda x: x.i || chr(10)), 'outputs': list_transform(c, lambda x: x.o || chr(10)), 'remote': false})::VARCHAR END AS input_output FROM c LEFT JOIN orders ON o_orderkey = l_orderkey""",
     "base_materials": f"WITH RECURSIVE {_MAKE}, n AS (SELECT p_partkey AS target, p_partkey AS item, p_size::BIGINT AS need FROM part WHERE p_size > 45 UNION ALL SELECT n.target, i.part, ((need - n.item % 5 + n.item % 4) // (1 + n.item % 4) * uses)::BIGINT FROM n JOIN i ON i.item = n.item WHERE need > n.item % 5) SELECT target, item, sum(need - item % 5)::BIGINT AS needed FROM n WHERE need > item % 5 AND (item = 0 OR item % 3 = 0) GROUP BY 1, 2",
     "recipe_chain": f"WITH RECURSIVE {_MAKE}, n AS (SELECT p_partkey AS target, p_partkey AS item, 0 AS depth FROM part WHERE p_size > 45 AND p_partkey > 0 AND p_partkey % 3 <> 0 UNION ALL SELECT target, part, depth + 1 FROM n JOIN i USING (item) WHERE part > 0 AND part % 3 <> 0) SELECT target, count(*) AS recipes, max(depth) AS depth FROM n GROUP BY 1",
     "tag_satisfying_items": """WITH p AS (SELECT split_part(p_name, ' ', 1) AS w, p_partkey % 4 AS k, p_partkey % 2 AS odd FROM part), i AS (SELECT DISTINCT w || ['_planks', '_log', '_stem', '_wool'][k + 1] AS item FROM p), t AS (SELECT DISTINCT w, w || CASE odd WHEN 0 THEN '_logs' ELSE '_stems' END AS tag FROM p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -58,6 +58,19 @@ def write_results(samples: DataFrame, results: DataFrame, path: str) -> None:
     samples.join(results, ["task_id", "completion_id"], "left").write.mode("overwrite").json(path)
 
 
+def write_lines(rows: DataFrame, path: str) -> int:
+    """Rows as JSON lines, null fields kept; how many were written."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    return seen.get["n"]
+
+
+def write_scoreboard(rows: DataFrame, path: str, agent: str, task: str, metric: str, tasks: list[str]) -> None:
+    """Agents by ``tasks`` as CSV with a header under ``path``/matrix, and a row an agent and task as JSON lines under ``path``/long."""
+    rows.groupBy(agent).pivot(task, tasks).agg(F.first(metric)).orderBy(agent).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/matrix")  # a row an agent
+    rows.select(agent, task, metric).write.mode("overwrite").json(f"{path}/long")
+
+
 def write_snapshot(fresh: DataFrame, replay: DataFrame, path: str, *, facts: dict | None = None) -> int:
     """Fresh and replay entries under ``path`` as the next generation, with ``facts`` (counters, settings); its number.
 

@@ -61,5 +61,5 @@ def test_parts_of_answers(spark):
     assert of(lambda t: pages.python_code(t, markers=True), "<|im_start|>import os; print(os.getcwd())<|im_end|>", "plain text without any such word") == ["import os; print(os.getcwd())", None]
     assert of(pages.bracket_count, "[1] [2.5] [x]", "none") == ["2.5", ""]
     assert of(pages.bracket_or_number, "[a] [b c]", "1,234 and -5.5", "none", "[] 7") == ["b c", "-5.5", "", "7"]
-    got = of(lambda t: pages.seconds_before(t, F.lit(1e6)), "12.5", "1970-01-02", "1970-01-01 00:00:10", "1970-02", "1.5d", "2h", "ago 3 m", "4s", "5y", "soon")
+    got = of(lambda t: pages.seconds_before(t, F.lit(1e6)), "12.5", "1970-01-02", "1970-01-01 00:00:10", "1970-02", "1.5d", "2h", "3 m ago", "4s", "5y", "soon")
     assert got == pytest.approx([12.5, 86400, 10, 31 * 86400, 1e6 - 129600, 1e6 - 7200, 1e6 - 180, 1e6 - 4, None, None])

@@ -122,3 +122,8 @@ def test_log_mel_by_the_definition():
             weight = np.clip(np.minimum((hz - low) / (middle - low), (high - hz) / (high - middle)), 0, None)
             assert mel[f, m] == pytest.approx(np.log(spectrum @ weight + 1e-6), abs=1e-3)
         assert energy[f] == pytest.approx(10 * np.log10(np.mean(part**2) + 1e-9), abs=1e-3)
+
+
+def test_query_over_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert media.op2_media_features(spark, str(tmp_path)).count() == 0

@@ -40,11 +40,12 @@ def assign_steps(sessions: DataFrame, boundaries: DataFrame, slot: float | None
     b = boundaries.select(F.floor(F.col("step_end") / slot).cast("long").alias("slot"), F.col("step_end").alias("_at"), F.col("step").alias("_step"))
     s = sessions.withColumn("slot", F.floor(F.col("finalized_ts") / slot).cast("long")).withColumn("_at", F.col("finalized_ts"))
     both = s.withColumn("_step", F.lit(None).cast("long")).unionByName(b.withColumn("_end", F.lit(True)), allowMissingColumns=True)
-    behind = Window.partitionBy("slot").orderBy("_at", F.col("_end").asc_nulls_first(), "_step").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("_in", F.first("_step", ignorenulls=True).over(behind)).where("_end IS NULL").drop("_end", "_at", "_step")
+    # from the latest on, so that the frame only grows: one that shrinks is gone through again for every row
+    behind = Window.partitionBy("slot").orderBy(F.desc("_at"), F.col("_end").desc_nulls_last(), F.desc("_step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_in", F.last("_step", ignorenulls=True).over(behind)).where("_end IS NULL").drop("_end", "_at", "_step")
     slots = s.select("slot").distinct().join(b.groupBy("slot").agg(F.min(F.struct("_at", "_step")).alias("_first")), "slot", "full")
-    later = Window.orderBy("slot").rowsBetween(1, Window.unboundedFollowing)
-    nxt = slots.select("slot", F.first("_first", ignorenulls=True).over(later)["_step"].alias("_later"))
+    later = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = slots.select("slot", F.last("_first", ignorenulls=True).over(later)["_step"].alias("_later"))
     return found.join(nxt, "slot", "left").withColumn("step", F.coalesce("_in", "_later")).drop("slot", "_in", "_later")
 
 

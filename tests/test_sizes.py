@@ -26,3 +26,14 @@ def test_steps_of_one_dense_slot(spark):
     assert "unboundedfollowing" not in planned(out).lower()
     want = [bisect.bisect_left(ends, t) for t in times]
     assert {r["session_id"]: r["step"] for r in out.collect()} == {i: w if w < len(ends) else None for i, w in enumerate(want)}
+
+
+def test_clip_range_adds_row_by_row(spark):
+    """Means that are the threshold but for the last bit: a product for equal squares falls on the other side."""
+    gaps = [0.6 - 0.5] * 4 + [0.7000000000000001 - 0.5] * 3 + [0.8999999999999999 - 0.5] + [0.4] * 2 + [0.5] * 2
+    squares = sorted(g * g for g in gaps)
+    upto = [s / (i + 1) for i, s in enumerate(itertools.accumulate(squares))]
+    tau = math.sqrt(max(m for m, u in zip(squares, upto) if u < 0.04))
+    df = spark.createDataFrame([(0, g, True) for g in gaps] + [(1, 0.5, False)], "batch int, gap double, used boolean").repartition(3)
+    got = {r["batch"]: (r["low"], r["high"]) for r in tokens.clip_range(df, "batch", "gap", F.col("used"), threshold=0.04).collect()}
+    assert got == {0: (pytest.approx(1 - math.exp(-tau)), pytest.approx(math.exp(tau) - 1)), 1: (0.95, 20.0)}

@@ -55,18 +55,18 @@ def clip_range(tokens: DataFrame, batch: str, gap: str, mask: Column, *, thresho
     """The trust region of each batch: squared gaps of masked tokens are dropped from the largest until the rest's mean is below ``threshold``.
 
     ``low`` and ``high`` are .95 and 20 without masked tokens or with a mean that already is at most ``threshold``;
-    they come from the largest gap that stays, or from the least where the rest never gets below. Equal gaps are
-    counted once, and a batch is what a trainer takes in a step, so its distinct gaps fit a task's sort.
+    they come from the largest gap that stays, or from the least where the rest never gets below. Means are often at
+    the threshold to the last bit, so squares are added one by one, from the least on: a product for equal ones is
+    another sum. A batch is what a trainer takes in a step.
     """
     m2 = F.when(mask, F.col(gap) * F.col(gap))
-    values = tokens.groupBy(batch, m2.alias("m2")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(batch).orderBy("m2").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.col("m2") * F.col("n")
-    # a value stays if its first copy keeps the mean of all up to it below the threshold
-    upto = (F.coalesce(F.sum(total).over(before), F.lit(0.0)) + F.col("m2")) / (F.coalesce(F.sum(F.when(F.col("m2").isNotNull(), F.col("n"))).over(before), F.lit(0)) + 1)
-    own = values.withColumn("_upto", upto).groupBy(batch).agg(F.sum(total).alias("sum"), F.sum(F.when(F.col("m2").isNotNull(), F.col("n"))).alias("n"), F.max(F.when(F.col("_upto") < threshold, F.col("m2"))).alias("most"), F.min("m2").alias("least"))
+    upto_row = Window.partitionBy(batch).orderBy(F.col("m2").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = tokens.select(batch, m2.alias("m2")).withColumns({"_n": F.count("m2").over(upto_row), "_sum": F.sum("m2").over(upto_row)})
+    upto = F.col("_sum") / F.col("_n")
+    own = values.where("m2 IS NOT NULL").groupBy(batch).agg(F.max_by(upto, "_n").alias("mean"), F.max(F.when(upto < threshold, F.col("m2"))).alias("most"), F.min("m2").alias("least"))
+    own = tokens.select(batch).distinct().join(own, batch, "left")
     tau = F.sqrt(F.coalesce("most", "least"))
-    free = F.col("n").isNull() | (F.col("sum") / F.col("n") <= threshold)
+    free = F.col("mean").isNull() | (F.col("mean") <= threshold)
     low, high = F.when(free, 0.95).otherwise(F.least(1 - F.exp(-tau), F.lit(0.95))), F.when(free, 20.0).otherwise(F.least(F.exp(tau) - 1, F.lit(20.0)))
     return own.select(batch, low.alias("low"), high.alias("high"))
 

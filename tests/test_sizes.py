@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.operators import tokens, traces
+from tidewheel.operators import graph, tokens, traces
 
 
 def planned(df):
@@ -37,3 +37,24 @@ def test_clip_range_adds_row_by_row(spark):
     df = spark.createDataFrame([(0, g, True) for g in gaps] + [(1, 0.5, False)], "batch int, gap double, used boolean").repartition(3)
     got = {r["batch"]: (r["low"], r["high"]) for r in tokens.clip_range(df, "batch", "gap", F.col("used"), threshold=0.04).collect()}
     assert got == {0: (pytest.approx(1 - math.exp(-tau)), pytest.approx(math.exp(tau) - 1)), 1: (0.95, 20.0)}
+
+
+def recorded(monkeypatch, *modules):
+    """Plans of what the modules write, as they are written."""
+    plans = []
+    for m, name in modules:
+        real = getattr(m, name)
+        monkeypatch.setattr(m, name, lambda df, real=real: plans.append(planned(df)) or real(df))
+    return plans
+
+
+def test_recipes_do_not_go_through_the_driver(spark, monkeypatch):
+    """What is estimated small, but has many rows, isn't broadcast at every level."""
+    items = spark.range(1, 300_001).withColumnRenamed("id", "item")
+    uses = items.select("item", F.floor(F.col("item") / 1000).cast("long").alias("part"), F.lit(2).cast("long").alias("uses")).where("part > 0")
+    targets = spark.createDataFrame([(1, 250_000, 3)], "target long, item long, count long")
+    plans = recorded(monkeypatch, (graph, "cut"))
+    got = graph.base_materials(targets, items.where("item >= 1000").withColumn("makes", F.lit(1)), uses, items.withColumn("have", F.lit(1))).collect()
+    assert [tuple(r) for r in got] == [(1, 250, 3)]
+    assert [(r["item"], r["depth"]) for r in graph.recipe_chain(targets, uses).collect()] == [(250_000, 0)]
+    assert len(plans) > 4 and not [p for p in plans if "BroadcastHashJoin" in p]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.lineage import cut
+from tidewheel.functions.sizes import shared
 
 
 def reach(entities: DataFrame, triples: DataFrame, relation: str) -> DataFrame:
@@ -68,17 +69,19 @@ def base_materials(targets: DataFrame, recipes: DataFrame, ingredients: DataFram
 
     ``recipes`` (``item, makes``) and ``ingredients`` (``item, part, uses``) are the first recipe of each item; ``stock``
     (``item, have``) covers a need whole or is taken from it. Needs go down level by level, each written before the
-    next, until none is left to make; an item met again on its own path needs nothing more, so cycles end.
+    next, until none is left to make; an item met again on its own path needs nothing more, so cycles end. Recipes
+    with stock, and ingredients, are written once, and sent to all tasks only where their rows are few.
     """
     kind = dict(targets.dtypes)["item"]
     level = cut(targets.select("target", "item", F.col("count").cast("long").alias("count"), F.array().cast(f"array<{kind}>").alias("path")))
+    facts, uses = shared(cut(recipes.join(stock.hint("merge"), "item", "full"))), shared(cut(ingredients))
     base = None
     while True:
-        open_ = cut(level.join(stock, "item", "left").withColumn("lack", F.col("count") - F.coalesce("have", F.lit(0))).where("lack > 0").join(recipes, "item", "left"))
+        open_ = cut(level.join(facts, "item", "left").withColumn("lack", F.col("count") - F.coalesce("have", F.lit(0))).where("lack > 0"))
         found = open_.where("makes IS NULL").select("target", "item", F.col("lack").alias("needed"))
         base = found if base is None else base.unionByName(found)
         crafts = F.ceil(F.col("lack") / F.col("makes"))
-        down = open_.where("makes IS NOT NULL").join(ingredients, "item").select("target", F.col("part").alias("item"), (crafts * F.col("uses")).cast("long").alias("count"), F.concat("path", F.array("item")).alias("path"))
+        down = open_.where("makes IS NOT NULL").join(uses, "item").select("target", F.col("part").alias("item"), (crafts * F.col("uses")).cast("long").alias("count"), F.concat("path", F.array("item")).alias("path"))
         level = down.where(~F.array_contains("path", F.col("item")))
         if not level.limit(1).count():
             return base.groupBy("target", "item").agg(F.sum("needed").alias("needed"))
@@ -86,12 +89,13 @@ def base_materials(targets: DataFrame, recipes: DataFrame, ingredients: DataFram
 
 def recipe_chain(targets: DataFrame, ingredients: DataFrame) -> DataFrame:
     """``target, item, depth``: the recipes that a target's chain uses, from itself (0) down; an item on its own path ends it."""
-    makes = ingredients.select("item").distinct()
+    uses = shared(cut(ingredients.select("item", "part")))
+    makes = shared(cut(ingredients.select("item").distinct()))
     level = cut(targets.select("target", "item").join(makes, "item", "left_semi").withColumn("path", F.array("item")))
     chain, d = level.select("target", "item", F.lit(0).alias("depth")), 0
     while level.limit(1).count():
         d += 1
-        down = level.join(ingredients, "item").where(~F.array_contains("path", F.col("part"))).select("target", F.col("part").alias("item"), F.concat("path", F.array("part")).alias("path"))
+        down = level.join(uses, "item").where(~F.array_contains("path", F.col("part"))).select("target", F.col("part").alias("item"), F.concat("path", F.array("part")).alias("path"))
         level = cut(down.join(makes, "item", "left_semi"))
         chain = chain.unionByName(level.select("target", "item", F.lit(d).alias("depth")))
     return chain

@@ -10,7 +10,9 @@ import tracemalloc
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.operators import graph, packing, tokens, traces
+from tidewheel.functions import sizes
+from tidewheel.jobs import corpora, evaluation, operations, timelines
+from tidewheel.operators import graph, intervals, packing, retrieval, tokens, traces
 
 
 def planned(df):
@@ -79,3 +81,12 @@ def test_partition_keeps_only_near_sums():
     tracemalloc.stop()
     assert len(cuts) == 8 and cuts[0] == 0 and cuts == sorted(cuts)
     assert peak < 20e6
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_postings_are_dealt_by_document(spark, monkeypatch):
+    plans = recorded(monkeypatch, (retrieval, "cut"))
+    corpora.bm25_search(spark, SMALL)
+    assert "REPARTITION_BY_NUM" in plans[0]

@@ -13,6 +13,10 @@ from tidewheel.functions.lineage import cut
 from tidewheel.functions.sizes import broadcast_if_small
 
 
+#: Documents whose postings a task has.
+TASK_DOCS = 1000
+
+
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9\\u0080-\\uffff]+"), lambda w: w != "")
 
@@ -28,7 +32,8 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, *, k1: float = 1.2, b: f
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("ws")).alias("mean_len"))
     posting = words.select("doc_id", F.size("ws").alias("len"), F.explode("ws").alias("term")).join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
-    tf = posting.groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    # dealt by document, so that what a task sums for a query is that of its own documents
+    tf = posting.repartition(max(1, -(-corpus.count() // TASK_DOCS)), "doc_id").groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
     tf = cut(tf)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))

@@ -86,6 +86,14 @@ def test_partition_keeps_only_near_sums():
 SMALL = "/root/testdata/sf0.001"
 
 
+def test_terms_are_found_once_in_many_tasks(spark):
+    """A well compressed file of many items isn't read and cut into terms by one task, nor its words found for every run."""
+    p = corpora._parts(spark, SMALL)
+    assert p._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
+    assert sizes.spread(spark.range(3 * sizes.SPREAD_ROWS + 1), "id").rdd.getNumPartitions() == 4
+    assert "REPARTITION_BY_NUM" in planned(p)
+
+
 def test_postings_are_dealt_by_document(spark, monkeypatch):
     plans = recorded(monkeypatch, (retrieval, "cut"))
     corpora.bm25_search(spark, SMALL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewheel.functions.hashing import hash_uniform_sql
+from tidewheel.functions.sizes import spread
 from tidewheel.operators import catalogue, graph, retrieval, traces
 from tidewheel.sources.adapters import links, sessions, table, triples, with_views
 
@@ -76,7 +77,7 @@ def idle_gaps(spark, d):
 
 
 def _parts(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_type").alias("category"), catalogue.ngrams(F.concat_ws(" ", F.initcap("p_name"), F.lit("of the"), F.replace("p_brand", F.lit("#"), F.lit("")), F.concat(F.lit("size"), F.col("p_size").cast("string")), F.lit("100 a 1000")), F.array(*[F.lit(w) for w in STOP])).alias("terms"))
+    return spread(table(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("item"), F.col("p_type").alias("category"), catalogue.ngrams(F.concat_ws(" ", F.initcap("p_name"), F.lit("of the"), F.replace("p_brand", F.lit("#"), F.lit("")), F.concat(F.lit("size"), F.col("p_size").cast("string")), F.lit("100 a 1000")), F.array(*[F.lit(w) for w in STOP])).alias("terms"))
 
 
 def dedup_products(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from tidewheel.functions.hashing import hash_uniform
+from tidewheel.functions.lineage import cut
 
 
 def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -20,18 +21,21 @@ def ngrams(text: Column, stop: Column, most: int = 2) -> Column:
     """Lower-cased words of two characters or more that are neither in ``stop`` nor a number of 0 to 999, and runs of up to ``most`` of those left."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}_]{2,})"), F.lit(1)), lambda w: ~F.array_contains(stop, w) & ~w.rlike("^(0|[1-9][0-9]{0,2})$"))
 
-    def run(n: int) -> Column:
-        return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(0))), lambda w, i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
+    def run(ws: Column, n: int) -> Column:
+        return F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(0))), lambda w, i: F.array_join(F.slice(ws, i + 1, F.lit(n)), " "))
 
-    return F.concat(words, *[run(n) for n in range(2, most + 1)])
+    # as the one element of an array the words are found once, not for every run
+    return F.transform(F.array(words), lambda ws: F.concat(ws, *[run(ws, n) for n in range(2, most + 1)]))[0]
 
 
 def tfidf_terms(items: DataFrame, k: int, *, category: str = "category", features: int = 1000) -> DataFrame:
     """The ``k`` terms of greatest TF-IDF of each item (``item, category, terms``) within its category.
 
-    A category's ``features`` most frequent terms count; weights are smoothed and scaled to unit length.
+    A category's ``features`` most frequent terms count; weights are smoothed and scaled to unit length. Frequencies are
+    written once, since document frequencies and weights both read them.
     """
     tf = items.select("item", category, F.explode("terms").alias("term")).groupBy("item", category, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut(tf)
     n = items.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy(category, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     df = df.withColumn("_r", F.row_number().over(Window.partitionBy(category).orderBy(F.desc("cf"), "term"))).where(F.col("_r") <= features)

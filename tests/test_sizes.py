@@ -94,6 +94,11 @@ def test_terms_are_found_once_in_many_tasks(spark):
     assert "REPARTITION_BY_NUM" in planned(p)
 
 
+def test_cases_are_dealt_before_they_are_gathered(spark):
+    plan = evaluation.testcase_pass_rate(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_postings_are_dealt_by_document(spark, monkeypatch):
     plans = recorded(monkeypatch, (retrieval, "cut"))
     corpora.bm25_search(spark, SMALL)

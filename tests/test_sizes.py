@@ -103,3 +103,13 @@ def test_postings_are_dealt_by_document(spark, monkeypatch):
     plans = recorded(monkeypatch, (retrieval, "cut"))
     corpora.bm25_search(spark, SMALL)
     assert "REPARTITION_BY_NUM" in plans[0]
+
+
+def test_steps_read_several_times_are_written_once(spark, monkeypatch):
+    plans = recorded(monkeypatch, (intervals, "written"), (timelines, "cut"))
+    operations.remaining_ranges(spark, SMALL)
+    assert len(plans) == 1
+    for query in (timelines.session_timeline, timelines.timeline_sweep):
+        del plans[:]
+        left = planned(query(spark, SMALL))
+        assert len(plans) == 2 and "lineitem" not in left

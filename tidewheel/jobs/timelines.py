@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewheel.functions.lineage import cut
 from tidewheel.operators import lifecycle
 from tidewheel.sources.adapters import trace_events, with_views
 
@@ -36,14 +37,20 @@ def phase_durations(spark, d):
     return rows.select("session_id", *[F.round(f"{p}_s", 4).alias(f"{p}_s") for p in lifecycle.PHASES])
 
 
+def _heads(spark, d):
+    """Events and spans are written once: several steps read them, and making them reads the tables and puts them in order."""
+    alive = cut(lifecycle.lived(trace_events(spark, d)))
+    return lifecycle.heads(alive), cut(lifecycle.spans(alive))
+
+
 def session_timeline(spark, d):
-    rows, found = _records(spark, d)
+    rows, found = _heads(spark, d)
     out = lifecycle.timeline(rows, found)
     return out.select("session_id", "place", "segment", F.round("start_ts", 4).alias("start_ts"), F.round("end_ts", 4).alias("end_ts"))
 
 
 def timeline_sweep(spark, d):
-    rows, found = _records(spark, d)
+    rows, found = _heads(spark, d)
     out = lifecycle.sweep(rows, found)
     return out.select("session_id", "place", "segment", F.round("start_ts", 4).alias("start_ts"), F.round("end_ts", 4).alias("end_ts"))
 

@@ -43,24 +43,28 @@ def spans(alive: DataFrame, *, several: bool = True) -> DataFrame:
     return own.select("session_id", "phase", "seq", F.col("ts").alias("start_ts"), end.alias("end_ts"))
 
 
-def records(alive: DataFrame, found: DataFrame) -> DataFrame:
-    """A row a session: its status (``pending`` until told), reason, times, seconds in each phase, and the spans by phase.
-
-    Seconds of a phase are null where none of its spans has ended; ``phases`` maps a phase to its spans in order of
-    their start. ``last_ts`` is the time of the last event.
-    """
+def heads(alive: DataFrame) -> DataFrame:
+    """A row a session: its status (``pending`` until told), reason and times. ``last_ts`` is the time of the last event."""
     final = F.col("event") == "finalized"
     at = F.struct("ts", "seq")
-    heads = alive.groupBy("session_id").agg(
+    return alive.groupBy("session_id").agg(
         F.coalesce(F.max_by("status", F.when(final & F.col("status").isNotNull(), at)), F.lit("pending")).alias("status"),
         F.max_by("reason", F.when(final & F.col("reason").isNotNull(), at)).alias("reason"),
         F.min(F.when(F.col("event") == "submit", F.col("ts"))).alias("submit_ts"),
         F.max(F.when(final, F.col("ts"))).alias("finalized_ts"),
         F.max("ts").alias("last_ts"),
     )
+
+
+def records(alive: DataFrame, found: DataFrame) -> DataFrame:
+    """``heads`` with seconds in each phase and the spans by phase.
+
+    Seconds of a phase are null where none of its spans has ended; ``phases`` maps a phase to its spans in order of
+    their start.
+    """
     of_phase = found.groupBy("session_id", "phase").agg(F.sort_array(F.collect_list(F.struct("start_ts", "end_ts"))).alias("spans"))
     phases = of_phase.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("phase", "spans"))).alias("phases"))
-    joined = heads.join(phases, "session_id", "left").withColumn("phases", F.coalesce("phases", F.create_map().cast("map<string, array<struct<start_ts: double, end_ts: double>>>")))
+    joined = heads(alive).join(phases, "session_id", "left").withColumn("phases", F.coalesce("phases", F.create_map().cast("map<string, array<struct<start_ts: double, end_ts: double>>>")))
     seconds = {f"{p}_s": seconds_in(F.col("phases"), p) for p in PHASES}
     return joined.withColumns({"total_s": F.col("finalized_ts") - F.col("submit_ts"), **seconds})
 

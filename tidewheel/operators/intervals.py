@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.functions.lineage import cut as written
+
 #: Ranges are cut at multiples of this, so that the numbers of one key are worked on in pieces.
 WIDTH = 1 << 16
 
@@ -56,13 +58,14 @@ def subtract(ranges: DataFrame, points: DataFrame, keys: list[str], point: str =
 
     Within a block ranges and points are put in order together: a point belongs to the last range that starts at or
     before it, and what lies between two neighbouring points, or a point and an end of its range, is left. Repeated
-    points count once, overlapping ranges as one.
+    points count once, overlapping ranges as one. The ordered marks are written once: what is left, inside blocks and
+    at their edges, and what is outside are all read from them.
     """
     pieces = _merged_in(cut(ranges, width), [*keys, "block"])
     at = points.where(F.col(point).isNotNull()).select(*keys, F.col(point).alias("p")).distinct().withColumn("block", F.floor(F.col("p") / width))
     marks = pieces.select(*keys, "block", F.col("start").alias("p"), F.struct("start", "end").alias("_r")).unionByName(at.withColumn("_r", F.lit(None).cast("struct<start: bigint, end: bigint>")))
     order = Window.partitionBy(*keys, "block").orderBy("p", F.col("_r").isNull())
-    held = marks.withColumn("_in", F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    held = written(marks.withColumn("_in", F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     outside = held.where("_r IS NULL AND (_in IS NULL OR p >= _in.end)").select(*keys, F.col("p").alias(point))
     # a range's start stands for a point just before it
     inside = held.where("_r IS NOT NULL OR p < _in.end").withColumn("_done", F.when(F.col("_r").isNull(), F.col("p")).otherwise(F.col("p") - 1))

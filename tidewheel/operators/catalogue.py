@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from tidewheel.functions.hashing import hash_uniform
 from tidewheel.functions.lineage import cut
+from tidewheel.functions.sizes import shared
 
 
 def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -39,7 +40,7 @@ def tfidf_terms(items: DataFrame, k: int, *, category: str = "category", feature
     n = items.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy(category, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     df = df.withColumn("_r", F.row_number().over(Window.partitionBy(category).orderBy(F.desc("cf"), "term"))).where(F.col("_r") <= features)
-    w = tf.join(df.select(category, "term", "df"), [category, "term"]).join(n, category).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    w = tf.join(shared(df.select(category, "term", "df")), [category, "term"]).join(shared(n), category).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(category, "item")))
     scored = w.withColumn("tfidf", F.round(F.col("w") / norm, 6))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(category, "item").orderBy(F.desc("tfidf"), "term"))).where(F.col("rank") <= k).select("item", category, "term", "tfidf", "rank")

@@ -28,6 +28,24 @@ def test_chunks_give_the_same_count(tokenizer, chunk, overlap):
         assert tokens.count_in_chunks(tokenizer, text, chunk, overlap) == whole(tokenizer, text)
 
 
+def test_pieces_give_the_same_count(tokenizer, monkeypatch):
+    """Texts are counted by pieces, each of which is encoded once; what is remembered is bounded."""
+    monkeypatch.setattr(tokens, "KNOWN", 40)
+    rng = random.Random(4)
+    parts = ["word", " ", "  ", "\n", " \n ", "\t ", "don't", " 's", "'ll", "12 345", " é", "漢 字", "😀 ", "<|endoftext|>", " <|endof", "!!! ?", "a" * 50, "\u00a0 ", " \u3000", "\x1c ", " \x85", "ʼs", "\r\n"]
+    counts = tokens._Counts(tokenizer)
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(20)] + ["", " ", "a b", " a b "]
+        assert counts.of(texts) == [whole(tokenizer, t) for t in texts]
+    assert len(counts.known) < 5000
+
+    encoded = []
+    counts = tokens._Counts(tokenizer)
+    counts.tokenizer = type("T", (), {"encode_batch_fast": lambda self, texts, **k: (encoded.extend(texts), tokenizer.encode_batch_fast(texts, **k))[1]})()
+    assert counts.of(["some words " * 50 + "end"] * 9) == [whole(tokenizer, "some words " * 50 + "end")] * 9
+    assert sorted(encoded) == [" end", " some", " words", "some"]
+
+
 def test_every_stable_place_begins_a_piece(tokenizer):
     rng = random.Random(1)
     for _ in range(3000):

@@ -6,6 +6,7 @@ import os
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Documents of more characters are encoded in chunks.
 HUGE = 1 << 15
 CHUNK, OVERLAP = 1 << 14, 256
+#: Pieces of texts, and characters of them, after which a worker starts to remember anew.
+KNOWN, KNOWN_CHARS = 1 << 19, 16 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -40,6 +43,8 @@ def load_tokenizer(path: str):
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 _DIGIT = "0-9"
 _OTHER = r'!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~\u3001\u3002\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f'
+#: A single blank.
+_BLANK = re.compile(r"(?<=\S) (?=\S)")
 _STABLE = re.compile(rf"(?<=\S)(?=[ \t\n\r])|(?<=[{_LETTER}])(?=[{_DIGIT}{_OTHER}'])|(?<=[{_DIGIT}])(?=[{_LETTER}{_OTHER}'])|(?<=[{_OTHER}])(?=[{_LETTER}{_DIGIT}])")
 
 
@@ -111,6 +116,56 @@ def _common(text: str, left: list[int], right: list[int], low: int, high: int) -
     return None
 
 
+class _Counts:
+    """Token counts of whole texts from those of their pieces between single blanks, of which most were seen before.
+
+    A blank between two other characters is ``stable`` and goes with what follows, so a piece has the same tokens alone
+    as in its text. A text with the string of an added token, which may reach over blanks, is one piece.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.known, self.chars = tokenizer, {}, 0
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.cuttable = tokenizer.normalizer is None
+
+    def pieces(self, text: str) -> tuple[list, set]:
+        """Keys of a text's pieces, and those not known: a string comes behind a blank and has no white space at its ends; others are pairs of what comes before and the piece."""
+        if not self.cuttable or any(t in text for t in self.added):
+            keys = [("", text)]
+            return keys, set(keys).difference(self.known)
+        # known strings were looked at before, so only fresh ones can show a blank beside other white space
+        first, *keys = text.split(" ")
+        fresh = set(keys).difference(self.known)
+        if keys and (not first or first[-1].isspace() or any(not _clean(p) for p in fresh)):
+            first, *rest = _BLANK.split(text)
+            keys = [p if _clean(p) else (" ", p) for p in rest]
+            fresh = set(keys).difference(self.known)
+        keys.append(("", first))
+        if keys[-1] not in self.known:
+            fresh.add(keys[-1])
+        return keys, fresh
+
+    def of(self, texts: list[str]) -> list[int]:
+        if len(self.known) > KNOWN or self.chars > KNOWN_CHARS:
+            self.known, self.chars = {}, 0
+        cut = [self.pieces(t) for t in texts]
+        fresh = list(set().union(*(f for _, f in cut)))
+        strings = [f" {p}" if isinstance(p, str) else "".join(p) for p in fresh]
+        self.known.update(zip(fresh, map(len, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)), strict=True))
+        self.chars += sum(map(len, strings))
+        return [sum(map(self.known.__getitem__, keys)) for keys, _ in cut]
+
+
+def _clean(piece: str) -> bool:
+    return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
+
+
+@lru_cache(maxsize=1)
+def _counts(path: str) -> _Counts:
+    """The worker's own, kept from task to task."""
+    return _Counts(load_tokenizer(path))
+
+
 def count_tokens(docs: DataFrame, *, path: str, text: str = "text", huge: int = HUGE) -> DataFrame:
     """``docs`` with ``n_tokens`` in place of ``text``, as the library counts them without begin, end or padding.
 
@@ -122,18 +177,17 @@ def count_tokens(docs: DataFrame, *, path: str, text: str = "text", huge: int =
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "n_tokens long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(path)
+        known = _counts(path)
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 counts = np.zeros(len(texts), np.int64)
                 short = [i for i, t in enumerate(texts) if len(t) <= huge]
-                for i, e in zip(short, tokenizer.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
-                    counts[i] = len(e)
+                counts[short] = known.of([texts[i] for i in short])
                 for i, t in enumerate(texts):
                     if len(t) > huge:
-                        counts[i] = count_in_chunks(tokenizer, t)
+                        counts[i] = count_in_chunks(known.tokenizer, t)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in own), pa.array(counts)], [*(f.name for f in own), "n_tokens"])
 
     return rest.mapInArrow(run, schema)

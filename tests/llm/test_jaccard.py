@@ -123,6 +123,16 @@ def test_texts_of_one_passage_do_not_meet(spark, monkeypatch, shared_twice):
     assert totals[1] <= 4 * totals[0] + 100
 
 
+def test_sets_out_of_reach_do_not_meet(spark):
+    """Sets of one size and list, of which half have shingles of their own and so reach smaller sets only, meet none but those."""
+    main = [(1, i, 146, 0, 146, 0, 0) for i in range(60)]
+    outer = [(1, 100 + i, 146, 0, 134, 100 + i, 0) for i in range(50)]
+    small = [(1, 200, 118, 0, 146, 0, 0)]
+    seen = spark.createDataFrame(main + outer + small, "key long, id long, n long, at int, reach long, c long, main long")
+    met = [r for m in jaccard._meet(seen) for r in m.selectExpr("x.id AS x", "y.id AS y").collect()]
+    assert sorted((r["x"], r["y"]) for r in met) == [(100 + i, 200) for i in range(50)]
+
+
 def test_very_long_text(spark):
     rng = random.Random(3)
     long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]

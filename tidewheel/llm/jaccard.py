@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,12 @@ BLOCK_BYTES = 4 << 20
 BUCKET_SHINGLES = 1 << 20
 #: Leaders go on while they halve the comparisons left and these are more than so many for each index entry (or in all).
 PAIRS_PER_ENTRY, LEAST_PAIRS = 4, 0
+#: Sets of a list that the others are compared with at first, about, and by how much more with each round.
+ASKED, MORE = 16, 16
 #: 64-bit words of a set's parity sketch.
 SKETCH = 8
-#: Sizes of similar sets are in the same band of this ratio or in adjacent ones: a little more than 5 : 4, so that rounding does no harm.
-BAND = 1.26
+#: Sizes meet in bands of this ratio.
+BAND = 1.06
 
 SETS = "doc_id long, carried string, n_shingles long, print binary, common long, sketch array<long>, shingles array<long>, keys array<long>, at array<int>"
 
@@ -167,9 +170,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 
     Every list has a leader, its least set; each set is compared first with the leader that most of its lists name,
     its pivot, and is then known to be linked or to share so much with it. A list whose sets have become one
-    component is skipped whole; further leaders go first while that halves what is left. Then sets outside a list's
-    main component meet those of other components in bands of sizes, and a pair leaves that join only if nothing
-    proves the answer: positions; the entries that any other set has; that x shares with y at most what both share
+    component is skipped whole; further leaders go first while that halves what is left. While many comparisons are
+    left, the sets of a list then meet a few of its sets, drawn by a hash of their ids, and then more: a set that many
+    others of another component are linked with finds one of them early, and is in their component when the rest
+    meet. At last sets outside a list's main component meet those of other components in bands of sizes. A pair
+    leaves these joins only if nothing proves the answer: positions; the entries that any other set has; that x shares with y at most what both share
     with a pivot and what each has beside it; and parity sketches, whose distance is never more than that of the
     sets. So the pairs that are compared exactly are few more than those linked, however long a list is.
 
@@ -202,6 +207,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     traits, p = durable(traits.join(verified.select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.col("shared").alias("with_pivot")), "id", "left"))
     paths.append(p)
     total, before = entries.agg(F.count(F.lit(1)), F.sum("m")).first()
+    asked = ASKED
     while True:
         links = _linked(verified)
         found, p = durable(components(links))
@@ -212,7 +218,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         main, p = durable(main.select("key", F.col("top.c").alias("main"), "m", (F.col("m") - F.col("top.k")).alias("others")))
         paths.append(p)
         open_ = known.drop("m").join(main, "key")
-        work = int(main.agg(F.sum(F.col("others") * F.col("m"))).first()[0] or 0)
+        work, longest = (int(x or 0) for x in main.agg(F.sum(F.col("others") * F.col("m")), F.max("m")).first())
         if not work:
             break
         if work > max(PAIRS_PER_ENTRY * total, LEAST_PAIRS) and 2 * work <= before:
@@ -221,6 +227,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
             paths += p
             verified = verified.unionByName(more)
             continue
+        if work > max(PAIRS_PER_ENTRY * total, LEAST_PAIRS) and asked < longest:
+            more, p = _checked(_across(open_, verified, traits, asked), sets)
+            paths += p
+            verified, asked, before = verified.unionByName(more), asked * MORE, 0
+            continue
         more, p = _checked(_across(open_, verified, traits), sets)
         paths += p
         if _linked(more).limit(1).count():
@@ -238,14 +249,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     return result
 
 
-def _across(entries: DataFrame, verified: DataFrame, traits: DataFrame) -> DataFrame:
-    """Distinct pairs of one list and two components, one of them outside the main one, that nothing known decides.
+def _across(entries: DataFrame, verified: DataFrame, traits: DataFrame, asked: int | None = None) -> DataFrame:
+    """Distinct pairs of one list and two components, one of them outside the main one, that nothing known decides; of about ``asked`` sets of a list with its others if given.
 
     A pair that meets leaves the join only where each is within the other's reach, and the shingles that other sets
     have at all, what both share with the same pivot, and the sketches all allow a similarity of 0.8.
     """
-    own = ["key", "id", "n", "at", "reach", "c", "main", "common", "sketch", "pivot", "with_pivot"]
-    met = _meet(entries.join(traits, "id").select(*own))
+    own = ["key", "id", "n", "at", "reach", "c", "main", "m", "common", "sketch", "pivot", "with_pivot"]
+    seen = entries.join(traits, "id").select(*own)
+    met = [_undecided(m) for m in (_meet_asked(seen, asked) if asked else _meet(seen))]
+    return _new(reduce(DataFrame.unionByName, met).distinct(), verified)
+
+
+def _undecided(met: DataFrame) -> DataFrame:
+    """``a, b`` of those pairs ``x, y`` that may be similar."""
     need = 4 * (F.col("x.n") + F.col("y.n"))
     beside = F.least(F.col("x.common") - F.col("x.with_pivot"), F.col("y.common") - F.col("y.with_pivot"))
     by_pivot = F.least("x.with_pivot", "y.with_pivot") + F.greatest(beside, F.lit(0))
@@ -253,17 +270,25 @@ def _across(entries: DataFrame, verified: DataFrame, traits: DataFrame) -> DataF
     differ = sum((F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(SKETCH)), F.lit(0))
     within = (F.col("x.c") != F.col("y.c")) & (F.col("y.n") <= F.col("x.reach")) & (F.col("x.n") <= F.col("y.reach"))
     may = within & _similar_enough("x.n", "y.n", "x.at", "y.at") & (9 * F.least("x.common", "y.common") >= need) & ~same_pivot & (9 * differ <= F.col("x.n") + F.col("y.n"))
-    first, rest = (m.where(may).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")) for m in met)
-    return _new(first.unionByName(rest).distinct(), verified)
+    return met.where(may).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(BAND, n))
+
+
+def _to_meet(seen: DataFrame) -> DataFrame:
+    """``seen`` once for each band of sizes that a set similar to it by its entry can have."""
+    least = F.floor((4 * F.col("n") + 4) / 5)
+    return seen.withColumn("band", F.explode(F.sequence(_band(least), _band(F.col("reach")))))
 
 
 def _meet(seen: DataFrame) -> list[DataFrame]:
-    """Sets of a list in the same or an adjacent band of sizes, ``x`` and ``y``: one outside the main component, one that reaches its own size.
+    """Sets of a list, ``x`` and ``y``, of which ``y`` has a size that ``x`` may be similar to: one outside the main component, one that reaches its own size.
 
     Sets that reach less far never meet each other, so a list of those makes no pair, however long it is.
     """
-    banded = seen.withColumn("band", F.floor(F.log(BAND, F.col("n"))))
-    near = banded.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+    banded, near = seen.withColumn("band", _band(F.col("n"))), _to_meet(seen)
     far, outer = F.col("reach") >= F.col("n"), F.col("c") != F.col("main")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band"))
     # far ones outside the main component meet all others; of two such the lesser id comes first
@@ -273,6 +298,14 @@ def _meet(seen: DataFrame) -> list[DataFrame]:
     return [first, rest]
 
 
+def _meet_asked(seen: DataFrame, asked: int) -> list[DataFrame]:
+    """About ``asked`` sets of each list, ``x``, and its others, ``y``. More are the same ones and others; a set is drawn in most of its lists or in none."""
+    drawn = seen.withColumn("drawn", F.pmod(F.xxhash64("id"), F.lit(1 << 31)) * F.col("m") < (asked << 31))
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band"))
+    once = same & (~F.col("y.drawn") | (F.col("x.id") < F.col("y.id")))
+    return [_to_meet(drawn.where("drawn")).alias("x").join(drawn.withColumn("band", _band(F.col("n"))).alias("y"), once)]
+
+
 def _next_leaders(entries: DataFrame, verified: DataFrame) -> DataFrame:
     """Pairs of each open list's least set outside the main component with the list's sets of other components."""
     lead = entries.where(F.col("c") != F.col("main")).groupBy("key").agg(F.min(F.struct("id", "n", "at", "c")).alias("next"))

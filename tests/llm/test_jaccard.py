@@ -133,6 +133,32 @@ def test_sets_out_of_reach_do_not_meet(spark):
     assert sorted((r["x"], r["y"]) for r in met) == [(100 + i, 200) for i in range(50)]
 
 
+def test_draws_make_no_rows_for_bands(spark, monkeypatch):
+    """Lists of which most sets are drawn: only sets outside a main component are ever dealt to several bands."""
+    monkeypatch.setattr(jaccard, "PAIRS_PER_ENTRY", 0)
+    dealt, to_meet = [], jaccard._to_meet
+    monkeypatch.setattr(jaccard, "_to_meet", lambda seen: (dealt.append((seen.where("c = main").count(), to_meet(seen).count())), to_meet(seen))[1])
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    bases = [text(60) for _ in range(6)]
+    for base, other in zip(bases, bases[1:] + bases[:1], strict=True):  # copies that link, and two texts of parts of two groups
+        rows += [(len(rows) + k, " ".join([*base[:30], f"x{rng.randrange(10**6)}", *base[30:]])) for k in range(20)]
+        rows += [(len(rows) + k, " ".join([*base[: 28 - k], *other[30 - k :]])) for k in range(2)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+    assert not any(main for main, _ in dealt) and sum(made for _, made in dealt) <= 8 * 12 * 20
+
+
+def test_drawn_sets_are_asked_once_for_a_main_component(spark):
+    """Of 200 sets in 5 lists of one main component, those outside it meet drawn sets in one list each."""
+    rows = [(key, i, 100, 0, 125, 0 if i < 150 else i, 0, 200, 100, None, None, None) for key in range(5) for i in range(200)]
+    seen = spark.createDataFrame(rows, "key long, id long, n long, at int, reach long, c long, main long, m long, common long, sketch array<long>, pivot long, with_pivot long")
+    met = jaccard._meet_drawn(seen, 16).selectExpr("x.id AS x", "y.id AS y").collect()
+    drawn = {r["x"] for r in met}
+    assert 4 <= len(drawn) <= 40 and {r["y"] for r in met} == set(range(150, 200)) and len(met) == 50 * len(drawn)
+
+
 def test_very_long_text(spark):
     rng = random.Random(3)
     long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -18,9 +19,9 @@ WIDTH = 5
 BLOCK_BYTES = 4 << 20
 #: Shingles that a frequency bucket gets, about.
 BUCKET_SHINGLES = 1 << 20
-#: Leaders go on while they halve the comparisons left and these are more than so many for each index entry (or in all).
+#: Sets are drawn while these halve the comparisons left and these are more than so many for each index entry (or in all).
 PAIRS_PER_ENTRY, LEAST_PAIRS = 4, 0
-#: Sets of a list that the others are compared with at first, about, and by how much more with each round.
+#: Sets of a list that are drawn at first, about, and by how much more with each round.
 ASKED, MORE = 16, 16
 #: 64-bit words of a set's parity sketch.
 SKETCH = 8
@@ -117,17 +118,19 @@ def _reach() -> Column:
     return F.least(F.floor(9 * u / 4) - F.col("n"), F.floor(5 * F.col("n") / 4))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, shared``: the exact overlap of each distinct pair of set ids."""
-    a = broadcast_if_small(pairs.select("a", "b"), 100_000)
-    first = sets.join(a, F.col("id") == F.col("a")).select("a", "b", F.col("n").alias("na"), F.col("shingles").alias("sa"))
+def _verify(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``a, b, shared``: the exact overlap of each distinct pair of set ids. ``sets`` gives the sets of a table of ids."""
+    pairs = pairs.select("a", "b")
+    few = broadcast_if_small(pairs, 100_000)
+    a, b = (F.broadcast(x) if few is not pairs else x for x in (pairs.select(F.col(c).alias("id")) for c in ("a", "b")))
+    first = sets(a).select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")).join(few, "a")
     # the other sides are few (leaders) or as many as the pairs; adaptive execution splits a leader that many pairs name
-    second = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")).join(broadcast_if_small(pairs.select("b").distinct(), 100_000), "b", "left_semi")
+    second = sets(b).select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = first.join(second, "b")
     return both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"))
 
 
-def _checked(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[str]]:
+def _checked(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[str]]:
     fresh, first = durable(pairs)
     more, second = durable(_verify(fresh, sets))
     return more, [first, second]
@@ -169,14 +172,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     the rarest entries of a set that any partner must share (those in one set only are dropped), with positions.
 
     Every list has a leader, its least set; each set is compared first with the leader that most of its lists name,
-    its pivot, and is then known to be linked or to share so much with it. A list whose sets have become one
-    component is skipped whole; further leaders go first while that halves what is left. While many comparisons are
-    left, the sets of a list then meet a few of its sets, drawn by a hash of their ids, and then more: a set that many
-    others of another component are linked with finds one of them early, and is in their component when the rest
-    meet. At last sets outside a list's main component meet those of other components in bands of sizes. A pair
-    leaves these joins only if nothing proves the answer: positions; the entries that any other set has; that x shares with y at most what both share
-    with a pivot and what each has beside it; and parity sketches, whose distance is never more than that of the
-    sets. So the pairs that are compared exactly are few more than those linked, however long a list is.
+    its pivot, and is then known to be linked or to share so much with it. A list is left out whole once its sets are
+    one component, or once none of those that reach their own size can meet another component. While many comparisons
+    are left, sets outside a list's main component meet a few of its sets, drawn by a hash of their ids, and more as
+    long as that halves what is left: a set that many of a component are linked with finds one of them early, and is
+    in it when the rest meet. At last sets outside a list's main component meet those of other components in bands of
+    sizes. A pair leaves these joins only if nothing proves the answer: positions; the entries that any other set has;
+    that x shares with y at most what both share with a pivot and what each has beside it; and parity sketches, whose
+    distance is never more than that of the sets. So the pairs that are compared exactly are few more than those
+    linked, however long a list is.
 
     Null ids form no links and get a null component; null and wordless texts have 0 shingles and their own id as
     component; repeated rows are equal sets. Other columns are left out, but for a string column named by ``carry``.
@@ -189,50 +193,47 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     paths = [sets_path]
     prints = table.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"))
     rows = table.where("shingles IS NOT NULL").select(F.col("print").alias("_print"), "doc_id", F.col("n_shingles").alias("n"), "common", "sketch", "shingles", "keys", "at")
-    # one row a set, but for repeated rows in several blocks: their links and components are the same
-    sets = rows.join(prints, (F.col("_print") == F.col("print")) & (F.col("doc_id") == F.col("id"))).select("id", "n", "common", "sketch", "shingles", "keys", "at")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        # one row a set, but for repeated rows in several blocks: their links and components are the same
+        return some.join(prints, (F.col("_print") == F.col("print")) & (F.col("doc_id") == F.col("id"))).select("id", "n", "common", "sketch", "shingles", "keys", "at")
+
+    def named(ids: DataFrame) -> DataFrame:
+        # the rows named come first, so that few shingles are shuffled
+        return sets_of(rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi"))
+
+    sets = sets_of(rows)
     exploded = sets.select("id", "n", "common", F.explode(F.arrays_zip("keys", "at")).alias("e")).select("id", "n", "common", F.col("e.keys").alias("key"), F.col("e.at").alias("at"))
     entries, p = durable(exploded.select("id", "n", "key", "at", _reach().alias("reach")).where("5 * reach >= 4 * n"))
     paths.append(p)
     traits = sets.select("id", "common", "sketch")
-    sets = sets.select("id", "n", "shingles")
     lists = entries.groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("lead"), F.count(F.lit(1)).alias("m"), F.max(F.col("reach") >= F.col("n")).alias("any")).where("m > 1 AND any")
     lists = lists.select("key", "m", F.col("lead.id").alias("leader"), F.col("lead.n").alias("ln"), F.col("lead.at").alias("lat"))
     entries, p = durable(entries.join(lists, "key"))
     paths.append(p)
     votes = entries.where((F.col("id") != F.col("leader")) & _similar_enough("n", "ln", "at", "lat")).groupBy("id", "leader").agg(F.count(F.lit(1)).alias("votes"))
     pairs = votes.groupBy("id").agg(F.max(F.struct("votes", -F.col("leader"))).alias("best")).select(F.col("id").alias("a"), (-F.col("best.col2")).alias("b"))
-    verified, p = durable(_verify(pairs, sets))
-    paths.append(p)
+    verified, p = _checked(pairs, named)
+    paths += p
     traits, p = durable(traits.join(verified.select(F.col("a").alias("id"), F.col("b").alias("pivot"), F.col("shared").alias("with_pivot")), "id", "left"))
     paths.append(p)
-    total, before = entries.agg(F.count(F.lit(1)), F.sum("m")).first()
-    asked = ASKED
+    total, asked, before = entries.count(), ASKED, None
     while True:
-        links = _linked(verified)
-        found, p = durable(components(links))
+        found, p = durable(components(_linked(verified)))
         paths.append(p)
-        known = entries.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        sizes = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        main, p = durable(main.select("key", F.col("top.c").alias("main"), "m", (F.col("m") - F.col("top.k")).alias("others")))
+        known = entries.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component", "m")
+        main, p = durable(_open_lists(known))
         paths.append(p)
-        open_ = known.drop("m").join(main, "key")
-        work, longest = (int(x or 0) for x in main.agg(F.sum(F.col("others") * F.col("m")), F.max("m")).first())
+        work, longest = (int(x or 0) for x in main.agg(F.sum("work"), F.max("m")).first())
         if not work:
             break
-        if work > max(PAIRS_PER_ENTRY * total, LEAST_PAIRS) and 2 * work <= before:
-            before = work
-            more, p = _checked(_next_leaders(open_, verified), sets)
+        open_ = known.join(main, "key")
+        if work > max(PAIRS_PER_ENTRY * total, LEAST_PAIRS) and asked < longest and (before is None or 2 * work <= before):
+            more, p = _checked(_asked(open_, verified, traits, asked), named)
             paths += p
-            verified = verified.unionByName(more)
+            verified, asked, before = verified.unionByName(more), asked * MORE, work
             continue
-        if work > max(PAIRS_PER_ENTRY * total, LEAST_PAIRS) and asked < longest:
-            more, p = _checked(_across(open_, verified, traits, asked), sets)
-            paths += p
-            verified, asked, before = verified.unionByName(more), asked * MORE, 0
-            continue
-        more, p = _checked(_across(open_, verified, traits), sets)
+        more, p = _checked(_across(open_, verified, traits), named)
         paths += p
         if _linked(more).limit(1).count():
             found, p = durable(components(_linked(verified.unionByName(more))))
@@ -249,16 +250,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     return result
 
 
-def _across(entries: DataFrame, verified: DataFrame, traits: DataFrame, asked: int | None = None) -> DataFrame:
-    """Distinct pairs of one list and two components, one of them outside the main one, that nothing known decides; of about ``asked`` sets of a list with its others if given.
+def _open_lists(known: DataFrame) -> DataFrame:
+    """``key, main, m, work``: lists in which two components can meet, their main component, sets and the pairs that can.
+
+    Of two sets that meet one reaches its own size: one outside the main component meets all, the others only such of it.
+    """
+    sizes = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("reach") >= F.col("n")).cast("long")).alias("far"))
+    lists = sizes.groupBy("key").agg(F.max(F.struct("k", "c", "far")).alias("top"), F.sum("k").alias("m"), F.sum("far").alias("far"))
+    far, others = F.col("far") - F.col("top.far"), F.col("m") - F.col("top.k")
+    return lists.select("key", F.col("top.c").alias("main"), "m", (far * F.col("m") + (others - far) * F.col("top.far")).alias("work")).where("work > 0")
+
+
+MEETING = ["key", "id", "n", "at", "reach", "c", "main", "m", "common", "sketch", "pivot", "with_pivot"]
+
+
+def _across(entries: DataFrame, verified: DataFrame, traits: DataFrame) -> DataFrame:
+    """Distinct pairs of one list and two components, one of them outside the main one, that nothing known decides.
 
     A pair that meets leaves the join only where each is within the other's reach, and the shingles that other sets
     have at all, what both share with the same pivot, and the sketches all allow a similarity of 0.8.
     """
-    own = ["key", "id", "n", "at", "reach", "c", "main", "m", "common", "sketch", "pivot", "with_pivot"]
-    seen = entries.join(traits, "id").select(*own)
-    met = [_undecided(m) for m in (_meet_asked(seen, asked) if asked else _meet(seen))]
-    return _new(reduce(DataFrame.unionByName, met).distinct(), verified)
+    seen = entries.join(traits, "id").select(*MEETING)
+    return _new(reduce(DataFrame.unionByName, [_undecided(m) for m in _meet(seen)]).distinct(), verified)
+
+
+def _asked(entries: DataFrame, verified: DataFrame, traits: DataFrame, asked: int) -> DataFrame:
+    """Pairs, as ``_across`` has them, of sets with about ``asked`` of a longer list."""
+    seen = entries.where(F.col("m") > asked).join(traits, "id").select(*MEETING)
+    return _new(_undecided(_meet_drawn(seen, asked)).distinct(), verified)
 
 
 def _undecided(met: DataFrame) -> DataFrame:
@@ -288,30 +307,25 @@ def _meet(seen: DataFrame) -> list[DataFrame]:
 
     Sets that reach less far never meet each other, so a list of those makes no pair, however long it is.
     """
-    banded, near = seen.withColumn("band", _band(F.col("n"))), _to_meet(seen)
+    banded = seen.withColumn("band", _band(F.col("n")))
     far, outer = F.col("reach") >= F.col("n"), F.col("c") != F.col("main")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band"))
     # far ones outside the main component meet all others; of two such the lesser id comes first
     once = same & ((F.col("y.c") == F.col("y.main")) | (F.col("y.reach") < F.col("y.n")) | (F.col("x.id") < F.col("y.id")))
-    first = near.where(far & outer).alias("x").join(banded.alias("y"), once)
-    rest = near.where(~far & outer).alias("x").join(banded.where(far & ~outer).alias("y"), same)
+    first = _to_meet(seen.where(far & outer)).alias("x").join(banded.alias("y"), once)
+    rest = _to_meet(seen.where(~far & outer)).alias("x").join(banded.where(far & ~outer).alias("y"), same)
     return [first, rest]
 
 
-def _meet_asked(seen: DataFrame, asked: int) -> list[DataFrame]:
-    """About ``asked`` sets of each list, ``x``, and its others, ``y``. More are the same ones and others; a set is drawn in most of its lists or in none."""
-    drawn = seen.withColumn("drawn", F.pmod(F.xxhash64("id"), F.lit(1 << 31)) * F.col("m") < (asked << 31))
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band"))
-    once = same & (~F.col("y.drawn") | (F.col("x.id") < F.col("y.id")))
-    return [_to_meet(drawn.where("drawn")).alias("x").join(drawn.withColumn("band", _band(F.col("n"))).alias("y"), once)]
-
+def _meet_drawn(seen: DataFrame, asked: int) -> DataFrame:
+    """About ``asked`` sets of each list, ``x``, and those outside its main component, ``y``, each in one list for a main component.
 
-def _next_leaders(entries: DataFrame, verified: DataFrame) -> DataFrame:
-    """Pairs of each open list's least set outside the main component with the list's sets of other components."""
-    lead = entries.where(F.col("c") != F.col("main")).groupBy("key").agg(F.min(F.struct("id", "n", "at", "c")).alias("next"))
-    joined = entries.join(lead, "key").where((F.col("next.c") != F.col("c")) & (F.col("next.id") != F.col("id")))
-    joined = joined.select("id", "n", "at", F.col("next.id").alias("y"), F.col("next.n").alias("yn"), F.col("next.at").alias("yat")).where(_similar_enough("n", "yn", "at", "yat"))
-    return _new(joined.select(F.greatest("id", "y").alias("a"), F.least("id", "y").alias("b")).distinct(), verified)
+    A set is drawn in most of its lists or in none, so ``y`` would meet the same ones in its other lists of that component.
+    """
+    drawn = seen.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) * F.col("m") < (asked << 31))
+    outer = seen.where("c <> main")
+    once = outer.groupBy("id", "main").agg(F.max(F.struct("m", "key")).alias("longest")).select("id", F.col("longest.key").alias("key"))
+    return drawn.alias("x").join(outer.join(once.distinct(), ["id", "key"]).alias("y"), F.col("x.key") == F.col("y.key"))
 
 
 def _new(pairs: DataFrame, verified: DataFrame) -> DataFrame:
